@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabwright.llm.decontam import OP7_SQL, op7_decontamination
 from tabwright.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tabwright.llm.license_scan import op8_license_scan
+from tabwright.llm.near_dedup import op3_near_dedup
 from tabwright.llm.sharding import op9_sharding
 from tabwright.llm.warc import op1_warc
 
@@ -16,10 +18,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_near_dedup": op3_near_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL}
