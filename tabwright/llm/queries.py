@@ -11,6 +11,7 @@ from tabwright.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tabwright.llm.license_scan import op8_license_scan
 from tabwright.llm.near_dedup import op3_near_dedup
 from tabwright.llm.sharding import op9_sharding
+from tabwright.llm.toxicity import op5_toxicity
 from tabwright.llm.warc import op1_warc
 
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_near_dedup": op3_near_dedup,
+        "op5_toxicity": op5_toxicity,
         "op7_decontamination": op7_decontamination,
         "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,
