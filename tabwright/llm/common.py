@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Folders written by this session and not yet cleared, by application id.
+#: Folders made by operators and not yet cleared, by application id.
 _WRITTEN: dict[str, list[str]] = {}
 
 
@@ -28,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_folder(spark)}/tabwright/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    written(spark).append(path)
     return path
 
 
@@ -39,15 +40,21 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_shared(spark: SparkSession) -> None:
-    """Delete what this session has written to the shared folder; call it once results built on it are stored."""
+def written(spark: SparkSession) -> list[str]:
+    """The folders that this session's operators have made, in order."""
+    return _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+
+
+def clear_shared(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of ``written``; call it once the results built on them are stored."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+    for path in folders:
         at = hadoop(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        written(spark).remove(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -136,6 +136,13 @@ def _verdicts(rows: DataFrame, least_share: int) -> DataFrame:
     )
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    bad = contamination(docs, items, id_col, text_col, **settings).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.xxhash64(whole_text(text_col)) == F.col("bad_key"))
+    return docs.join(shared_table(bad, "contaminated"), same, "left_anti")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in ``documents``."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

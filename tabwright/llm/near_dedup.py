@@ -224,6 +224,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: that with the smallest id, once if its row repeats."""
+    found = shared_table(near_duplicates(docs, id_col, text_col, words, percent), "near-duplicates")
+    rest = docs.join(found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    again = shared_table(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)), "repeated-rows")
+    if again.isEmpty():
+        return rest
+    return rest.join(again, id_col, "left_anti").select(*docs.columns).unionByName(rest.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among ``documents``, linked at a similarity of 0.85 of five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -10,6 +10,7 @@ from tabwright.llm.decontam import OP7_SQL, op7_decontamination
 from tabwright.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tabwright.llm.html_text import op4_html_text
 from tabwright.llm.license_scan import op8_license_scan
+from tabwright.llm.mixing import op6_mixing
 from tabwright.llm.near_dedup import op3_near_dedup
 from tabwright.llm.sharding import op9_sharding
 from tabwright.llm.toxicity import op5_toxicity
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_dedup": op3_near_dedup,
         "op4_html_text": op4_html_text,
         "op5_toxicity": op5_toxicity,
+        "op6_mixing": op6_mixing,
         "op7_decontamination": op7_decontamination,
         "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,

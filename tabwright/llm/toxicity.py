@@ -200,6 +200,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return out.select("doc_id", "score", "offending", *[F.col(k).alias(c) for c, k in zip(keep or [], kept, strict=True)])
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    heads, at = model.heads(), docs.columns.index(text_col)
+
+    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array([model.score(t.as_py() or "", heads)[0] < threshold for t in batch.column(at)], pa.bool_()))
+
+    return map_batches(docs, keep, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
