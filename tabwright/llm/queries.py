@@ -13,6 +13,7 @@ from tabwright.llm.license_scan import op8_license_scan
 from tabwright.llm.mixing import op6_mixing
 from tabwright.llm.near_dedup import op3_near_dedup
 from tabwright.llm.sharding import op9_sharding
+from tabwright.llm.suffix_dedup import op10_suffix_dedup
 from tabwright.llm.toxicity import op5_toxicity
 from tabwright.llm.warc import op1_warc
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
