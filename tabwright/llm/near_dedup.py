@@ -6,8 +6,9 @@ similarity is estimated from the registers, corrected for chance collisions, and
 threshold (by six standard deviations) are let go. The others are confirmed on their full shingle sets.
 
 Groups of any size are worked off without making all their pairs. Texts with equal shingle sets are one class. In
-each band's bucket the classes are first confirmed against the bucket's smallest; only members that are then in
-different components are compared further, block by block inside tasks, and just the survivors leave a task.
+each band's bucket the classes are first confirmed against the one with the smallest set; only members that are then
+in different components are compared further, block by block inside tasks, and no more links leave a task than join
+components.
 
 With 40 bands of 6 registers a pair at the threshold of 0.85 is missed with a probability below 1e-8, one above it
 with less.
@@ -20,7 +21,7 @@ empty table gives no rows. Only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,15 +105,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """(band, key, rep): a row per class and band that has a register."""
+    """(band, key, rep, n_shingles): a row per class and band that has a register."""
     band = F.expr(f"substring(registers, 1 + band * {2 * ROWS}, {2 * ROWS})")
     return (
-        classes.select("rep", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+        classes.select("rep", "n_shingles", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
         .where(band != F.lit(bytearray(b"\xff" * 2 * ROWS)))
-        .select("band", F.xxhash64("band", band).alias("key"), "rep")
+        .select("band", F.xxhash64("band", band).alias("key"), "rep", "n_shingles")
     )
 
 
+def texts_of(texts: DataFrame, ids: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
+    """The rows of ``texts`` (doc_id, text) whose id is in ``ids``; up to ``most_broadcast`` ids go to the scan, with more
+    both sides are shuffled."""
+    ids = shared_table(ids.distinct(), "text-ids")
+    ids = F.broadcast(ids) if ids.count() <= most_broadcast else ids
+    return shared_table(texts.join(ids, "doc_id", "left_semi"), "pair-texts")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b): those whose estimate stands and whose full shingle sets reach the threshold."""
 
@@ -132,49 +141,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
     one, other = (classes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")) for c in "ab")
     judged = pairs.join(one, "a").join(other, "b").select("a", "b", "n_a", "r_a", "n_b", "r_b")
     judged = shared_table(map_batches(judged, likely, "a long, b long"), "likely-pairs")
-    ids = judged.select(F.col("a").alias("doc_id")).union(judged.select("b")).distinct()
-    wanted = shared_table(texts.join(ids, "doc_id", "left_semi"), "pair-texts")
+    wanted = texts_of(texts, judged.select(F.col("a").alias("doc_id")).union(judged.select("b")))
     one, other = (wanted.select(F.col("doc_id").alias(c), F.col("text").alias(f"t_{c}")) for c in "ab")
     both = judged.join(one, "a").join(other, "b").select("a", "b", "t_a", "t_b")
     return shared_table(map_batches(both, confirm, "a long, b long").distinct(), "confirmed-pairs")
 
 
-def unsettled_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in one bucket that may be similar and are still in different components, buckets' smallest aside.
-
-    Large buckets are cut into blocks; a task compares two blocks and emits a pair only in the first band in which it
-    agrees.
-    """
-    rest = members.where("rep <> leader").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    rest = shared_table(rest, "bucket-members")
-    mixed = shared_table(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
-    laid = (
-        rest.join(mixed, "key")
-        .join(classes.select("rep", "n_shingles", "registers"), "rep")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "rep", "component", "n_shingles", "registers")
-    )
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        own, rep, comp = (rows.column(c).to_numpy() for c in ("own", "rep", "component"))
-        n, band, i, j = rows.column("n_shingles").to_numpy().astype(np.float64), rows.column("band")[0].as_py(), rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        regs = _register_rows(rows.column("registers").combine_chunks())
-        first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
-        for p in first:
-            q = second[(comp[second] != comp[p]) & ((second > p) if i == j else True)]
-            if not len(q):
-                continue
-            x, y = regs[p][None], regs[q]
-            bands = ((x == y).reshape(len(q), BANDS, ROWS).all(-1)) & (y.reshape(len(q), BANDS, ROWS) != EMPTY).any(-1)
-            keep = (bands.argmax(1) == band) & bands.any(1)
-            q, y = q[keep], y[keep]
-            if len(q):
-                q = q[may_reach(x, y, np.full(len(q), n[p]), n[q], percent)]
-                found += [(min(rep[p], r), max(rep[p], r)) for r in rep[q]]
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _by_group(work: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    """For ``mapInArrow`` over rows sorted by (key, i, j), the first three columns: ``work`` on the rows of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -184,15 +158,107 @@ def unsettled_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, p
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(low, high - low)
                 if held and any(held[0].column(c)[0] != part.column(c)[0] for c in (0, 1, 2)):
-                    yield compare(pa.Table.from_batches(held))
+                    yield work(pa.Table.from_batches(held))
                     held = []
                 if part.num_rows:
                     held.append(part)
         if held:
-            yield compare(pa.Table.from_batches(held))
+            yield work(pa.Table.from_batches(held))
+
+    return run
+
+
+def _survivors(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of rows of two blocks, as one row and its partners: in different components, alike in this band and none
+    before it, and not ruled out by the estimate."""
+    own, comp, n = (rows.column(c).to_numpy() for c in ("own", "component", "n_shingles"))
+    band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
+    regs = _register_rows(rows.column("registers").combine_chunks())
+    first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for p in first:
+        q = second[(comp[second] != comp[p]) & ((second > p) if i == j else True)]
+        q = q[(regs[q, band * ROWS : (band + 1) * ROWS] == regs[p, band * ROWS : (band + 1) * ROWS]).all(1)]
+        if not len(q):
+            continue
+        same = ((regs[q] == regs[p]) & (regs[q] != EMPTY)).reshape(len(q), BANDS, ROWS)
+        empty = (regs[q] == EMPTY) & (regs[p] == EMPTY)
+        alike = (same | empty.reshape(len(q), BANDS, ROWS)).all(2) & same.any(2)
+        q = q[alike.argmax(1) == band]
+        if len(q):
+            q = q[may_reach(regs[p][None], regs[q], np.full(len(q), float(n[p])), n[q].astype(np.float64), percent)]
+            if len(q):
+                yield p, q
+
+
+def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one bucket that are still in different components.
 
+    Large buckets are cut into blocks, and a task compares two blocks. A first pass finds the members that may have a
+    link; their texts are fetched, and a second pass confirms pairs on full sets. A pair is looked at in the first
+    band in which it agrees only; of confirmed pairs those that join two components of the task are emitted, so what
+    leaves a task is fewer rows than entered it.
+    """
+    rest = members.where("rep <> leader").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
+    rest = shared_table(rest, "bucket-members")
+    mixed = shared_table(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
+    laid = (
+        rest.join(mixed, "key")
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "rep", "component")
+    )
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return laid.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    signed = classes.select("rep", "n_shingles", "registers")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def find(rows: pa.Table) -> pa.RecordBatch:
+        keep = np.zeros(rows.num_rows, bool)
+        for p, q in _survivors(rows, percent):
+            keep[p] = True
+            keep[q] = True
+        return rows.select(["key", "i", "j", "own", "band", "rep", "component"]).filter(pa.array(keep)).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if keep.any() else _nothing(rows)
+
+    def _nothing(rows: pa.Table) -> pa.RecordBatch:
+        schema = rows.select(["key", "i", "j", "own", "band", "rep", "component"]).schema
+        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+
+    def confirm(rows: pa.Table) -> pa.RecordBatch:
+        comp, rep = (rows.column(c).to_pylist() for c in ("component", "rep"))
+        text = rows.column("text").combine_chunks()
+        root = {c: c for c in comp}
+        sets: dict[int, set] = {}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        def of(k: int) -> set:
+            if k not in sets:
+                sets[k] = set(next(shingle_sets(text.slice(k, 1), words)).tolist())
+            return sets[k]
+
+        found = []
+        for p, qs in _survivors(rows, percent):
+            for q in qs.tolist():
+                a, b = top(comp[p]), top(comp[q])
+                if a == b:
+                    continue
+                same = len(of(p) & of(q))
+                if 100 * same >= percent * (len(of(p)) + len(of(q)) - same):
+                    root[max(a, b)] = min(a, b)
+                    found.append((rep[p], rep[q]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    layout = "key long, i int, j int, own int, band int, rep long, component long"
+    open_rows = shared_table(dealt(laid.join(signed, "rep").select(*laid.columns, "n_shingles", "registers")).mapInArrow(_by_group(find), layout), "open-members")
+    wanted = texts_of(texts, open_rows.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    full = open_rows.join(signed, "rep").join(wanted, "rep").select(*open_rows.columns, "n_shingles", "registers", "text")
+    return shared_table(dealt(full).mapInArrow(_by_group(confirm), "a long, b long").distinct(), "unsettled-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
@@ -207,8 +273,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         usable.join(reps, "set_key").where("doc_id = rep").select("rep", "n_shingles", "registers").dropDuplicates(["rep", "registers"]), "class-registers"
     )
     bands = band_rows(classes)
-    buckets = shared_table(bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").drop("last"), "buckets")
-    members = shared_table(bands.join(buckets, "key"), "members")
+    # The smallest set leads: with a passage that many share, it is the likeliest to be similar to any of them.
+    least = F.min(F.struct("n_shingles", "rep")).alias("least")
+    buckets = shared_table(bands.groupBy("key").agg(least, F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", F.col("least.rep").alias("leader")), "buckets")
+    members = shared_table(bands.drop("n_shingles").join(buckets, "key"), "members")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
     first = confirmed(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), classes, texts, words, percent)
     # Rows that repeat an id with different texts join their classes.
@@ -216,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = shared_table(owned.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b < hi").drop("hi"), "repeated-ids")
     first = first.union(owned.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"))
     labels = shared_table(components(first), "labels")
-    second = confirmed(unsettled_pairs(members, labels, classes, percent), classes, texts, words, percent)
+    second = unsettled_links(members, labels, classes, texts, words, percent)
     if not second.isEmpty():
         labels = shared_table(components(first.union(second)), "labels")
     rows = signed.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
