@@ -43,7 +43,7 @@ def assign_shards(
     text_col: str = "text",
     heavy_per_shard: int = 64,
     parcels_per_shard: int = 512,
-    chunk_rows: int = 100_000,
+    chunk_rows: int = 1_000,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """Per row: doc_id, size, text_crc32, shard, slot, and the columns in ``carry``; equal texts share a shard."""
