@@ -7,17 +7,19 @@ and the lines between are a region. The region of the greatest sum is the main t
 ``KEEP_SHARE`` of it; lines inside ``article`` or ``main`` count tenfold.
 
 Nothing else is dropped or cut: short lines within a region stay. Character references are decoded once, white space
-inside a block becomes one blank, blocks are joined by a line feed; ``br`` ends a block.
+inside a block becomes one blank, blocks are joined by a line feed; ``br`` ends a block. Should names in class, id or
+role leave no text at all (a wrapper around the whole page may say "sidebar"), the page is read again without them.
 
 Defined results: null or empty html, and pages without text, give an empty text; unclosed elements, comments and
-quotes end with the page; tag soup and plain text are read as far as they go. Pages are worked off one by one, so
-repeated rows and null ids do no harm. Only id, url and html are read.
+quotes end with the page; tag soup and plain text are read as far as they go, in time proportional to their length.
+Pages are worked off one by one, so repeated rows and null ids do no harm. Only id, url and html are read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -55,24 +57,30 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Fixed list of words beside which "header" names the head of an article, not of the page.
+OF_ARTICLE = {"article", "post", "entry", "story", "content", "main"}
+BROKEN_TAG = re.compile(r"<(?=[a-zA-Z/!?])")
 
 
-def is_marked(attributes: str) -> bool:
-    """Whether class, id or role say that the element isn't article text."""
+def is_marked(attributes: str, by_name: bool = True) -> bool:
+    """Whether class, id or role (``by_name``), or being hidden, say that the element isn't article text."""
     if not attributes or attributes.isspace():
         return False
-    for m in ATTRIBUTE.finditer(attributes):
-        if any(p.lower() in MARKS for p in PART.findall(m[2] or m[3] or m[4] or "")):
-            return True
+    for m in ATTRIBUTE.finditer(attributes) if by_name else ():
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = {p.lower() for p in PART.findall(name)}
+            if parts & MARKS - ({"header"} if parts & OF_ARTICLE else set()):
+                return True
     return bool(HIDDEN.search(attributes))
 
 
-def page_lines(page: str) -> list[tuple[str, int]]:
+def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
     """Lines of text with their weight; blank lines stand where elements were dropped and around articles."""
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     linked, in_link, inside, dropping = 0, 0, 0, 0
     open_elements: list[tuple[str, bool]] = []  # name, whether it began the dropping
+    n_open: Counter[str] = Counter()
 
     def end_line() -> None:
         nonlocal linked
@@ -91,6 +99,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         """Close the elements from the k-th on."""
         nonlocal in_link, inside, dropping
         for name, began in reversed(open_elements[k:]):
+            n_open[name] -= 1
             if began:
                 dropping -= 1
                 if not dropping:
@@ -104,8 +113,8 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                     gap(WINDOW)
         del open_elements[k:]
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, m, ends = 0, None, page.rfind(">") + 1  # beyond the last bracket no tag ends
+    for m in TOKEN.finditer(page, 0, ends):
         if m.start() > at and not dropping:
             parts.append(page[at : m.start()])
             if in_link:
@@ -118,19 +127,18 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if block and not dropping:
             end_line()
         if m[2]:
-            for k in range(len(open_elements) - 1, -1, -1):
-                if open_elements[k][0] == name:
-                    close(k)
-                    break
+            if n_open[name]:
+                close(next(k for k in range(len(open_elements) - 1, -1, -1) if open_elements[k][0] == name))
             continue
         if block and open_elements and open_elements[-1][0] == "p":
             close(len(open_elements) - 1)  # a block ends an open paragraph
         if name in VOID or name not in CONTAINERS and name != "head" or m[4].endswith("/"):
             continue
-        drop = not dropping and (name in DROPPED or name == "header" and not inside or name not in ARTICLE and is_marked(m[4]) or name in ARTICLE and inside and is_marked(m[4]))
+        drop = not dropping and (name in DROPPED or name == "header" and not inside or (name not in ARTICLE or inside > 0) and is_marked(m[4], by_name) and not (name == "header" and inside))
         if drop and not block:
             end_line()
         open_elements.append((name, drop))
+        n_open[name] += 1
         dropping += drop
         if not dropping:
             if name == "a":
@@ -138,8 +146,10 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             elif name in ARTICLE:
                 gap(WINDOW)
                 inside += 1
-    if not dropping:
-        parts.append(page[at:])
+    left_open = m is not None and m.end() == ends and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[1] and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I))
+    if not dropping and not left_open:
+        tag = BROKEN_TAG.search(page, ends)
+        parts.append(page[at : tag.start() if tag else len(page)])
     end_line()
     return lines
 
@@ -162,7 +172,11 @@ def regions(weights: list[int], blank: list[bool], window: int = WINDOW) -> list
 
 def main_text(page: str | None) -> str:
     """The main text of one page."""
-    lines = page_lines(page or "")
+    return text_of(page_lines(page or "")) or text_of(page_lines(page or "", by_name=False))
+
+
+def text_of(lines: list[tuple[str, int]]) -> str:
+    """The lines of the regions that hold the main text."""
     blank, weights = [not t for t, _ in lines], [w for _, w in lines]
     found = regions(weights, blank)
     sums = [sum(weights[a:b]) for a, b in found]
