@@ -40,18 +40,19 @@ def digest(data: bytes) -> str:
 
 def mark_revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
     """Add ``revisit_of``: for payloads of at least ``min_bytes`` that equal another's, the largest id of the equal ones."""
-    keyed = pages.withColumn("payload_key", F.sha2(F.col(payload_col), 256))
+    keyed = pages.withColumn("_warc_key", F.sha2(F.col(payload_col), 256))
     large = keyed.where(F.octet_length(payload_col) >= min_bytes)
     # A written table, so that the join below has plain exchanges on both sides and skewed keys can be split.
     targets = shared_table(
-        large.groupBy("payload_key").agg(F.max(id_col).alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        large.groupBy("_warc_key").agg(F.max(id_col).alias("_warc_target"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"),
         "warc-targets",
     )
-    same = F.col("target").isNull() | (F.octet_length(payload_col) < min_bytes)
+    target = F.col("_warc_target")
+    same = target.isNull() | (F.octet_length(payload_col) < min_bytes)
     return (
-        keyed.join(targets, "payload_key", "left")
-        .withColumn("revisit_of", F.when(same | F.col(id_col).eqNullSafe(F.col("target")), None).otherwise(F.col("target")))
-        .drop("payload_key", "target")
+        keyed.join(targets, "_warc_key", "left")
+        .withColumn("revisit_of", F.when(same | F.col(id_col).eqNullSafe(target), None).otherwise(target))
+        .drop("_warc_key", "_warc_target")
     )
 
 

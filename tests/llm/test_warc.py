@@ -22,9 +22,9 @@ def test_query(spark, sf_dir):
 def test_round_trip(spark):
     payloads = {1: b"a", 2: b"", 3: b"a", 4: None, 5: b"\r\n\r\nWARC/1.1\r\n\r\n" * 9000, 6: b"a", 7: b"b", 8: b""}
     rows = [(k, None if k == 2 else f"http://x/{k}\r\nü", p) for k, p in payloads.items()] + [(None, "u", b"z")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, payload binary").selectExpr("page_id", "url", "coalesce(payload, binary('')) AS payload", "1 AS target", "2 AS n")
+    pages = spark.createDataFrame(rows, "page_id long, url string, payload binary").selectExpr("page_id", "url", "coalesce(payload, binary('')) AS payload", "1 AS target", "2 AS n", "3 AS rows", "4 AS payload_key")
     folder = new_folder(spark, "test-warc")
-    marked = mark_revisits(pages.drop("target"), "page_id", "payload")
+    marked = mark_revisits(pages, "page_id", "payload")
     assert write_warc(marked, folder, archive_bytes=1000).agg({"records": "sum"}).first()[0] == 9
     found = archives_in(spark, folder)
     assert found.count() > 1
