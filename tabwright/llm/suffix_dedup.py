@@ -120,10 +120,12 @@ def packed_anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
             out = []
             for known, keep in ((False, new_f), (True, many)):
                 fs, os, flag = f[keep], own[keep], many[keep]
+                if not len(fs):
+                    continue
                 bucket = ((fs >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64) if not known else os % buckets
                 order = np.argsort(bucket, kind="stable")
                 fs, os, flag, bucket = fs[order], os[order], flag[order], bucket[order]
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 for low, high in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
                     users, idx = np.unique(os[low:high], return_inverse=True)
                     out.append((int(bucket[low]), known, _short(fs[low:high]), idx.astype("<u2").tobytes(), names[users].astype("<i8").tobytes(), np.packbits(flag[low:high]).tobytes()))
