@@ -76,7 +76,7 @@ NAMES: dict[str, list[tuple[str, str]]] = {
     "cc0": [("cc0", r"cc0(?: 1 0)?"), ("creative commons", r"creative commons zero")],
     "cc": [("creative commons", r"creative commons(?: licen[cs]e)?"), ("creative commons", r"creative commons attribution(?: licen[cs]e)?")],
     "cc-by": [("cc by", r"cc by(?: [1-4] 0)?"), ("creative commons", r"creative commons attribution [1-4] 0")],
-    "cc-by-sa": [("cc by sa", r"cc by sa(?: [1-4] 0)?"), ("creative commons", r"creative commons attribution share ?alike"), ("licensed under cc", r"licen[cs]ed under cc by sa")],
+    "cc-by-sa": [("cc by sa", r"cc by sa(?: [1-4] 0)?"), ("creative commons", r"creative commons attribution share ?alike"), ("cc by sa", r"licen[cs]ed under cc by sa")],
     "cc-by-nd": [("cc by nd", r"cc by nd(?: [1-4] 0)?"), ("creative commons", r"creative commons attribution no ?deriv(?:ative)?s")],
     "cc-by-nc": [("cc by nc", r"cc by nc(?: [1-4] 0)?"), ("creative commons", r"creative commons attribution non ?commercial")],
     "cc-by-nc-sa": [("cc by nc sa", r"cc by nc sa(?: [1-4] 0)?"), ("creative commons", r"creative commons attribution non ?commercial share ?alike")],
