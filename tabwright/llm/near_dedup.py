@@ -7,8 +7,9 @@ threshold (by six standard deviations) are let go. The others are confirmed on t
 
 Groups of any size are worked off without making all their pairs. Texts with equal shingle sets are one class. In
 each band's bucket the classes are first confirmed against the one with the smallest set; only members that are then
-in different components are compared further, block by block inside tasks, and no more links leave a task than join
-components.
+in different components are looked at further. Shingles that only one of them has bound what it can share with any
+other, which settles most near copies of one text that are too far from each other (``may_have_partner``). What is
+left of a bucket is compared block by block inside tasks, and no more links leave a task than join components.
 
 With 40 bands of 6 registers a pair at the threshold of 0.85 is missed with a probability below 1e-8, one above it
 with less.
@@ -38,6 +39,7 @@ EMPTY = 0xFFFF
 MANTISSA = 10
 DEVIATIONS = 6.0
 BLOCK = 256
+LAYOUT = ["key", "i", "j", "own", "band", "rep", "component", "most"]
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -168,15 +170,66 @@ def _by_group(work: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
     return run
 
 
+def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, lone): of rows (rep, text), how many of a text's shingles none of the other texts has.
+
+    Hashes meet in buckets, packed by input batch. They are cut to 48 bits: two that collide count as shared, so ``lone``
+    is never too large.
+    """
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low_bits = np.uint64((1 << 48) - 1)
+
+    def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        reps, sets = batch.column(0).to_numpy(), list(shingle_sets(batch.column(1), words))
+        if not sum(map(len, sets)):
+            return
+        hashes, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        bucket = ((hashes >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        hashes, own, bucket = hashes[order] & low_bits, own[order], bucket[order]
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
+        parts = [(int(bucket[a]), hashes[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), reps[own[a:b]].astype("<i8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "hashes", "reps"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        if not found:
+            return
+        packed = np.zeros((sum(len(r[1]) for r in found) // 6, 8), np.uint8)
+        packed[:, :6] = np.frombuffer(b"".join(r[1] for r in found), np.uint8).reshape(-1, 6)
+        hashes, reps = packed.reshape(-1).view("<u8"), np.frombuffer(b"".join(r[2] for r in found), "<i8")
+        order = np.argsort(hashes, kind="stable")  # buckets that share a task may collide, which is as harmless
+        same = hashes[order][1:] == hashes[order][:-1]
+        alone = ~(np.append(same, False) | np.append(False, same))
+        rep, n = np.unique(reps[order][alone], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(n, pa.int64())], ["rep", "n"])
+
+    counted = map_batches(texts.select("rep", "text"), pack, "bucket int, hashes binary, reps binary").repartition(buckets, "bucket").mapInArrow(count, "rep long, n long")
+    return counted.groupBy("rep").agg(F.sum("n").alias("lone"))
+
+
+def may_have_partner(members: DataFrame, percent: int) -> DataFrame:
+    """Of ``members`` (key, ..., n_shingles, most) those that may have a partner in their bucket.
+
+    ``most`` is the largest set that a member can be similar enough to, with what it has to share: with I shingles that
+    any other has, 100 * I >= percent * (n + m - I) bounds the other's size m. The sizes in a bucket and the largest
+    ``most`` of each are a short list.
+    """
+    sizes = members.groupBy("key", "n_shingles").agg(F.max("most").alias("most"))
+    sizes = shared_table(sizes.groupBy("key").agg(F.collect_list(F.struct("n_shingles", "most")).alias("sizes")), "bucket-sizes")
+    fits = F.exists("sizes", lambda e: (e["n_shingles"] <= F.col("most")) & (F.col("n_shingles") <= e["most"]) & (100 * e["n_shingles"] >= percent * F.col("n_shingles")) & (100 * F.col("n_shingles") >= percent * e["n_shingles"]))
+    return members.join(sizes, "key").where(fits).drop("sizes")
+
+
 def _survivors(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs of rows of two blocks, as one row and its partners: in different components, alike in this band and none
-    before it, and not ruled out by the estimate."""
-    own, comp, n = (rows.column(c).to_numpy() for c in ("own", "component", "n_shingles"))
+    """Pairs of rows of two blocks, as one row and its partners: in different components, not ruled out by sizes or by
+    the estimate, alike in this band and none before it."""
+    own, comp, n, most = (rows.column(c).to_numpy() for c in ("own", "component", "n_shingles", "most"))
     band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
     regs = _register_rows(rows.column("registers").combine_chunks())
     first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
     for p in first:
-        q = second[(comp[second] != comp[p]) & ((second > p) if i == j else True)]
+        q = second[(comp[second] != comp[p]) & (n[second] <= most[p]) & (n[p] <= most[second]) & ((second > p) if i == j else True)]
         q = q[(regs[q, band * ROWS : (band + 1) * ROWS] == regs[p, band * ROWS : (band + 1) * ROWS]).all(1)]
         if not len(q):
             continue
@@ -190,22 +243,33 @@ def _survivors(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]
                 yield p, q
 
 
+def in_mixed_buckets(rest: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, with the number of ``blocks`` that the bucket is cut into."""
+    sums = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return rest.join(shared_table(sums.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets"), "key")
+
+
 def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of one bucket that are still in different components.
 
-    Large buckets are cut into blocks, and a task compares two blocks. A first pass finds the members that may have a
-    link; their texts are fetched, and a second pass confirms pairs on full sets. A pair is looked at in the first
+    Members that can't have a partner go first. Large buckets are cut into blocks, and a task compares two blocks. A
+    first pass finds the members that may have a link, and a second one confirms pairs on full sets. A pair is looked at in the first
     band in which it agrees only; of confirmed pairs those that join two components of the task are emitted, so what
     leaves a task is fewer rows than entered it.
     """
     rest = members.where("rep <> leader").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    rest = shared_table(rest, "bucket-members")
-    mixed = shared_table(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets")
+    rest = in_mixed_buckets(shared_table(rest, "bucket-members"))
+    rest = shared_table(rest.drop("blocks"), "mixed-members")
+    known = texts_of(texts, rest.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+    lone = shared_table(lone_shingles(known, words), "lone-shingles")
+    shared = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
+    sized = classes.join(lone, "rep", "left").select("rep", "n_shingles", F.floor(shared * (100 + percent) / percent - F.col("n_shingles") + 1e-6).cast("long").alias("most"))
+    rest = shared_table(may_have_partner(rest.join(shared_table(sized, "class-sizes"), "rep"), percent), "open-bucket-members")
     laid = (
-        rest.join(mixed, "key")
+        in_mixed_buckets(rest)
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "rep", "component")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "rep", "component", "most")
     )
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = classes.select("rep", "n_shingles", "registers")
@@ -218,10 +282,10 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
         for p, q in _survivors(rows, percent):
             keep[p] = True
             keep[q] = True
-        return rows.select(["key", "i", "j", "own", "band", "rep", "component"]).filter(pa.array(keep)).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if keep.any() else _nothing(rows)
+        return rows.select(LAYOUT).filter(pa.array(keep)).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if keep.any() else _nothing(rows)
 
     def _nothing(rows: pa.Table) -> pa.RecordBatch:
-        schema = rows.select(["key", "i", "j", "own", "band", "rep", "component"]).schema
+        schema = rows.select(LAYOUT).schema
         return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
     def confirm(rows: pa.Table) -> pa.RecordBatch:
@@ -254,10 +318,9 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    layout = "key long, i int, j int, own int, band int, rep long, component long"
+    layout = "key long, i int, j int, own int, band int, rep long, component long, most long"
     open_rows = shared_table(dealt(laid.join(signed, "rep").select(*laid.columns, "n_shingles", "registers")).mapInArrow(_by_group(find), layout), "open-members")
-    wanted = texts_of(texts, open_rows.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-    full = open_rows.join(signed, "rep").join(wanted, "rep").select(*open_rows.columns, "n_shingles", "registers", "text")
+    full = open_rows.join(signed, "rep").join(known, "rep").select(*open_rows.columns, "n_shingles", "registers", "text")
     return shared_table(dealt(full).mapInArrow(_by_group(confirm), "a long, b long").distinct(), "unsettled-links")
 
 
