@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of 64-bit keys by bucket of their hash, and the runs (bucket, first, end) in it.
+
+    Packed by these runs, what a task sends on is a row per bucket, however many keys it has.
+    """
+    to = ((keys.astype("<i8").view("<u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.empty(0, np.int64)
+    return order, [(int(to[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(to)] if len(to) else [], strict=True)]
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column), F.lit(""))

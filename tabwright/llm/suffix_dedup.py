@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import shared_table, table, whole_text
+from tabwright.llm.common import clear_shared, dealt, shared_table, table, whole_text, written
 from tabwright.llm.shingles import mix, powers, text_slices
 from tabwright.llm.suffix_array import suffix_array
 
@@ -144,29 +144,33 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
-    """(t, fs): packed anchors of text t that another text has too."""
+    """(t, fs): per text t the packed anchors that another text has too.
+
+    What a bucket reports goes back packed by the bucket of the text, so that the rows between are as many as the blocks
+    of a shuffle, however many texts and buckets there are.
+    """
 
     def by_text(t: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(t, kind="stable")
+        order, runs = dealt(t, buckets)
         t, f = t[order], f[order]
-        cuts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.empty(0, np.int64)
-        ends = np.append(cuts[1:], len(t))
-        for k in range(0, len(cuts), 20_000):
-            lows, highs = cuts[k : k + 20_000], ends[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(t[lows], pa.int64()), pa.array([_short(f[a:b]) for a, b in zip(lows, highs, strict=True)], pa.binary())], ["t", "fs"])
+        names, hashes = [t[a:b].astype("<i8").tobytes() for _, a, b in runs], [_short(f[a:b]) for _, a, b in runs]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), pa.array(names, pa.binary()), pa.array(hashes, pa.binary())], ["to", "ts", "fs"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, ts, flags, first = [], [], [], []
+        fs, ts, flags, first, known_f, known_t = [], [], [], [], [], []
         for batch in batches:
             for bucket, known, f, idx, t, flag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(t, "<i8")[np.frombuffer(idx, "<u2")]
                 if known:
-                    yield from by_text(own, _long(f))
+                    known_f.append(_long(f))
+                    known_t.append(own)
                     continue
                 fs.append(_long(f))
                 ts.append(own)
                 flags.append(np.unpackbits(np.frombuffer(flag, np.uint8), count=len(own)).astype(bool))
                 first.append(np.full(len(own), bucket, np.int32))
+        if known_f:
+            yield from by_text(np.concatenate(known_t), np.concatenate(known_f))
         if not fs:
             return
         f, t, flag, bucket = (np.concatenate(x) for x in (fs, ts, flags, first))
@@ -178,19 +182,33 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
         keep = shared[group] & ~flag  # the flagged are known to their own batch
         yield from by_text(t[keep], f[keep])
 
-    return packed.repartition(buckets, "bucket").mapInArrow(meet, "t long, fs binary")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(np.frombuffer(t, "<i8"), _long(f)) for batch in batches for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        if not found:
+            return
+        t, f = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(t, kind="stable")
+        t, f = t[order], f[order]
+        cuts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        ends = np.append(cuts[1:], len(t))
+        for k in range(0, len(cuts), 20_000):
+            lows, highs = cuts[k : k + 20_000], ends[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(t[lows], pa.int64()), pa.array([_short(f[a:b]) for a, b in zip(lows, highs, strict=True)], pa.binary())], ["t", "fs"])
+
+    reported = packed.repartition(buckets, "bucket").mapInArrow(meet, "to long, ts binary, fs binary")
+    return reported.repartition(buckets, "to").mapInArrow(gather, "t long, fs binary")
 
 
 def contexts(rows: DataFrame, length: int) -> DataFrame:
-    """Of rows (t, doc, text, lists of shared anchors): a row (f, ctx, offset, t, doc, begin, windows) per shared anchor."""
+    """Of rows (t, doc, text, packed shared anchors): a row (f, ctx, offset, t, doc, begin, windows) per shared anchor."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["f", "ctx", "place", "t", "doc", "begin", "windows"]
         kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         out: list[list] = [[] for _ in names]
         for batch in batches:
-            for t, doc, text, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                wanted = np.unique(_long(b"".join(lists)))
+            for t, doc, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                wanted = np.unique(_long(shared))
                 f, at, begin, count = anchors(np.frombuffer(text, np.uint8), length)
                 keep = np.isin(f & SUFFIX_BITS, wanted)
                 f, at, begin, count = f[keep], at[keep], begin[keep], count[keep]
@@ -207,7 +225,7 @@ def contexts(rows: DataFrame, length: int) -> DataFrame:
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    return rows.select("t", "doc", "text", "lists").mapInArrow(cut, "f long, ctx binary, place int, t long, doc long, begin long, windows int")
+    return rows.select("t", "doc", "text", "fs").mapInArrow(cut, "f long, ctx binary, place int, t long, doc long, begin long, windows int")
 
 
 def _reach(parts: list[bytes], group: list[int], width: int) -> np.ndarray:
@@ -346,12 +364,12 @@ def covered_runs(unsettled: DataFrame, length: int, most_contexts: int) -> DataF
     large = rows.where(F.col("n") > most_contexts)
     if large.isEmpty():
         return whole
-    dealt = large.withColumn("part", F.pmod(F.xxhash64("ctx"), F.ceil(F.col("n") / most_contexts))).repartition(n, "f", "part").sortWithinPartitions("f")
-    each = shared_table(dealt.mapInArrow(windows, "f long, ctx binary, w int, digest binary, least long"), "dealt-windows")
+    parted = large.withColumn("part", F.pmod(F.xxhash64("ctx"), F.ceil(F.col("n") / most_contexts))).repartition(n, "f", "part").sortWithinPartitions("f")
+    each = shared_table(parted.mapInArrow(windows, "f long, ctx binary, w int, digest binary, least long"), "dealt-windows")
     earliest = shared_table(each.groupBy("f", "digest").agg(F.min("least").alias("earliest")), "earliest-windows")
     own = large.select("f", "ctx", "doc")
-    parted = each.join(earliest, ["f", "digest"]).join(own, ["f", "ctx"]).where("earliest < doc").select("f", "ctx", F.col("w").alias("low"), (F.col("w") + 1).alias("high"))
-    return whole.union(parted)
+    found = each.join(earliest, ["f", "digest"]).join(own, ["f", "ctx"]).where("earliest < doc").select("f", "ctx", F.col("w").alias("low"), (F.col("w") + 1).alias("high"))
+    return whole.union(found)
 
 
 def repeated_spans(docs: DataFrame, length: int, most_contexts: int) -> tuple[DataFrame, DataFrame]:
@@ -360,12 +378,13 @@ def repeated_spans(docs: DataFrame, length: int, most_contexts: int) -> tuple[Da
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long_enough = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
     texts = shared_table(docs.where("doc_id is not null").groupBy("t").agg(F.min("doc_id").alias("first")), "texts")
+    before = len(written(spark))
     lists = shared_table(shared_anchors(packed_anchors(long_enough.select("t", "text"), length, buckets), buckets), "shared-anchors")
     release_shuffles(spark)
-    wanted = lists.groupBy("t").agg(F.collect_list("fs").alias("lists")).join(texts, "t")
-    wanted = shared_table(wanted.select("t", F.col("first").alias("doc_id"), "lists"), "anchor-lists")
+    wanted = shared_table(lists.join(texts, "t").select("t", F.col("first").alias("doc_id"), "fs"), "anchor-lists")
     rows = long_enough.select("t", "doc_id", "text").join(wanted, ["t", "doc_id"]).withColumnRenamed("doc_id", "doc")
     placed = shared_table(contexts(rows, length), "contexts")
+    clear_shared(spark, written(spark)[before:-1])  # all but the contexts themselves, which are stored
     release_shuffles(spark)
     firsts = shared_table(placed.groupBy("f", "ctx", "place").agg(F.min("doc").alias("doc")), "first-contexts")
     release_shuffles(spark)
@@ -375,6 +394,8 @@ def repeated_spans(docs: DataFrame, length: int, most_contexts: int) -> tuple[Da
     key = F.xxhash64("ctx").alias("c")
     runs = runs.groupBy("f", key).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     known = shared_table(firsts.select("f", key, F.col("doc").alias("first")).join(runs, ["f", "c"], "left"), "known-contexts")
+    clear_shared(spark, written(spark)[before + 1 : -1])
+    release_shuffles(spark)
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("windows").alias("high")))
     hit = F.explode(F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("runs"))).alias("run")
     found = placed.select("f", key, "t", "doc", "begin", "windows").join(known, ["f", "c"]).where("doc > first or runs is not null").select("t", "begin", hit)
