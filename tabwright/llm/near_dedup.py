@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import map_batches, shared_table, table, whole_text
+from tabwright.llm.common import dealt, map_batches, shared_table, table, whole_text
 from tabwright.llm.components import components
 from tabwright.llm.shingles import shingle_sets
 
@@ -39,7 +39,7 @@ EMPTY = 0xFFFF
 MANTISSA = 10
 DEVIATIONS = 6.0
 BLOCK = 256
-LAYOUT = ["key", "i", "j", "own", "band", "rep", "component", "most"]
+LAYOUT = ["key", "i", "j", "own", "band", "rep", "component", "n_shingles", "most"]
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
     )
 
 
-def texts_of(texts: DataFrame, ids: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
+def texts_of(texts: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of ``texts`` (doc_id, text) whose id is in ``ids``; up to ``most_broadcast`` ids go to the scan, with more
     both sides are shuffled."""
     ids = shared_table(ids.distinct(), "text-ids")
@@ -173,8 +173,8 @@ def _by_group(work: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
 def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
     """(rep, lone): of rows (rep, text), how many of a text's shingles none of the other texts has.
 
-    Hashes meet in buckets, packed by input batch. They are cut to 48 bits: two that collide count as shared, so ``lone``
-    is never too large.
+    Hashes meet in buckets, packed by input batch, and what buckets find goes back packed by rep. Hashes are cut to 48
+    bits: two that collide count as shared, so ``lone`` is never too large.
     """
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     low_bits = np.uint64((1 << 48) - 1)
@@ -202,10 +202,20 @@ def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
         same = hashes[order][1:] == hashes[order][:-1]
         alone = ~(np.append(same, False) | np.append(False, same))
         rep, n = np.unique(reps[order][alone], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(n, pa.int64())], ["rep", "n"])
+        order, runs = dealt(rep, buckets)
+        columns = [[x[order][a:b].astype("<i8").tobytes() for _, a, b in runs] for x in (rep, n)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["to", "reps", "counts"])
 
-    counted = map_batches(texts.select("rep", "text"), pack, "bucket int, hashes binary, reps binary").repartition(buckets, "bucket").mapInArrow(count, "rep long, n long")
-    return counted.groupBy("rep").agg(F.sum("n").alias("lone"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [[np.frombuffer(x, "<i8") for x in row] for batch in batches for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        if found:
+            rep, at = np.unique(np.concatenate([r for r, _ in found]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
+            for k in range(0, len(rep), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[k : k + 50_000], pa.int64()), pa.array(n[k : k + 50_000], pa.int64())], ["rep", "lone"])
+
+    sent = map_batches(texts.select("rep", "text"), pack, "bucket int, hashes binary, reps binary").repartition(buckets, "bucket")
+    return sent.mapInArrow(count, "to long, reps binary, counts binary").repartition(buckets, "to").mapInArrow(add_up, "rep long, lone long")
 
 
 def may_have_partner(members: DataFrame, percent: int) -> DataFrame:
@@ -253,28 +263,25 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
     """Links (a, b) between classes of one bucket that are still in different components.
 
     Members that can't have a partner go first. Large buckets are cut into blocks, and a task compares two blocks. A
-    first pass finds the members that may have a link, and a second one confirms pairs on full sets. A pair is looked at in the first
-    band in which it agrees only; of confirmed pairs those that join two components of the task are emitted, so what
-    leaves a task is fewer rows than entered it.
+    first pass finds the members that may have a link, and a second one confirms pairs on full sets. A pair is looked
+    at in the first band in which it agrees only; of confirmed pairs those that join two components of the task are
+    emitted, so what leaves a task is fewer rows than entered it.
     """
-    rest = members.where("rep <> leader").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
+    rest = members.where("rep <> leader").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     rest = in_mixed_buckets(shared_table(rest, "bucket-members"))
     rest = shared_table(rest.drop("blocks"), "mixed-members")
     known = texts_of(texts, rest.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-    lone = shared_table(lone_shingles(known, words), "lone-shingles")
+    # Of an id with several texts each counts as if it shared all its shingles.
+    several = shared_table(known.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep"), "several-texts")
+    lone = shared_table(lone_shingles(known, words).join(several, "rep", "left_anti"), "lone-shingles")
     shared = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
-    sized = classes.join(lone, "rep", "left").select("rep", "n_shingles", F.floor(shared * (100 + percent) / percent - F.col("n_shingles") + 1e-6).cast("long").alias("most"))
-    rest = shared_table(may_have_partner(rest.join(shared_table(sized, "class-sizes"), "rep"), percent), "open-bucket-members")
-    laid = (
-        in_mixed_buckets(rest)
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "rep", "component", "most")
-    )
+    most = F.floor(shared * (100 + percent) / percent - F.col("n_shingles") + 1e-6).cast("long")
+    rest = rest.join(lone, "rep", "left").select("band", "key", "rep", "n_shingles", "component", most.alias("most"))
+    rest = in_mixed_buckets(shared_table(may_have_partner(shared_table(rest, "sized-members"), percent), "open-bucket-members"))
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = classes.select("rep", "n_shingles", "registers")
 
-    def dealt(rows: DataFrame) -> DataFrame:
+    def by_blocks(rows: DataFrame) -> DataFrame:
         return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def find(rows: pa.Table) -> pa.RecordBatch:
@@ -318,10 +325,16 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    layout = "key long, i int, j int, own int, band int, rep long, component long, most long"
-    open_rows = shared_table(dealt(laid.join(signed, "rep").select(*laid.columns, "n_shingles", "registers")).mapInArrow(_by_group(find), layout), "open-members")
-    full = open_rows.join(signed, "rep").join(known, "rep").select(*open_rows.columns, "n_shingles", "registers", "text")
-    return shared_table(dealt(full).mapInArrow(_by_group(confirm), "a long, b long").distinct(), "unsettled-links")
+    layout = "key long, i int, j int, own int, band int, rep long, component long, n_shingles long, most long"
+    laid = (
+        rest.join(signed, ["rep", "n_shingles"])
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "rep", "component", "n_shingles", "most", "registers")
+    )
+    open_rows = shared_table(by_blocks(laid).mapInArrow(_by_group(find), layout), "open-members")
+    full = open_rows.join(signed, ["rep", "n_shingles"]).join(known, "rep").select(*open_rows.columns, "registers", "text")
+    return shared_table(by_blocks(full).mapInArrow(_by_group(confirm), "a long, b long").distinct(), "unsettled-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
@@ -339,7 +352,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # The smallest set leads: with a passage that many share, it is the likeliest to be similar to any of them.
     least = F.min(F.struct("n_shingles", "rep")).alias("least")
     buckets = shared_table(bands.groupBy("key").agg(least, F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", F.col("least.rep").alias("leader")), "buckets")
-    members = shared_table(bands.drop("n_shingles").join(buckets, "key"), "members")
+    members = shared_table(bands.join(buckets, "key"), "members")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
     first = confirmed(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), classes, texts, words, percent)
     # Rows that repeat an id with different texts join their classes.

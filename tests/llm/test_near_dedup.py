@@ -43,8 +43,8 @@ def test_awkward(awkward, awkward_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
     kept = keep_one_each(awkward_docs)
     assert kept.columns == awkward_docs.columns
-    # Each group's smallest id once (22 is a repeated row), rows without id, and what is linked with nothing.
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-1, 2, 6, 7, 8, 10, 20, 21, 22, 30, 31, 40]
+    # Each group's smallest id once, rows without id, and what is linked with nothing; 50 has the texts of 5 and of 22.
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-1, 2, 6, 7, 8, 10, 20, 21, 30, 31, 40]
 
 
 def test_query(spark, sf_dir):
@@ -66,6 +66,32 @@ def test_families(spark, monkeypatch):
     assert found(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_far_copies(spark, monkeypatch):
+    """Copies of one text with so many words changed that most have no partner, in several lengths."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = []
+    for k in range(160):
+        words = list(base[: rng.choice([140, 145, 150])])
+        for at in rng.sample(range(len(words)), rng.choice([1, 2, 3, 4, 5])):
+            words[at] = rng.choice([f"own{k}x{at}", f"twin{k // 2}x{at}", "same"])
+        rows.append((k, " ".join(words)))
+    rows += [(-5, rows[3][1] + " more"), (-5, rows[7][1] + " other"), (-5, rows[8][1].replace("w", "v")), (170, rows[8][1].replace("w", "v") + " end")]
+    assert found(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_lone_shingles(spark):
+    rows = [(1, b"a b c d e f"), (2, b"b c d e f g"), (3, b"q r"), (4, b""), (5, b"x y z x y z x y z")]
+    assert {r.rep: r.lone for r in near_dedup.lone_shingles(spark.createDataFrame(rows, "rep long, text binary").repartition(3), 5).collect()} == {1: 1, 2: 1, 3: 1, 5: 3}
+
+
+def test_may_have_partner(spark):
+    rows = [(1, 1, 100, 100), (1, 2, 100, 95), (1, 3, 97, 90), (2, 4, 100, 90), (2, 5, 90, 100), (2, 6, 50, 200), (3, 7, 100, 99)]
+    df = spark.createDataFrame(rows, "key long, rep long, n_shingles long, most long")
+    assert {r.rep for r in near_dedup.may_have_partner(df, 85).collect()} == {1, 4, 5, 6}  # 6 could have one of its own size
+
+
 def test_estimate():
     rng = np.random.default_rng(1)
     for share in (0.0, 0.5, 0.85, 0.95):
