@@ -80,8 +80,12 @@ class ToxicityModel:
         return {f.rstrip(" ")[:HEAD] for f in self.weights}
 
 
-def fit_noisy_or(bags: list[tuple[int, int, list[list[int]]]], n_features: int, steps: int = 400, penalty: float = 0.02) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and leak from bags (label, sentences without features, feature lists of the others), by Adam."""
+def fit_noisy_or(bags: list[tuple[int, int, list[list[int]]]], n_features: int, steps: int = 400, decay: float = 0.002) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak from bags (label, sentences without features, feature lists of the others).
+
+    Adam with decoupled decay of the weights: a feature that others make unneeded in training keeps part of its first
+    weight, where a penalty in the gradient, scaled up by Adam, would take it to nothing.
+    """
     label = np.array([b[0] for b in bags], float)
     plain = np.array([b[1] for b in bags], float)
     bag = np.array([k for k, b in enumerate(bags) for _ in b[2]], np.int64)
@@ -101,9 +105,10 @@ def fit_noisy_or(bags: list[tuple[int, int, list[list[int]]]], n_features: int,
         # The loss per bag is s if clean and -log(1 - exp(-s)) if toxic.
         pull = np.where(label > 0, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-9), 1.0)
         dz = pull[bag] * logistic(z)
-        grad = np.concatenate([np.bincount(col, dz[row], n_features) + penalty * w, [dz.sum() + (pull * plain).sum() * logistic(bias)], [pull.sum() * logistic(leak)]])
+        grad = np.concatenate([np.bincount(col, dz[row], n_features), [dz.sum() + (pull * plain).sum() * logistic(bias)], [pull.sum() * logistic(leak)]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+        theta[:n_features] *= 1 - decay
     return theta[:n_features], float(theta[-2]), float(logistic(theta[-1]))
 
 
