@@ -5,10 +5,11 @@ is one window). A window's tokens are its shingles of ``shingle`` words. Tokens
 stand in the corpus, counted over all documents; since a window must be contained whole, its necessary prefix is its
 one rarest token. Documents meet items on these prefix tokens only; the token's place in the window gives where the
 window would begin, places that don't fit between the document's ends are dropped, and the words from there are
-compared with the window's.
+compared with the window's, in place on the row that holds the document's words.
 
-Tokens of the items are broadcast if at most ``broadcast_rows`` of them exist (a row is 30 bytes or so); beyond that
-the same joins are left to Spark's shuffles.
+Documents are cut into tokens once: the places of item tokens are written, and give the counts as well as the places of
+prefix tokens. Tokens of the items, and the keys of documents with candidates, are broadcast if there are at most
+``broadcast_rows`` of them (a row is 30 bytes or so); beyond that the same joins are left to Spark's shuffles.
 
 Defined results: null texts have no words; items without words are never found; null item ids are left out of lists
 and counts but their windows still hit; items and documents that repeat count once per id, respectively per row
@@ -91,31 +92,39 @@ def contamination(
         tokens = tokens.union(part)
     tokens = shared_table(tokens, "item-tokens")
     vocabulary = tokens.select("token").distinct()
-    counts = tokens_of(cut, "words", lengths, []).join(small(vocabulary), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    found = tokens_of(cut, "words", lengths, ["doc_id", "row_key", "n_words"]).join(small(vocabulary), "token")
+    found = shared_table(found.select("doc_id", "row_key", "n_words", "place", "token"), "token-places")
+    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # The rarest token of a window; one that no document has rules the window out.
     ranked = tokens.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     prefix = ranked.groupBy("window_key", "win").agg(F.min(F.struct("n", "token", "offset")).alias("least")).where("least.n > 0")
     prefix = shared_table(prefix.select("window_key", "win", F.col("least.token").alias("token"), F.col("least.offset").alias("offset"), F.size("win").alias("length")), "prefix-tokens")
-    begin = F.col("place") - F.col("offset")
-    hits = (
-        tokens_of(cut, "words", lengths, ["doc_id", "row_key", "n_words", "words"])
-        .join(small(prefix), "token")
+    begin, key = F.col("place") - F.col("offset"), ["doc_id", "row_key"]
+    candidates = (
+        found.join(small(prefix), "token")
         .where((begin >= 0) & (begin + F.col("length") <= F.col("n_words")))
-        .where(F.slice("words", begin + 1, F.col("length")) == F.col("win"))
-        .select("doc_id", "row_key", begin.alias("begin"), (begin + F.col("length")).alias("end"), "window_key", "win")
+        .groupBy(*key)
+        .agg(F.collect_set(F.struct(begin.alias("begin"), (begin + F.col("length")).alias("end"), "window_key", "win")).alias("candidates"))
     )
-    found = shared_table(hits.distinct(), "hits")
-    key = ["doc_id", "row_key"]
+    candidates = shared_table(candidates, "candidates")
+    keys = candidates.select("row_key").distinct()
+    keys = F.broadcast(keys) if candidates.count() <= broadcast_rows else keys
+    words = cut.join(keys, "row_key", "left_semi").dropDuplicates(key).alias("w")
+    on = (F.col("w.row_key") == F.col("c.row_key")) & F.col("w.doc_id").eqNullSafe(F.col("c.doc_id"))
+    there = F.filter("candidates", lambda c: F.slice("words", c["begin"] + 1, c["end"] - c["begin"]) == c["win"])
+    hits = words.join(candidates.alias("c"), on).select("w.doc_id", "w.row_key", there.alias("hits")).where("size(hits) > 0")
+    hits = shared_table(hits, "hits")
     # Words in the union of a row's hit spans: each span adds what reaches beyond those before it.
     covered = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("begin", "end"))),
+        F.array_sort(F.transform("hits", lambda h: F.struct(h["begin"].alias("begin"), h["end"].alias("end")))),
         F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")),
         lambda acc, x: F.struct(F.greatest(acc["upto"], x["end"]).alias("upto"), (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["upto"], x["begin"]))).alias("n")),
         lambda acc: acc["n"].cast("long"),
     )
-    spans = found.groupBy(*key).agg(covered.alias("n_hit"))
+    spans = hits.select(*key, covered.alias("n_hit"))
     named = (
-        found.select(*key, "window_key", "win").distinct()
+        hits.select(*key, F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["window_key"].alias("window_key"), h["win"].alias("win"))))).alias("h"))
+        .select(*key, "h.window_key", "h.win")
         .join(small(windows.select("window_key", "win", "item_ids")), ["window_key", "win"])
         .select(*key, F.explode("item_ids").alias("item"))
         .groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
