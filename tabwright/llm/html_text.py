@@ -1,9 +1,9 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped to lines, one per block. Elements that hold no article text (menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) leave blank lines behind. Text lengths, without link text,
-are summed over a sliding window of lines: where the sum leaves zero text surges, where it returns to zero it dives,
-and the lines between are a region. The region of the greatest sum is the main text, along with those that reach
+notices, adverts, forms, scripts, styles, reader comments) leave blank lines behind: one, or where they part a page, a
+window of them. Text lengths, without link text, are summed over a sliding window of lines: where the sum leaves zero
+text surges, where it returns to zero it dives, and the lines between are a region. The region of the greatest sum is the main text, along with those that reach
 ``KEEP_SHARE`` of it; lines inside ``article`` or ``main`` count tenfold.
 
 Nothing else is dropped or cut: short lines within a region stay. Character references are decoded once, white space
@@ -43,6 +43,8 @@ CONTAINERS = BLOCKS - {"br", "hr", "html", "body", "head"} | {"span", "a", "b",
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = {"nav", "aside", "footer", "form", "button", "menu", "dialog", "search", "fieldset", "head"}
 ARTICLE = {"article", "main"}
+#: Of the dropped elements those that part a page's regions; others may stand between paragraphs of one text.
+PAGE_PARTS = {"nav", "header", "footer", "menu", "head"}
 #: Fixed list of words in class, id or role that mark what isn't article text.
 MARKS = set(
     "nav navbar navigation menu menubar topbar header masthead footer bottombar sidebar aside complementary contentinfo widget ad ads adv advert advertisement adverts banner "
@@ -79,7 +81,7 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     linked, in_link, inside, dropping = 0, 0, 0, 0
-    open_elements: list[tuple[str, bool]] = []  # name, whether it began the dropping
+    open_elements: list[tuple[str, int]] = []  # name, and if it began the dropping, how many blank lines it leaves
     n_open: Counter[str] = Counter()
 
     def end_line() -> None:
@@ -98,12 +100,11 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
     def close(k: int) -> None:
         """Close the elements from the k-th on."""
         nonlocal in_link, inside, dropping
-        for name, began in reversed(open_elements[k:]):
+        for name, blank in reversed(open_elements[k:]):
             n_open[name] -= 1
-            if began:
+            if blank:
                 dropping -= 1
-                if not dropping:
-                    gap(1 if inside else WINDOW)
+                gap(blank)
             if not dropping:
                 if name == "a":
                     in_link = max(0, in_link - 1)
@@ -137,7 +138,7 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
         drop = not dropping and (name in DROPPED or name == "header" and not inside or (name not in ARTICLE or inside > 0) and is_marked(m[4], by_name) and not (name == "header" and inside))
         if drop and not block:
             end_line()
-        open_elements.append((name, drop))
+        open_elements.append((name, (WINDOW if name in PAGE_PARTS and not inside else 1) if drop else 0))
         n_open[name] += 1
         dropping += drop
         if not dropping:

@@ -20,6 +20,7 @@ CASES = {
     "title in a marked block": ("<article><div class='post-header'><h1>Title</h1></div><p>text</p><div class='post-share'>share me</div></article>", "Title\ntext"),
     "no article element": (f"<div class=menu><a>x</a></div><div><p>{SENTENCE}</p><p>So.</p><p>{SENTENCE}</p></div><div class='site-footer'>{SENTENCE}</div>", f"{SENTENCE.strip()}\nSo.\n{SENTENCE.strip()}"),
     "a marked wrapper around all": (f"<body><div class='has-sidebar'><p>{SENTENCE}</p></div></body>", SENTENCE.strip()),
+    "advert between paragraphs": (f"<nav>x</nav><div id='content'><p>{SENTENCE * 3}</p><div class='ad'>buy</div><p>So it ends.</p></div><footer>me</footer>", SENTENCE.strip() + (" " + SENTENCE.strip()) * 2 + "\nSo it ends."),
     "form": ("<article><p>before</p><form><p>name</p><input></form><p>after</p></article>", "before\nafter"),
     "list and table": ("<main><p>p</p><ul><li>one</li><li>two</li></ul><table><tr><td>c1<td>c2</table></main>", "p\none\ntwo\nc1\nc2"),
     "inline links": ("<article><p>see <a href=x>the <i>page</i></a> now</p></article>", "see the page now"),
