@@ -37,6 +37,9 @@ def java_pattern(pattern: str) -> str:
 
 
 def _data(column: Column, kind: T.DataType) -> Column:
+    """The offending value as text; lists of plain values are joined, other nested values are JSON."""
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.array_join(column.cast("array<string>"), "; ", "NA")
     return F.to_json(column) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else column.cast("string")
 
 

@@ -54,6 +54,11 @@ def test_overlaps(df):
     assert [x[:3] for x in found(df, {"id": "i", "nullable": True, "values": ["1"]}) if x[0] == 1] == [(1, "i", "enum"), (1, "i", "type")]
 
 
+def test_nested_values(spark):
+    df = spark.createDataFrame([(1, ["a", None, "b"], [[1], []], {"x": 1}), (2, None, None, None)], "k int, l array<string>, n array<array<int>>, m map<string,int>")
+    assert [x[3] for x in found(df, {"id": "l", "nullable": True}, {"id": "m", "nullable": True}, {"id": "n", "nullable": True})] == ["a; NA; b", '{"x":1}', "[[1],[]]"]
+
+
 def test_required_and_summary(df):
     result = validate(df, SpecCollection.from_dicts([{"id": "s"}, {"id": "gone"}]), "k")
     assert result.errors.where("keyword = 'required'").count() == 5
