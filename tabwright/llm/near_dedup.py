@@ -8,7 +8,8 @@ threshold (by six standard deviations) are let go. The others are confirmed on t
 Groups of any size are worked off without making all their pairs. Texts with equal shingle sets are one class. In
 each band's bucket the classes are first confirmed against the one with the smallest set; only members that are then
 in different components are looked at further. Shingles that only one of them has bound what it can share with any
-other, which settles most near copies of one text that are too far from each other (``may_have_partner``). What is
+other, which settles most near copies of one text that are too far from each other (``may_have_partner``); the others
+are confirmed against the one with the most room for partners, as long as that joins many (``star_links``). What is then
 left of a bucket is compared block by block inside tasks, and no more links leave a task than join components.
 
 With 40 bands of 6 registers a pair at the threshold of 0.85 is missed with a probability below 1e-8, one above it
@@ -21,6 +22,7 @@ empty table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -39,6 +41,7 @@ EMPTY = 0xFFFF
 MANTISSA = 10
 DEVIATIONS = 6.0
 BLOCK = 256
+STARS = 3
 LAYOUT = ["key", "i", "j", "own", "band", "rep", "component", "n_shingles", "most"]
 
 
@@ -259,10 +262,25 @@ def in_mixed_buckets(rest: DataFrame) -> DataFrame:
     return rest.join(shared_table(sums.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets"), "key")
 
 
+def star_links(rest: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of each bucket's members with the one that has the most room for partners, and ``rest`` with the components
+    that they make. Of copies of one text that is one with few changes, which is similar to most of those that are
+    similar to any; the pairs are as many as the members."""
+    room = F.struct((F.col("n_shingles") - F.col("most")).alias("lack"), "rep", "n_shingles", "most", "component")
+    lead = shared_table(rest.groupBy("key").agg(F.min(room).alias("lead")), "star-leaders")
+    fits = (F.col("component") != F.col("lead.component")) & (F.col("n_shingles") <= F.col("lead.most")) & (F.col("lead.n_shingles") <= F.col("most"))
+    pairs = rest.join(lead, "key").where(fits).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.component").alias("ca"), F.col("component").alias("cb"))
+    pairs = shared_table(pairs.distinct(), "star-pairs")
+    links = confirmed(pairs.select("a", "b").distinct(), classes, texts, words, percent)
+    joined = components(pairs.join(links, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joined = shared_table(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "star-components")
+    return links, rest.join(joined, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
+
+
 def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of one bucket that are still in different components.
 
-    Members that can't have a partner go first. Large buckets are cut into blocks, and a task compares two blocks. A
+    Members that can't have a partner go first, then those that a bucket's most central member links. Large buckets are cut into blocks, and a task compares two blocks. A
     first pass finds the members that may have a link, and a second one confirms pairs on full sets. A pair is looked
     at in the first band in which it agrees only; of confirmed pairs those that join two components of the task are
     emitted, so what leaves a task is fewer rows than entered it.
@@ -277,7 +295,16 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
     shared = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
     most = F.floor(shared * (100 + percent) / percent - F.col("n_shingles") + 1e-6).cast("long")
     rest = rest.join(lone, "rep", "left").select("band", "key", "rep", "n_shingles", "component", most.alias("most"))
-    rest = in_mixed_buckets(shared_table(may_have_partner(shared_table(rest, "sized-members"), percent), "open-bucket-members"))
+    rest = shared_table(may_have_partner(shared_table(rest, "sized-members"), percent), "open-bucket-members")
+    stars, n_open = [], rest.count()
+    for _ in range(STARS):
+        links, rest = star_links(rest, classes, known.withColumnRenamed("rep", "doc_id"), words, percent)
+        stars.append(links)
+        rest = shared_table(in_mixed_buckets(shared_table(rest, "star-members")).drop("blocks"), "open-bucket-members")
+        before, n_open = n_open, rest.count()
+        if n_open > 0.8 * before:
+            break
+    rest = in_mixed_buckets(rest)
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = classes.select("rep", "n_shingles", "registers")
 
@@ -334,7 +361,8 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
     )
     open_rows = shared_table(by_blocks(laid).mapInArrow(_by_group(find), layout), "open-members")
     full = open_rows.join(signed, ["rep", "n_shingles"]).join(known, "rep").select(*open_rows.columns, "registers", "text")
-    return shared_table(by_blocks(full).mapInArrow(_by_group(confirm), "a long, b long").distinct(), "unsettled-links")
+    found = shared_table(by_blocks(full).mapInArrow(_by_group(confirm), "a long, b long").distinct(), "unsettled-links")
+    return functools.reduce(DataFrame.union, stars, found)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
