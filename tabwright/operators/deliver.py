@@ -1,6 +1,6 @@
 """Delivery: a sorted delimited file with its checksum.
 
-Spark sorts and writes parts in parallel; their bytes are then appended to one file through the cluster's file system,
+Spark sorts, counts and writes parts in parallel, in one pass; their bytes are then appended to one file through the cluster's file system,
 where the checksum is taken too. A gzip file is the concatenation of the parts' gzip members.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,8 +92,9 @@ def write_table(
     parts = f"{path}.parts-{uuid.uuid4().hex}"
     codec = {"compression": "gzip" if compression == "gzip" else "none"}
     spark.createDataFrame([(header(df, sep, quote),)], "line string").coalesce(1).write.options(**codec).text(f"{parts}/0")
-    n_rows = df.count()
-    lines(sorted_rows(df, arrange_by, descending), sep, na, quote).write.options(**codec).text(f"{parts}/1")
+    counted = Observation("delivered")  # above the sort, whose sampling reads its input an extra time
+    rows = sorted_rows(df, arrange_by, descending).observe(counted, F.count(F.lit(1)).alias("n"))
+    lines(rows, sep, na, quote).write.options(**codec).text(f"{parts}/1")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = files.create(target, True)
     try:
@@ -106,7 +107,7 @@ def write_table(
     finally:
         out.close()
         files.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
-    done = Delivered(path, md5_of(spark, path) if md5sum or sidecar else None, n_rows, len(df.columns))
+    done = Delivered(path, md5_of(spark, path) if md5sum or sidecar else None, counted.get["n"], len(df.columns))
     if sidecar:
         write_metadata(spark, done)
     return done
