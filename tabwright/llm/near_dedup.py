@@ -13,7 +13,7 @@ are confirmed against the one with the most room for partners, as long as that j
 left of a bucket is compared block by block inside tasks, and no more links leave a task than join components.
 
 With 40 bands of 6 registers a pair at the threshold of 0.85 is missed with a probability below 1e-8, one above it
-with less.
+with less. Full sets hold 64-bit hashes of shingles.
 
 Defined results: null text counts as empty; a text without words has no shingles and is linked with nothing; rows
 that repeat an id are one document with all their texts; a row with a null id has a null component and is kept. An
