@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -55,16 +56,28 @@ def clear_shared(spark: SparkSession, folders: list[str]) -> None:
         written(spark).remove(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow``, after which a worker gives its freed memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from fn(batch)
+        yield from fn(batches)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``map_partitions`` with a function of one batch."""
+    return map_partitions(df, lambda batches: (out for batch in batches for out in fn(batch)), schema)
+
+
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system; idle workers would keep it from later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of 64-bit keys by bucket of their hash, and the runs (bucket, first, end) in it.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import dealt, map_batches, shared_table, table, whole_text
+from tabwright.llm.common import dealt, map_batches, map_partitions, shared_table, table, whole_text
 from tabwright.llm.components import components
 from tabwright.llm.shingles import shingle_sets
 
@@ -218,7 +218,8 @@ def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rep[k : k + 50_000], pa.int64()), pa.array(n[k : k + 50_000], pa.int64())], ["rep", "lone"])
 
     sent = map_batches(texts.select("rep", "text"), pack, "bucket int, hashes binary, reps binary").repartition(buckets, "bucket")
-    return sent.mapInArrow(count, "to long, reps binary, counts binary").repartition(buckets, "to").mapInArrow(add_up, "rep long, lone long")
+    counted = map_partitions(sent, count, "to long, reps binary, counts binary")
+    return map_partitions(counted.repartition(buckets, "to"), add_up, "rep long, lone long")
 
 
 def may_have_partner(members: DataFrame, percent: int) -> DataFrame:
@@ -359,9 +360,9 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "rep", "component", "n_shingles", "most", "registers")
     )
-    open_rows = shared_table(by_blocks(laid).mapInArrow(_by_group(find), layout), "open-members")
+    open_rows = shared_table(map_partitions(by_blocks(laid), _by_group(find), layout), "open-members")
     full = open_rows.join(signed, ["rep", "n_shingles"]).join(known, "rep").select(*open_rows.columns, "registers", "text")
-    found = shared_table(by_blocks(full).mapInArrow(_by_group(confirm), "a long, b long").distinct(), "unsettled-links")
+    found = shared_table(map_partitions(by_blocks(full), _by_group(confirm), "a long, b long").distinct(), "unsettled-links")
     return functools.reduce(DataFrame.union, stars, found)
 
 
