@@ -380,10 +380,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = band_rows(classes)
     # The smallest set leads: with a passage that many share, it is the likeliest to be similar to any of them.
     least = F.min(F.struct("n_shingles", "rep")).alias("least")
-    buckets = shared_table(bands.groupBy("key").agg(least, F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", F.col("least.rep").alias("leader")), "buckets")
+    buckets = shared_table(bands.groupBy("key").agg(least, F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", F.col("least.rep").alias("leader"), F.col("least.n_shingles").alias("leader_n")), "buckets")
     members = shared_table(bands.join(buckets, "key"), "members")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).cast("binary").alias("text"))
-    first = confirmed(members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), classes, texts, words, percent)
+    fits = (100 * F.col("n_shingles") >= percent * F.col("leader_n")) & (100 * F.col("leader_n") >= percent * F.col("n_shingles"))
+    first = confirmed(members.where("rep <> leader").where(fits).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), classes, texts, words, percent)
     # Rows that repeat an id with different texts join their classes.
     owned = usable.select("doc_id", "set_key").distinct().join(reps, "set_key").select("doc_id", "rep")
     least = shared_table(owned.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b < hi").drop("hi"), "repeated-ids")
