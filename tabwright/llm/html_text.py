@@ -2,9 +2,10 @@
 
 Markup is stripped to lines, one per block. Elements that hold no article text (menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) leave blank lines behind: one, or where they part a page, a
-window of them. Text lengths, without link text, are summed over a sliding window of lines: where the sum leaves zero
+window of them; inside ``article`` or ``main`` none, so that these are parted from the rest only where the outermost
+begins and ends. Text lengths, without link text, are summed over a sliding window of lines: where the sum leaves zero
 text surges, where it returns to zero it dives, and the lines between are a region. The region of the greatest sum is the main text, along with those that reach
-``KEEP_SHARE`` of it; lines inside ``article`` or ``main`` count tenfold.
+``KEEP_SHARE`` of it and all that lie inside ``article`` or ``main``, whose lines count tenfold.
 
 Nothing else is dropped or cut: short lines within a region stay. Character references are decoded once, white space
 inside a block becomes one blank, blocks are joined by a line feed; ``br`` ends a block. Should names in class, id or
@@ -76,9 +77,9 @@ def is_marked(attributes: str, by_name: bool = True) -> bool:
     return bool(HIDDEN.search(attributes))
 
 
-def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
-    """Lines of text with their weight; blank lines stand where elements were dropped and around articles."""
-    lines: list[tuple[str, int]] = []
+def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
+    """Lines of text with their weight, and whether inside an article; blank lines stand where elements were dropped and around articles."""
+    lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked, in_link, inside, dropping = 0, 0, 0, 0
     open_elements: list[tuple[str, int]] = []  # name, and if it began the dropping, how many blank lines it leaves
@@ -90,12 +91,13 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 weight = max(0, len(text) - linked)
-                lines.append((text, INSIDE_FACTOR * max(1, weight) if inside else weight))
+                lines.append((text, INSIDE_FACTOR * max(1, weight) if inside else weight, inside > 0))
             parts.clear()
         linked = 0
 
     def gap(n: int) -> None:
-        lines.extend([("", 0)] * n)
+        if not inside:
+            lines.extend([("", 0, False)] * n)
 
     def close(k: int) -> None:
         """Close the elements from the k-th on."""
@@ -105,7 +107,7 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int]]:
             if blank:
                 dropping -= 1
                 gap(blank)
-            if not dropping:
+            elif not dropping:
                 if name == "a":
                     in_link = max(0, in_link - 1)
                 elif name in ARTICLE:
@@ -176,13 +178,13 @@ def main_text(page: str | None) -> str:
     return text_of(page_lines(page or "")) or text_of(page_lines(page or "", by_name=False))
 
 
-def text_of(lines: list[tuple[str, int]]) -> str:
+def text_of(lines: list[tuple[str, int, bool]]) -> str:
     """The lines of the regions that hold the main text."""
-    blank, weights = [not t for t, _ in lines], [w for _, w in lines]
+    blank, weights, inside = ([not t for t, _, _ in lines], *([x[k] for x in lines] for k in (1, 2)))
     found = regions(weights, blank)
     sums = [sum(weights[a:b]) for a, b in found]
     least = KEEP_SHARE * max(sums, default=0)
-    return "\n".join(t for (a, b), s in zip(found, sums, strict=True) if s >= least and s > 0 for t, _ in lines[a:b] if t)
+    return "\n".join(t for (a, b), s in zip(found, sums, strict=True) if s > 0 and (s >= least or any(inside[a:b])) for t, _, _ in lines[a:b] if t)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

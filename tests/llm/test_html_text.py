@@ -74,3 +74,18 @@ def test_regions():
     assert regions([5, 5, 0, 5], [False, False, True, False], 2) == [(0, 4)]
     assert regions([5, 0, 0, 5], [False, True, True, False], 2) == [(0, 1), (3, 4)]
     assert regions([], [], 3) == []
+
+
+INSIDE = {
+    "heading and note around a nested article": (f"<main><h1>Title</h1><article><p>{SENTENCE * 9}</p></article><p>closing note</p></main>", ["Title", SENTENCE * 9, "closing note"]),
+    "two articles": (f"<article><p>{SENTENCE * 20}</p></article><article><p>short one</p></article>", [SENTENCE * 20, "short one"]),
+    "an article in another": (f"<article><p>{SENTENCE * 20}</p><article><p>inner</p></article><p>end</p></article>", [SENTENCE * 20, "inner", "end"]),
+    "dropped elements in a row": (f"<article><p>{SENTENCE * 20}</p><div class='ad'>buy</div><aside>x</aside><form>y</form><nav>z</nav><p>The end.</p></article>", [SENTENCE * 20, "The end."]),
+    "a dropped article in another": (f"<article><p>{SENTENCE * 20}</p><article class='comment'>no</article><p>The end.</p></article><p>{SENTENCE}</p>", [SENTENCE * 20, "The end."]),
+}
+
+
+@pytest.mark.parametrize("name", INSIDE)
+def test_all_of_an_article_stays(name):
+    page, want = INSIDE[name]
+    assert main_text(page).split("\n") == [x.strip() for x in want]
