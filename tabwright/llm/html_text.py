@@ -8,8 +8,13 @@ text surges, where it returns to zero it dives, and the lines between are a regi
 ``KEEP_SHARE`` of it and all that lie inside ``article`` or ``main``, whose lines count tenfold.
 
 Nothing else is dropped or cut: short lines within a region stay. Character references are decoded once, white space
-inside a block becomes one blank, blocks are joined by a line feed; ``br`` ends a block. Should names in class, id or
-role leave no text at all (a wrapper around the whole page may say "sidebar"), the page is read again without them.
+inside a block becomes one blank, blocks are joined by a line feed; ``br`` ends a block.
+
+A wrapper around the main text may say "sidebar" too, or be a form. So if a reading finds no article, its greatest sum
+is compared with what each dropped element holds: elements whose ``article`` or ``main`` weigh more, or, being dropped
+by their name, most of the page's text, are gone into, and the page is read again, up to ``READINGS`` times. Reader
+comments, adverts, notices and links to other articles aren't gone into unless their names say "has", "no" or "with",
+or name an article as well, or they hold a ``main``. Should no text be left at all, the page is read without names.
 
 Defined results: null or empty html, and pages without text, give an empty text; unclosed elements, comments and
 quotes end with the page; tag soup and plain text are read as far as they go, in time proportional to their length.
@@ -33,6 +38,7 @@ from tabwright.llm.common import map_batches, table
 WINDOW = 3
 KEEP_SHARE = 0.3
 INSIDE_FACTOR = 10
+READINGS = 8
 
 #: Fixed lists of element names.
 RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|audio|video|select"
@@ -57,29 +63,71 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^'\">]*+(?:\"[^\"]*+\"[^'\">]*+|'[^']*+'[^'\">]*+)*+|[^>]*+)>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Fixed list of words beside which "header" names the head of an article, not of the page.
 OF_ARTICLE = {"article", "post", "entry", "story", "content", "main"}
+#: Marks of what isn't the main text however much of it there is, and words that say that such a mark is about a wrapper's parts.
+NEVER_MAIN = set(
+    "comment comments disqus reply replies respond discussion ad ads adv advert advertisement adverts sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "popup modal overlay related recommended recommendations".split()
+)
+ABOUT_PARTS = {"has", "with", "no", "without", "open", "closed", "enabled", "disabled"}
 BROKEN_TAG = re.compile(r"<(?=[a-zA-Z/!?])")
 
 
-def is_marked(attributes: str, by_name: bool = True) -> bool:
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def names_of(attributes: dict[str, str]) -> list[set[str]]:
+    """The lower-case words of each name in class, id and role."""
+    return [{p.lower() for p in PART.findall(name)} for key in ("class", "id", "role") for name in attributes.get(key, "").split()]
+
+
+def marks_of(words: set[str]) -> set[str]:
+    """Words of a name that say that the element isn't article text."""
+    return words & MARKS - ({"header"} if words & OF_ARTICLE else set())
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(attributes.get("style", "")))
+
+
+def is_marked(attributes: dict[str, str], by_name: bool = True) -> bool:
     """Whether class, id or role (``by_name``), or being hidden, say that the element isn't article text."""
-    if not attributes or attributes.isspace():
+    return bool(attributes) and (by_name and any(marks_of(words) for words in names_of(attributes)) or is_hidden(attributes))
+
+
+def never_main(names: list[set[str]]) -> bool:
+    """Whether an element of these names isn't the main text however much it holds."""
+    if not any(marks_of(words) & NEVER_MAIN and not words & ABOUT_PARTS for words in names):
         return False
-    for m in ATTRIBUTE.finditer(attributes) if by_name else ():
-        for name in (m[2] or m[3] or m[4] or "").split():
-            parts = {p.lower() for p in PART.findall(name)}
-            if parts & MARKS - ({"header"} if parts & OF_ARTICLE else set()):
-                return True
-    return bool(HIDDEN.search(attributes))
+    return not any(words & OF_ARTICLE and not marks_of(words) for words in names)
+
+
+class Dropped:
+    """An element that a reading dropped: where it starts, and the text that it holds."""
+
+    def __init__(self, start: int, name: str, attributes: dict[str, str]) -> None:
+        names = names_of(attributes)
+        self.start, self.hidden, self.by_name = start, is_hidden(attributes), name not in DROPPED and name != "header"
+        self.never, self.chars, self.in_article, self.has_main = never_main(names), 0, 0, False
 
 
-def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
-    """Lines of text with their weight, and whether inside an article; blank lines stand where elements were dropped and around articles."""
+def page_lines(page: str, by_name: bool = True, entered: set[int] | frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool]], list[Dropped]]:
+    """Lines of text with their weight, and whether inside an article, and the elements dropped outside articles.
+
+    Blank lines stand where elements were dropped and around articles. Elements that start at ``entered`` aren't dropped.
+    """
     lines: list[tuple[str, int, bool]] = []
+    lost: list[Dropped] = []
+    articles, links = 0, 0  # open ones within what is dropped
     parts: list[str] = []
     linked, in_link, inside, dropping = 0, 0, 0, 0
     open_elements: list[tuple[str, int]] = []  # name, and if it began the dropping, how many blank lines it leaves
@@ -95,18 +143,28 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
             parts.clear()
         linked = 0
 
+    def held(text: str) -> None:
+        """Count text of the element that is being dropped."""
+        n = len(text.strip())
+        lost[-1].chars += n
+        lost[-1].in_article += n if articles else 0
+
     def gap(n: int) -> None:
         if not inside:
             lines.extend([("", 0, False)] * n)
 
     def close(k: int) -> None:
         """Close the elements from the k-th on."""
-        nonlocal in_link, inside, dropping
+        nonlocal in_link, inside, dropping, articles, links
         for name, blank in reversed(open_elements[k:]):
             n_open[name] -= 1
             if blank:
                 dropping -= 1
+                articles = links = 0
                 gap(blank)
+            elif dropping:
+                articles -= name in ARTICLE
+                links -= name == "a"
             elif not dropping:
                 if name == "a":
                     in_link = max(0, in_link - 1)
@@ -118,10 +176,13 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
 
     at, m, ends = 0, None, page.rfind(">") + 1  # beyond the last bracket no tag ends
     for m in TOKEN.finditer(page, 0, ends):
-        if m.start() > at and not dropping:
-            parts.append(page[at : m.start()])
-            if in_link:
-                linked += m.start() - at
+        if m.start() > at:
+            if not dropping:
+                parts.append(page[at : m.start()])
+                if in_link:
+                    linked += m.start() - at
+            elif not inside and not links:
+                held(page[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -137,12 +198,23 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
             close(len(open_elements) - 1)  # a block ends an open paragraph
         if name in VOID or name not in CONTAINERS and name != "head" or m[4].endswith("/"):
             continue
-        drop = not dropping and (name in DROPPED or name == "header" and not inside or (name not in ARTICLE or inside > 0) and is_marked(m[4], by_name) and not (name == "header" and inside))
+        drop = False
+        if not dropping and m.start() not in entered:
+            attributes = {} if not m[4] or m[4].isspace() else attributes_of(m[4])
+            header = name == "header" and not inside
+            drop = name in DROPPED or header or name != "header" and (name not in ARTICLE or inside > 0) and is_marked(attributes, by_name)
+            if drop and not inside:
+                lost.append(Dropped(m.start(), name, attributes))
         if drop and not block:
             end_line()
         open_elements.append((name, (WINDOW if name in PAGE_PARTS and not inside else 1) if drop else 0))
         n_open[name] += 1
         dropping += drop
+        if dropping and not drop:
+            articles += name in ARTICLE
+            links += name == "a"
+            if name == "main" and not inside:
+                lost[-1].has_main = True
         if not dropping:
             if name == "a":
                 in_link += 1
@@ -150,11 +222,15 @@ def page_lines(page: str, by_name: bool = True) -> list[tuple[str, int, bool]]:
                 gap(WINDOW)
                 inside += 1
     left_open = m is not None and m.end() == ends and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[1] and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I))
-    if not dropping and not left_open:
+    if not left_open:
         tag = BROKEN_TAG.search(page, ends)
-        parts.append(page[at : tag.start() if tag else len(page)])
+        tail = page[at : tag.start() if tag else len(page)]
+        if not dropping:
+            parts.append(tail)
+        elif not inside and not links:
+            held(tail)
     end_line()
-    return lines
+    return lines, lost
 
 
 def regions(weights: list[int], blank: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -173,9 +249,30 @@ def regions(weights: list[int], blank: list[bool], window: int = WINDOW) -> list
     return found
 
 
+def wrappers(lines: list[tuple[str, int, bool]], lost: list[Dropped]) -> list[int]:
+    """Where the dropped elements start that hold the main text rather than ``lines`` do."""
+    if any(inside for _, _, inside in lines):
+        return []
+    weights = [w for _, w, _ in lines]
+    most = max((sum(weights[a:b]) for a, b in regions(weights, [not t for t, _, _ in lines])), default=0)
+    may_hold = [x for x in lost if not x.hidden and (x.has_main or not x.never)]
+    in_article = max((x.in_article for x in may_hold), default=0)
+    if in_article > most:
+        return [x.start for x in may_hold if x.in_article >= KEEP_SHARE * in_article]
+    half = (sum(weights) + sum(x.chars for x in may_hold if x.by_name)) / 2
+    return [x.start for x in may_hold if x.by_name and x.chars > max(half, most)]
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
-    return text_of(page_lines(page or "")) or text_of(page_lines(page or "", by_name=False))
+    page, entered = page or "", set()
+    for _ in range(READINGS):
+        lines, lost = page_lines(page, True, entered)
+        found = wrappers(lines, lost)
+        if not found:
+            return text_of(lines) or text_of(page_lines(page, by_name=False)[0])
+        entered.update(found)
+    return text_of(page_lines(page, by_name=False, entered=entered)[0])
 
 
 def text_of(lines: list[tuple[str, int, bool]]) -> str:

@@ -89,3 +89,24 @@ INSIDE = {
 def test_all_of_an_article_stays(name):
     page, want = INSIDE[name]
     assert main_text(page).split("\n") == [x.strip() for x in want]
+
+
+LONG, END = f"<p>{SENTENCE * 9}</p>", "<div>(c) 2024 Acme</div>"
+WRAPPED = {
+    **{f"article in {name}": (f"<div class='{name}'><article>{LONG}</article></div>{END}", SENTENCE * 9) for name in ("content has-sidebar", "with-ads", "no-sidebar", "page-header-fixed", "comments-open", "widget")},
+    "main in a form": (f"<form id='all'><main>{LONG}</main></form>{END}", SENTENCE * 9),
+    "text without an article": (f"<div class='content has-sidebar'>{LONG}<p>So.</p></div><nav>x</nav>{END}", SENTENCE * 8 + SENTENCE.strip() + "\nSo."),
+    "wrapper in a wrapper": (f"<div class='has-sidebar'><div class='with-ads'><article>{LONG}</article></div></div>{END}", SENTENCE * 9),
+    "deep wrappers": ("<div class='has-sidebar'>" * 20 + f"<article>{LONG}</article>" + "</div>" * 20 + END, SENTENCE * 9),
+    "what a wrapper drops": (f"<div class='has-sidebar'><article>{LONG}</article><div id='comments'><article>{LONG * 3}</article></div><div class='sidebar'><p>{SENTENCE}</p></div></div>{END}", SENTENCE * 9),
+    "long comments": (f"<div><p>{SENTENCE}</p></div><div id='comments'><article>{LONG * 3}</article></div>", SENTENCE),
+    "teasers": (f"<div><p>{SENTENCE * 9}</p></div><div class='sidebar'><article>{SENTENCE}</article></div>", SENTENCE * 9),
+    "hidden in a value": (f"<div data-title='A hidden gem' data-id='sidebar' title='class=ad'><article>{LONG}</article></div>{END}", SENTENCE * 9),
+    "hidden in a value, inside": (f"<article><p title='the hidden one'>{SENTENCE}</p><p HIDDEN=''>no</p><p aria-hidden=true>no</p><p>b</p></article>", SENTENCE.strip() + "\nb"),
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_marked_wrappers(name):
+    page, want = WRAPPED[name]
+    assert main_text(page) == want.strip()
