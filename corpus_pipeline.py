@@ -54,7 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics meet their target weights."""
+    """Documents drawn so that sources, languages and topics meet their target weights, as far as a budget of 0.8 of all tokens lets them."""
     return mixed(docs).where("sampled").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
