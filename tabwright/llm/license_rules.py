@@ -2,7 +2,9 @@
 
 Each rule is one regular expression over lower-case text whose words are joined by single blanks. A licence's rules
 are written by hand as name patterns; the statement forms of ``FORMS`` are applied to every name, which makes
-hundreds of rules. Rules of a form carry its priority: of overlapping detections the more telling one stays.
+hundreds of rules but finds no more texts than the names do: a form says how telling a name is. ``SIGNATURES`` are
+written by hand as well and know licences by their wording, without their names: bodies, notices, warranty clauses and
+file headers. Rules of a form or kind carry its priority: of overlapping detections the more telling one stays.
 """
 
 from __future__ import annotations
@@ -125,9 +127,72 @@ FORMS: dict[str, tuple[str, str, int, float]] = {
 }
 
 
+#: kind of wording: (priority, weight)
+KINDS: dict[str, tuple[int, float]] = {"body": (36, 0.98), "header": (34, 0.95), "notice": (32, 0.9), "warranty": (25, 0.8)}
+
+#: (label, kind, keyword, pattern)
+SIGNATURES: list[tuple[str, str, str, str]] = [
+    ("mit", "body", "permission is hereby granted", r"permission is hereby granted free of charge(?! to any person (?:or organization|obtaining a copy of (?:the )?(?:font|unicode|data)))(?: to any person obtaining a copy)?"),
+    ("mit", "notice", "substantial portions", r"(?:this permission notice |shall be |included in |all copies or ){2,4}substantial portions of the software"),
+    ("mit", "warranty", "authors or copyright holders", r"in no event shall the authors or copyright holders be liable for any claim"),
+    ("boost", "body", "any person or organization", r"free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("ofl", "body", "font software", r"free of charge to any person obtaining a copy of the font software"),
+    ("unicode", "body", "free of charge", r"free of charge to any person obtaining a copy of (?:the unicode )?data files"),
+    ("x11", "notice", "except as contained in this notice", r"except as contained in this notice the names? of"),
+    ("bsd", "body", "source and binary forms", r"redistribution and use in source and binary forms(?: with or without modification(?: are permitted)?)?"),
+    ("bsd", "notice", "redistributions of source", r"redistributions of source code must retain the (?:above )?copyright notice"),
+    ("bsd", "notice", "redistributions in binary", r"redistributions in binary form must reproduce the (?:above )?copyright notice"),
+    ("bsd-3-clause", "notice", "endorse or promote", r"(?:neither the names? of|the names? of) (?:[^ ]+ ){1,24}?endorse or promote products derived from this software"),
+    ("bsd-4-clause", "notice", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd", "warranty", "this software is provided by", r"this software is provided by (?:[^ ]+ ){1,12}?as is and any express(?:ed)? or implied warranties"),
+    ("bsd", "warranty", "exemplary or consequential", r"be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("isc", "body", "with or without fee", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided"),
+    ("0bsd", "body", "with or without fee", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("isc", "warranty", "disclaims all warranties", r"the author disclaims all warranties with regard to this software"),
+    ("postgresql", "body", "without a written agreement", r"for any purpose without fee and without a written agreement is hereby granted"),
+    ("gpl", "header", "is free software you can redistribute it", r"(?:this (?:program|file|software) |it )?is free software you can redistribute it(?! and or modify it under the terms of (?:[^ ]+ ){0,4}?(?:lesser|library|affero))(?<!library is free software you can redistribute it)"),
+    ("lgpl", "header", "is free software you can redistribute it", r"this library is free software you can redistribute it"),
+    ("lgpl", "header", "is free software you can redistribute it", r"is free software you can redistribute it and or modify it under the terms of (?:[^ ]+ ){0,4}?(?:lesser|library) general public licen[cs]e"),
+    ("agpl", "header", "is free software you can redistribute it", r"is free software you can redistribute it and or modify it under the terms of (?:[^ ]+ ){0,4}?affero general public licen[cs]e"),
+    ("gpl", "warranty", "in the hope that it will be useful", r"(?:this program|this file|this software) is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "warranty", "in the hope that it will be useful", r"this library is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "body", "take away your freedom", r"designed to take away your freedom to share and change"),
+    ("gpl-3.0", "body", "free copyleft license", r"is a free copyleft license for software and other kinds of works"),
+    ("lgpl", "body", "derivative of any portion of the library", r"contains no derivative of any portion of the library"),
+    ("agpl", "body", "interacting with it remotely", r"must prominently offer all users interacting with it remotely"),
+    ("gfdl", "header", "modify this document", r"permission is granted to copy distribute and or modify this document"),
+    ("apache-2.0", "header", "except in compliance with the license", r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", "body", "each contributor hereby grants", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache-2.0", "warranty", "agreed to in writing software", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache", "header", "licensed to the apache software foundation", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("mpl-2.0", "header", "this source code form", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-2.0", "notice", "copy of the mpl", r"if a copy of the mpl was not distributed with this file"),
+    ("mpl", "header", "the contents of this file are subject", r"the contents of this file are subject to the (?:terms of the )?mozilla public license"),
+    ("mpl", "warranty", "governing rights and limitations", r"see the license for the specific language governing rights and limitations"),
+    ("epl", "header", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("zlib", "body", "plainly marked", r"altered source versions must be plainly marked as such"),
+    ("zlib", "notice", "must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "warranty", "authors be held liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "body", "unencumbered", r"free and unencumbered software released into the public domain"),
+    ("unlicense", "notice", "anyone is free to copy", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "body", "you just do what", r"you just do what the fuck you want to"),
+    ("beerware", "body", "retain this notice", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("cc", "body", "exercising the licensed rights", r"by exercising the licensed rights defined below you accept and agree to be bound"),
+    ("cc0", "body", "work with this deed", r"who associated a work with this deed has dedicated the work to the public domain"),
+    ("artistic", "body", "package may be copied", r"state the conditions under which a package may be copied"),
+    ("python", "warranty", "making python", r"psf is making python (?:[^ ]+ ){0,4}?available to licensee on an as is basis"),
+    ("openssl", "notice", "openssl project", r"this product includes software developed by the openssl project"),
+    ("php", "notice", "php software", r"this product includes php software freely available from"),
+    ("sqlite", "body", "do good and not evil", r"may you do good and not evil"),
+    ("commons-clause", "body", "right to sell", r"does not grant to you the right to sell the software"),
+    ("proprietary", "header", "copying of this file", r"unauthori[sz]ed copying of this file via any medium is strictly prohibited"),
+]
+
+
 def rules() -> list[Rule]:
-    """All rules: every form of every name, the more telling forms first."""
-    made = [
+    """All rules, the more telling first within each kind: signatures of wording, then every form of every name."""
+    made = [Rule(label, kind, rf"(?<![^ ]){pattern}(?![^ ])", keyword, *KINDS[kind]) for label, kind, keyword, pattern in SIGNATURES]
+    made += [
         Rule(label, form, rf"(?<![^ ]){before}(?:{pattern}){after}(?![^ ])", keyword, priority, weight)
         for form, (before, after, priority, weight) in FORMS.items()
         for label, names in NAMES.items()

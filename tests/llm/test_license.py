@@ -73,3 +73,32 @@ def test_keywords_are_necessary():
             plain = re.sub(r" \?", "", re.sub(r"\[(.)[^]]*\]", r"\1", plain))
             if re.fullmatch(pattern, plain):
                 assert keyword in plain, (label, pattern, plain)
+
+
+def test_wording_without_names():
+    """Texts and notices of licences are known without the licence's name."""
+    for text, label, form in [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit", "body"),
+        ("permission is hereby granted free of charge", "mit", "body"),
+        ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "mit", "notice"),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation", "boost", "body"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd", "body"),
+        ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3-clause", "notice"),
+        ('THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES', "bsd", "warranty"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "isc", "body"),
+        ("This program is free software: you can redistribute it and/or modify it", "gpl", "header"),
+        ("This library is free software; you can redistribute it and/or modify it", "lgpl", "header"),
+        ("you may not use this file except in compliance with the License.", "apache-2.0", "header"),
+        ("Altered source versions must be plainly marked as such", "zlib", "body"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense", "body"),
+    ]:
+        base, every, found, score = labels(text)
+        assert base == "" and every == label and [f[:2] for f in found] == [(label, form)] and score >= 0.8, (text, every, found)
+
+
+def test_signature_keywords():
+    """A signature's keyword stands in its pattern word for word, so in whatever it matches."""
+    from tabwright.llm.license_rules import SIGNATURES
+
+    for label, _, keyword, pattern in SIGNATURES:
+        assert keyword in pattern, (label, keyword)
