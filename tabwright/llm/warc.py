@@ -3,7 +3,7 @@
 ``write_warc`` stores rows as response and revisit records; ``read_warc`` streams archives back: each member is
 decompressed in steps of 64 KB, framed by its Content-Length, and its block and payload digests are verified while
 the bytes go by. A record that is damaged gives a row whose ``error`` says what is wrong, and reading goes on at the
-next member. Archives are reached through ``pyarrow.fs`` (file, hdfs, s3, gs), at paths that all executors share.
+next member; where compressed bytes are damaged, that is the next place from which a record can be unpacked. Archives are reached through ``pyarrow.fs`` (file, hdfs, s3, gs), at paths that all executors share.
 
 Defined results: a null payload is an empty one; a null URL leaves its header out; a null id makes a record without
 a numbered id. Of rows that tie on the largest id of equal payloads, all are responses. An empty table makes no
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import new_folder, shared_table
 
 STEP = 1 << 16
+MEMBER_START = b"\x1f\x8b\x08"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = (
@@ -142,6 +143,28 @@ class RecordStream:
         self.unzip = zlib.decompressobj(31) if self.rest else None
         return self.unzip is not None
 
+    def resume(self) -> bool:
+        """Go back to the start of this member and on to the next place where a record begins; False if there is none."""
+        at, held = self.offset + 1, b""
+        self.raw.seek(at)
+        while data := self.raw.read(STEP):
+            held += data
+            k = held.find(MEMBER_START)
+            while k >= 0:
+                self.raw.seek(at + k)
+                try:
+                    begins = zlib.decompressobj(31).decompress(self.raw.read(4096), 5) == b"WARC/"
+                except zlib.error:
+                    begins = False
+                if begins:
+                    self.raw.seek(at + k)
+                    self.rest, self.read_so_far, self.unzip, self.plain = b"", at + k, None, b""
+                    return True
+                k = held.find(MEMBER_START, k + 1)
+            at, held = at + len(held) - min(2, len(held)), held[-2:]
+            self.raw.seek(at + len(held))
+        return False
+
     def _load(self) -> bytes:
         data = self.raw.read(STEP)
         self.read_so_far += len(data)
@@ -160,10 +183,12 @@ class RecordStream:
                 return True
         return False
 
-    def line_block(self, most: int = 1 << 20) -> bytes:
-        """Up to the next blank line, without it."""
-        while (end := self.plain.find(b"\r\n\r\n")) < 0:
-            if len(self.plain) > most or not self._more():
+    def line_block(self) -> bytes:
+        """Up to the next blank line, without it; as long as a header may be written."""
+        seen = 0
+        while (end := self.plain.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(self.plain)
+            if not self._more():
                 raise ValueError("no end of headers")
         block, self.plain = self.plain[:end], self.plain[end + 4 :]
         return block
@@ -224,14 +249,21 @@ def read_record(stream: RecordStream, keep_payload: bool) -> dict:
 def records(raw, keep_payload: bool = True) -> Iterator[dict]:
     """All records of an open archive in order; a damaged member gives a row with ``error``."""
     stream = RecordStream(raw)
-    while stream.next_member():
+    while True:
+        try:
+            if not stream.next_member():
+                return
+        except (ValueError, zlib.error):  # in what was left of a record that has its row
+            if not stream.resume():
+                return
+            continue
         at = stream.offset
         try:
             yield {"record_offset": at} | read_record(stream, keep_payload)
         except (ValueError, KeyError, zlib.error) as e:
             yield {"record_offset": at, "error": f"{type(e).__name__}: {e}"}
-            if isinstance(e, zlib.error) or "within" in str(e):
-                return  # where the next member starts can't be told
+            if (isinstance(e, zlib.error) or "within" in str(e)) and not stream.resume():
+                return
 
 
 def read_warc(archives: DataFrame, keep_payload: bool = True, rows_per_batch: int = 256) -> DataFrame:
@@ -244,7 +276,7 @@ def read_warc(archives: DataFrame, keep_payload: bool = True, rows_per_batch: in
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 files, path = fs.FileSystem.from_uri(archive)
-                with files.open_input_stream(path, compression=None) as raw:
+                with files.open_input_file(path) as raw:
                     rows, held = [], 0
                     for row in records(raw, keep_payload):
                         rows.append(row | {"archive": archive})

@@ -62,3 +62,25 @@ def test_damage():
     cut = list(records(io.BytesIO(gzip_member(one, 6) + gzip_member(two, 6)[:-40])))
     assert cut[0]["error"] is None and "within" in cut[1]["error"]
     assert list(records(io.BytesIO(b""))) == []
+
+
+def test_damaged_stream():
+    """Records after damaged compressed bytes are read, and a long header is no damage."""
+    import random
+
+    noise = random.Random(1).randbytes(300_000)
+    parts = [gzip_member(record_bytes(f"urn:page:{k}", "u", noise, None, "2020-01-01T00:00:00Z"), 6) for k in range(4)]
+    for where in (5, 40, len(parts[1]) // 2, len(parts[1]) - 6):
+        bad = bytearray(parts[1])
+        bad[where : where + 3] = bytes(x ^ 0xFF for x in bad[where : where + 3])
+        got = list(records(io.BytesIO(parts[0] + bytes(bad) + parts[2] + parts[3])))
+        assert [r.get("record_id") for r in got if not r["error"]][-2:] == ["urn:page:2", "urn:page:3"], where
+        assert got[0]["record_id"] == "urn:page:0" and [r["record_offset"] for r in got if not r["error"]][-1] == sum(map(len, parts[:3]))
+    # What is left of a bad record is damaged too.
+    bad = bytearray(gzip_member(record_bytes("urn:page:1", "u", noise, None, "d").replace(b"Content-Length: 300", b"Content-Length: x00", 1), 6))
+    bad[200_000:200_003] = b"\xff\xff\xff"
+    got = list(records(io.BytesIO(bytes(bad) + parts[2])))
+    assert got[0]["error"] and got[-1]["record_id"] == "urn:page:2" and not got[-1]["error"]
+    url = "data:," + "x" * 3_000_000
+    (long,) = records(io.BytesIO(gzip_member(record_bytes("urn:page:9", url, b"p", None, "d"), 6)))
+    assert (long["error"], long["record_id"], long["target_uri"]) == (None, "urn:page:9", url)
