@@ -6,14 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.spec import SpecError
+from tabwright.spec import SpecError, java_pattern
 
+#: Field metadata of columns that a delimited file has as text: the type that they are meant to have.
+FROM_TEXT = "from_text"
 _KINDS = {"character": T.StringType, "numeric": T.NumericType, "integer": T.IntegralType, "logical": T.BooleanType}
 
 
+def is_from_text(df: DataFrame, name: str) -> bool:
+    """Whether a column still holds the text of a delimited file, though it is meant to be of another type."""
+    field = df.schema[name]
+    return isinstance(field.dataType, T.StringType) and FROM_TEXT in field.metadata
+
+
+def readable(text: Column, kind: T.DataType, whole: bool = True) -> Column:
+    """Text as a value of the type, null where it isn't one. Whole numbers may be written 2.0; unless ``whole``, numbers
+    that aren't whole are given as they are."""
+    if isinstance(kind, T.IntegralType):
+        number = text.try_cast("double")
+        return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number).try_cast(kind)) if whole else number
+    return text.try_cast(kind)
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """The table with every column of a delimited file in the type that it is meant to have; what can't be read is null."""
+    if not any(is_from_text(df, f.name) for f in df.schema.fields):
+        return df
+    return df.select(*[readable(F.col(f"`{f.name}`"), T.DataType.fromDDL(f.metadata[FROM_TEXT])).alias(f.name) if is_from_text(df, f.name) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def typed_if_clean(df: DataFrame) -> DataFrame:
+    """The table as it is read where types are guessed from all values: a column with a value that can't be read as its
+    type stays text, the others get their types. One pass over the file."""
+    marked = [f for f in df.schema.fields if is_from_text(df, f.name)]
+    if not marked:
+        return df
+    bad = [F.count_if(F.col(f"`{f.name}`").isNotNull() & readable(F.col(f"`{f.name}`"), T.DataType.fromDDL(f.metadata[FROM_TEXT])).isNull()) for f in marked]
+    found = dict(zip((f.name for f in marked), df.agg(*[b.alias(f"b{k}") for k, b in enumerate(bad)]).first(), strict=True))
+    plain = df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata={}) if found.get(f.name) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    return typed(plain)
+
+
 def empty_to_null(df: DataFrame) -> DataFrame:
     """Empty strings as null, in all string columns."""
-    return df.select(*[F.nullif(F.col(f"`{f.name}`"), F.lit("")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    return df.select(*[F.nullif(F.col(f"`{f.name}`"), F.lit("")).alias(f.name, metadata=f.metadata) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def change_nas(column: Column, kind: str) -> Column:
@@ -54,4 +90,4 @@ def check_values(column: Column, values: list, nullable: bool = False) -> Column
 
 def check_pattern(column: Column, pattern: str) -> Column:
     """Aggregate: the pattern is found in all values that aren't null."""
-    return F.coalesce(F.bool_and(column.rlike(pattern)), F.lit(True))
+    return F.coalesce(F.bool_and(column.rlike(java_pattern(pattern))), F.lit(True))

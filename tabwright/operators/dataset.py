@@ -58,6 +58,10 @@ class ValidatedDataset:
         return self.spec.rules
 
 
+#: The same under the name that makers of containers look for.
+make_container = ValidatedDataset.of
+
+
 @dataclass(frozen=True)
 class Agreement:
     """Named datasets and what the agreement says about itself."""

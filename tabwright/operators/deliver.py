@@ -1,7 +1,9 @@
-"""Delivery: a sorted delimited file with its checksum.
+"""Delivery: sorted delimited files with their checksums.
 
-Spark sorts, counts and writes parts in parallel, in one pass; their bytes are then appended to one file through the cluster's file system,
-where the checksum is taken too. A gzip file is the concatenation of the parts' gzip members.
+Spark sorts, counts and writes parts in parallel, in one pass. ``write_parts`` leaves these parts as the delivery, with a
+manifest whose checksums are taken in tasks: that is the way for tables of any size. ``write_table`` makes one file, as
+receivers of small tables want it: the driver copies the parts' bytes to it and takes the checksum as they go by. A gzip
+file is the concatenation of the parts' gzip members.
 """
 
 from __future__ import annotations
@@ -60,6 +62,32 @@ def _file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def write_parts(
+    df: DataFrame, folder: str, arrange_by: str | list[str] | None = "all", descending: bool = False, sep: str = "\t", na: str = "", quote: bool = False, compression: str = "none"
+) -> DataFrame:
+    """Write sorted parts, each with a header, below ``folder`` and return their manifest, which is kept there too.
+
+    The manifest has part (from 0, in the order of the rows), path, md5sum, n_bytes, n_rows and n_cols; no row and no byte
+    of the table passes through the driver.
+    """
+    if compression not in ("none", "gzip"):
+        raise ValueError(f"compression {compression!r} is neither none nor gzip")
+    spark, n_cols = df.sparkSession, len(df.columns)
+    text = lines(sorted_rows(df, arrange_by, descending), sep, na, quote).withColumnRenamed("line", header(df, sep, quote))
+    options = {"compression": compression, "header": True, "sep": "\x01", "quote": "", "escape": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    text.write.options(**options).csv(f"{folder}/parts")
+    ending = ".csv.gz" if compression == "gzip" else ".csv"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"part-*{ending}").load(f"{folder}/parts")
+    held = spark.read.text(f"{folder}/parts/part-*{ending}").groupBy(F.input_file_name().alias("read_from")).agg((F.count(F.lit(1)) - 1).alias("n_rows"))
+    name = lambda c: F.regexp_extract(c, r"part-[^/]*$", 0)
+    sums = found.select(name(F.col("path")).alias("name"), "path", F.md5("content").alias("md5sum"), F.col("length").alias("n_bytes"))
+    counts = held.select(name(F.col("read_from")).alias("name"), "n_rows")
+    part = F.regexp_extract("name", r"^part-(\d+)", 1).cast("int")
+    manifest = sums.join(counts, "name").select(part.alias("part"), "path", "md5sum", "n_bytes", "n_rows", F.lit(n_cols).alias("n_cols"))
+    manifest.coalesce(1).write.json(f"{folder}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{folder}/manifest")
+
+
 def md5_of(spark: SparkSession, path: str) -> str:
     at, files = _file_system(spark, path)
     stream = files.open(at)
@@ -82,7 +110,10 @@ def write_table(
     md5sum: bool = True,
     sidecar: bool = True,
 ) -> Delivered:
-    """Write one delimited file with a header, and by default ``<path>.metadata`` with its checksum and size."""
+    """Write one delimited file with a header, and by default ``<path>.metadata`` with its checksum and size.
+
+    The driver copies all bytes; ``write_parts`` doesn't.
+    """
     if compression not in ("none", "gzip"):
         raise ValueError(f"compression {compression!r} is neither none nor gzip")
     spark = df.sparkSession
@@ -96,7 +127,8 @@ def write_table(
     rows = sorted_rows(df, arrange_by, descending).observe(counted, F.count(F.lit(1)).alias("n"))
     lines(rows, sep, na, quote).write.options(**codec).text(f"{parts}/1")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = files.create(target, True)
+    digest = jvm.java.security.MessageDigest.getInstance("MD5")
+    out = jvm.java.security.DigestOutputStream(files.create(target, True), digest)
     try:
         for k in (0, 1):
             found = files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{parts}/{k}/part-*"))
@@ -107,7 +139,7 @@ def write_table(
     finally:
         out.close()
         files.delete(jvm.org.apache.hadoop.fs.Path(parts), True)
-    done = Delivered(path, md5_of(spark, path) if md5sum or sidecar else None, counted.get["n"], len(df.columns))
+    done = Delivered(path, bytes(digest.digest()).hex() if md5sum or sidecar else None, counted.get["n"], len(df.columns))
     if sidecar:
         write_metadata(spark, done)
     return done

@@ -1,7 +1,8 @@
 """Rules over whole tables.
 
-All ranges and conditions of a table are counted in one aggregate over one scan. Each uniqueness rule is one grouped
-aggregate on its columns, combined before the shuffle, so a value that fills the table is a single row by then.
+All ranges, conditions and allowed combinations of a table are counted in one aggregate over one scan. Each uniqueness
+rule is one grouped aggregate on its columns, combined before the shuffle, so a value that fills the table is a single
+row by then; of texts longer than a digest only the digest is shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.functions.conditions import all_conditions, plain
+from tabwright.functions.columns import typed
+from tabwright.functions.conditions import all_conditions, one_condition, plain
 from tabwright.spec import Rule, SpecError
 
 RESULT_SCHEMA = "rule_id string, type string, valid boolean, n_violations bigint, message string"
@@ -54,9 +56,23 @@ def condition_broken(df: DataFrame, rule: Rule, compat: str | None = None) -> Co
     return all_conditions(df, rule.condition, compat) & ~all_conditions(df, rule.then, compat)
 
 
+def combination_broken(df: DataFrame, columns: Iterable[str], allowed: Iterable[Iterable]) -> Column:
+    """The values of the columns aren't one of the allowed combinations; a null is only allowed where one lists it."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    found = F.lit(False)
+    for values in allowed:
+        same = F.lit(True)
+        for c, v in zip(columns, values, strict=True):
+            same = same & (F.col(f"`{c}`").isNull() if v is None else F.coalesce(one_condition(F.col(f"`{c}`"), kinds[c], "equals", v), F.lit(False)))
+        found = found | same
+    return ~found
+
+
 def row_broken(df: DataFrame, rule: Rule, compat: str | None = None) -> Column:
-    """Whether a row breaks a range or condition rule; null where that is unknown."""
+    """Whether a row breaks a rule that looks at single rows; null where that is unknown."""
     _known(df, rule)
+    if rule.type == "check_allowed_combinations":
+        return combination_broken(df, rule.column, rule.allowed)
     return range_broken(df, rule) if rule.type == "check_range" else condition_broken(df, rule, compat)
 
 
@@ -66,6 +82,8 @@ def message_of(rule: Rule) -> tuple[str, str]:
         return f"Rule '{rule.id}' violated: ", f" rows where {rule.column[0]} not in range [{rule.range[0]}, {rule.range[1]}]"
     if rule.type == "check_unique":
         return f"Rule '{rule.id}' violated: ", f" duplicate values found in column {', '.join(rule.column)}"
+    if rule.type == "check_allowed_combinations":
+        return f"Rule '{rule.id}' violated: ", f" rows with combinations of {', '.join(rule.column)} that aren't allowed"
     return f"Rule '{rule.id}' violated: ", " rows failed the then conditions"
 
 
@@ -79,15 +97,44 @@ def _results(counts: DataFrame, rules: list[Rule]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+def _short_keys(df: DataFrame, columns: Iterable[str]) -> tuple[list[Column], Column | None]:
+    """Columns to group by in place of ``columns``, and a check of the rows in a group.
+
+    A text longer than the SHA-256 that stands for it can't look like one. The check is null for groups without such
+    texts; where it differs within a group, two texts have one digest.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    keys, checked = [], []
+    for c in columns:
+        text = F.col(f"`{c}`")
+        if isinstance(kinds[c], T.StringType):
+            long = F.length(text) > 64
+            keys.append(F.when(long, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text))
+            checked.append(F.when(long, F.xxhash64(text)))
+        else:
+            keys.append(text)
+    return keys, F.when(F.coalesce(*checked).isNotNull(), F.xxhash64(*checked)) if checked else None
+
+
+def _grouped(df: DataFrame, columns: Iterable[str], *aggregates: Column) -> DataFrame:
+    """``df`` grouped by the columns (as _u0, _u1, ...), with ``n`` and the aggregates."""
+    keys, check = _short_keys(df, columns)
+    rows = df.groupBy(*[k.alias(f"_u{i}") for i, k in enumerate(keys)])
+    n = F.count(F.lit(1))
+    if check is None:
+        return rows.agg(n.alias("n"), *aggregates)
+    unlike = F.min(check) != F.max(check)
+    return rows.agg(F.when(F.coalesce(unlike, F.lit(False)), F.raise_error(F.lit("two texts have one SHA-256")).cast("long")).otherwise(n).alias("n"), *aggregates)
+
+
 def duplicate_count(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """One row: occurrences after the first, nulls being equal to each other."""
-    each = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("n"))
-    return each.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v0"))
+    return _grouped(df, columns).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v0"))
 
 
 def rule_results(df: DataFrame, rules: Iterable[Rule], compat: str | None = None) -> DataFrame:
     """(rule_id, type, valid, n_violations, message) for each rule."""
-    rules = list(rules)
+    rules, df = list(rules), typed(df)
     by_row = [r for r in rules if r.type != "check_unique"]
     parts = []
     if by_row:
@@ -128,28 +175,28 @@ def check_rule(x: object) -> Rule:
 
 def violating_rows(df: DataFrame, rule: Rule, key: list[str] | None = None, compat: str | None = None) -> DataFrame:
     """The rows that break a rule. For uniqueness these are all but the first by ``key`` of those alike."""
+    df = typed(df)
     if rule.type != "check_unique":
         return df.where(F.coalesce(row_broken(df, rule, compat), F.lit(False)))
     _known(df, rule)
     if not key:
         raise SpecError(f"rule {rule.id}: which of equal rows is first needs a key")
     order = F.struct(*[F.col(f"`{k}`") for k in key])
-    firsts = df.groupBy(*[F.col(f"`{c}`").alias(f"_u{i}") for i, c in enumerate(rule.column)]).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    firsts = _grouped(df, rule.column, F.min(order).alias("_first")).where("n > 1")
+    keys, _ = _short_keys(df, rule.column)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), order.alias("_own"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     same = F.lit(True)
-    for i, c in enumerate(rule.column):
-        same = same & df[c].eqNullSafe(firsts[f"_u{i}"])
-    return df.join(firsts, same).where(~F.struct(*[df[k] for k in key]).eqNullSafe(F.col("_first"))).select(*[df[c] for c in df.columns])
+    for i in range(len(keys)):
+        same = same & F.col(f"_k{i}").eqNullSafe(F.col(f"_u{i}"))
+    return rows.join(firsts, same).where(~F.col("_own").eqNullSafe(F.col("_first"))).select("_row.*")
 
 
 def not_in_combinations(df: DataFrame, allowed: list[dict]) -> DataFrame:
-    """Rows whose combination of values isn't among the allowed ones; the list comes from a specification."""
-    columns = list(allowed[0])
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    known = df.sparkSession.createDataFrame([tuple(a[c] for c in columns) for a in allowed], ", ".join(f"`_a_{c}` {kinds[c]}" for c in columns))
-    same = F.lit(True)
-    for c in columns:
-        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"`_a_{c}`"))
-    return df.join(F.broadcast(known), same, "left_anti")
+    """Rows whose combination of values isn't among the allowed ones; with none allowed, all rows."""
+    if not allowed:
+        return df
+    df = typed(df)
+    return df.where(combination_broken(df, list(allowed[0]), [list(a.values()) for a in ({c: a[c] for c in allowed[0]} for a in allowed)]))
 
 
 def missing_references(df: DataFrame, columns: list[str], other: DataFrame, other_columns: list[str]) -> DataFrame:

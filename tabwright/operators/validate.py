@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import empty_to_null
-from tabwright.operators.rules import RuleResult, RuleViolation, apply_rules, rule_results
+from tabwright.functions.columns import empty_to_null, typed, typed_if_clean
+from tabwright.operators.rules import RuleResult, RuleViolation, apply_rules, row_broken, rule_results
 from tabwright.plans.constraints import Constraint, constraints
 from tabwright.spec import SpecCollection
 
@@ -49,6 +49,21 @@ def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(*[F.col(f"`{o}`") for o in order])))
 
 
+def numbered_in_ranges(df: DataFrame, key: str, width: int, name: str = "row") -> DataFrame:
+    """Rows numbered from 1 in the order of a whole-number key, for tables of any size: rows are numbered within ranges of
+    ``width`` keys, and counts of ranges, added up range by range of ranges, say how many are before each. No task holds
+    more than a range, or the counts of ``width`` ranges, but for the last: a row per ``width`` * ``width`` keys."""
+    part, block = F.floor(F.col(f"`{key}`") / width), F.floor(F.col("_part") / width)
+    sizes = df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = sizes.groupBy(block.alias("_block")).agg(F.sum("_n").alias("_in_block"))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_in_block").over(earlier.orderBy("_block")), F.lit(0)).alias("_blocks_before"))
+    parts = sizes.withColumn("_block", block).withColumn("_parts_before", F.coalesce(F.sum("_n").over(earlier.partitionBy("_block").orderBy("_part")), F.lit(0)))
+    before = parts.join(blocks, "_block").select("_part", (F.col("_blocks_before") + F.col("_parts_before")).alias("_before"))
+    rows = df.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(f"`{key}`"))))
+    return rows.join(before, "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
+
+
 def first_chunk(errors: DataFrame, row: str = "row", size: int = 5000) -> DataFrame:
     """The errors of the first run of ``size`` rows that has any."""
     chunk = F.ceil(F.col(row) / size)
@@ -119,16 +134,26 @@ class ValidationResult:
             raise RuleViolation(bad)
         return self
 
-    def split(self) -> tuple[DataFrame, DataFrame]:
-        """Extension: rows without and with broken cells or row rules, for a quarantine."""
-        from tabwright.operators.rules import row_broken
+    def flagged(self, name: str = "valid") -> DataFrame:
+        """Extension: the table with a column that says whether a row breaks neither cells nor row rules; one scan."""
+        cells = functools.reduce(lambda a, b: a | b, [F.coalesce(c.broken, F.lit(False)) for c in self.constraints], F.lit(False))
+        rows = self.table.withColumn(name, ~cells)
+        rows = typed(rows)
+        broken = [F.coalesce(row_broken(rows, r, self.compat), F.lit(False)) for r in self.spec.rules if r.type != "check_unique"]
+        return rows.withColumn(name, F.col(name) & ~functools.reduce(lambda a, b: a | b, broken)) if broken else rows
 
-        broken = [F.coalesce(c.broken, F.lit(False)) for c in self.constraints]
-        broken += [F.coalesce(row_broken(self.table, r, self.compat), F.lit(False)) for r in self.spec.rules if r.type != "check_unique"]
-        bad = functools.reduce(lambda a, b: a | b, broken, F.lit(False))
-        return self.table.where(~bad), self.table.where(bad)
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        """Extension: rows without and with broken cells or row rules, for a quarantine. Two scans if both are used;
+        ``flagged`` gives both in one."""
+        rows = self.flagged("_valid")
+        return rows.where("_valid").drop("_valid"), rows.where("NOT _valid").drop("_valid")
 
 
 def validate(df: DataFrame, spec: SpecCollection, key: list[str] | str, compat: str | None = None, blank_as_null: bool = True) -> ValidationResult:
-    """Validate a table whose rows ``key`` tells apart; "" counts as null unless ``blank_as_null`` is off."""
-    return ValidationResult(empty_to_null(df) if blank_as_null else df, spec, [key] if isinstance(key, str) else list(key), compat)
+    """Validate a table whose rows ``key`` tells apart; "" counts as null unless ``blank_as_null`` is off.
+
+    In a delimited file's column each value that can't be read is an error of type; with ``compat="reference"`` one such
+    value makes all of its column text, and every row an error.
+    """
+    df = empty_to_null(df) if blank_as_null else df
+    return ValidationResult(typed_if_clean(df) if compat == "reference" else df, spec, [key] if isinstance(key, str) else list(key), compat)

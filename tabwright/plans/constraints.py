@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.functions.columns import is_from_text, readable
 from tabwright.functions.conditions import is_in
 from tabwright.plans.schema import column_schema, typed_values
-from tabwright.spec import ColumnSpec, SpecCollection
+from tabwright.spec import ColumnSpec, SpecCollection, SpecError, java_pattern, pattern_error
 
 
 @dataclass(frozen=True)
@@ -31,11 +32,6 @@ class Constraint:
     data: Column
 
 
-def java_pattern(pattern: str) -> str:
-    """A pattern whose last ``$`` stands for the very end, as it does in specifications."""
-    return rf"{pattern[:-1]}\z" if pattern.endswith("$") and not pattern.endswith(r"\$") else pattern
-
-
 def _data(column: Column, kind: T.DataType) -> Column:
     """The offending value as text; lists of plain values are joined, other nested values are JSON."""
     if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.ArrayType, T.MapType, T.StructType)):
@@ -67,11 +63,19 @@ def _type_broken(spec: ColumnSpec, column: Column, kind: T.DataType, compat: str
 
 
 def column_constraints(spec: ColumnSpec, df: DataFrame, compat: str | None = None) -> list[Constraint]:
-    """The constraints of one column that the table has."""
+    """The constraints of one column that the table has.
+
+    Of a delimited file's column that isn't meant to be text, each value is judged by itself: text that can't be read as
+    the column's type is of the wrong type.
+    """
     kind = df.schema[spec.id].dataType
     column = F.col(f"`{spec.id}`")
     schema = column_schema(spec)
-    parent, data, absent = json.dumps(schema, ensure_ascii=False), _data(column, kind), _absent(column, kind)
+    parent, data, unreadable = json.dumps(schema, ensure_ascii=False), _data(column, kind), None
+    if spec.json_type != "string" and is_from_text(df, spec.id):
+        value = readable(column, spec.spark_type, whole=False)
+        column, kind, unreadable = value, T.DoubleType() if spec.json_type == "integer" else spec.spark_type, column.isNotNull() & value.isNull()
+    absent = _absent(column, kind)
     string = isinstance(kind, T.StringType)
 
     def made(keyword: str, message: str, broken: Column, params: dict) -> Constraint:
@@ -81,6 +85,7 @@ def column_constraints(spec: ColumnSpec, df: DataFrame, compat: str | None = Non
 
     allowed = f"{spec.json_type},null" if spec.nullable else spec.json_type
     wrong = F.when(absent, F.lit(not spec.nullable)).otherwise(_type_broken(spec, column, kind, compat))
+    wrong = wrong if unreadable is None else unreadable | wrong
     out = [made("type", f"must be {allowed}", wrong, {"type": allowed})]
     if "maxLength" in schema and string:
         most = schema["maxLength"]
@@ -98,11 +103,14 @@ def column_constraints(spec: ColumnSpec, df: DataFrame, compat: str | None = Non
             fitting = [v for v in values if isinstance(v, str)]
         known = is_in(column, kind, fitting) if fitting else F.lit(False)
         broken = F.when(absent, F.lit(not spec.nullable)).otherwise(~known)
+        broken = broken if unreadable is None else unreadable | broken
         if "enum" in schema:
             out.append(made("enum", "must be equal to one of the allowed values", broken, {"allowedValues": schema["enum"]}))
         else:
             out.append(made("const", "must be equal to constant", broken, {"allowedValue": schema["const"]}))
     if spec.pattern is not None and string:
+        if error := pattern_error(spec.pattern):
+            raise SpecError(f"{spec.id}: pattern {spec.pattern!r}: {error}")
         broken = F.coalesce(~column.rlike(java_pattern(spec.pattern)), F.lit(False))
         out.append(made("pattern", f'must match pattern "{spec.pattern}"', broken, {"pattern": spec.pattern}))
     return out

@@ -11,13 +11,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import change_nas, change_type, check_format, check_nullable, check_pattern, check_type, check_values, empty_to_null
-from tabwright.operators.deliver import lines, sorted_rows
 from tabwright.operators.rules import missing_references, not_in_combinations, rule_results, violating_rows
-from tabwright.operators.validate import error_rows, error_summary, first_chunk, validate
+from tabwright.operators.validate import error_rows, error_summary, first_chunk, numbered_in_ranges, validate
 from tabwright.plans.constraints import constraints
 from tabwright.sources.word import spec_frame
 from tabwright.spec import Rule, SpecCollection
@@ -27,6 +26,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 P5 = "nullif(o_orderpriority, '5-LOW')"
+#: Derived columns of ``orders``: a null, another null, NaN, and numbers as text beside text that is none.
+DERIVED = {"p5": P5, "q5": "nullif(o_orderstatus, 'P')", "x5": "CASE WHEN o_orderpriority = '5-LOW' THEN {nan} ELSE o_totalprice END", "t5": "CASE WHEN o_orderpriority = '5-LOW' THEN 'low' ELSE substr(o_orderpriority, 1, 1) END"}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders").withColumn("p5", F.expr(P5))
+    return _read(spark, sf_dir, "orders").withColumns({name: F.expr(e.format(nan="double('NaN')")) for name, e in DERIVED.items()})
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all machines share; a temporary folder only where one machine does all."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tabwright-')}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def _query(name: str, sql: str | None) -> Callable[[Query], Query]:
@@ -70,7 +81,7 @@ def _when(condition: dict, then: dict) -> dict:
     return {"type": "check_condition", "condition": condition, "then": then}
 
 
-_ORDERS = f"(SELECT *, {P5} AS p5 FROM orders)"
+_ORDERS = "(SELECT *, {} FROM orders)".format(", ".join(e.format(nan="'nan'::DOUBLE") + f" AS {name}" for name, e in DERIVED.items()))
 _rule("rule_range", "lineitem", {"type": "check_range", "column": "l_quantity", "range": [5, 45]}, "lineitem", "NOT (l_quantity BETWEEN 5 AND 45)")
 _rule("rule_range_negative", "customer", {"type": "check_range", "column": "c_acctbal", "range": [0, 9999]}, "customer", "NOT (c_acctbal BETWEEN 0 AND 9999)")
 _unique("rule_unique_multi", "lineitem", ["l_orderkey", "l_linenumber"])
@@ -100,7 +111,13 @@ _rule(
 _rule("sugar_equal", "lineitem", {"type": "check_equal", "condition": {"column": "l_returnflag", "equals": "N"}, "then": {"column": "l_linestatus", "equals": "O"}}, "lineitem", "l_returnflag = 'N' AND l_linestatus <> 'O'")
 _rule("sugar_unequal", "orders", {"type": "check_unequal", "condition": {"column": "o_orderstatus", "equals": "P"}, "then": {"column": "o_orderpriority", "equals": "1-URGENT"}}, "orders", "o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
 _rule("sugar_dependency", "orders", {"type": "check_dependency", "condition": {"column": "o_orderstatus", "equals": "F"}, "then": "p5"}, _ORDERS, "o_orderstatus = 'F' AND p5 IS NULL")
-_rule("sugar_mutual_exclusive", "labels", _when({"quality": {"equals": 1}}, {"toxic": {"not_equals": 1}}), "labels", "quality = 1 AND toxic = 1")
+_rule("sugar_mutual_exclusive", "orders", {"type": "check_mutual_exclusive", "columns": ["p5", "q5"]}, _ORDERS, "p5 IS NOT NULL AND q5 IS NOT NULL")
+_rule("cond_never_both", "labels", _when({"quality": {"equals": 1}}, {"toxic": {"not_equals": 1}}), "labels", "quality = 1 AND toxic = 1")
+_rule("cond_empty_nan", "orders", _when({"o_orderstatus": {"equals": "P"}}, {"x5": {"empty": False}}), _ORDERS, "o_orderstatus = 'P' AND isnan(x5)")
+_rule("cond_nan_is_unknown", "orders", _when({"o_orderstatus": {"equals": "P"}}, {"x5": {"less": 100000}}), _ORDERS, "o_orderstatus = 'P' AND NOT isnan(x5) AND NOT (x5 < 100000)")
+_rule("rule_range_text", "orders", {"type": "check_range", "column": "t5", "range": [2, 4]}, _ORDERS, "try_cast(t5 AS DOUBLE) NOT BETWEEN 2 AND 4")
+_rule("rule_combinations", "lineitem", {"type": "check_allowed_combinations", "columns": ["l_returnflag", "l_linestatus"], "allowed": [["R", "F"], ["A", "F"], ["N", "O"]]}, "lineitem", "l_returnflag || l_linestatus NOT IN ('RF', 'AF', 'NO')")
+_rule("rule_combinations_null", "orders", {"type": "check_allowed_combinations", "columns": ["o_orderstatus", "p5"], "allowed": [["F", None], ["O", "1-URGENT"], ["P", "2-HIGH"]]}, _ORDERS, "NOT coalesce((o_orderstatus = 'F' AND p5 IS NULL) OR (o_orderstatus = 'O' AND p5 = '1-URGENT') OR (o_orderstatus = 'P' AND p5 = '2-HIGH'), false)")
 
 LINEITEM_RULES = [
     Rule("quantity", "check_range", column=("l_quantity",), range=(5, 45)),
@@ -175,6 +192,47 @@ def errors_type_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(_read(spark, sf_dir, "customer"), spec, "c_custkey").errors.select("c_custkey", "column", "keyword")
 
 
+def _wrong_type(name: str, table: str, key: str, column: str, kind: str, json_type: str, nullable: bool, sql_from: str | None = None, broken: str = "true") -> None:
+    """Errors of a column whose values are all, or where ``broken``, of the wrong type."""
+    spec = SpecCollection.from_dicts([{"id": column, "type": kind, "nullable": nullable}])
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _orders(spark, sf_dir) if table == "orders" else _read(spark, sf_dir, table)
+        return validate(df, spec, key).errors.select(key, "column", "keyword", "message", "schema")
+
+    allowed = f"{json_type},null" if nullable else json_type
+    shown = f'["{json_type}", "null"]' if nullable else json_type
+    QUERIES[name] = run
+    SQL[name] = f"SELECT {key}, '{column}' AS \"column\", 'type' AS keyword, 'must be {allowed}' AS message, '{shown}' AS schema FROM {sql_from or table} WHERE {broken}"
+
+
+_wrong_type("errors_type_string", "customer", "c_custkey", "c_nationkey", "Char", "string", False)
+_wrong_type("errors_type_number", "part", "p_partkey", "p_brand", "Num", "number", True)
+_wrong_type("errors_type_boolean", "labels", "doc_id", "toxic", "Bool", "boolean", False)
+_wrong_type("errors_type_nan", "orders", "o_orderkey", "x5", "Num", "number", False, _ORDERS, "isnan(x5)")
+_wrong_type("errors_type_null_allowed", "orders", "o_orderkey", "p5", "Int", "integer", True, _ORDERS, "p5 IS NOT NULL")
+_errors("errors_enum_integer", "part", "p_partkey", {"id": "p_size", "type": "Int", "values": ["1", "2.0", "7"]}, "p_size NOT IN (1, 2, 7)", "p_size::VARCHAR", "enum")
+_errors("errors_enum_nullable", "orders", "o_orderkey", {"id": "p5", "nullable": True, "values": ["1-URGENT", "2-HIGH"]}, "p5 NOT IN ('1-URGENT', '2-HIGH')", None, "enum", _ORDERS)
+
+
+@_query(
+    "errors_list_cells",
+    f"SELECT o_orderkey, 'cells' AS \"column\", 'must be string' AS message, o_orderstatus || '; ' || coalesce({P5}, 'NA') AS data FROM orders",
+)
+def errors_list_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _orders(spark, sf_dir).select("o_orderkey", F.array("o_orderstatus", "p5").alias("cells"))
+    return validate(rows, SpecCollection.from_dicts([{"id": "cells"}]), "o_orderkey").errors.select("o_orderkey", "column", "message", "data")
+
+
+_REQUIRED = "SELECT 'required' AS keyword, 'must have required property ' || chr(39) || c || chr(39) AS message FROM (VALUES ('r_code'), ('r_note')) AS t(c)"
+
+
+@_query("required_summary", _REQUIRED)
+def required_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = SpecCollection.from_dicts([{"id": "r_name", "nullable": False, "values": "ASIA"}, {"id": "r_code"}, {"id": "r_note"}])
+    return validate(_read(spark, sf_dir, "region"), spec, "r_regionkey").summary
+
+
 @_query("errors_required", "SELECT r_regionkey, 'required' AS keyword, 'must have required property ''r_code''' AS message FROM region")
 def errors_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = SpecCollection.from_dicts([{"id": "r_name", "nullable": False}, {"id": "r_code"}])
@@ -211,10 +269,7 @@ def part_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of the first 5,000 rows that have any. Row numbers come from counts per range of keys, added up."""
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    part = F.floor(F.col("o_orderkey") / 4096)
-    sizes = orders.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rows = orders.withColumn("part", part).withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey"))).join(before, "part").select((F.col("before") + F.col("k")).alias("row"), "o_orderstatus")
+    rows = numbered_in_ranges(orders, "o_orderkey", 4096)
     spec = SpecCollection.from_dicts([{"id": "o_orderstatus", "nullable": False, "values": ["F", "O"]}])
     return first_chunk(error_rows(rows, constraints(spec, rows), ["row"])).select("row", "column", "keyword", "data")
 
@@ -253,11 +308,6 @@ def check_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("delivery_sorted", "SELECT concat_ws(chr(9), n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR) AS line FROM nation")
-def delivery_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(sorted_rows(_read(spark, sf_dir, "nation")))
-
-
 @_query(
     "spec_table",
     """
@@ -305,8 +355,37 @@ def orders_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("quarantine", "SELECT o_orderkey, NOT (o_orderstatus NOT IN ('F', 'O') OR length(o_orderpriority) > 8 OR NOT regexp_matches(o_orderpriority, '^[1-4]-') OR o_orderpriority = '5-LOW' OR NOT (o_totalprice BETWEEN 0 AND 400000) OR (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')) AS good FROM orders")
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = validate(_orders(spark, sf_dir), ORDERS_SPEC, "o_orderkey").split()
-    return good.select("o_orderkey", F.lit(True).alias("good")).union(bad.select("o_orderkey", F.lit(False)))
+    return validate(_orders(spark, sf_dir), ORDERS_SPEC, "o_orderkey").flagged("good").select("o_orderkey", "good")
+
+
+@_query("quarantine_split", "SELECT (o_orderstatus NOT IN ('F', 'O')) AS bad, count(*) AS n FROM orders GROUP BY 1")
+def quarantine_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = SpecCollection.from_dicts([{"id": "o_orderstatus", "nullable": False, "values": ["F", "O"]}])
+    parts = validate(_read(spark, sf_dir, "orders"), spec, "o_orderkey").split()
+    both = parts[0].select(F.lit(False).alias("bad")).union(parts[1].select(F.lit(True)))
+    return both.groupBy("bad").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FULL = """
+    SELECT o_orderkey, 'o_orderstatus' AS "column", 'enum' AS keyword, 'must be equal to one of the allowed values' AS message, '["F", "O"]' AS schema, o_orderstatus AS data,
+      '{"type": "string", "maxLength": 1, "enum": ["F", "O"]}' AS parent_schema, '{"allowedValues": ["F", "O"]}' AS params FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+    UNION ALL SELECT o_orderkey, 'o_orderpriority', 'maxLength', 'must NOT have more than 8 characters', '8', o_orderpriority,
+      '{"type": "string", "maxLength": 8, "pattern": "^[1-4]-"}', '{"limit": 8}' FROM orders WHERE length(o_orderpriority) > 8
+    UNION ALL SELECT o_orderkey, 'o_orderpriority', 'pattern', 'must match pattern "^[1-4]-"', '^[1-4]-', o_orderpriority,
+      '{"type": "string", "maxLength": 8, "pattern": "^[1-4]-"}', '{"pattern": "^[1-4]-"}' FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-')
+    UNION ALL SELECT o_orderkey, 'p5', 'type', 'must be string', 'string', NULL, '{"type": "string"}', '{"type": "string"}' FROM orders WHERE o_orderpriority = '5-LOW'
+"""
+
+
+@_query("errors_all_columns", _FULL)
+def errors_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a whole specification with all that is said about them."""
+    return validate(_orders(spark, sf_dir), ORDERS_SPEC, "o_orderkey").errors
+
+
+@_query("summary_all_columns", f"WITH e AS ({_FULL}) SELECT * EXCLUDE (o_orderkey), min(o_orderkey) AS first_row_affected, max(o_orderkey) AS last_row_affected, count(*) AS n_rows_affected FROM e GROUP BY ALL")
+def summary_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate(_orders(spark, sf_dir), ORDERS_SPEC, "o_orderkey").summary
 
 
 @_query("stream_errors", SQL["errors_enum"])
@@ -318,8 +397,7 @@ def stream_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{sf_dir}/orders.parquet"
     schema = spark.read.parquet(at).schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parque[t]")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     query = stream_errors(stream, spec, ["o_orderkey"]).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
     query.awaitTermination()
     return spark.read.schema(query_schema(schema)).parquet(f"{out}/rows").select("o_orderkey", "column", "keyword", "data")
@@ -335,8 +413,12 @@ def query_schema(schema) -> str:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from tabwright import queries_files
+
+    return dict(QUERIES) | queries_files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from tabwright import queries_files
+
+    return dict(SQL) | queries_files.SQL

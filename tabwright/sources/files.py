@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabwright.functions.columns import FROM_TEXT
 from tabwright.spec import SpecCollection, SpecError
 
 try:
@@ -62,8 +63,11 @@ def yaml_to_json(yaml_path: str, json_path: str, pretty: bool = True) -> None:
 
 
 def read_delimited(spark: SparkSession, path: str, spec: SpecCollection | None = None, sep: str = "\t", **options: Any) -> DataFrame:
-    """A delimited file with a header. Columns of the specification get its types, found by name; others are strings."""
+    """A delimited file with a header, every value as its text. Columns of the specification that aren't meant to be text
+    are marked with their types: validation finds the values that can't be read, rules and ``typed`` read the others."""
     rows = spark.read.options(header=True, sep=sep, nullValue="", **options).csv(path)
     if spec is None:
         return rows
-    return rows.select(*[rows[f"`{c}`"].try_cast(spec[c].spark_type).alias(c) if c in spec.columns and spec[c].json_type != "string" else rows[f"`{c}`"] for c in rows.columns])
+    marked = {c: {FROM_TEXT: spec[c].spark_type.simpleString()} for c in rows.columns if c in spec.columns and spec[c].json_type != "string"}
+    return rows.select(*[rows[f"`{c}`"].alias(c, metadata=marked[c]) if c in marked else rows[f"`{c}`"] for c in rows.columns])
+

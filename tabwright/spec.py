@@ -11,9 +11,10 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, fields
 from typing import Any
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-RULE_TYPES = ("check_range", "check_unique", "check_condition")
+RULE_TYPES = ("check_range", "check_unique", "check_condition", "check_allowed_combinations")
 #: Condition operators in the order in which one is picked where only one may count.
 OPERATORS = ("equals", "not_equals", "in", "not_in", "greater", "less", "greater_equal", "less_equal", "range", "empty")
 _SPARK_TYPES = {"Char": T.StringType(), "Num": T.DoubleType(), "Int": T.LongType(), "Bool": T.BooleanType()}
@@ -24,6 +25,24 @@ class SpecError(ValueError):
     """A specification that can't be used."""
 
 
+def java_pattern(pattern: str) -> str:
+    """A pattern whose last ``$`` stands for the very end, as it does in specifications."""
+    return rf"{pattern[:-1]}\z" if pattern.endswith("$") and not pattern.endswith(r"\$") else pattern
+
+
+def pattern_error(pattern: str) -> str | None:
+    """What Java finds wrong with a pattern; None if nothing, or as long as there is no session to ask."""
+    session = SparkSession.getActiveSession()
+    jvm = getattr(session, "_jvm", None)
+    if jvm is None:
+        return None
+    try:
+        jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+    except Exception as e:  # what py4j raises holds Java's own text
+        return str(getattr(e, "java_exception", e)).splitlines()[0]
+    return None
+
+
 def _one(kind: type | tuple, name: str, value: Any) -> None:
     allowed = kind if isinstance(kind, tuple) else (kind,)
     if value is not None and (not isinstance(value, allowed) or isinstance(value, bool) and bool not in allowed):
@@ -35,6 +54,7 @@ class ColumnSpec:
     """One column: its type, whether it may be null, and what its values must be like.
 
     ``format`` documents the column and is never enforced; ``length`` is. ``nullable`` left open means not nullable.
+    ``pattern`` is a regular expression of Java; it is compiled when it is given if a session runs, else at first use.
     """
 
     id: str
@@ -58,11 +78,8 @@ class ColumnSpec:
         if values is not None and (not isinstance(values, (list, tuple)) or isinstance(values, str)):
             values = (values,)
         object.__setattr__(self, "values", tuple(values) if values else None)
-        if self.pattern is not None:
-            try:
-                re.compile(self.pattern)
-            except re.error as e:
-                raise SpecError(f"{self.id}: pattern {self.pattern!r}: {e}") from e
+        if self.pattern is not None and (error := pattern_error(self.pattern)):
+            raise SpecError(f"{self.id}: pattern {self.pattern!r}: {error}")
         if self.type in ("Num", "Int", "Bool") and (self.pattern is not None or self.length is not None):
             warnings.warn(f"{self.id}: pattern and length have no effect on a column of type {self.type}", stacklevel=3)
 
@@ -88,7 +105,10 @@ class ColumnSpec:
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule over whole rows or the whole table: a range, uniqueness, or an if/then condition."""
+    """A rule over whole rows or the whole table: a range, uniqueness, an if/then condition, or allowed combinations.
+
+    ``allowed`` lists the combinations of values that ``column`` may have, each in the order of these columns.
+    """
 
     id: str
     type: str
@@ -96,6 +116,7 @@ class Rule:
     then: Mapping[str, Mapping[str, Any]] | None = None
     column: tuple[str, ...] | None = None
     range: tuple | None = None
+    allowed: tuple[tuple, ...] | None = None
 
     def __post_init__(self) -> None:
         if not isinstance(self.id, str) or not self.id:
@@ -109,7 +130,11 @@ class Rule:
             if len(flat) != 2:
                 raise SpecError(f"rule {self.id}: range must have two values, not {len(flat)}")
             object.__setattr__(self, "range", flat)
-        needed = {"check_range": ("column", "range"), "check_unique": ("column",), "check_condition": ("condition", "then")}[self.type]
+        if self.allowed is not None:
+            object.__setattr__(self, "allowed", tuple(tuple(a) if isinstance(a, (list, tuple)) else (a,) for a in self.allowed))
+            if wrong := [a for a in self.allowed if len(a) != len(column or ())]:
+                raise SpecError(f"rule {self.id}: {list(wrong[0])!r} doesn't have a value for each of {', '.join(column or ())}")
+        needed = {"check_range": ("column", "range"), "check_unique": ("column",), "check_condition": ("condition", "then"), "check_allowed_combinations": ("column", "allowed")}[self.type]
         if missing := [n for n in needed if not getattr(self, n)]:
             raise SpecError(f"rule {self.id}: {self.type} needs {', '.join(missing)}")
         if self.type == "check_range" and len(column) != 1:
@@ -127,7 +152,7 @@ class Rule:
     def to_dict(self) -> dict[str, Any]:
         plain = lambda p: None if p is None else {c: dict(o) for c, o in p.items()}
         column = None if self.column is None else self.column[0] if len(self.column) == 1 else list(self.column)
-        return {"id": self.id, "type": self.type, "condition": plain(self.condition), "then": plain(self.then), "column": column, "range": list(self.range) if self.range else None}
+        return {"id": self.id, "type": self.type, "condition": plain(self.condition), "then": plain(self.then), "column": column, "range": list(self.range) if self.range else None, "allowed": [list(a) for a in self.allowed] if self.allowed else None}
 
     @classmethod
     def from_dict(cls, given: Mapping[str, Any]) -> Rule:
@@ -144,7 +169,8 @@ def lowered(given: Mapping[str, Any]) -> dict[str, Any]:
 
     check_equal and check_unequal: then has the value that a column must, or must not, have; check_dependency: a column
     must be filled; check_mutual_exclusive: of two columns only one is filled. Flat conditions, as
-    {column: VISIT, equals: V03}, become {VISIT: {equals: V03}}.
+    {column: VISIT, equals: V03}, become {VISIT: {equals: V03}}. check_allowed_combinations names its ``columns``; a
+    combination may also be a mapping by column.
     """
     made = dict(given)
 
@@ -168,6 +194,10 @@ def lowered(given: Mapping[str, Any]) -> dict[str, Any]:
     elif kind == "check_mutual_exclusive":
         first, second = made.pop("columns", None) or made.pop("column")
         made |= {"type": "check_condition", "condition": {first: {"empty": False}}, "then": {second: {"empty": True}}}
+    elif kind == "check_allowed_combinations":
+        columns = made.pop("columns", None) or made.get("column")
+        columns = [columns] if isinstance(columns, str) else columns
+        made |= {"column": columns, "allowed": [[a.get(c) for c in columns or ()] if isinstance(a, Mapping) else a for a in made.get("allowed") or ()]}
     return made
 
 

@@ -21,7 +21,7 @@ def stream_errors(stream: DataFrame, spec: SpecCollection, key: list[str]) -> Da
 
 
 def stream_rule_violations(stream: DataFrame, rules: list[Rule], key: list[str]) -> DataFrame:
-    """(key..., rule_id) for each row that breaks a range or condition rule."""
+    """(key..., rule_id) for each row that breaks a rule on single rows."""
     found = [F.when(row_broken(stream, r), F.lit(r.id)) for r in rules if r.type != "check_unique"]
     return stream.select(*key, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("rule_id"))
 

@@ -6,7 +6,9 @@ import math
 
 import pytest
 
-from tabwright.operators.deliver import md5_of, write_metadata, write_table
+from tabwright.functions.columns import typed
+from tabwright.operators.deliver import lines, md5_of, sorted_rows, write_metadata, write_parts, write_table
+from tabwright.operators.validate import validate
 from tabwright.sources.files import read_delimited, read_json, read_yaml, write_json, write_yaml, yaml_to_json
 from tabwright.sources.word import SHORT, read_spec_table, spec_frame, write_spec_table, write_value_table
 from tabwright.spec import SpecCollection, SpecError
@@ -111,4 +113,42 @@ def test_delivery(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         write_metadata(spark, done)
     spec = SpecCollection.from_dicts([{"id": "id", "type": "Int"}, {"id": "d", "type": "Num"}])
-    assert sorted((r.id, r.s, r.d) for r in read_delimited(spark, path, spec).collect())[0] == (1, None, 15.0)
+    assert sorted((r.id, r.s, r.d) for r in typed(read_delimited(spark, path, spec)).collect())[0] == (1, None, 15.0)
+
+
+def test_parts(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay apart
+    df = spark.range(2000).selectExpr("id % 7 AS a", "concat('t ', id, ' ') AS b", "id / 4 AS c").repartition(5)
+    for k, compression in enumerate(("none", "gzip")):
+        manifest = write_parts(df, f"file://{tmp_path}/{k}", compression=compression)
+        rows = manifest.orderBy("part").collect()
+        assert sum(r.n_rows for r in rows) == 2000 and {r.n_cols for r in rows} == {3} and len(rows) > 1
+        text = []
+        for r in rows:
+            data = open(r.path.removeprefix("file:"), "rb").read()
+            assert (hashlib.md5(data).hexdigest(), len(data)) == (r.md5sum, r.n_bytes)
+            head, *body = (gzip.decompress(data) if compression == "gzip" else data).decode().splitlines()
+            assert head == "a\tb\tc" and len(body) == r.n_rows
+            text += body
+        assert text == [r.line for r in lines(sorted_rows(df)).collect()]
+        assert manifest.count() == spark.read.json(f"file://{tmp_path}/{k}/manifest").count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with pytest.raises(ValueError):
+        write_parts(df, f"file://{tmp_path}/x", compression="zip")
+
+
+def test_bad_values_of_delimited_files_stay(spark, tmp_path):
+    path = tmp_path / "bad.tsv"
+    path.write_text("k\tn\ti\tb\ts\n1\t1.5\t2\tTRUE\tx\n2\tabc\t2.5\tfalse\t7\n3\t\tx\tmaybe\t\n4\tNaN\t3.0\t\ty\n5\t2\t9007199254740993\tT\tz\n")
+    columns = [{"id": "n", "type": "Num", "nullable": True}, {"id": "i", "type": "Int", "nullable": True, "values": [2, 3, 9007199254740993]}, {"id": "b", "type": "Bool", "nullable": True}, {"id": "s", "nullable": True}]
+    spec = SpecCollection.from_dicts(columns, [{"id": "r", "type": "check_range", "column": "n", "range": [0, 1]}])
+    df = read_delimited(spark, str(path), spec)
+    result = validate(df, spec, "k")
+    assert sorted((r.k, r.column, r.keyword, r.data) for r in result.errors.collect()) == [("2", "i", "enum", "2.5"), ("2", "i", "type", "2.5"), ("2", "n", "type", "abc"), ("3", "b", "type", "maybe"), ("3", "i", "enum", "x"), ("3", "i", "type", "x")]
+    assert not result.is_valid
+    assert [(r.n_violations, r.valid) for r in result.rule_results().collect()] == [(2, False)]
+    assert sorted(r.k for r in result.split()[0].collect()) == ["4"]
+    back = {r.k: r for r in typed(df).collect()}
+    assert back["5"].i == 9007199254740993 and back["4"].i == 3 and back["2"].n is None and math.isnan(back["4"].n) and back["1"].b is True
+    # As read where types are guessed: one bad value makes its whole column text.
+    assert sorted(r.k for r in validate(df, spec, "k", compat="reference", blank_as_null=True).errors.where("column = 'n'").collect()) == ["1", "2", "4", "5"]

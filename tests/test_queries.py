@@ -18,7 +18,7 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", list(core.queries()))
 def test_same_as_sql(spark, sf_dir, duck, name):
-    got, want = core.queries()[name](spark, sf_dir).toPandas(), duck.execute(core.SQL[name]).df()
+    got, want = core.queries()[name](spark, sf_dir).toPandas(), duck.execute(core.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda d: sorted(map(str, d[sorted(d.columns)].astype(object).where(d.notna(), None).values.tolist()))
     assert rows(got) == rows(want)

@@ -7,18 +7,18 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabwright.operators.rules import RuleViolation, apply_rules, rule_results, validate_rules, violating_rows
+from tabwright.operators.rules import RuleViolation, apply_rules, not_in_combinations, rule_results, validate_rules, violating_rows
 from tabwright.spec import Rule, SpecError
 
-COLUMNS = (
-    "VISIT string, STATUS string, AGE double, CONSENT string, CONSENT_DATE string, SUBJECT_ID double, STUDYID string, DOMAIN string, "
-    "SUBJIDN double, GFSEQID string, GFORRES double, GFREASND string, GFSTAT string, GFSPEC string, GFTESTCD string, WEIGHT double"
-)
+COLUMNS = "parcel long, stop int, state string, weight double, signed_by string, signed_on date, route string, fee double, refund double, note string"
 ROWS = [
-    ("V03", "COMPLETED", 25.0, "YES", "2023-01-01", 1.0, "1234-5678", "GF", 1.0, "KRAS", None, "DATA ANALYSIS QC FAILED", "NOT DONE", "toRNA", "TRNSCPTN", 15.0),
-    ("EOT", "DROPPED", 70.0, "NO", "2023-02-02", 2.0, "1234-5678", "GF", 2.0, "KRAS", 7.0, "", None, "toRNA", "TRNSCPTN", 4.0),
-    ("V03", "IN_PROGRESS", 25.0, "YES", "2023-01-02", 1.0, "5678-1234", "GF", 1.0, "MYC", None, "DATA ANALYSIS QC FAILED", "NOT DONE", "toRNA", "TRNSCPTN", 15.0),
-    ("V05", "COMPLETED", 65.0, "", None, 3.0, "1234-5678", "GF", 3.0, "KRAS", 32.0, "", None, "toRNA", "TRNSCPTN", 20.0),
+    (11, 1, "sent", 0.5, None, None, "north", 4.0, None, ""),
+    (11, 2, "arrived", 0.5, "ann", "2024-05-02", "north", 4.0, None, "at the door"),
+    (11, 2, "arrived", 0.5, "ann", "2024-05-02", "north", None, 4.0, None),
+    (12, 1, "sent", 30.0, None, None, "south", 12.5, None, None),
+    (12, 2, "lost", 30.0, "", None, "south", 12.5, 12.5, "search"),
+    (13, None, "arrived", math.nan, "", "2024-05-04", "north", 0.0, None, None),
+    (13, None, "arrived", 31.0, "bo", None, None, 7.0, None, "10"),
 ]
 
 
@@ -27,27 +27,31 @@ def when(condition, then):
 
 
 CASES = [
-    (when({"VISIT": {"equals": "V03"}}, {"STATUS": {"equals": "COMPLETED"}}), 1),
-    (when({"VISIT": {"equals": "V03"}}, {"STATUS": {"not_equals": "DROPPED"}}), 0),
-    ({"type": "check_range", "column": "AGE", "range": [18, 65]}, 1),
-    ({"type": "check_range", "column": "AGE", "range": [18, 70]}, 0),
-    (when({"CONSENT": {"equals": "YES"}}, {"CONSENT_DATE": {"empty": False}}), 0),
-    (when({"CONSENT": {"equals": "YES"}}, {"CONSENT_DATE": {"empty": True}}), 2),
-    (when({"CONSENT": {"empty": False}}, {"CONSENT_DATE": {"empty": False}}), 0),
-    ({"type": "check_unique", "column": ["SUBJECT_ID", "VISIT"]}, 1),
-    ({"type": "check_unique", "column": ["SUBJECT_ID", "GFSEQID", "VISIT"]}, 0),
-    (when({"VISIT": {"equals": "V03"}}, {"STATUS": {"in": ["COMPLETED", "IN_PROGRESS"]}, "CONSENT": {"equals": "YES"}, "AGE": {"range": [10, 100]}, "WEIGHT": {"greater_equal": 5}}), 0),
-    (when({"STUDYID": {"equals": "1234-5678"}}, {"DOMAIN": {"equals": "GF"}}), 0),
-    (when({"STUDYID": {"equals": "1234-5678"}}, {"DOMAIN": {"not_equals": "DF"}}), 0),
-    ({"type": "check_range", "column": "GFORRES", "range": [0, 100000000]}, 0),
-    (when({"GFREASND": {"empty": False}}, {"GFORRES": {"empty": True}}), 0),
-    (when({"GFSPEC": {"equals": "toRNA"}}, {"GFTESTCD": {"equals": "TRNSCPTN"}}), 0),
+    (when({"state": {"equals": "arrived"}}, {"signed_by": {"empty": False}}), 1),
+    (when({"state": {"equals": "arrived"}}, {"signed_on": {"empty": False}}), 1),
+    ({"type": "check_range", "column": "weight", "range": [0.5, 30]}, 1),
+    ({"type": "check_range", "column": "weight", "range": [0.6, 31]}, 3),
+    ({"type": "check_range", "column": "note", "range": [0, 9]}, 1),
+    (when({"fee": {"greater": 0}}, {"refund": {"empty": True}}), 1),
+    (when({"refund": {"empty": False}}, {"state": {"in": ["lost", "sent"]}}), 1),
+    ({"type": "check_unique", "column": ["parcel", "stop"]}, 2),
+    ({"type": "check_unique", "column": ["parcel", "stop", "weight", "fee"]}, 0),
+    ({"type": "check_unique", "column": "route"}, 4),
+    (when({"route": {"equals": "north"}}, {"weight": {"less": 1}}), 0),
+    (when({"route": {"not_equals": "north"}}, {"weight": {"less_equal": 30}, "fee": {"range": [12.5, 20]}}), 0),
+    (when({"route": {"in": ["south", None]}}, {"weight": {"less": 31}}), 1),
+    (when({"stop": {"equals": 2}}, {"state": {"not_in": ["sent"]}, "fee": {"greater_equal": 4}}), 0),
+    ({"type": "check_allowed_combinations", "columns": ["stop", "state"], "allowed": [[1, "sent"], [2, "arrived"], [None, "arrived"]]}, 1),
+    ({"type": "check_mutual_exclusive", "columns": ["fee", "refund"]}, 1),
 ]
 
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    return spark.createDataFrame(ROWS, COLUMNS)
+    from datetime import date
+
+    rows = [tuple(date.fromisoformat(x) if k == 5 and x else x for k, x in enumerate(r)) for r in ROWS]
+    return spark.createDataFrame(rows, COLUMNS)
 
 
 def test_fixed_frame(frame):
@@ -55,16 +59,36 @@ def test_fixed_frame(frame):
     results = apply_rules(frame, rules)
     assert [r.n_violations for r in results] == [n for _, n in CASES]
     assert [r.valid for r in results] == [n == 0 for _, n in CASES]
-    assert "2 rows" in results[5].message and results[1].message is None
+    assert "3 rows" in results[3].message and results[8].message is None
 
 
 def test_raise_and_rows(frame):
-    rules = [Rule.from_dict({"id": "age", **CASES[2][0]}), Rule.from_dict({"id": "u", **CASES[7][0]})]
-    with pytest.raises(RuleViolation, match="AGE") as e:
+    rules = [Rule.from_dict({"id": "heavy", **CASES[2][0]}), Rule.from_dict({"id": "u", **CASES[7][0]}), Rule.from_dict({"id": "pairs", **CASES[14][0]})]
+    with pytest.raises(RuleViolation, match="weight") as e:
         validate_rules(frame, rules)
-    assert [r.id for r in e.value.results] == ["age", "u"]
-    assert [r.VISIT for r in violating_rows(frame, rules[0]).collect()] == ["EOT"]
-    assert [r.STATUS for r in violating_rows(frame, rules[1], ["STUDYID"]).collect()] == ["IN_PROGRESS"]
+    assert [r.id for r in e.value.results] == ["heavy", "u", "pairs"]
+    assert [r.note for r in violating_rows(frame, rules[0]).collect()] == ["10"]
+    assert sorted((r.parcel, r.fee) for r in violating_rows(frame, rules[1], ["fee"]).collect()) == [(11, 4.0), (13, 7.0)]
+    assert [r.state for r in violating_rows(frame, rules[2]).collect()] == ["lost"]
+
+
+def test_combinations(frame):
+    given = {"id": "p", "type": "check_allowed_combinations", "columns": ["stop", "state"], "allowed": [{"state": "sent", "stop": 1}, {"stop": 2, "state": "lost"}]}
+    rule = Rule.from_dict(given)
+    assert rule.allowed == ((1, "sent"), (2, "lost")) and Rule.from_dict(rule.to_dict()) == rule
+    assert apply_rules(frame, [rule])[0].n_violations == 4
+    assert not_in_combinations(frame, given["allowed"]).count() == 4
+    assert not_in_combinations(frame, []).count() == len(ROWS)
+    for wrong in ({"allowed": []}, {"allowed": [[1]]}, {"columns": []}):
+        with pytest.raises(SpecError):
+            Rule.from_dict(given | wrong)
+
+
+def test_long_texts_are_grouped_by_digest(spark):
+    long = "x" * 65
+    df = spark.createDataFrame([(1, long), (2, long), (3, long + "y"), (4, "short"), (5, "short"), (6, None), (7, None), (8, "")], "k int, t string")
+    assert apply_rules(df, [Rule("u", "check_unique", column=("t",))])[0].n_violations == 3
+    assert sorted(r.k for r in violating_rows(df, Rule("u", "check_unique", column=("t",)), ["k"]).collect()) == [2, 5, 7]
 
 
 def test_no_rules_and_empty_table(spark, frame):
@@ -116,12 +140,12 @@ def test_strict_bounds(spark):
 
 def test_older_shapes(frame):
     given = [
-        {"id": "a", "type": "check_equal", "condition": {"column": "VISIT", "equals": "V03"}, "then": {"column": "STATUS", "equals": "COMPLETED"}},
-        {"id": "b", "type": "check_unequal", "condition": {"column": "VISIT", "equals": "V03"}, "then": {"column": "STATUS", "equals": "COMPLETED"}},
-        {"id": "c", "type": "check_dependency", "condition": {"column": "CONSENT", "equals": "YES"}, "then": "CONSENT_DATE"},
-        {"id": "d", "type": "check_mutual_exclusive", "columns": ["GFREASND", "GFORRES"]},
+        {"id": "a", "type": "check_equal", "condition": {"column": "stop", "equals": 2}, "then": {"column": "state", "equals": "arrived"}},
+        {"id": "b", "type": "check_unequal", "condition": {"column": "stop", "equals": 2}, "then": {"column": "state", "equals": "arrived"}},
+        {"id": "c", "type": "check_dependency", "condition": {"column": "state", "equals": "arrived"}, "then": "route"},
+        {"id": "d", "type": "check_mutual_exclusive", "columns": ["note", "refund"]},
     ]
-    assert [r.n_violations for r in apply_rules(frame, [Rule.from_dict(g) for g in given])] == [1, 1, 0, 0]
+    assert [r.n_violations for r in apply_rules(frame, [Rule.from_dict(g) for g in given])] == [1, 2, 1, 1]
 
 
 def test_one_scan_without_python(frame):

@@ -4,8 +4,8 @@ import math
 
 import pytest
 
-from tabwright.functions.columns import check_format, check_nullable, check_type
-from tabwright.operators.dataset import Agreement, ValidatedDataset
+from tabwright.functions.columns import check_format, check_nullable, check_pattern, check_type
+from tabwright.operators.dataset import Agreement, ValidatedDataset, make_container
 from tabwright.operators.rules import RuleViolation
 from tabwright.operators.validate import StructuralErrors, numbered, validate
 from tabwright.plans.schema import json_schema
@@ -102,12 +102,14 @@ def test_results_and_dataset(df):
     with pytest.raises(KeyError, match="not found"):
         deal.get("b")
     assert data.metadata.version == "2" and data.rules[0].id == "r" and data.column("k").type == "Int" and data.column("zz") is None
+    assert make_container(spec, df, "k").labels == ["table1"]
+    assert data.result("one").flagged("ok").where("ok").count() == 4
     good, bad = data.result("one").split()
     assert good.count() == 4 and bad.count() == 1
 
 
-def test_spec_mistakes():
-    for given in ({"id": "a b"}, {"id": ""}, {"id": "a", "label": 1}, {"id": "a", "nullable": "Yes"}, {"id": "a", "length": "8"}, {"id": "a", "pattern": "("}, {"label": "x"}):
+def test_spec_mistakes(spark):
+    for given in ({"id": "a b"}, {"id": ""}, {"id": "a", "label": 1}, {"id": "a", "nullable": "Yes"}, {"id": "a", "length": "8"}, {"id": "a", "pattern": "("}, {"id": "a", "pattern": "(?P<x>a)"}, {"label": "x"}):
         with pytest.raises(SpecError):
             ColumnSpec.from_dict(given)
     with pytest.raises(SpecError, match="more than once"):
@@ -118,6 +120,12 @@ def test_spec_mistakes():
         SpecCollection.from_dicts("abc")
 
 
+def test_patterns_are_javas(df):
+    assert [x[0] for x in found(df, {"id": "s", "nullable": True, "pattern": r"^\p{L}+$"})] == [4]
+    assert ColumnSpec("a", pattern=r"(?<x>a)\k<x>").pattern
+    assert df.agg(check_pattern(df.s, "a$").alias("x")).first()[0] is False
+
+
 def test_json_schema():
     spec = SpecCollection.from_dicts([{"id": "a", "nullable": True, "values": ["x"], "length": 3.0}, {"id": "n", "type": "Int", "nullable": False, "values": ["1"]}, {"id": "d", "type": "Date9"}])
     assert json_schema(spec)["items"] == {
