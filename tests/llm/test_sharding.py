@@ -1,9 +1,11 @@
+import heapq
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 
-from tabwright.llm.sharding import assign_shards, longest_first, op9_sharding
+from tabwright.llm.sharding import assign_shards, carried_names, levelled, longest_first, op9_sharding
 
 
 def check(rows, got, shards=24):
@@ -50,6 +52,42 @@ def test_hot_group(spark):
     assert max(rest) - min(rest) < 0.05 * sum(loads) / 8
 
 
+def heap_over_all(sizes, shards):
+    """LPT with a heap over every single group: loads, and how many groups of each size a shard has."""
+    heap, got = [(0, k) for k in range(shards)], defaultdict(lambda: [0] * shards)
+    for size in sorted(sizes, reverse=True):
+        load, k = heapq.heappop(heap)
+        got[size][k] += 1
+        heapq.heappush(heap, (load + size, k))
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])], dict(got)
+
+
 def test_longest_first():
-    assert longest_first([("a", 5), ("b", 4), ("c", 3), ("d", 3), ("e", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+    assert longest_first([(5, 1), (4, 1), (3, 3)], 2) == {5: [1, 0], 4: [0, 1], 3: [1, 2]}
     assert longest_first([], 3) == {}
+    rng = random.Random(5)
+    for shards in (1, 2, 7, 24):
+        for most in (3, 40, 2000):
+            sizes = [rng.choice([8, 9, rng.randrange(8, 60), rng.randrange(8, 5000)]) for _ in range(most)] + [9] * most * 3
+            assert longest_first(Counter(sizes).items(), shards) == heap_over_all(sizes, shards)[1]
+    loads = [7, 3, 3, 10]
+    assert levelled(loads, 4, 6) == [1, 2, 2, 1] and levelled(loads, 4, 1) == [0, 1, 0, 0]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_as_a_heap_over_all_groups(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    loads, _ = check(rows, assign_shards(docs, chunk_rows=50).collect())
+    groups = Counter()
+    for _, t in rows:
+        groups[t or ""] += len((t or "").encode()) + 8
+    assert loads == heap_over_all(groups.values(), 24)[0]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6, "s", "c"), (2, "b", 7, 8, "t", "d")], "doc_id int, text string, shard int, slot int, size string, text_crc32 string")
+    got = assign_shards(docs, 2, carry=["text", "shard", "slot", "size", "text_crc32"])
+    assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "text", "shard_given", "slot_given", "size_given", "text_crc32_given"]
+    assert sorted(tuple(r)[5:] for r in got.collect()) == [("a", 5, 6, "s", "c"), ("b", 7, 8, "t", "d")]
+    assert carried_names(["Size", "size_given"]) == {"Size": "Size_given_given", "size_given": "size_given"}
