@@ -1,10 +1,10 @@
-"""Signature rules for licences: name patterns, and the forms of statement in which a name may stand.
+"""Signature rules for licences, written by hand: identifiers, names, and the wording of bodies, notices, warranties, headers.
 
-Each rule is one regular expression over lower-case text whose words are joined by single blanks. A licence's rules
-are written by hand as name patterns; the statement forms of ``FORMS`` are applied to every name, which makes
-hundreds of rules but finds no more texts than the names do: a form says how telling a name is. ``SIGNATURES`` are
-written by hand as well and know licences by their wording, without their names: bodies, notices, warranty clauses and
-file headers. Rules of a form or kind carry its priority: of overlapping detections the more telling one stays.
+Each rule is one regular expression over lower-case text whose words are joined by single blanks, with a keyword that any
+match has, a priority and a weight. ``SPDX`` lists identifiers, which count after "SPDX-License-Identifier" and, those that
+no prose has, anywhere. ``NAMES`` holds what licences are called; names of a version or a clause count come before those of
+a family. ``SIGNATURES`` know licences by their wording, without their names. ``STATEMENTS`` are no rules: they say what
+stands before a name, and so how telling it is there.
 """
 
 from __future__ import annotations
@@ -15,35 +15,37 @@ from typing import NamedTuple
 
 class Rule(NamedTuple):
     label: str
-    form: str
+    kind: str
     pattern: str
     keyword: str  # a literal that any text matching the pattern has
     priority: int
     weight: float
+    tagged: bool = False  # counts only where ``TAG`` ends right before the match
 
 
 #: label: (keyword, pattern) pairs. The keyword is a literal part of each match.
 NAMES: dict[str, list[tuple[str, str]]] = {
-    "mit": [("mit", r"(?:the )?mit(?: expat)? licen[cs]e"), ("expat", r"expat licen[cs]e"), ("mit", r"mit x11 licen[cs]e")],
+    "mit": [("mit", r"(?:the )?mit(?: expat)? licen[cs]e"), ("expat", r"expat licen[cs]e"), ("mit", r"mit x11 licen[cs]e"), ("mit", r"mit style licen[cs]e"), ("mit", r"licen[cs]e mit licen[cs]e")],
     "mit-0": [("mit", r"mit no attribution(?: licen[cs]e)?")],
     "apache": [("apache", r"apache(?: software)? licen[cs]e"), ("asl", r"asl 2 0")],
     "apache-1.1": [("apache", r"apache(?: software)? licen[cs]e (?:version |v )?1 1")],
     "apache-2.0": [("apache", r"apache(?: software)? licen[cs]e (?:version |v )?2(?: 0)?"), ("apache", r"apache 2 0")],
-    "gpl": [("general public", r"(?:gnu )?general public licen[cs]e"), ("gnu gpl", r"gnu gpl")],
+    "gpl": [("general public", r"(?:gnu )?general public licen[cs]e"), ("gnu gpl", r"gnu gpl"), ("gpl", r"gpl(?: licen[cs]e| licen[cs]ed)")],
     "gpl-1.0": [("general public", r"(?:gnu )?general public licen[cs]e (?:version |v )1(?: 0)?")],
-    "gpl-2.0": [("general public", r"(?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )2(?: 0)?"), ("gplv2", r"gplv2")],
-    "gpl-3.0": [("general public", r"(?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )3(?: 0)?"), ("gplv3", r"gplv3")],
+    "gpl-2.0": [("general public", r"(?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )2(?: 0)?"), ("gplv2", r"gplv2"), ("gpl", r"(?:gnu )?gpl (?:version |v )?v?2(?: 0)?(?: only| or later| or any later version)?")],
+    "gpl-3.0": [("general public", r"(?:gnu )?general public licen[cs]e (?:as published by the free software foundation )?(?:either )?(?:version |v )3(?: 0)?"), ("gplv3", r"gplv3"), ("gpl", r"(?:gnu )?gpl (?:version |v )?v?3(?: 0)?(?: only| or later| or any later version)?")],
     "lgpl": [("lesser general", r"(?:gnu )?lesser general public licen[cs]e"), ("library general", r"(?:gnu )?library general public licen[cs]e"), ("lgpl", r"(?:gnu )?lgpl")],
-    "lgpl-2.1": [("lesser general", r"lesser general public licen[cs]e (?:version |v )2 1"), ("lgplv2", r"lgplv2(?: 1)?")],
-    "lgpl-3.0": [("lesser general", r"lesser general public licen[cs]e (?:version |v )3(?: 0)?"), ("lgplv3", r"lgplv3")],
-    "agpl": [("affero", r"(?:gnu )?affero(?: general)?(?: public)? licen[cs]e"), ("agpl", r"(?:gnu )?agpl(?:v3)?")],
+    "lgpl-2.1": [("lesser general", r"lesser general public licen[cs]e (?:version |v )2 1"), ("lgplv2", r"lgplv2(?: 1)?"), ("lgpl", r"(?:gnu )?lgpl (?:version |v )?v?2 1(?: only| or later)?")],
+    "lgpl-3.0": [("lesser general", r"lesser general public licen[cs]e (?:version |v )3(?: 0)?"), ("lgplv3", r"lgplv3"), ("lgpl", r"(?:gnu )?lgpl (?:version |v )?v?3(?: 0)?(?: only| or later)?")],
+    "agpl": [("affero", r"(?:gnu )?affero(?: general)?(?: public)? licen[cs]e"), ("agpl", r"(?:gnu )?agpl")],
+    "agpl-3.0": [("affero", r"(?:gnu )?affero general public licen[cs]e (?:version |v )?3(?: 0)?"), ("agplv3", r"(?:gnu )?agplv3"), ("agpl", r"(?:gnu )?agpl (?:version |v )?v?3(?: 0)?(?: only| or later)?")],
     "gfdl": [("free documentation", r"(?:gnu )?free documentation licen[cs]e"), ("gfdl", r"gfdl")],
-    "bsd": [("bsd", r"(?:modified |new |revised |simplified )?bsd(?: style)? licen[cs]e")],
-    "bsd-2-clause": [("bsd", r"bsd 2 clause"), ("bsd", r"2 clause bsd"), ("freebsd", r"freebsd licen[cs]e"), ("bsd", r"simplified bsd")],
-    "bsd-3-clause": [("bsd", r"bsd 3 clause"), ("bsd", r"3 clause bsd"), ("bsd", r"(?:new|revised|modified) bsd")],
-    "bsd-4-clause": [("bsd", r"bsd 4 clause"), ("bsd", r"4 clause bsd"), ("bsd", r"original bsd licen[cs]e")],
-    "0bsd": [("bsd", r"(?:zero clause|0 clause) bsd"), ("0bsd", r"0bsd")],
-    "isc": [("isc", r"isc licen[cs]e")],
+    "bsd": [("bsd", r"bsd(?: style)? licen[cs]e"), ("berkeley", r"berkeley software distribution licen[cs]e")],
+    "bsd-2-clause": [("bsd", r"bsd (?:2|two) clause(?: licen[cs]e)?"), ("bsd", r"(?:2|two) clause bsd(?: licen[cs]e)?"), ("freebsd", r"freebsd licen[cs]e"), ("bsd", r"simplified bsd(?: licen[cs]e)?")],
+    "bsd-3-clause": [("bsd", r"bsd (?:3|three) clause(?: licen[cs]e)?"), ("bsd", r"(?:3|three) clause bsd(?: licen[cs]e)?"), ("bsd", r"(?:new|revised|modified) bsd(?: licen[cs]e)?")],
+    "bsd-4-clause": [("bsd", r"bsd (?:4|four) clause(?: licen[cs]e)?"), ("bsd", r"(?:4|four) clause bsd(?: licen[cs]e)?"), ("bsd", r"(?:original|old) bsd licen[cs]e")],
+    "0bsd": [("bsd", r"(?:zero clause|0 clause) bsd(?: licen[cs]e)?"), ("0bsd", r"0bsd(?: licen[cs]e)?")],
+    "isc": [("isc", r"isc licen[cs]e"), ("internet systems", r"internet systems consortium licen[cs]e")],
     "mpl": [("mozilla", r"mozilla public licen[cs]e")],
     "mpl-1.1": [("mozilla", r"mozilla public licen[cs]e (?:version |v )?1 1")],
     "mpl-2.0": [("mozilla", r"mozilla public licen[cs]e (?:version |v )?2(?: 0)?"), ("mpl", r"mpl 2 0")],
@@ -118,13 +120,30 @@ NAMES: dict[str, list[tuple[str, str]]] = {
     "generic": [("licen", r"this work is licen[cs]ed"), ("licen", r"licen[cs]ed under"), ("licen", r"terms of (?:the|this) licen[cs]e")],
 }
 
-#: form: (what stands before the name, what after it, priority, weight)
-FORMS: dict[str, tuple[str, str, int, float]] = {
-    "identifier": (r"spdx licen[cs]e identifier ", r"", 40, 1.0),
-    "grant": (r"(?:licen[cs]ed|released|distributed|available|provided|published) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?", r"", 30, 0.95),
-    "reference": (r"(?:see|copy of|terms of|read|conditions of) (?:the )?(?:gnu )?", r"", 20, 0.8),
-    "name": (r"", r"", 10, 0.6),
-}
+#: What may stand before a name: (statement, pattern that ends right before the name, weight).
+STATEMENTS: list[tuple[str, str, float]] = [
+    ("grant", r"(?:licen[cs]ed|released|distributed|available|provided|published|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?(?:gnu )?$", 0.95),
+    ("reference", r"(?:see|copy of|terms of|read|conditions of|subject to) (?:the )?(?:gnu )?$", 0.8),
+]
+#: The last words of statements.
+STATEMENT_ENDS = ("under ", "by ", "the ", "gnu ", "see ", "of ", "read ", "to ")
+NAME_WEIGHT = 0.6
+#: Names that say no more than the family, which versions, clause counts and variants have names of their own for.
+FAMILIES = {"apache", "gpl", "lgpl", "agpl", "bsd", "mpl", "epl", "artistic", "cc", "cc-by"}
+#: Identifiers of licences as tools write them, without "-only" and "-or-later", which any of them may have.
+SPDX = (
+    "0BSD AFL-2.1 AFL-3.0 AGPL-1.0 AGPL-3.0 Apache-1.0 Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-1.0-Perl Artistic-2.0 Beerware BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent "
+    "BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 bzip2-1.0.6 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 "
+    "CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CECILL-B CECILL-C CPL-1.0 curl ECL-2.0 EFL-2.0 Elastic-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FSFAP FTL GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 "
+    "GPL-3.0 HPND ICU IJG IPL-1.0 ISC JSON LGPL-2.0 LGPL-2.1 LGPL-3.0 Libpng LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 ODC-By-1.0 OFL-1.1 OGL-UK-3.0 OLDAP-2.8 OpenSSL "
+    "OSL-3.0 PDDL-1.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby Sleepycat SSPL-1.0 TCL Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1"
+).split()
+#: Labels of identifiers that are called otherwise above.
+SPDX_LABELS = {"bsl": "boost", "busl": "bsl", "oldap": "openldap", "psf": "python", "mulanpsl": "mulan", "unicode-dfs": "unicode", "artistic-1.0-perl": "perl"}
+TAG_BEGINS = "spdx licen"
+TAG = r"spdx licen[cs]e identifier (?:(?:[^ ]+ ){1,24}?(?:or|and|with) )?$"
+#: Identifiers that are no words of any prose once "-" and "." are gone: they count without the tag too.
+TELLING = re.compile(r"(?:a?l?gpl|apache|artistic|bsd|cc by(?: nc| sa| nd)*|mpl|epl|cddl|eupl|osl|afl|ofl|lppl|zpl|odbl|gfdl|cecill|busl|sspl) ")
 
 
 #: kind of wording: (priority, weight)
@@ -189,16 +208,26 @@ SIGNATURES: list[tuple[str, str, str, str]] = [
 ]
 
 
+def spdx_label(identifier: str) -> str:
+    """The label of an identifier: its own name, or that of its family where versions aren't told apart."""
+    name = identifier.lower()
+    known = {*NAMES, *(label for label, *_ in SIGNATURES)}
+    family = re.sub(r"-\d[\d.]*[a-z]?$", "", name)
+    for n in (name, family):
+        if n in SPDX_LABELS or n in known:
+            return SPDX_LABELS.get(n, n)
+    return name
+
+
 def rules() -> list[Rule]:
-    """All rules, the more telling first within each kind: signatures of wording, then every form of every name."""
-    made = [Rule(label, kind, rf"(?<![^ ]){pattern}(?![^ ])", keyword, *KINDS[kind]) for label, kind, keyword, pattern in SIGNATURES]
-    made += [
-        Rule(label, form, rf"(?<![^ ]){before}(?:{pattern}){after}(?![^ ])", keyword, priority, weight)
-        for form, (before, after, priority, weight) in FORMS.items()
-        for label, names in NAMES.items()
-        for keyword, pattern in names
-        if not (label == "generic" and form != "name")
-    ]
+    """All rules: tagged identifiers, signatures of wording, identifiers anywhere, names."""
+    whole = lambda pattern: rf"(?<![^ ])(?:{pattern})(?![^ ])"
+    plain = {i: re.sub(r"[-.]", " ", i.lower()) for i in SPDX}
+    made = [Rule(spdx_label(i), "identifier", whole(rf"{w}(?: only| or later)?"), w, 40, 1.0, True) for i, w in plain.items()]
+    made += [Rule(label, kind, whole(pattern), keyword, *KINDS[kind]) for label, kind, keyword, pattern in SIGNATURES]
+    made += [Rule(spdx_label(i), "name", whole(rf"{w}(?: only| or later)"), w, 15, NAME_WEIGHT) for i, w in plain.items() if TELLING.match(w) and i.split("-")[0] in ("GPL", "LGPL", "AGPL", "GFDL")]
+    made += [Rule(spdx_label(i), "name", whole(w), w, 15, NAME_WEIGHT) for i, w in plain.items() if TELLING.match(w)]
+    made += [Rule(label, "name", whole(pattern), keyword, 5 if label == "generic" else 10 if label in FAMILIES else 15, NAME_WEIGHT) for label, names in NAMES.items() for keyword, pattern in names]
     for rule in made:
         re.compile(rule.pattern)
     return made

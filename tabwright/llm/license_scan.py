@@ -1,12 +1,15 @@
 """Licence detection by ordered signature rules.
 
 A rule runs on a text only if its keyword occurs there (one Aho-Corasick pass finds all keywords). Detections are then
-resolved in order of priority, then length: one whose words lie within those of a detection already taken is dropped,
-unless the taken one has the same extent and label. Base phrases are counted apart from this and are never dropped.
+resolved by priority: one whose extent lies within that of a detection of a higher priority, or around it, is dropped;
+among those of one priority, one that lies within another is (``resolved``). Detections that overlap in part all stay.
+Base phrases are counted apart from this and are never dropped. What is left of a name's detection is weighted by the
+statement that it stands in.
 
 Words are runs of digits, letters and non-ASCII characters, with A to Z lower-cased. Defined results: null counts as
-empty; a text without words has no detections and score 0; every row is scanned by itself, so repeated rows and null
-ids do no harm; only the id and text columns are read.
+empty; a text without words has no detections and score 0; texts of any length are scanned whole, in time proportional
+to their length but for sorting detections; every row is scanned by itself, so repeated rows and null ids do no harm;
+only the id and text columns are read, others may have any names.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import map_batches, table
-from tabwright.llm.license_rules import Rule, rules
+from tabwright.llm.license_rules import STATEMENT_ENDS, STATEMENTS, TAG, TAG_BEGINS, Rule, rules
 
 #: Fixed phrases of the contract and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+BEFORE = 320  # how far back a statement or a tag may begin
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
@@ -34,6 +38,30 @@ SCHEMA = (
 )
 
 
+def resolved(priority: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the intervals stay, as their places in order of start and end.
+
+    From the highest priority down: of one level, an interval within another goes (of equal ones the first stays), then
+    those that lie within, or around, one that stayed on a higher level.
+    """
+    kept = np.empty(0, np.int64)
+    for level in np.unique(priority)[::-1]:
+        own = np.flatnonzero(priority == level)
+        own = own[np.lexsort((own, -end[own], start[own]))]
+        furthest = np.maximum.accumulate(end[own])
+        own = own[np.concatenate(([True], end[own][1:] > furthest[:-1]))]
+        if len(kept):
+            kept = kept[np.lexsort((end[kept], start[kept]))]
+            s, e = start[kept], end[kept]
+            reach = np.concatenate(([-1], np.maximum.accumulate(e)))  # furthest end of those that start no later
+            nearest = np.concatenate((np.minimum.accumulate(e[::-1])[::-1], [np.iinfo(np.int64).max]))  # nearest end of those that start no earlier
+            within = reach[np.searchsorted(s, start[own], "right")] >= end[own]
+            around = nearest[np.searchsorted(s, start[own], "left")] <= end[own]
+            own = own[~within & ~around]
+        kept = np.concatenate((kept, own))
+    return kept[np.lexsort((end[kept], start[kept]))]
+
+
 class Scanner:
     """Rules with their keyword automaton."""
 
@@ -41,33 +69,49 @@ class Scanner:
         import ahocorasick
 
         self.rules = [(r, re.compile(r.pattern)) for r in ordered]
+        self.tag = re.compile(TAG)
+        self.statements = [(name, re.compile(rf"(?<![^ ]){pattern}"), weight) for name, pattern, weight in STATEMENTS]
         self.by_keyword: dict[str, list[int]] = {}
         for k, r in enumerate(ordered):
             self.by_keyword.setdefault(r.keyword, []).append(k)
         self.base = base
         self.automaton = ahocorasick.Automaton()
-        for word in {*self.by_keyword, *base}:
+        for word in {*self.by_keyword, *base, TAG_BEGINS}:
             self.automaton.add_word(word, word)
         self.automaton.make_automaton()
         # No keyword occurs in a text that has none of these; checked on the bytes before words are joined.
-        self.hints = re.compile("|".join(sorted({re.escape(max(w.split(), key=len)) for w in {*self.by_keyword, *base}})).encode())
-
-    def detections(self, words: str, found: Iterable[str]) -> list[tuple[Rule, int, int]]:
-        """Detections (rule, start, end) that remain, in text order."""
-        hits = [(r, m.start(), m.end()) for k in sorted({k for w in found for k in self.by_keyword.get(w, ())}) for r, p in [self.rules[k]] for m in p.finditer(words)]
-        hits.sort(key=lambda h: (-h[0].priority, h[1] - h[2], h[1], h[0].label))
-        taken: list[tuple[Rule, int, int]] = []
-        covered = np.zeros(len(words) + 1, bool)
-        for hit in hits:
-            _, start, end = hit
-            if not covered[start:end].any():
-                taken.append(hit)
-            elif not any(s <= start and end <= e for _, s, e in taken):
-                taken.append(hit)  # overlaps, but isn't contained
-            else:
-                continue
-            covered[start:end] = True
-        return sorted(taken, key=lambda h: (h[1], h[2]))
+        self.hints = re.compile("|".join(sorted({re.escape(max(w.split(), key=len)) for w in {*(r.keyword for r in ordered if not r.tagged), *base, TAG_BEGINS}})).encode())
+
+    def detections(self, words: str, found: Iterable[str]) -> list[tuple[str, str, float, int, int]]:
+        """Detections (label, form, weight, start, end) that remain, in text order."""
+        hits = []
+        for k in sorted({k for w in found for k in self.by_keyword.get(w, ())}):
+            rule, pattern = self.rules[k]
+            if not rule.tagged:
+                hits += [(rule, m.start(), m.end()) for m in pattern.finditer(words)]
+            elif TAG_BEGINS in found:
+                hits += [(rule, m.start(), m.end()) for m in pattern.finditer(words) if self.is_tagged(words, m.start())]
+        if not hits:
+            return []
+        stay = resolved(*(np.array(x, np.int64) for x in zip(*((r.priority, s, e) for r, s, e in hits), strict=True)))
+        out: list[tuple[str, str, float, int, int]] = []
+        for rule, start, end in (hits[k] for k in stay.tolist()):
+            form, weight = rule.kind, rule.weight
+            ahead = words[max(0, start - BEFORE) : start] if form == "name" else ""
+            if ahead.endswith(STATEMENT_ENDS):
+                for name, pattern, w in self.statements:
+                    if m := pattern.search(ahead):
+                        form, weight, begin = name, w, start - len(ahead) + m.start()
+                        while out and out[-1][0] == "generic" and begin <= out[-1][3] and out[-1][4] <= start:
+                            out.pop()  # the statement of this name, not one of its own
+                        break
+            out.append((rule.label, form, weight, start, end))
+        return out
+
+    def is_tagged(self, words: str, at: int) -> bool:
+        low = max(0, at - BEFORE)
+        begin = words.rfind(TAG_BEGINS, low, at)
+        return begin >= 0 and bool(self.tag.match(words[begin:at]))
 
     def scan(self, lowered: bytes) -> tuple:
         """n_base, first_word, last_word, base labels, all labels, score, detections of a text in lower case."""
@@ -77,21 +121,22 @@ class Scanner:
         found = {w for _, w in self.automaton.iter(words)}
         if not found:
             return 0, None, None, "", "", 0.0, []
-        nth = lambda at: words.count(" ", 0, at)
+        blanks = np.flatnonzero(np.frombuffer(words.encode("utf-32-le"), np.uint32) == 32)
+        nth = lambda places: np.searchsorted(blanks, places).tolist()
         padded, places, base = f" {words} ", [], set()
         for phrase, label in self.base.items():
             at = padded.find(f" {phrase} ")
             while at >= 0:
-                places.append(nth(at))
+                places.append(at)
                 base.add(label)
                 at = padded.find(f" {phrase} ", at + 1)
         kept = self.detections(words, found)
-        labels = base | {r.label for r, _, _ in kept}
-        miss = 1.0
-        for r, _, _ in kept:
-            miss *= 1 - r.weight
-        spans = [{"label": r.label, "form": r.form, "first_word": (first := nth(s)), "last_word": first + words.count(" ", s, e), "matched": words[s:e]} for r, s, e in kept]
-        return len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(max(1 - miss, 0.6 * bool(places)), 6), spans
+        labels = base | {k[0] for k in kept}
+        miss = float(np.prod([1 - k[2] for k in kept]))
+        bounds = zip(nth([k[3] for k in kept]), nth([k[4] for k in kept]), strict=True)
+        spans = [{"label": k[0], "form": k[1], "first_word": a, "last_word": b, "matched": words[k[3] : k[4]]} for k, (a, b) in zip(kept, bounds, strict=True)]
+        first, last = nth([min(places), max(places)]) if places else (None, None)
+        return len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), round(max(1 - miss, 0.6 * bool(places)), 6), spans
 
 
 def word_counts(texts: pa.Array) -> np.ndarray:
