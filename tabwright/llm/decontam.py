@@ -13,7 +13,9 @@ prefix tokens. Tokens of the items, and the keys of documents with candidates, a
 
 Defined results: null texts have no words; items without words are never found; null item ids are left out of lists
 and counts but their windows still hit; items and documents that repeat count once per id, respectively per row
-content. A document without words has no hit. Empty tables give no rows, or rows without hits.
+content. A document without words has no hit. Empty tables give no rows, or rows without hits. Texts of any length are
+cut into words whole; a row must fit in a task's memory with its words. Only the id and text columns are read, others
+may have any names.
 """
 
 from __future__ import annotations
@@ -148,8 +150,9 @@ def _verdicts(rows: DataFrame, least_share: int) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
     bad = contamination(docs, items, id_col, text_col, **settings).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.xxhash64(whole_text(text_col)) == F.col("bad_key"))
-    return docs.join(shared_table(bad, "contaminated"), same, "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(whole_text(text_col)).alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_key") == F.col("bad_key"))
+    return rows.join(shared_table(bad, "contaminated"), same, "left_anti").select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

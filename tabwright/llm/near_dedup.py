@@ -399,13 +399,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that with the smallest id, once if its row repeats."""
+    """``docs`` with one document of each group of near duplicates: that with the smallest id.
+
+    Of rows that repeat whole, in every column, one stays; other rows that share an id are one document and stay together.
+    """
     found = shared_table(near_duplicates(docs, id_col, text_col, words, percent), "near-duplicates")
-    rest = docs.join(found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    rest = docs.join(found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     again = shared_table(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)), "repeated-rows")
     if again.isEmpty():
         return rest
-    return rest.join(again, id_col, "left_anti").select(*docs.columns).unionByName(rest.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = rest.join(again, id_col, "left_semi").select(F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256).alias("digest"), whole.alias("row")).dropDuplicates(["digest"])
+    return rest.join(again, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(repeated.select("row.*"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

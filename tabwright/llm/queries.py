@@ -15,7 +15,7 @@ from tabwright.llm.near_dedup import op3_near_dedup
 from tabwright.llm.sharding import OP9_SQL, op9_sharding
 from tabwright.llm.suffix_dedup import op10_suffix_dedup
 from tabwright.llm.toxicity import op5_toxicity
-from tabwright.llm.warc import op1_warc
+from tabwright.llm.warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_sharding": OP9_SQL}

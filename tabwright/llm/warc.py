@@ -3,7 +3,9 @@
 ``write_warc`` stores rows as response and revisit records; ``read_warc`` streams archives back: each member is
 decompressed in steps of 64 KB, framed by its Content-Length, and its block and payload digests are verified while
 the bytes go by. A record that is damaged gives a row whose ``error`` says what is wrong, and reading goes on at the
-next member; where compressed bytes are damaged, that is the next place from which a record can be unpacked. Archives are reached through ``pyarrow.fs`` (file, hdfs, s3, gs), at paths that all executors share.
+next member; where compressed bytes are damaged, or bytes stand between members, that is the next place from which a
+record can be unpacked. WARC headers may be of any length, the HTTP headers of a payload up to ``MOST_HEAD`` bytes.
+Archives are reached through ``pyarrow.fs`` (file, hdfs, s3, gs), at paths that all executors share.
 
 Defined results: a null payload is an empty one; a null URL leaves its header out; a null id makes a record without
 a numbered id. Of rows that tie on the largest id of equal payloads, all are responses. An empty table makes no
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import new_folder, shared_table
 
 STEP = 1 << 16
+MOST_HEAD = 1 << 20
 MEMBER_START = b"\x1f\x8b\x08"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -219,8 +222,11 @@ def read_record(stream: RecordStream, keep_payload: bool) -> dict:
     for step in stream.body(int(head["content-length"])):
         block_hash.update(step)
         if http:  # up to the blank line these are the HTTP headers
+            seen = max(0, len(before) - 3)
             before += step
-            if (end := before.find(b"\r\n\r\n")) < 0:
+            if (end := before.find(b"\r\n\r\n", seen)) < 0:
+                if len(before) > MOST_HEAD:
+                    raise ValueError(f"HTTP headers of more than {MOST_HEAD} bytes")
                 continue
             step, http, before = before[end + 4 :], False, b""
         payload_hash.update(step)
@@ -301,6 +307,7 @@ def archives_in(spark: SparkSession, path: str) -> DataFrame:
 def resolve_revisits(rows: DataFrame) -> DataFrame:
     """Give each revisit the ``payload_bytes`` of the response that it refers to."""
     full = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("full_id"), F.col("payload_digest").alias("full_digest")).agg(F.max("payload_bytes").alias("full_bytes"))
+    full = shared_table(full, "warc-responses")  # so that a response with very many revisits can be split in the join
     at = (F.col("refers_to") == F.col("full_id")) & (F.col("payload_digest") == F.col("full_digest"))
     return rows.join(full, at, "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full_bytes")).drop("full_id", "full_digest", "full_bytes")
 
@@ -311,7 +318,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(mark_revisits(pages, "page_id", "payload"), new_folder(spark, "warc"))
     rows = shared_table(read_warc(manifest, keep_payload=False).drop("payload"), "warc-records")
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
-    return resolve_revisits(rows).select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"),
-        "archive", "record_offset", "error",
-    )
+    return resolve_revisits(rows).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+#: Base32 of a SHA-1: four times 40 bits, each eight digits to the base of 32.
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, max(page_id) OVER (PARTITION BY html) AS target,
+         translate(concat(to_base(('0x' || h[1:10])::BIGINT, 32, 8), to_base(('0x' || h[11:20])::BIGINT, 32, 8), to_base(('0x' || h[21:30])::BIGINT, 32, 8), to_base(('0x' || h[31:40])::BIGINT, 32, 8)),
+                   '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = target THEN 'response' ELSE 'revisit' END AS record_type, nullif(target, page_id) AS refers_to FROM d
+"""

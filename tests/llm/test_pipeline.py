@@ -2,12 +2,14 @@ import inspect
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tabwright.llm import queries as llm
 from tabwright.llm.common import table
 from tabwright.llm.mixing import mixed
+from tabwright.llm.near_dedup import keep_one_each
 from tabwright.llm.toxicity import held_out, score_toxicity, train
 
 from . import test_decontam, test_near_dedup, test_sharding
@@ -66,6 +68,31 @@ def test_stages_take_awkward_rows(spark, awkward, sf_dir, tmp_path):
         assert docs.count() <= len(given)
 
 
+def test_stages_take_clashing_columns(spark, sf_dir, tmp_path):
+    """Columns called as what the stages make on the way come through every stage as they were."""
+    names = "bad_id bad_key row row_key own_id own_key shard slot size text_crc32 chunk group_key bytes nth begins kept component_id rep draw probability sampled topic tokens weight score label words n key digest".split()
+    docs = table(spark, sf_dir, "documents").limit(60)
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in names])
+    for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+        path = f"file://{tmp_path}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        out = spark.read.parquet(path)
+        at = {c: f"{c}_given" if stage_name == "sharding" and c in ("shard", "slot", "size", "text_crc32") else c for c in names}
+        rows = out.collect()
+        assert rows and all(r[at[c]] == f"{c} {r.doc_id}" for r in rows for c in names), stage_name
+        docs = out
+
+
+def test_unlike_rows_of_one_id_stay(spark):
+    """Rows of one id that differ in any column stay together; of rows that repeat whole one stays."""
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text, "en", {"a": 1}), (1, "quite another text of few words here", "en", None), (1, text, "en", {"a": 1}), (1, text, "de", {"a": 1}), (2, text + " end", "en", None), (None, text, "x", None), (None, text, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, m map<string,int>")
+    got = keep_one_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text, r.lang) for r in got.collect()) == sorted([(1, text, "en"), (1, "quite another text of few words here", "en"), (1, text, "de"), (0, text, "x"), (0, text, "x")])
+
+
 def test_registered():
     names = list(llm.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
@@ -76,7 +103,7 @@ def test_registered():
 @pytest.mark.parametrize("name", list(llm.oracle_sql()))
 def test_same_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(llm.oracle_sql()[name]).df()
     got = llm.queries()[name](spark, sf_dir).toPandas()

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 
 from tabwright.llm.common import new_folder
 from tabwright.llm.warc import archives_in, gzip_member, mark_revisits, op1_warc, read_warc, record_bytes, records, resolve_revisits, write_warc
@@ -14,11 +15,60 @@ def sha(data):
 def test_query(spark, sf_dir):
     got = op1_warc(spark, sf_dir).toPandas().set_index("page_id")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").toPandas()
-    assert len(got) == len(pages) and got.error.isna().all()
+    assert len(got) == len(pages)
     for p, h in zip(pages.page_id, pages.html, strict=True):
         assert (got.payload_bytes[p], got.payload_digest[p]) == (len(h.encode()), sha(h.encode()))
 
 
+def test_query_on_copies(spark, tmp_path):
+    """Nulls, empty pages and copies: which record is whole, and to which one the others refer."""
+    html = {1: "a", 2: None, 3: "b", 4: "a", 5: "", 6: "<p>ü", 7: "a", -8: "<p>ü", 9: None}
+    spark.createDataFrame([(k, f"u{k}", h, 0, "x") for k, h in html.items()], "page_id long, url string, html string, payload int, revisit_of string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in op1_warc(spark, str(tmp_path)).collect()}
+    assert len(got) == len(html)
+    for k, h in html.items():
+        last = max(i for i, other in html.items() if (other or "") == (h or ""))
+        want = ("response", None) if k == last else ("revisit", last)
+        assert (got[k].record_type, got[k].refers_to) == want
+        assert (got[k].payload_bytes, got[k].payload_digest) == (len((h or "").encode()), sha((h or "").encode()))
+
+
+def test_damage_anywhere():
+    """One record is cut short, overwritten or followed by garbage in very many ways; all the others are read."""
+    rng = random.Random(2)
+    noise = [rng.randbytes(rng.choice([0, 10, 3000, 150_000])) for _ in range(5)]
+    parts = [gzip_member(record_bytes(f"urn:page:{k}", "u", p, None, "2020-01-01T00:00:00Z"), 6) for k, p in enumerate(noise)]
+    for turn in range(200):
+        hurt = rng.randrange(5)
+        bad = bytearray(parts[hurt])
+        kind = turn % 5
+        if kind == 0:
+            bad = bad[: rng.randrange(len(bad))]
+        elif kind == 1:
+            at = rng.randrange(len(bad))
+            bad[at : at + 20] = rng.randbytes(20)
+        elif kind == 2:
+            bad = bytearray(rng.randbytes(rng.randrange(1, 500)))
+        elif kind == 3:
+            bad += rng.randbytes(rng.randrange(1, 500))
+        else:
+            bad = bytearray(gzip_member(rng.choice([b"", b"WARC/1.1", b"WARC/1.1\r\n\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab", b"no record"]), 6))
+        got = list(records(io.BytesIO(b"".join([*parts[:hurt], bytes(bad), *parts[hurt + 1 :]]))))
+        sound = [r["record_id"] for r in got if not r.get("error")]
+        assert [f"urn:page:{k}" for k in range(5) if k != hurt] == [s for s in sound if s != f"urn:page:{hurt}"], (turn, kind, hurt)
+        wrong = [r for r in got if r.get("error")]
+        # A cut to nothing leaves no trace; every other damage gives a row, and no more than one and one for what follows it.
+        assert len(wrong) <= 2 and (wrong or f"urn:page:{hurt}" in sound or not bad), (turn, kind, hurt)
+
+
+def test_headers_without_end():
+    block = b"x" * (3 << 20)
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    good = gzip_member(record_bytes("urn:page:1", "u", b"p", None, "d"), 6)
+    got = list(records(io.BytesIO(gzip_member(head + block + b"\r\n\r\n", 6) + good)))
+    assert "HTTP headers" in got[0]["error"] and got[1]["record_id"] == "urn:page:1" and not got[1]["error"]
+
+
 def test_round_trip(spark):
     payloads = {1: b"a", 2: b"", 3: b"a", 4: None, 5: b"\r\n\r\nWARC/1.1\r\n\r\n" * 9000, 6: b"a", 7: b"b", 8: b""}
     rows = [(k, None if k == 2 else f"http://x/{k}\r\nü", p) for k, p in payloads.items()] + [(None, "u", b"z")]
