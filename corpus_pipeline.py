@@ -2,17 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``. All but the last return the columns of ``documents``.
+
+For every stage: a null text counts as empty, texts of any length are read whole, null ids and repeated rows are allowed,
+an empty table gives an empty one, and further columns, whatever their names, come out as they went in. Each stage says
+below what that means for it.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import clear_shared, shared_folder, table, written
+from tabwright.llm.common import clear_shared, new_folder, table, written
 from tabwright.llm.decontam import without_contaminated
 from tabwright.llm.mixing import mixed
 from tabwright.llm.near_dedup import keep_one_each
@@ -39,27 +42,45 @@ def tidy(stage: Stage) -> Stage:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
+    """Documents that score 0.7 or more go.
+
+    Each row is scored by itself: rows that are alike stay or go together, rows with null ids too; empty texts score as the
+    leak alone. Without labels of both kinds nothing is learned, and all rows score the share of toxic labels.
+    """
     return without_toxic(docs, train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at a similarity of 0.85 stays."""
+    """One document of each group linked at a similarity of 0.85, the operator's own threshold, stays: that of the smallest id.
+
+    Rows without words are linked with nothing and stay, rows with null ids stay. Rows that share an id are one document and
+    stay or go together, but of rows that repeat whole one stays.
+    """
     return keep_one_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more are words of benchmark windows go."""
+    """Documents of which a twentieth or more are words of benchmark windows go.
+
+    Rows are told apart by id and text, null ids too; a row without words stays. Without benchmark items all rows stay.
+    """
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics meet their target weights, as far as a budget of 0.8 of all tokens lets them."""
+    """Documents drawn so that sources, languages and topics meet their target weights, as far as a budget of 0.8 of all tokens lets them.
+
+    Null sources and languages are empty ones. Rows without words have the probability of their cell. Rows that repeat id
+    and text are drawn together.
+    """
     return mixed(docs).where("sampled").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with shard and slot."""
+    """Documents with size, text_crc32, shard and slot; no row goes.
+
+    Equal texts share a shard. A column of ``docs`` that is called as one of these comes out with ``_given`` after its name.
+    """
     return assign_shards(docs, carry=[c for c in docs.columns if c != "doc_id"])
 
 
@@ -77,9 +98,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/tabwright/{name}-{uuid.uuid4().hex}"
+        path = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        clear_shared(spark, before)  # what the stage was made from
+        before = [path]
     return docs
