@@ -1,20 +1,28 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped to lines, one per block. Elements that hold no article text (menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) leave blank lines behind: one, or where they part a page, a
-window of them; inside ``article`` or ``main`` none, so that these are parted from the rest only where the outermost
-begins and ends. Text lengths, without link text, are summed over a sliding window of lines: where the sum leaves zero
-text surges, where it returns to zero it dives, and the lines between are a region. The region of the greatest sum is the main text, along with those that reach
-``KEEP_SHARE`` of it and all that lie inside ``article`` or ``main``, whose lines count tenfold.
-
-Nothing else is dropped or cut: short lines within a region stay. Character references are decoded once, white space
-inside a block becomes one blank, blocks are joined by a line feed; ``br`` ends a block.
+Markup is stripped to lines, one per block; a line's weight is its length without link text. Weights are summed over a
+sliding window of lines. The page's own sums give the threshold: where their logarithms fall into two classes that are
+far apart (``threshold``), it lies between them, else it is zero. Text surges where the sum rises above the threshold and
+dives where it falls to it and stays there for a window or until a gap; the lines between are a region (``regions``). Short lines between
+two regions belong to the text if they aren't links (``joined``), and lines without weight at a region's edges don't.
+All regions are the main text.
+
+What markup says goes into the lines before. Scripts, styles, menus, forms, page headers, footers and asides make no
+lines; nor do elements whose class, id or role says that they are adverts, notices, reader comments and the like. They
+leave blank lines: one, or where they part a page, a window of them. Inside ``article`` or ``main``, and on paragraphs,
+only names that say nothing else count (``class="ad"``, not ``class="social-history"``). Lines of copyright notices have
+no weight outside articles. Where ``article`` or ``main`` hold the main text, by sums in which their lines count tenfold,
+other lines have no weight and the threshold is zero: nothing of an article is lost, however short its lines.
+
+Nothing else is dropped or cut. Character references are decoded once, white space inside a block becomes one blank,
+blocks are joined by a line feed; ``br`` ends a block.
 
 A wrapper around the main text may say "sidebar" too, or be a form. So if a reading finds no article, its greatest sum
-is compared with what each dropped element holds: elements whose ``article`` or ``main`` weigh more, or, being dropped
-by their name, most of the page's text, are gone into, and the page is read again, up to ``READINGS`` times. Reader
-comments, adverts, notices and links to other articles aren't gone into unless their names say "has", "no" or "with",
-or name an article as well, or they hold a ``main``. Should no text be left at all, the page is read without names.
+is compared with what each dropped element holds: elements whose ``article`` or ``main`` weigh more (those above the
+threshold of what they hold), or, being dropped by their name, most of the page's text, are gone into, and the page is
+read again, up to ``READINGS`` times. Reader comments, adverts, notices and links to other articles aren't gone into
+unless their names say "has", "no" or "with", or name an article as well, or they hold a ``main``. Should no text be left
+at all, the page is read without names.
 
 Defined results: null or empty html, and pages without text, give an empty text; unclosed elements, comments and
 quotes end with the page; tag soup and plain text are read as far as they go, in time proportional to their length.
@@ -24,6 +32,7 @@ Pages are worked off one by one, so repeated rows and null ids do no harm. Only
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +45,7 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import map_batches, table
 
 WINDOW = 3
-KEEP_SHARE = 0.3
+CONTRAST = 4.0  # how many times as high sums of text must be, on average, for lower ones to be none
 INSIDE_FACTOR = 10
 READINGS = 8
 
@@ -74,6 +83,15 @@ NEVER_MAIN = set(
     "popup modal overlay related recommended recommendations".split()
 )
 ABOUT_PARTS = {"has", "with", "no", "without", "open", "closed", "enabled", "disabled"}
+#: Of the marks those that say enough as a whole name, in an article and on elements that hold single blocks too.
+WHOLE_NAMES = set(
+    "ad ads adv advert advertisement adverts sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup paywall "
+    "share sharing sidebar breadcrumb breadcrumbs pagination pager comment comments disqus related recommended recommendations".split()
+)
+#: Of these the ones that say enough as the first or last word of a name of an element that holds several blocks.
+END_WORDS = set("ad ads advert advertisement cookie comment comments newsletter share sharing sponsored".split())
+SINGLE = set("p h1 h2 h3 h4 h5 h6 li td th dt dd span a b i em strong label small caption figcaption blockquote pre".split())
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)|.{0,80}\ball rights reserved\b", re.I)
 BROKEN_TAG = re.compile(r"<(?=[a-zA-Z/!?])")
 
 
@@ -99,9 +117,20 @@ def is_hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(attributes.get("style", "")))
 
 
-def is_marked(attributes: dict[str, str], by_name: bool = True) -> bool:
+def is_marked(name: str, attributes: dict[str, str], by_name: bool, inside: bool) -> bool:
     """Whether class, id or role (``by_name``), or being hidden, say that the element isn't article text."""
-    return bool(attributes) and (by_name and any(marks_of(words) for words in names_of(attributes)) or is_hidden(attributes))
+    if not attributes:
+        return False
+    if is_hidden(attributes):
+        return True
+    if not by_name:
+        return False
+    if not inside and name not in SINGLE:
+        return any(marks_of(words) for words in names_of(attributes))
+    given = [part for key in ("class", "id", "role") for part in attributes.get(key, "").split()]
+    if any(part.lower() in WHOLE_NAMES for part in given):
+        return True
+    return name not in SINGLE and any(words and {words[0].lower(), words[-1].lower()} & END_WORDS for words in map(PART.findall, given))
 
 
 def never_main(names: list[set[str]]) -> bool:
@@ -138,8 +167,7 @@ def page_lines(page: str, by_name: bool = True, entered: set[int] | frozenset[in
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                weight = max(0, len(text) - linked)
-                lines.append((text, INSIDE_FACTOR * max(1, weight) if inside else weight, inside > 0))
+                lines.append((text, max(0, len(text) - linked), inside > 0))
             parts.clear()
         linked = 0
 
@@ -202,7 +230,7 @@ def page_lines(page: str, by_name: bool = True, entered: set[int] | frozenset[in
         if not dropping and m.start() not in entered:
             attributes = {} if not m[4] or m[4].isspace() else attributes_of(m[4])
             header = name == "header" and not inside
-            drop = name in DROPPED or header or name != "header" and (name not in ARTICLE or inside > 0) and is_marked(attributes, by_name)
+            drop = name in DROPPED or header or name != "header" and (name not in ARTICLE or inside > 0) and is_marked(name, attributes, by_name, inside > 0)
             if drop and not inside:
                 lost.append(Dropped(m.start(), name, attributes))
         if drop and not block:
@@ -233,20 +261,63 @@ def page_lines(page: str, by_name: bool = True, entered: set[int] | frozenset[in
     return lines, lost
 
 
-def regions(weights: list[int], blank: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
-    """Line ranges between a surge (the window's sum leaves zero) and the next dive (it returns to zero)."""
-    total = [0, *accumulate(0 if b else max(w, 1) for w, b in zip(weights, blank, strict=True))]
-    found, begin = [], None
-    for k in range(len(weights)):
-        ahead = total[min(len(weights), k + window)] - total[k]
-        if begin is None and not blank[k] and ahead:
-            begin = k
-        elif begin is not None and not ahead:
-            found.append((begin, k))
+def threshold(sums: list[int]) -> float:
+    """What parts the sums of text from lower ones: none (0) unless the two classes that their logarithms fall into, by the
+    greatest variance between classes, lie apart by a factor of ``CONTRAST``."""
+    ordered = sorted(math.log(x) for x in sums if x > 0)
+    total, best, cut, below = sum(ordered), 0.0, 0, 0.0
+    for k in range(1, len(ordered)):
+        below += ordered[k - 1]
+        if ordered[k] > ordered[k - 1]:
+            apart = below / k - (total - below) / (len(ordered) - k)
+            if k * (len(ordered) - k) * apart * apart > best:
+                best, cut, means = k * (len(ordered) - k) * apart * apart, k, -apart
+    return math.exp((ordered[cut - 1] + ordered[cut]) / 2) if cut and means >= math.log(CONTRAST) else 0.0
+
+
+def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
+    """For each line the weight of the window that begins there."""
+    total = [0, *accumulate(weights)]
+    return [total[min(len(weights), k + window)] - total[k] for k in range(len(weights))]
+
+
+def regions(weights: list[int], blank: list[bool], least: float = 0.0, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Line ranges between a surge (the window's sum rises above ``least``) and the next dive: it is no higher, for a whole
+    window or until lines without weight or the end of a gap."""
+    sums, found, begin = window_sums(weights, window), [], None
+    low = 0  # for how many lines the sum has been low
+    for k, ahead in enumerate(sums):
+        if begin is None:
+            if weights[k] and ahead > least:
+                begin, low = k, 0
+            continue
+        low = 0 if ahead > least else low + 1
+        if not ahead or low == window:
+            end = k + 1 - low if ahead else k
+            found.append((begin, end))
             begin = None
     if begin is not None:
         found.append((begin, len(weights)))
-    return found
+    trimmed = []
+    for a, b in found:
+        while b > a and (blank[b - 1] or not weights[b - 1]):
+            b -= 1
+        if b > a:
+            trimmed.append((a, b))
+    return trimmed
+
+
+def joined(found: list[tuple[int, int]], weights: list[int], blank: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
+    """Regions with what lies between two of them, if it is neither a gap nor links."""
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        between = range(out[-1][1], a) if out else ()
+        gaps = [k for k in between if blank[k]]
+        if between and all(weights[k] for k in between if not blank[k]) and len(gaps) < window:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def wrappers(lines: list[tuple[str, int, bool]], lost: list[Dropped]) -> list[int]:
@@ -256,9 +327,10 @@ def wrappers(lines: list[tuple[str, int, bool]], lost: list[Dropped]) -> list[in
     weights = [w for _, w, _ in lines]
     most = max((sum(weights[a:b]) for a, b in regions(weights, [not t for t, _, _ in lines])), default=0)
     may_hold = [x for x in lost if not x.hidden and (x.has_main or not x.never)]
-    in_article = max((x.in_article for x in may_hold), default=0)
-    if in_article > most:
-        return [x.start for x in may_hold if x.in_article >= KEEP_SHARE * in_article]
+    in_article = [x.in_article for x in may_hold]
+    if max(in_article, default=0) > most:
+        least = threshold(in_article)
+        return [x.start for x in may_hold if x.in_article > least]
     half = (sum(weights) + sum(x.chars for x in may_hold if x.by_name)) / 2
     return [x.start for x in may_hold if x.by_name and x.chars > max(half, most)]
 
@@ -277,11 +349,17 @@ def main_text(page: str | None) -> str:
 
 def text_of(lines: list[tuple[str, int, bool]]) -> str:
     """The lines of the regions that hold the main text."""
-    blank, weights, inside = ([not t for t, _, _ in lines], *([x[k] for x in lines] for k in (1, 2)))
-    found = regions(weights, blank)
-    sums = [sum(weights[a:b]) for a, b in found]
-    least = KEEP_SHARE * max(sums, default=0)
-    return "\n".join(t for (a, b), s in zip(found, sums, strict=True) if s > 0 and (s >= least or any(inside[a:b])) for t, _, _ in lines[a:b] if t)
+    blank = [not t for t, _, _ in lines]
+    article = sum(len(t) for t, _, inside in lines if inside)
+    plain = [0 if inside or COPYRIGHT.match(t) else w for t, w, inside in lines]
+    marked = article > 0 and INSIDE_FACTOR * article >= sum(plain)
+    if marked:
+        weights = [max(1, w) if inside else 0 for _, w, inside in lines]
+        found = regions(weights, blank)
+    else:
+        weights = [w if inside else p for (_, w, inside), p in zip(lines, plain, strict=True)]
+        found = joined(regions(weights, blank, threshold(window_sums(weights))), weights, blank)
+    return "\n".join(lines[k][0] for a, b in found for k in range(a, b) if not blank[k] and (weights[k] or not marked))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from tabwright.llm.html_text import extract_text, main_text, op4_html_text, regions
+from tabwright.llm.html_text import extract_text, joined, main_text, op4_html_text, regions, threshold
 
 SENTENCE = "The quick brown fox jumps over the lazy dog while the band plays on. "
 
@@ -71,9 +71,41 @@ def test_time_is_linear(part):
 
 
 def test_regions():
-    assert regions([5, 5, 0, 5], [False, False, True, False], 2) == [(0, 4)]
-    assert regions([5, 0, 0, 5], [False, True, True, False], 2) == [(0, 1), (3, 4)]
-    assert regions([], [], 3) == []
+    assert regions([5, 5, 0, 5], [False, False, True, False], window=2) == [(0, 4)]
+    assert regions([5, 0, 0, 5], [False, True, True, False], window=2) == [(0, 1), (3, 4)]
+    assert regions([], []) == []
+    # A dive lasts for a window, what is low for less stays; a surge begins with a line that has weight.
+    assert regions([0, 2, 90, 90, 3, 3, 3, 3], [False] * 8, 10) == [(1, 4)]
+    assert regions([90, 90, 3, 3], [False] * 4, 10) == [(0, 4)]
+    assert joined([(0, 2), (5, 7)], [90, 90, 3, 3, 3, 90, 90], [False] * 7) == [(0, 7)]
+    assert joined([(0, 2), (5, 7)], [90, 90, 3, 0, 3, 90, 90], [False] * 7) == [(0, 2), (5, 7)]
+
+
+def test_threshold():
+    assert threshold([]) == threshold([0, 0, 7]) == threshold([5, 5, 5]) == 0
+    assert threshold([100, 150, 200, 240]) == 0  # one kind of lines
+    assert 105 < threshold([0] * 38 + [570, 1035, 1000, 535] + [105] * 18 + [70, 35]) < 535
+
+
+MENU = "".join(f"<div><a href='/{k}'>menu entry {k}</a></div>" for k in range(40))
+LEGAL = "".join(f"<div>Acme {k}, reg. no. {k}{k}, printed in Ulm</div>" for k in range(20))
+PLAIN = {
+    "menu, paragraphs, small print": (f"{MENU}<div>{SENTENCE * 7}</div><div>{SENTENCE * 8}</div>{LEGAL}", [SENTENCE * 7, SENTENCE * 8]),
+    "a heading and a short end": (f"{MENU}<div>A heading</div><div>{SENTENCE * 7}</div><div>{SENTENCE * 8}</div><div>The end.</div>", ["A heading", SENTENCE * 7, SENTENCE * 8, "The end."]),
+    "two parts around a menu": (f"<div>{SENTENCE * 7}</div>{MENU}<div>{SENTENCE * 6}</div><div>{SENTENCE * 5}</div>{LEGAL}", [SENTENCE * 7, SENTENCE * 6, SENTENCE * 5]),
+    "short lines amid long ones": (f"<div>{SENTENCE * 7}</div><div>Yes.</div><div>No.</div><div>Why?</div><div>So.</div><div>{SENTENCE * 8}</div>{MENU}", [SENTENCE * 7, "Yes.", "No.", "Why?", "So.", SENTENCE * 8]),
+    "lines of one kind": ("".join(f"<div>line {k} of a poem that goes on</div>" for k in range(30)), [f"line {k} of a poem that goes on" for k in range(30)]),
+    "copyright": (f"<div>{SENTENCE * 7}</div><div>{SENTENCE}</div><div>Copyright 2024 Acme</div><div>&copy; Acme, all rights reserved</div>", [SENTENCE * 7, SENTENCE]),
+    "unlike articles around a menu": (f"<article><p>{SENTENCE * 8}</p></article><nav>x</nav><article><p>{SENTENCE}</p><p>{SENTENCE}</p></article>", [SENTENCE * 8, SENTENCE, SENTENCE]),
+    "names of paragraphs": (f"<article><p class='social-history'>{SENTENCE}</p><p class='alert-level'>b</p><section class='discussion'>c</section><p class='ad'>no</p><div class='comments-area'>no</div></article>", [SENTENCE, "b", "c"]),
+    "teasers outside": (f"<article><p>short</p></article><div>{SENTENCE}</div>", [SENTENCE]),
+}
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_the_distribution_decides(name):
+    page, want = PLAIN[name]
+    assert main_text(f"<html><body>{page}</body></html>").split("\n") == [x.strip() for x in want]
 
 
 INSIDE = {
