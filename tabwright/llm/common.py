@@ -92,6 +92,12 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, i
     return order, [(int(to[a]), int(a), int(b)) for a, b in zip(cuts, [*cuts[1:], len(to)] if len(to) else [], strict=True)]
 
 
+def buckets_for(spark: SparkSession, n_bytes: int, each: int = 8 << 20) -> int:
+    """Into how many buckets data that a task holds whole is dealt: ``each`` bytes a bucket, so that tasks stay of one size at
+    any input, but no fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column), F.lit(""))

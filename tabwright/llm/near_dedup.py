@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import dealt, map_batches, map_partitions, shared_table, table, whole_text
+from tabwright.llm.common import buckets_for, dealt, map_batches, map_partitions, shared_table, table, whole_text
 from tabwright.llm.components import components
 from tabwright.llm.shingles import shingle_sets
 
@@ -179,7 +179,7 @@ def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
     Hashes meet in buckets, packed by input batch, and what buckets find goes back packed by rep. Hashes are cut to 48
     bits: two that collide count as shared, so ``lone`` is never too large.
     """
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(texts.sparkSession, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     low_bits = np.uint64((1 << 48) - 1)
 
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -416,3 +416,18 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among ``documents``, linked at a similarity of 0.85 of five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+link AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a AS doc_id, least(a, b) AS c FROM link UNION SELECT link.a, reach.c FROM reach JOIN link ON link.b = reach.doc_id),
+comp AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""

@@ -11,9 +11,9 @@ from tabwright.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tabwright.llm.html_text import op4_html_text
 from tabwright.llm.license_scan import op8_license_scan
 from tabwright.llm.mixing import op6_mixing
-from tabwright.llm.near_dedup import op3_near_dedup
+from tabwright.llm.near_dedup import OP3_SQL, op3_near_dedup
 from tabwright.llm.sharding import OP9_SQL, op9_sharding
-from tabwright.llm.suffix_dedup import op10_suffix_dedup
+from tabwright.llm.suffix_dedup import OP10_SQL, op10_suffix_dedup
 from tabwright.llm.toxicity import op5_toxicity
 from tabwright.llm.warc import OP1_SQL, op1_warc
 
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_near_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_sharding": OP9_SQL, "op10_suffix_dedup": OP10_SQL}

@@ -16,26 +16,30 @@ To find such strings among all documents without sorting every suffix of the cor
 Contexts of one anchor beyond ``most_contexts`` are dealt over several tasks, and the earliest documents of their
 windows are then merged by a grouped aggregation over window digests, which is exact too.
 
-Hashes of 64 bits stand for texts and grams when candidates are sought; contexts and windows are compared by bytes
-(digests of 128 bits where a group was dealt over tasks).
+Texts go by numbers of 64 bits that no two different texts share: they are hashes, and where SHA-256 tells texts of one
+hash apart, all texts of that hash get others (``text_names``). Hashes of grams only bring candidates together: the grams
+themselves, contexts and windows are compared by their bytes (known contexts by 128 bits of hash within their anchor,
+windows of groups dealt over tasks by digests of 128 bits). Anchors are dealt to buckets by the bytes of the input, so a
+task holds as much at any input.
 
 Defined results: null text counts as empty; of equal texts those with a larger id lose everything if they have 50
 bytes; rows that share an id are no earlier than each other; rows with a null id neither lose bytes nor take any from
-others. Empty tables give no rows. Only the id and text columns are read.
+others; long texts are cut whole, in pieces of 1 MB. Empty tables give no rows. Only the id and text columns are read, others
+may have any names.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import clear_shared, dealt, shared_table, table, whole_text, written
+from tabwright.llm.common import buckets_for, clear_shared, dealt, shared_table, table, whole_text, written
 from tabwright.llm.shingles import mix, powers, text_slices
 from tabwright.llm.suffix_array import suffix_array
 
@@ -48,10 +52,13 @@ _VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uin
 _BASE = int(_RNG.integers(1, 1 << 61)) * 8 + 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 CHUNK_SYMBOLS = 1 << 16
+MOST_ROWS = 1 << 15  # of a batch; places in it are kept as numbers of 16 bits
+MOST_CLASHES = 10_000
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results have been written; it does so when garbage is collected."""
+    """Let Spark drop the shuffle files of steps whose results have been written, here and on all executors: its cleaner does
+    so once the driver has collected what refers to them. Without this the results are the same, on more disk."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -99,7 +106,7 @@ def packed_anchors(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """Of rows (t, text): per batch and bucket the anchors as packed numbers; ``known`` ones are shared within the batch."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, MOST_ROWS) for b in batches for k in range(0, b.num_rows, MOST_ROWS)):
             names = batch.column(0).to_numpy()
             hashes, owner = [], []
             for first, offsets, data in text_slices(batch.column(1)):
@@ -278,8 +285,8 @@ def earliest_windows(strings: list[tuple[int, bytes, int]], docs: list[int], len
 
 def _settle(rows: list[tuple], length: int) -> Iterator[tuple]:
     """Of contexts (f, ctx, place, doc) with whole groups: (f, ctx, begin, end) runs of windows that an earlier document has."""
-    groups: dict[int, int] = {}
-    group = [groups.setdefault(r[0], len(groups)) for r in rows]
+    groups: dict[tuple[int, bytes], int] = {}
+    group = [groups.setdefault((f, ctx[place : place + GRAM]), len(groups)) for f, ctx, place, _ in rows]
     side = length - GRAM
     left = _reach([r[1][: r[2]][::-1] for r in rows], group, side)
     right = _reach([r[1][r[2] + GRAM :] for r in rows], group, side)
@@ -348,16 +355,16 @@ def covered_runs(unsettled: DataFrame, length: int, most_contexts: int) -> DataF
         """Windows of contexts whose anchor has too many for one task: earliest documents within this task's share."""
         for group in groups(batches):
             seen: dict[tuple, int] = {}
-            index = {f: k for k, f in enumerate({r[0] for r in group})}
-            for _, (f, ctx, place, doc) in enumerate(group):
-                key = (index[f], ctx, place)
+            index: dict[tuple[int, bytes], int] = {}
+            for f, ctx, place, doc in group:
+                key = (index.setdefault((f, ctx[place : place + GRAM]), len(index)), ctx, place)
                 seen[key] = min(seen.get(key, doc), doc)
             strings = sorted(seen)
             least: list[list[int]] = []
             for k in range(0, len(strings), 1024):
                 part = strings[k : k + 1024]
                 least += earliest_windows(part, [seen[s] for s in part], length)
-            of = {v: f for f, v in index.items()}
+            of = {v: f for (f, _), v in index.items()}
             out = [(of[g], ctx, w, hashlib.blake2b(ctx[w : w + length], digest_size=16).digest(), doc) for (g, ctx, _), found in zip(strings, least, strict=True) for w, doc in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["f", "ctx", "w", "digest", "least"])
 
@@ -372,12 +379,30 @@ def covered_runs(unsettled: DataFrame, length: int, most_contexts: int) -> DataF
     return whole.union(found)
 
 
-def repeated_spans(docs: DataFrame, length: int, most_contexts: int) -> tuple[DataFrame, DataFrame]:
-    """(t, first): texts by hash with the smallest id that has them; (t, spans): byte spans covered by earlier ones."""
+def text_names(rows: DataFrame, hashed: Callable[[int], Column] = lambda seed: F.xxhash64(F.lit(seed), "text")) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (doc_id, text) with a number ``t`` that equal texts share and others don't, and (t, first, n_bytes) per text
+    that has an id: the smallest id, and its bytes.
+
+    Texts whose hash another text has too get their next hash instead, until no two share one. At 10^10 texts a few do.
+    """
+    named, clashing = hashed(0), []
+    for seed in range(1, 9):
+        held = rows.where("doc_id is not null").select("doc_id", named.alias("t"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+        texts = shared_table(held.groupBy("t", "digest").agg(F.min("doc_id").alias("first"), F.min("n_bytes").alias("n_bytes")), "texts")
+        clashes = [r.t for r in texts.groupBy("t").count().where("count > 1").limit(MOST_CLASHES + 1).collect()]
+        if not clashes:
+            return rows.withColumn("t", named), texts.drop("digest")
+        if len(clashes) > MOST_CLASHES:
+            break
+        named = F.when(named.isin(clashes), hashed(seed)).otherwise(named)
+    raise RuntimeError("more texts share a hash than chance allows")
+
+
+def repeated_spans(docs: DataFrame, texts: DataFrame, length: int, most_contexts: int) -> DataFrame:
+    """(t, spans): byte spans covered by earlier documents, for rows (doc_id, t, text) and their ``texts`` (t, first, n_bytes)."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(spark, texts.agg(F.sum("n_bytes")).first()[0] or 0)
     long_enough = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
-    texts = shared_table(docs.where("doc_id is not null").groupBy("t").agg(F.min("doc_id").alias("first")), "texts")
     before = len(written(spark))
     lists = shared_table(shared_anchors(packed_anchors(long_enough.select("t", "text"), length, buckets), buckets), "shared-anchors")
     release_shuffles(spark)
@@ -391,26 +416,27 @@ def repeated_spans(docs: DataFrame, length: int, most_contexts: int) -> tuple[Da
     many = shared_table(firsts.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors-with-contexts")
     runs = shared_table(covered_runs(firsts.join(many, "f"), length, most_contexts), "covered-runs")
     release_shuffles(spark)
-    key = F.xxhash64("ctx").alias("c")
-    runs = runs.groupBy("f", key).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    known = shared_table(firsts.select("f", key, F.col("doc").alias("first")).join(runs, ["f", "c"], "left"), "known-contexts")
+    key = [F.xxhash64("ctx").alias("c"), F.xxhash64(F.lit(1), "ctx").alias("c2")]
+    runs = runs.groupBy("f", *key).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    known = shared_table(firsts.select("f", *key, F.col("doc").alias("first")).join(runs, ["f", "c", "c2"], "left"), "known-contexts")
     clear_shared(spark, written(spark)[before + 1 : -1])
     release_shuffles(spark)
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("windows").alias("high")))
     hit = F.explode(F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("runs"))).alias("run")
-    found = placed.select("f", key, "t", "doc", "begin", "windows").join(known, ["f", "c"]).where("doc > first or runs is not null").select("t", "begin", hit)
+    found = placed.select("f", *key, "t", "doc", "begin", "windows").join(known, ["f", "c", "c2"]).where("doc > first or runs is not null").select("t", "begin", hit)
     span = F.struct((F.col("begin") + F.col("run.low")).alias("begin"), (F.col("begin") + F.col("run.high") - 1 + length).alias("end"))
     spans = shared_table(found.select("t", span.alias("span")).groupBy("t").agg(F.collect_list("span").alias("spans")), "spans")
     release_shuffles(spark)
-    return texts, spans
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, most_contexts: int = 200_000, keep_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the bytes that remain."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
-    texts, spans = repeated_spans(rows, length, most_contexts)
-    info = shared_table(texts.join(spans, "t", "left"), "text-spans")
+    rows, texts = text_names(rows)
+    rows = rows.select("doc_id", "t", F.col("text").cast("binary").alias("text"))
+    spans = repeated_spans(rows, texts, length, most_contexts)
+    info = shared_table(texts.select("t", "first").join(spans, "t", "left"), "text-spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -441,3 +467,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that an earlier document has, taken out of every document."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Every window of 50 bytes of every document, as its bytes.
+OP10_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, array_slice(b, s, s + 49) AS w FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS s FROM d)),
+hit AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY w) AS first FROM w) WHERE doc_id > first),
+run AS (SELECT doc_id, s, sum(CASE WHEN s - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM hit)),
+span AS (SELECT doc_id, k, min(s) AS lo, max(s) + 49 AS hi FROM run GROUP BY doc_id, k),
+piece AS (SELECT doc_id, lo, hi, hex(array_slice(b, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) + 1, lo - 1)) AS kept FROM span JOIN d USING (doc_id)),
+sums AS (SELECT doc_id, sum(hi - lo + 1)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN lo > 1 THEN kept ELSE '' END, '' ORDER BY lo) AS kept, max(hi) AS hi FROM piece GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || CASE WHEN coalesce(hi, 0) < n THEN hex(array_slice(b, coalesce(hi, 0) + 1, n)) ELSE '' END)) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""

@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabwright.llm.suffix_array import suffix_array
-from tabwright.llm.suffix_dedup import op10_suffix_dedup, remove_repeats
+from tabwright.llm.suffix_dedup import _settle, op10_suffix_dedup, remove_repeats, text_names
 
 
 def brute(rows, length=50):
@@ -81,3 +82,27 @@ def test_long_text(spark):
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert found(op10_suffix_dedup(spark, sf_dir)) == brute(rows)
+
+
+def test_texts_of_one_hash(spark):
+    """Texts that share a hash get others until none do; if that never ends, the operator stops."""
+    texts = [f"text {k % 40}" for k in range(100)]
+    rows = spark.createDataFrame([(k if k % 9 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    weak = lambda seed: F.length("text") if seed == 0 else F.xxhash64(F.lit(seed), "text") % 30 if seed < 3 else F.xxhash64(F.lit(seed), "text")
+    named, known = text_names(rows, weak)
+    of = {}
+    for r in named.where("doc_id is not null").collect():
+        assert of.setdefault(r.t, r.text) == r.text
+    assert len(of) == 40
+    want = {t: min(k for k, x in enumerate(texts) if x == t and k % 9) for t in texts}
+    assert {of[r.t]: (r.first, r.n_bytes) for r in known.collect()} == {t: (k, len(t)) for t, k in want.items()}
+    with pytest.raises(RuntimeError):
+        text_names(rows, lambda seed: F.length("text"))
+
+
+def test_grams_of_one_hash():
+    """Contexts whose anchors have one hash, but not one gram, share nothing."""
+    side = b"s" * 30
+    one, two = side + b"a" * 20 + side, side + b"b" * 20 + side
+    assert list(_settle([(7, one, 30, 1), (7, two, 30, 2)], 50)) == []
+    assert list(_settle([(7, one, 30, 1), (7, one[1:], 29, 2)], 50)) == [(7, one[1:], 0, 30)]
