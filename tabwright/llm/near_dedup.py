@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import buckets_for, dealt, map_batches, map_partitions, shared_table, table, whole_text
@@ -223,16 +223,28 @@ def lone_shingles(texts: DataFrame, words: int) -> DataFrame:
 
 
 def may_have_partner(members: DataFrame, percent: int) -> DataFrame:
-    """Of ``members`` (key, ..., n_shingles, most) those that may have a partner in their bucket.
+    """Of ``members`` (key, ..., n_shingles, most) those that may have a partner, another member, in their bucket.
 
     ``most`` is the largest set that a member can be similar enough to, with what it has to share: with I shingles that
-    any other has, 100 * I >= percent * (n + m - I) bounds the other's size m. The sizes in a bucket and the largest
-    ``most`` of each are a short list.
+    any other has, 100 * I >= percent * (n + m - I) bounds the other's size m. Of each size in a bucket its two largest
+    ``most`` are listed, so that a member is held against the others and not against itself; a list is as short as sizes
+    that differ.
     """
-    sizes = members.groupBy("key", "n_shingles").agg(F.max("most").alias("most"))
-    sizes = shared_table(sizes.groupBy("key").agg(F.collect_list(F.struct("n_shingles", "most")).alias("sizes")), "bucket-sizes")
-    fits = F.exists("sizes", lambda e: (e["n_shingles"] <= F.col("most")) & (F.col("n_shingles") <= e["most"]) & (100 * e["n_shingles"] >= percent * F.col("n_shingles")) & (100 * F.col("n_shingles") >= percent * e["n_shingles"]))
-    return members.join(sizes, "key").where(fits).drop("sizes")
+    alike = members.groupBy("key", "n_shingles", "most").agg(F.count(F.lit(1)).alias("n"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct("most", "n")), asc=False), 1, 2)  # of at most n_shingles + 1 values
+    sizes = alike.groupBy("key", "n_shingles").agg(top.alias("top"))
+    first = F.col("top")[0]
+    second = F.when(first["n"] > 1, first["most"]).otherwise(F.get("top", F.lit(1))["most"])
+    sizes = sizes.select("key", F.struct("n_shingles", first["most"].alias("most"), second.alias("next")).alias("size"))
+    sizes = shared_table(sizes.groupBy("key").agg(F.collect_list("size").alias("sizes")), "bucket-sizes")
+
+    def fits(e: Column) -> Column:
+        others = F.when((e["n_shingles"] == F.col("n_shingles")) & (e["most"] == F.col("most")), e["next"]).otherwise(e["most"])
+        alone = (e["n_shingles"] == F.col("n_shingles")) & e["next"].isNull()
+        near = (100 * e["n_shingles"] >= percent * F.col("n_shingles")) & (100 * F.col("n_shingles") >= percent * e["n_shingles"])
+        return ~alone & near & (e["n_shingles"] <= F.col("most")) & F.coalesce(F.col("n_shingles") <= others, F.lit(False))
+
+    return members.join(sizes, "key").where(F.exists("sizes", fits)).drop("sizes")
 
 
 def _survivors(rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -297,14 +309,19 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
     most = F.floor(shared * (100 + percent) / percent - F.col("n_shingles") + 1e-6).cast("long")
     rest = rest.join(lone, "rep", "left").select("band", "key", "rep", "n_shingles", "component", most.alias("most"))
     rest = shared_table(may_have_partner(shared_table(rest, "sized-members"), percent), "open-bucket-members")
+    rest = shared_table(in_mixed_buckets(rest).drop("blocks"), "open-bucket-members")
     stars, n_open = [], rest.count()
-    for _ in range(STARS):
+    while n_open and len(stars) < STARS:
         links, rest = star_links(rest, classes, known.withColumnRenamed("rep", "doc_id"), words, percent)
         stars.append(links)
+        if links.isEmpty():
+            break
         rest = shared_table(in_mixed_buckets(shared_table(rest, "star-members")).drop("blocks"), "open-bucket-members")
         before, n_open = n_open, rest.count()
         if n_open > 0.8 * before:
             break
+    if not n_open:
+        return functools.reduce(DataFrame.union, stars) if stars else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
     rest = in_mixed_buckets(rest)
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = classes.select("rep", "n_shingles", "registers")

@@ -87,9 +87,17 @@ def test_lone_shingles(spark):
 
 
 def test_may_have_partner(spark):
-    rows = [(1, 1, 100, 100), (1, 2, 100, 95), (1, 3, 97, 90), (2, 4, 100, 90), (2, 5, 90, 100), (2, 6, 50, 200), (3, 7, 100, 99)]
+    """Members are held against the others of their bucket, never against themselves."""
+    rows = [(1, 1, 100, 100), (1, 2, 100, 95), (1, 3, 97, 90), (2, 4, 100, 90), (2, 5, 90, 100), (2, 6, 50, 200), (3, 7, 100, 99), (4, 8, 100, 100), (4, 9, 100, 100)]
+    rng = random.Random(8)
+    rows += [(10 + rng.randrange(60), 100 + k, n := rng.randrange(20, 30), n + rng.randrange(-4, 3)) for k in range(300)]
     df = spark.createDataFrame(rows, "key long, rep long, n_shingles long, most long")
-    assert {r.rep for r in near_dedup.may_have_partner(df, 85).collect()} == {1, 4, 5, 6}  # 6 could have one of its own size
+
+    def partners(x, y):
+        return x[0] == y[0] and x[1] != y[1] and x[2] <= y[3] and y[2] <= x[3] and 100 * min(x[2], y[2]) >= 85 * max(x[2], y[2])
+
+    want = {x[1] for x in rows if any(partners(x, y) for y in rows)}
+    assert {r.rep for r in near_dedup.may_have_partner(df, 85).collect()} == want and want & set(range(10)) == {4, 5, 8, 9}
 
 
 def test_estimate():
