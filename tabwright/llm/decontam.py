@@ -9,7 +9,8 @@ compared with the window's, in place on the row that holds the document's words.
 
 Documents are cut into tokens once: the places of item tokens are written, and give the counts as well as the places of
 prefix tokens. Tokens of the items, and the keys of documents with candidates, are broadcast if there are at most
-``broadcast_rows`` of them (a row is 30 bytes or so); beyond that the same joins are left to Spark's shuffles.
+``broadcast_rows`` of them (a row is 30 bytes or so) and, for what the items bring, at most ``broadcast_bytes`` of words
+and ids in all windows; beyond that the same joins are left to Spark's shuffles.
 
 Defined results: null texts have no words; items without words are never found; null item ids are left out of lists
 and counts but their windows still hit; items and documents that repeat count once per id, respectively per row
@@ -72,13 +73,17 @@ def contamination(
     shingle: int = 5,
     least_share: int = 20,
     broadcast_rows: int = 1_000_000,
+    broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and least_share * n_hit >= n_words), item_ids, row_key."""
     cut = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     cut = cut.select("doc_id", F.xxhash64("text").alias("row_key"), words_of(F.col("text")).alias("words"))
     cut = shared_table(cut.withColumn("n_words", F.size("words").cast("long")), "document-words")
     windows = shared_table(item_windows(items, item_id_col, item_text_col, window), "item-windows")
-    small = F.broadcast if windows.count() * window <= broadcast_rows else (lambda df: df)
+    ids = F.transform("item_ids", lambda i: i.cast("string"))
+    held = F.octet_length(F.array_join("win", ",")) + F.octet_length(F.array_join(ids, ",")) + 16 * (F.size("win") + F.size("item_ids"))
+    n_windows, n_bytes = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(held.cast("long")), F.lit(0))).first()
+    small = F.broadcast if n_windows * window <= broadcast_rows and n_bytes <= broadcast_bytes else (lambda df: df)
     # At most `shingle` different lengths: items shorter than a shingle are tokens as a whole.
     lengths = [r[0] for r in windows.select(F.least(F.size("win"), F.lit(shingle)).alias("n")).distinct().orderBy("n").collect()]
     length = F.least(F.size("win"), F.lit(shingle))
