@@ -46,10 +46,10 @@ def items(awkward):
     return [(1, passage.upper()), (2, " - ".join(base[:20])), (10, "one, two"), (3, None), (4, ""), (5, "!!"), (None, " ".join(base[40:60])), (6, " ".join(base[40:56])), (1, "word"), (7, "never seen anywhere at all"), (8, "é" * 40 + base[0]), (9, "x " * 40)]
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_awkward(spark, awkward, awkward_docs, no_docs, items, broadcast_rows):
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}, {"broadcast_bytes": 0}])
+def test_awkward(spark, awkward, awkward_docs, no_docs, items, limits):
     table = spark.createDataFrame([(*x, 1, "k") for x in items], "item_id long, text string, doc_id int, words string")
-    assert found(contamination(awkward_docs, table, broadcast_rows=broadcast_rows)) == brute([r[:2] for r in awkward], items)
+    assert found(contamination(awkward_docs, table, **limits)) == brute([r[:2] for r in awkward], items)
     assert contamination(no_docs, table).count() == 0
     none = contamination(awkward_docs, table.limit(0))
     assert none.count() == len(awkward) and none.where("contaminated or n_hit > 0 or n_items > 0").isEmpty()
