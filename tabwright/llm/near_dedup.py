@@ -9,7 +9,7 @@ Groups of any size are worked off without making all their pairs. Texts with equ
 each band's bucket the classes are first confirmed against the one with the smallest set; only members that are then
 in different components are looked at further. Shingles that only one of them has bound what it can share with any
 other, which settles most near copies of one text that are too far from each other (``may_have_partner``); the others
-are confirmed against the one with the most room for partners, as long as that joins many (``star_links``). What is then
+are confirmed against the one with the most room for partners, as long as that joins many (``star_merges``). What is then
 left of a bucket is compared block by block inside tasks, and no more links leave a task than join components.
 
 With 40 bands of 6 registers a pair at the threshold of 0.85 is missed with a probability below 1e-8, one above it
@@ -275,55 +275,69 @@ def in_mixed_buckets(rest: DataFrame) -> DataFrame:
     return rest.join(shared_table(sums.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-buckets"), "key")
 
 
-def star_links(rest: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links of each bucket's members with the one that has the most room for partners, and ``rest`` with the components
-    that they make. Of copies of one text that is one with few changes, which is similar to most of those that are
-    similar to any; the pairs are as many as the members."""
+def star_merges(rest: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(component, wider): components that links of each bucket's members with the one that has the most room for partners
+    merge. Of copies of one text that is one with few changes, which is similar to most of those that are similar to any;
+    the pairs are as many as the members."""
     room = F.struct((F.col("n_shingles") - F.col("most")).alias("lack"), "rep", "n_shingles", "most", "component")
     lead = shared_table(rest.groupBy("key").agg(F.min(room).alias("lead")), "star-leaders")
     fits = (F.col("component") != F.col("lead.component")) & (F.col("n_shingles") <= F.col("lead.most")) & (F.col("lead.n_shingles") <= F.col("most"))
     pairs = rest.join(lead, "key").where(fits).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.component").alias("ca"), F.col("component").alias("cb"))
     pairs = shared_table(pairs.distinct(), "star-pairs")
     links = confirmed(pairs.select("a", "b").distinct(), classes, texts, words, percent)
-    joined = components(pairs.join(links, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    joined = shared_table(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "star-components")
-    return links, rest.join(joined, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
+    return merges(pairs.join(links, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
 
-def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of one bucket that are still in different components.
+def merges(links: DataFrame) -> DataFrame:
+    """(component, wider): what becomes of components that ``links`` (a, b) join."""
+    return shared_table(components(links).select(F.col("node").alias("component"), F.col("component").alias("wider")), "merged-components")
 
-    Members that can't have a partner go first, then those that a bucket's most central member links. Large buckets are cut into blocks, and a task compares two blocks. A
-    first pass finds the members that may have a link, and a second one confirms pairs on full sets. A pair is looked
-    at in the first band in which it agrees only; of confirmed pairs those that join two components of the task are
-    emitted, so what leaves a task is fewer rows than entered it.
+
+def widened(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after ``merged`` (component, wider). A component without labels is a node by itself."""
+    wide = labels.join(merged, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+    return wide.union(merged.select(F.col("component").alias("node"), F.col("wider").alias("component"))).distinct()
+
+
+def settled(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, several: DataFrame, words: int, percent: int) -> DataFrame:
+    """``labels`` (node, component) with all links between classes of one bucket that are still in different components.
+
+    Members that can't have a partner go first, then those that a bucket's most central member links. Large buckets are
+    cut into blocks, and a task compares two blocks. A first pass finds the members that may have a link, and a second
+    one confirms pairs on full sets. A pair is looked at in the first band in which it agrees only; of confirmed pairs
+    those that join two components of the task are emitted, as these components, so what leaves a task is fewer rows than
+    entered it. Only components are linked from then on, not their members anew. ``several`` (rep) are ids with unlike
+    texts, each of which counts as if it shared all its shingles.
     """
     rest = members.where("rep <> leader").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     rest = in_mixed_buckets(shared_table(rest, "bucket-members"))
     rest = shared_table(rest.drop("blocks"), "mixed-members")
     known = texts_of(texts, rest.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-    # Of an id with several texts each counts as if it shared all its shingles.
-    several = shared_table(known.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep"), "several-texts")
     lone = shared_table(lone_shingles(known, words).join(several, "rep", "left_anti"), "lone-shingles")
     shared = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
     most = F.floor(shared * (100 + percent) / percent - F.col("n_shingles") + 1e-6).cast("long")
     rest = rest.join(lone, "rep", "left").select("band", "key", "rep", "n_shingles", "component", most.alias("most"))
     rest = shared_table(may_have_partner(shared_table(rest, "sized-members"), percent), "open-bucket-members")
-    rest = shared_table(in_mixed_buckets(rest).drop("blocks"), "open-bucket-members")
-    stars, n_open = [], rest.count()
-    while n_open and len(stars) < STARS:
-        links, rest = star_links(rest, classes, known.withColumnRenamed("rep", "doc_id"), words, percent)
-        stars.append(links)
-        if links.isEmpty():
+    rest = shared_table(in_mixed_buckets(rest), "open-bucket-members")
+    found, n_open = [], rest.count()
+    while n_open and len(found) < STARS:
+        merged = star_merges(rest, classes, known.withColumnRenamed("rep", "doc_id"), words, percent)
+        if merged.isEmpty():
             break
-        rest = shared_table(in_mixed_buckets(shared_table(rest, "star-members")).drop("blocks"), "open-bucket-members")
+        found.append(merged)
+        rest = rest.drop("blocks").join(merged, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
+        rest = shared_table(in_mixed_buckets(shared_table(rest, "star-members")), "open-bucket-members")
         before, n_open = n_open, rest.count()
         if n_open > 0.8 * before:
             break
-    if not n_open:
-        return functools.reduce(DataFrame.union, stars) if stars else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
-    rest = in_mixed_buckets(rest)
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n_open:
+        found.append(merges(block_links(rest, classes, known, words, percent)))
+    return shared_table(functools.reduce(widened, found, labels), "labels") if found else labels
+
+
+def block_links(rest: DataFrame, classes: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components (a, b) that links between members ``rest`` of one bucket join, found block by block."""
+    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = classes.select("rep", "n_shingles", "registers")
 
     def by_blocks(rows: DataFrame) -> DataFrame:
@@ -341,7 +355,7 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
         return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 
     def confirm(rows: pa.Table) -> pa.RecordBatch:
-        comp, rep = (rows.column(c).to_pylist() for c in ("component", "rep"))
+        comp = rows.column("component").to_pylist()
         text = rows.column("text").combine_chunks()
         root = {c: c for c in comp}
         sets: dict[int, set] = {}
@@ -366,7 +380,7 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
                 same = len(of(p) & of(q))
                 if 100 * same >= percent * (len(of(p)) + len(of(q)) - same):
                     root[max(a, b)] = min(a, b)
-                    found.append((rep[p], rep[q]))
+                    found.append((comp[p], comp[q]))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -379,8 +393,7 @@ def unsettled_links(members: DataFrame, labels: DataFrame, classes: DataFrame, t
     )
     open_rows = shared_table(map_partitions(by_blocks(laid), _by_group(find), layout), "open-members")
     full = open_rows.join(signed, ["rep", "n_shingles"]).join(known, "rep").select(*open_rows.columns, "registers", "text")
-    found = shared_table(map_partitions(by_blocks(full), _by_group(confirm), "a long, b long").distinct(), "unsettled-links")
-    return functools.reduce(DataFrame.union, stars, found)
+    return map_partitions(by_blocks(full), _by_group(confirm), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
@@ -407,9 +420,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = shared_table(owned.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b < hi").drop("hi"), "repeated-ids")
     first = first.union(owned.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"))
     labels = shared_table(components(first), "labels")
-    second = unsettled_links(members, labels, classes, texts, words, percent)
-    if not second.isEmpty():
-        labels = shared_table(components(first.union(second)), "labels")
+    labels = settled(members, labels, classes, texts, least.select(F.col("doc_id").alias("rep")), words, percent)
     rows = signed.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
