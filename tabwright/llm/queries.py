@@ -15,6 +15,7 @@ from tabwright.llm.near_dedup import OP3_SQL, op3_near_dedup
 from tabwright.llm.sharding import OP9_SQL, op9_sharding
 from tabwright.llm.suffix_dedup import OP10_SQL, op10_suffix_dedup
 from tabwright.llm.toxicity import op5_toxicity
+from tabwright.llm.url_filter import OP13_SQL, op13_url_filter
 from tabwright.llm.warc import OP1_SQL, op1_warc
 
 
@@ -30,8 +31,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op13_url_filter": op13_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op3_near_dedup": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_sharding": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+    return {
+        "op1_warc": OP1_SQL,
+        "op2_exact_dedup": OP2_SQL,
+        "op3_near_dedup": OP3_SQL,
+        "op7_decontamination": OP7_SQL,
+        "op9_sharding": OP9_SQL,
+        "op10_suffix_dedup": OP10_SQL,
+        "op13_url_filter": OP13_SQL,
+    }
