@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabwright.llm.decontam import OP7_SQL, op7_decontamination
+from tabwright.llm.elkan import OP12_SQL, op12_clusters
 from tabwright.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tabwright.llm.html_text import op4_html_text
 from tabwright.llm.license_scan import op8_license_scan
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op12_clusters": op12_clusters,
         "op13_url_filter": op13_url_filter,
     }
 
@@ -43,5 +45,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": OP7_SQL,
         "op9_sharding": OP9_SQL,
         "op10_suffix_dedup": OP10_SQL,
+        "op12_clusters": OP12_SQL,
         "op13_url_filter": OP13_SQL,
     }
