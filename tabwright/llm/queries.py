@@ -13,6 +13,7 @@ from tabwright.llm.html_text import op4_html_text
 from tabwright.llm.license_scan import op8_license_scan
 from tabwright.llm.mixing import op6_mixing
 from tabwright.llm.near_dedup import OP3_SQL, op3_near_dedup
+from tabwright.llm.ranked_search import OP11_SQL, op11_ranked_search
 from tabwright.llm.sharding import OP9_SQL, op9_sharding
 from tabwright.llm.suffix_dedup import OP10_SQL, op10_suffix_dedup
 from tabwright.llm.toxicity import op5_toxicity
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_sharding": op9_sharding,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_ranked_search": op11_ranked_search,
         "op12_clusters": op12_clusters,
         "op13_url_filter": op13_url_filter,
     }
@@ -45,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": OP7_SQL,
         "op9_sharding": OP9_SQL,
         "op10_suffix_dedup": OP10_SQL,
+        "op11_ranked_search": OP11_SQL,
         "op12_clusters": OP12_SQL,
         "op13_url_filter": OP13_SQL,
     }
