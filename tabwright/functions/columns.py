@@ -6,45 +6,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.spec import SpecError, java_pattern
+from tabwright.spec import SpecCollection, SpecError, java_pattern
 
-#: Field metadata of columns that a delimited file has as text: the type that they are meant to have.
+#: Field metadata of the columns of a delimited file: the type that they are meant to have.
 FROM_TEXT = "from_text"
 _KINDS = {"character": T.StringType, "numeric": T.NumericType, "integer": T.IntegralType, "logical": T.BooleanType}
+#: What readers of delimited files take as a number, and as a truth value.
+NUMBER = r"^\s*(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|NaN|[+-]?Inf)\s*$"
+TRUTH = r"^\s*(?:T|F|TRUE|FALSE|True|False|true|false)\s*$"
 
 
-def is_from_text(df: DataFrame, name: str) -> bool:
-    """Whether a column still holds the text of a delimited file, though it is meant to be of another type."""
-    field = df.schema[name]
-    return isinstance(field.dataType, T.StringType) and FROM_TEXT in field.metadata
+def text_kinds(df: DataFrame, spec: SpecCollection | None = None, delimited: bool | None = None) -> dict[str, T.DataType]:
+    """The columns that hold a delimited file's text, though they are meant to be of another type, with that type.
+
+    ``delimited`` says whether the table is one; left open, it is if any column has its mark. A column that has lost its
+    own by a projection then has its type from the specification.
+    """
+    texts = [f for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if delimited is None:
+        delimited = any(FROM_TEXT in f.metadata for f in texts)
+    if not delimited:
+        return {}
+    kinds = {f.name: T.DataType.fromDDL(f.metadata[FROM_TEXT]) for f in texts if FROM_TEXT in f.metadata}
+    if spec is not None:
+        kinds |= {f.name: spec[f.name].spark_type for f in texts if f.name in spec.columns}
+    return {name: kind for name, kind in kinds.items() if not isinstance(kind, T.StringType)}
 
 
 def readable(text: Column, kind: T.DataType, whole: bool = True) -> Column:
-    """Text as a value of the type, null where it isn't one. Whole numbers may be written 2.0; unless ``whole``, numbers
-    that aren't whole are given as they are."""
+    """Text as a value of the type, null where it isn't written as one. Whole numbers may be written 2.0; unless ``whole``,
+    numbers that aren't whole are given as they are."""
+    if isinstance(kind, T.BooleanType):
+        return F.when(text.rlike(TRUTH), text).try_cast(kind)
+    text = F.when(text.rlike(NUMBER), text)
     if isinstance(kind, T.IntegralType):
         number = text.try_cast("double")
         return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), number).try_cast(kind)) if whole else number
     return text.try_cast(kind)
 
 
-def typed(df: DataFrame) -> DataFrame:
+def typed_columns(df: DataFrame, kinds: dict[str, T.DataType]) -> list[Column]:
+    return [readable(F.col(f"`{c}`"), kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns]
+
+
+def typed(df: DataFrame, kinds: dict[str, T.DataType] | None = None) -> DataFrame:
     """The table with every column of a delimited file in the type that it is meant to have; what can't be read is null."""
-    if not any(is_from_text(df, f.name) for f in df.schema.fields):
-        return df
-    return df.select(*[readable(F.col(f"`{f.name}`"), T.DataType.fromDDL(f.metadata[FROM_TEXT])).alias(f.name) if is_from_text(df, f.name) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    kinds = text_kinds(df) if kinds is None else kinds
+    return df.select(*typed_columns(df, kinds)) if kinds else df
+
+
+def beside_typed(df: DataFrame, kinds: dict[str, T.DataType], name: str = "_given") -> DataFrame:
+    """Typed columns, and the row as it was given as a struct beside them, so that no value is lost by being read."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name), *typed_columns(df, kinds))
 
 
-def typed_if_clean(df: DataFrame) -> DataFrame:
+def typed_if_clean(df: DataFrame, kinds: dict[str, T.DataType] | None = None) -> DataFrame:
     """The table as it is read where types are guessed from all values: a column with a value that can't be read as its
     type stays text, the others get their types. One pass over the file."""
-    marked = [f for f in df.schema.fields if is_from_text(df, f.name)]
-    if not marked:
+    kinds = text_kinds(df) if kinds is None else kinds
+    if not kinds:
         return df
-    bad = [F.count_if(F.col(f"`{f.name}`").isNotNull() & readable(F.col(f"`{f.name}`"), T.DataType.fromDDL(f.metadata[FROM_TEXT])).isNull()) for f in marked]
-    found = dict(zip((f.name for f in marked), df.agg(*[b.alias(f"b{k}") for k, b in enumerate(bad)]).first(), strict=True))
-    plain = df.select(*[F.col(f"`{f.name}`").alias(f.name, metadata={}) if found.get(f.name) else F.col(f"`{f.name}`") for f in df.schema.fields])
-    return typed(plain)
+    bad = [F.count_if(F.col(f"`{c}`").isNotNull() & readable(F.col(f"`{c}`"), kind).isNull()) for c, kind in kinds.items()]
+    found = dict(zip(kinds, df.agg(*[b.alias(f"b{k}") for k, b in enumerate(bad)]).first(), strict=True))
+    return df.select(*typed_columns(df, {c: kind for c, kind in kinds.items() if not found[c]}))
 
 
 def empty_to_null(df: DataFrame) -> DataFrame:

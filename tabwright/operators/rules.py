@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.functions.columns import typed
+from tabwright.functions.columns import beside_typed, text_kinds, typed
 from tabwright.functions.conditions import all_conditions, one_condition, plain
 from tabwright.spec import Rule, SpecError
 
@@ -132,9 +132,9 @@ def duplicate_count(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return _grouped(df, columns).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("v0"))
 
 
-def rule_results(df: DataFrame, rules: Iterable[Rule], compat: str | None = None) -> DataFrame:
+def rule_results(df: DataFrame, rules: Iterable[Rule], compat: str | None = None, kinds: dict[str, T.DataType] | None = None) -> DataFrame:
     """(rule_id, type, valid, n_violations, message) for each rule."""
-    rules, df = list(rules), typed(df)
+    rules, df = list(rules), typed(df, kinds)
     by_row = [r for r in rules if r.type != "check_unique"]
     parts = []
     if by_row:
@@ -152,10 +152,10 @@ def rule_results(df: DataFrame, rules: Iterable[Rule], compat: str | None = None
     return out
 
 
-def apply_rules(df: DataFrame, rules: Iterable[Rule], compat: str | None = None) -> list[RuleResult]:
+def apply_rules(df: DataFrame, rules: Iterable[Rule], compat: str | None = None, kinds: dict[str, T.DataType] | None = None) -> list[RuleResult]:
     """The results on the driver, one per rule and in their order."""
     rules = list(rules)
-    found = {r.rule_id: RuleResult(r.rule_id, r.valid, r.n_violations, r.message) for r in rule_results(df, rules, compat).collect()}
+    found = {r.rule_id: RuleResult(r.rule_id, r.valid, r.n_violations, r.message) for r in rule_results(df, rules, compat, kinds).collect()}
     return [found[r.id] for r in rules]
 
 
@@ -173,18 +173,21 @@ def check_rule(x: object) -> Rule:
     return x
 
 
-def violating_rows(df: DataFrame, rule: Rule, key: list[str] | None = None, compat: str | None = None) -> DataFrame:
-    """The rows that break a rule. For uniqueness these are all but the first by ``key`` of those alike."""
-    df = typed(df)
+def violating_rows(df: DataFrame, rule: Rule, key: list[str] | None = None, compat: str | None = None, kinds: dict[str, T.DataType] | None = None) -> DataFrame:
+    """The rows that break a rule, with their values as given. For uniqueness these are all but the first by ``key`` of those alike."""
+    kinds = text_kinds(df) if kinds is None else kinds
     if rule.type != "check_unique":
-        return df.where(F.coalesce(row_broken(df, rule, compat), F.lit(False)))
+        rows = beside_typed(df, kinds) if kinds else df
+        found = rows.where(F.coalesce(row_broken(rows, rule, compat), F.lit(False)))
+        return found.select("_given.*") if kinds else found
     _known(df, rule)
     if not key:
         raise SpecError(f"rule {rule.id}: which of equal rows is first needs a key")
+    rows = beside_typed(df, kinds, "_row")
     order = F.struct(*[F.col(f"`{k}`") for k in key])
-    firsts = _grouped(df, rule.column, F.min(order).alias("_first")).where("n > 1")
-    keys, _ = _short_keys(df, rule.column)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), order.alias("_own"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    firsts = _grouped(rows, rule.column, F.min(order).alias("_first")).where("n > 1")
+    keys, _ = _short_keys(rows, rule.column)
+    rows = rows.select("_row", order.alias("_own"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     same = F.lit(True)
     for i in range(len(keys)):
         same = same & F.col(f"_k{i}").eqNullSafe(F.col(f"_u{i}"))
@@ -195,13 +198,13 @@ def not_in_combinations(df: DataFrame, allowed: list[dict]) -> DataFrame:
     """Rows whose combination of values isn't among the allowed ones; with none allowed, all rows."""
     if not allowed:
         return df
-    df = typed(df)
-    return df.where(combination_broken(df, list(allowed[0]), [list(a.values()) for a in ({c: a[c] for c in allowed[0]} for a in allowed)]))
+    names = list(allowed[0])
+    return violating_rows(df, Rule("combinations", "check_allowed_combinations", column=tuple(names), allowed=tuple(tuple(a[c] for c in names) for a in allowed)))
 
 
 def missing_references(df: DataFrame, columns: list[str], other: DataFrame, other_columns: list[str]) -> DataFrame:
     """Extension: rows with a reference, none of it null, that the other table doesn't have."""
-    keys = other.select(*[F.col(f"`{o}`").alias(f"_r_{k}") for k, o in enumerate(other_columns)]).distinct()
+    keys = other.select(*[F.col(f"`{o}`").alias(f"_r_{k}") for k, o in enumerate(other_columns)])
     same, filled = F.lit(True), F.lit(True)
     for k, c in enumerate(columns):
         same, filled = same & (F.col(f"`{c}`") == F.col(f"_r_{k}")), filled & F.col(f"`{c}`").isNotNull()

@@ -8,12 +8,15 @@ such tables; ``rule_results`` can be asked for anyway.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabwright.functions.columns import empty_to_null, typed, typed_if_clean
+from tabwright.functions.columns import beside_typed, empty_to_null, text_kinds, typed_if_clean
+from tabwright.operators.positions import chunk_of_rows
 from tabwright.operators.rules import RuleResult, RuleViolation, apply_rules, row_broken, rule_results
 from tabwright.plans.constraints import Constraint, constraints
 from tabwright.spec import SpecCollection
@@ -35,45 +38,41 @@ def _struct(c: Constraint):
     return F.when(c.broken, F.struct(F.lit(c.column).cast("string").alias("column"), F.lit(c.keyword).alias("keyword"), F.lit(c.message).alias("message"), F.lit(c.schema).alias("schema"), c.data.alias("data"), F.lit(c.parent_schema).alias("parent_schema"), F.lit(c.params).alias("params")))
 
 
+def key_names(key: list[str]) -> dict[str, str]:
+    """The names under which key columns stand beside errors: one that is called as a column of errors gets ``_key`` after it."""
+    taken, names = {c.lower() for c in (*ERROR_COLUMNS, *key)}, {}
+    for k in key:
+        name = k
+        while name.lower() in ERROR_COLUMNS or name != k and name.lower() in taken:
+            name += "_key"
+        taken.add(name.lower())
+        names[k] = name
+    return names
+
+
 def error_rows(df: DataFrame, found: list[Constraint], key: list[str]) -> DataFrame:
     """A row per broken constraint: the key columns, then ``ERROR_COLUMNS``."""
     if not found:
         found = [Constraint(None, "", "", "", "", "", F.lit(False), F.lit(None).cast("string"))]
     parts = [F.filter(F.array(*[_struct(c) for c in found[k : k + GROUP]]), lambda e: e.isNotNull()) for k in range(0, len(found), GROUP)]
-    return df.select(*[F.col(f"`{k}`") for k in key], F.inline(parts[0] if len(parts) == 1 else F.concat(*parts)))
-
-
-def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
-    """Rows numbered from 1 in the order of columns. A table has no order of its own, and numbering all of it takes one
-    task: meant for tables of a size that people read; use key columns for others."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*[F.col(f"`{o}`") for o in order])))
-
-
-def numbered_in_ranges(df: DataFrame, key: str, width: int, name: str = "row") -> DataFrame:
-    """Rows numbered from 1 in the order of a whole-number key, for tables of any size: rows are numbered within ranges of
-    ``width`` keys, and counts of ranges, added up range by range of ranges, say how many are before each. No task holds
-    more than a range, or the counts of ``width`` ranges, but for the last: a row per ``width`` * ``width`` keys."""
-    part, block = F.floor(F.col(f"`{key}`") / width), F.floor(F.col("_part") / width)
-    sizes = df.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = sizes.groupBy(block.alias("_block")).agg(F.sum("_n").alias("_in_block"))
-    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_in_block").over(earlier.orderBy("_block")), F.lit(0)).alias("_blocks_before"))
-    parts = sizes.withColumn("_block", block).withColumn("_parts_before", F.coalesce(F.sum("_n").over(earlier.partitionBy("_block").orderBy("_part")), F.lit(0)))
-    before = parts.join(blocks, "_block").select("_part", (F.col("_blocks_before") + F.col("_parts_before")).alias("_before"))
-    rows = df.withColumn("_part", part).withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(f"`{key}`"))))
-    return rows.join(before, "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
+    return df.select(*[F.col(f"`{k}`").alias(name) for k, name in key_names(key).items()], F.inline(parts[0] if len(parts) == 1 else F.concat(*parts)))
 
 
 def first_chunk(errors: DataFrame, row: str = "row", size: int = 5000) -> DataFrame:
     """The errors of the first run of ``size`` rows that has any."""
-    chunk = F.ceil(F.col(row) / size)
+    chunk = F.ceil(F.col(f"`{row}`") / size)
     least = errors.agg(F.min(chunk).alias("_least"))
     return errors.join(F.broadcast(least), chunk == F.col("_least")).drop("_least")  # the other side is one row
 
 
 def error_summary(errors: DataFrame, row: str, columns: tuple[str, ...] = ERROR_COLUMNS) -> DataFrame:
     """Errors that are alike but for their row: first and last row and how many."""
-    return errors.groupBy(*columns).agg(F.min(row).alias("first_row_affected"), F.max(row).alias("last_row_affected"), F.count(F.lit(1)).alias("n_rows_affected"))
+    at = F.col(f"`{row}`")
+    return errors.groupBy(*columns).agg(F.min(at).alias("first_row_affected"), F.max(at).alias("last_row_affected"), F.count(F.lit(1)).alias("n_rows_affected"))
+
+
+def any_broken(found: list[Constraint]) -> Column:
+    return functools.reduce(lambda a, b: a | b, [F.coalesce(c.broken, F.lit(False)) for c in found], F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -84,15 +83,24 @@ class ValidationResult:
     spec: SpecCollection
     key: list[str]
     compat: str | None = None
+    #: Columns that hold a delimited file's text, with the types that they are meant to have.
+    kinds: Mapping[str, T.DataType] = field(default_factory=dict)
+    #: A column with the numbers of the rows, if there is one.
+    row: str | None = None
 
     @functools.cached_property
     def constraints(self) -> list[Constraint]:
-        return constraints(self.spec, self.table, self.compat)
+        return constraints(self.spec, self.table, self.compat, dict(self.kinds))
 
     @functools.cached_property
     def errors(self) -> DataFrame:
-        rows = error_rows(self.table, self.constraints, self.key)
-        return first_chunk(rows, self.key[0]) if self.compat == "reference" and len(self.key) == 1 else rows
+        """With ``compat="reference"`` those of the first 5,000 rows that have any, by the rows' numbers or else in the order of the key."""
+        key = list(dict.fromkeys([*self.key, self.row])) if self.row else self.key
+        if self.compat != "reference" or not self.constraints:
+            return error_rows(self.table, self.constraints, key)
+        if self.row:
+            return first_chunk(error_rows(self.table, self.constraints, key), key_names(key)[self.row])
+        return error_rows(chunk_of_rows(self.table, self.key, any_broken(self.constraints), name="_row"), self.constraints, key)
 
     @functools.cached_property
     def summary(self) -> DataFrame:
@@ -101,27 +109,24 @@ class ValidationResult:
         missing = errors.where("keyword = 'required'")
         if any(c.keyword == "required" for c in self.constraints):
             return missing.select("keyword", "message").distinct()
-        row = self.key[0] if len(self.key) == 1 else None
+        names = key_names(list(dict.fromkeys([*self.key, self.row])) if self.row else self.key)
+        row = names[self.row] if self.row else names[self.key[0]] if len(self.key) == 1 else None
         if row is None:
-            errors, row = errors.withColumn("_key", F.struct(*[F.col(f"`{k}`") for k in self.key])), "_key"
+            errors, row = errors.withColumn("_key", F.struct(*[F.col(f"`{k}`") for k in names.values()])), "_key"
         return error_summary(errors, row)
 
     def rule_results(self) -> DataFrame:
-        return rule_results(self.table, self.spec.rules, self.compat)
+        return rule_results(self.table, self.spec.rules, self.compat, dict(self.kinds))
 
     @functools.cached_property
     def is_structurally_valid(self) -> bool:
         if any(c.keyword == "required" for c in self.constraints):
             return False
-        broken = [c.broken for c in self.constraints]
-        if not broken:
-            return True
-        any_broken = F.coalesce(functools.reduce(lambda a, b: a | b, broken), F.lit(False))
-        return self.table.where(any_broken).isEmpty()
+        return not self.constraints or self.table.where(any_broken(self.constraints)).isEmpty()
 
     @functools.cached_property
     def rules(self) -> list[RuleResult]:
-        return apply_rules(self.table, self.spec.rules, self.compat) if self.spec.rules else []
+        return apply_rules(self.table, self.spec.rules, self.compat, dict(self.kinds)) if self.spec.rules else []
 
     @property
     def is_valid(self) -> bool:
@@ -135,12 +140,15 @@ class ValidationResult:
         return self
 
     def flagged(self, name: str = "valid") -> DataFrame:
-        """Extension: the table with a column that says whether a row breaks neither cells nor row rules; one scan."""
-        cells = functools.reduce(lambda a, b: a | b, [F.coalesce(c.broken, F.lit(False)) for c in self.constraints], F.lit(False))
-        rows = self.table.withColumn(name, ~cells)
-        rows = typed(rows)
-        broken = [F.coalesce(row_broken(rows, r, self.compat), F.lit(False)) for r in self.spec.rules if r.type != "check_unique"]
-        return rows.withColumn(name, F.col(name) & ~functools.reduce(lambda a, b: a | b, broken)) if broken else rows
+        """Extension: the table, its values as given, with a column that says whether a row breaks neither cells nor row rules; one scan."""
+        rows = self.table.withColumn(name, ~any_broken(self.constraints))
+        rules = [r for r in self.spec.rules if r.type != "check_unique"]
+        if not rules:
+            return rows
+        seen = beside_typed(rows, dict(self.kinds)) if self.kinds else rows
+        broken = functools.reduce(lambda a, b: a | b, [F.coalesce(row_broken(seen, r, self.compat), F.lit(False)) for r in rules])
+        seen = seen.withColumn(name, F.col(f"`{name}`") & ~broken)
+        return seen.select(*[F.col(f"_given.`{c}`") for c in self.table.columns if c != name], name) if self.kinds else seen
 
     def split(self) -> tuple[DataFrame, DataFrame]:
         """Extension: rows without and with broken cells or row rules, for a quarantine. Two scans if both are used;
@@ -149,11 +157,15 @@ class ValidationResult:
         return rows.where("_valid").drop("_valid"), rows.where("NOT _valid").drop("_valid")
 
 
-def validate(df: DataFrame, spec: SpecCollection, key: list[str] | str, compat: str | None = None, blank_as_null: bool = True) -> ValidationResult:
+def validate(
+    df: DataFrame, spec: SpecCollection, key: list[str] | str, compat: str | None = None, blank_as_null: bool = True, delimited: bool | None = None, row: str | None = None
+) -> ValidationResult:
     """Validate a table whose rows ``key`` tells apart; "" counts as null unless ``blank_as_null`` is off.
 
     In a delimited file's column each value that can't be read is an error of type; with ``compat="reference"`` one such
-    value makes all of its column text, and every row an error.
+    value makes all of its column text, and every row an error. ``delimited`` says whether the table is such a file's; left
+    open, its columns' marks do. ``row`` names a column with the rows' numbers, as ``read_delimited`` gives them.
     """
-    df = empty_to_null(df) if blank_as_null else df
-    return ValidationResult(typed_if_clean(df) if compat == "reference" else df, spec, [key] if isinstance(key, str) else list(key), compat)
+    df, key = empty_to_null(df) if blank_as_null else df, [key] if isinstance(key, str) else list(key)
+    kinds = text_kinds(df, spec, delimited)
+    return ValidationResult(typed_if_clean(df, kinds), spec, key, compat, {}, row) if compat == "reference" else ValidationResult(df, spec, key, compat, kinds, row)

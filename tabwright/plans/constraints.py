@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.functions.columns import is_from_text, readable
+from tabwright.functions.columns import readable, text_kinds
 from tabwright.functions.conditions import is_in
 from tabwright.plans.schema import column_schema, typed_values
 from tabwright.spec import ColumnSpec, SpecCollection, SpecError, java_pattern, pattern_error
@@ -62,17 +62,21 @@ def _type_broken(spec: ColumnSpec, column: Column, kind: T.DataType, compat: str
     return F.lit(False)
 
 
-def column_constraints(spec: ColumnSpec, df: DataFrame, compat: str | None = None) -> list[Constraint]:
-    """The constraints of one column that the table has.
+def column_constraints(spec: ColumnSpec, df: DataFrame, compat: str | None = None, kinds: dict[str, T.DataType] | None = None) -> list[Constraint]:
+    """The constraints of one column that the table has."""
+    kinds = text_kinds(df) if kinds is None else kinds
+    return value_constraints(spec, F.col(f"`{spec.id}`"), df.schema[spec.id].dataType, compat, spec.id in kinds)
+
+
+def value_constraints(spec: ColumnSpec, column: Column, kind: T.DataType, compat: str | None = None, from_text: bool = False) -> list[Constraint]:
+    """The constraints of a value, which may also be part of another.
 
     Of a delimited file's column that isn't meant to be text, each value is judged by itself: text that can't be read as
     the column's type is of the wrong type.
     """
-    kind = df.schema[spec.id].dataType
-    column = F.col(f"`{spec.id}`")
     schema = column_schema(spec)
     parent, data, unreadable = json.dumps(schema, ensure_ascii=False), _data(column, kind), None
-    if spec.json_type != "string" and is_from_text(df, spec.id):
+    if from_text and spec.json_type != "string":
         value = readable(column, spec.spark_type, whole=False)
         column, kind, unreadable = value, T.DoubleType() if spec.json_type == "integer" else spec.spark_type, column.isNotNull() & value.isNull()
     absent = _absent(column, kind)
@@ -116,12 +120,12 @@ def column_constraints(spec: ColumnSpec, df: DataFrame, compat: str | None = Non
     return out
 
 
-def constraints(spec: SpecCollection, df: DataFrame, compat: str | None = None) -> list[Constraint]:
+def constraints(spec: SpecCollection, df: DataFrame, compat: str | None = None, kinds: dict[str, T.DataType] | None = None) -> list[Constraint]:
     """All constraints that can be broken by ``df``; a missing column breaks ``required`` in each row."""
-    out = []
+    out, kinds = [], text_kinds(df, spec) if kinds is None else kinds
     for c in spec.columns.values():
         if c.id in df.columns:
-            out += column_constraints(c, df, compat)
+            out += column_constraints(c, df, compat, kinds)
         else:
             message = f"must have required property '{c.id}'"
             out.append(Constraint(None, "required", message, json.dumps(spec.column_ids, ensure_ascii=False), "{}", json.dumps({"missingProperty": c.id}), F.lit(True), F.lit(None).cast("string")))

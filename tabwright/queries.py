@@ -7,8 +7,6 @@ nulls, so queries on nulls derive a column with nullif, in both languages.
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import change_nas, change_type, check_format, check_nullable, check_pattern, check_type, check_values, empty_to_null
 from tabwright.operators.rules import missing_references, not_in_combinations, rule_results, violating_rows
-from tabwright.operators.validate import error_rows, error_summary, first_chunk, numbered_in_ranges, validate
-from tabwright.plans.constraints import constraints
+from tabwright.operators.shared import scratch
+from tabwright.operators.validate import error_summary, validate
 from tabwright.sources.word import spec_frame
 from tabwright.spec import Rule, SpecCollection
 
@@ -38,16 +36,6 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").withColumns({name: F.expr(e.format(nan="double('NaN')")) for name, e in DERIVED.items()})
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all machines share; a temporary folder only where one machine does all."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tabwright-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _query(name: str, sql: str | None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -263,15 +251,13 @@ def part_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH n AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS "row" FROM orders),
     e AS (SELECT *, ceil("row" / 5000) AS chunk FROM n WHERE o_orderstatus NOT IN ('F', 'O'))
-    SELECT "row", 'o_orderstatus' AS "column", 'enum' AS keyword, o_orderstatus AS data FROM e WHERE chunk = (SELECT min(chunk) FROM e)
+    SELECT o_orderkey, 'o_orderstatus' AS "column", 'enum' AS keyword, o_orderstatus AS data FROM e WHERE chunk = (SELECT min(chunk) FROM e)
     """,
 )
 def error_first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of the first 5,000 rows that have any. Row numbers come from counts per range of keys, added up."""
-    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    rows = numbered_in_ranges(orders, "o_orderkey", 4096)
+    """Errors of the first 5,000 rows, in the order of the key, that have any."""
     spec = SpecCollection.from_dicts([{"id": "o_orderstatus", "nullable": False, "values": ["F", "O"]}])
-    return first_chunk(error_rows(rows, constraints(spec, rows), ["row"])).select("row", "column", "keyword", "data")
+    return validate(_read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), spec, "o_orderkey", compat="reference").errors.select("o_orderkey", "column", "keyword", "data")
 
 
 @_query("empty_to_null", "SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS p FROM orders")
@@ -413,12 +399,12 @@ def query_schema(schema) -> str:
 
 
 def queries() -> dict[str, Query]:
-    from tabwright import queries_files
+    from tabwright import queries_checks, queries_files
 
-    return dict(QUERIES) | queries_files.QUERIES
+    return dict(QUERIES) | queries_files.QUERIES | queries_checks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from tabwright import queries_files
+    from tabwright import queries_checks, queries_files
 
-    return dict(SQL) | queries_files.SQL
+    return dict(SQL) | queries_files.SQL | queries_checks.SQL

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabwright import queries as core
 from tabwright.operators.deliver import lines, sorted_rows, write_parts, write_table
 from tabwright.operators.dataset import Agreement, ValidatedDataset, make_container
+from tabwright.operators.shared import scratch
 from tabwright.operators.rules import RuleViolation, check_rule, validate_rules
 from tabwright.operators.validate import validate
 from tabwright.plans.schema import json_schema
@@ -113,7 +114,7 @@ _DIRTY_SPEC = SpecCollection.from_dicts([{"id": "num", "type": "Num", "nullable"
 
 def _delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` through a delimited file in which values of the wrong type are planted."""
-    path = core.scratch(spark, "delimited")
+    path = scratch(spark, "delimited")
     _read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_DIRTY[0]} AS num", f"{_DIRTY[1]} AS whole").write.options(header=True, sep="\t").csv(path)
     return read_delimited(spark, path, _DIRTY_SPEC)
 
@@ -159,7 +160,7 @@ def _delivery(name: str, order: str, **settings) -> None:
     """The lines of a delivered file of ``customer``, with their places."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = core.scratch(spark, "delivered") + (".gz" if settings.get("compression") == "gzip" else "")
+        path = scratch(spark, "delivered") + (".gz" if settings.get("compression") == "gzip" else "")
         return _file_lines(spark, write_table(_read(spark, sf_dir, "customer"), path, **settings).path)
 
     QUERIES[name] = run
@@ -174,7 +175,7 @@ _delivery("delivery_descending", "c_mktsegment DESC, c_custkey DESC", arrange_by
 
 @_query("delivery_unsorted", f"SELECT {_CUSTOMER} AS line FROM customer")
 def delivery_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _file_lines(spark, write_table(_read(spark, sf_dir, "customer"), core.scratch(spark, "delivered"), arrange_by=None).path).where("row > 0").select("line")
+    return _file_lines(spark, write_table(_read(spark, sf_dir, "customer"), scratch(spark, "delivered"), arrange_by=None).path).where("row > 0").select("line")
 
 
 @_query(
@@ -186,7 +187,7 @@ def delivery_unsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def delivery_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file beside a delivered one: its checksum and size."""
-    done = write_table(_read(spark, sf_dir, "customer"), core.scratch(spark, "delivered"))
+    done = write_table(_read(spark, sf_dir, "customer"), scratch(spark, "delivered"))
     return _file_lines(spark, f"{done.path}.metadata").select("line")
 
 
@@ -195,7 +196,7 @@ def delivery_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` delivered in sorted parts: rows by the manifest, whether each part's keys come after those of the part
     before, and whether the lines are those of the table."""
     rows = _read(spark, sf_dir, "lineitem")
-    manifest = write_parts(rows, core.scratch(spark, "parts"))
+    manifest = write_parts(rows, scratch(spark, "parts"))
     name = lambda c: F.regexp_extract(c, r"part-[^/]*$", 0)
     folder = F.regexp_replace("path", r"/part-[^/]*$", "")
     at = manifest.select(folder.alias("at")).first()[0]

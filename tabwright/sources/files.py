@@ -7,8 +7,11 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.columns import FROM_TEXT
+from tabwright.operators.positions import in_file_order
 from tabwright.spec import SpecCollection, SpecError
 
 try:
@@ -62,12 +65,14 @@ def yaml_to_json(yaml_path: str, json_path: str, pretty: bool = True) -> None:
     Path(json_path).write_text(json.dumps(data, ensure_ascii=False, indent=2 if pretty else None, default=str), encoding="utf-8")
 
 
-def read_delimited(spark: SparkSession, path: str, spec: SpecCollection | None = None, sep: str = "\t", **options: Any) -> DataFrame:
-    """A delimited file with a header, every value as its text. Columns of the specification that aren't meant to be text
-    are marked with their types: validation finds the values that can't be read, rules and ``typed`` read the others."""
+def read_delimited(spark: SparkSession, path: str, spec: SpecCollection | None = None, sep: str = "\t", row: str | None = None, **options: Any) -> DataFrame:
+    """A delimited file with a header, every value as its text. Columns are marked with the types that the specification
+    means them to have: validation finds the values that can't be read, rules and ``typed`` read the others. With ``row``
+    a column of that name has the rows' numbers in the order of files by name and of lines, from 1."""
     rows = spark.read.options(header=True, sep=sep, nullValue="", **options).csv(path)
+    if row is not None:
+        rows = in_file_order(rows, row)
     if spec is None:
         return rows
-    marked = {c: {FROM_TEXT: spec[c].spark_type.simpleString()} for c in rows.columns if c in spec.columns and spec[c].json_type != "string"}
-    return rows.select(*[rows[f"`{c}`"].alias(c, metadata=marked[c]) if c in marked else rows[f"`{c}`"] for c in rows.columns])
-
+    kinds = {c: T.LongType() if c == row else spec[c].spark_type if c in spec.columns else T.StringType() for c in rows.columns}
+    return rows.select(*[F.col(f"`{c}`") if c == row else F.col(f"`{c}`").alias(c, metadata={FROM_TEXT: kind.simpleString()}) for c, kind in kinds.items()])

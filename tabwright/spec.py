@@ -130,6 +130,12 @@ class Rule:
             if len(flat) != 2:
                 raise SpecError(f"rule {self.id}: range must have two values, not {len(flat)}")
             object.__setattr__(self, "range", flat)
+            try:
+                turned = float(flat[0]) > float(flat[1])
+            except (TypeError, ValueError):
+                raise SpecError(f"rule {self.id}: a range is two numbers, not {flat!r}") from None
+            if turned:
+                raise SpecError(f"rule {self.id}: the range's lower end {flat[0]!r} is above its upper end {flat[1]!r}")
         if self.allowed is not None:
             object.__setattr__(self, "allowed", tuple(tuple(a) if isinstance(a, (list, tuple)) else (a,) for a in self.allowed))
             if wrong := [a for a in self.allowed if len(a) != len(column or ())]:
