@@ -11,14 +11,16 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright import queries as core
-from tabwright.operators.deliver import lines, sorted_rows, write_parts, write_table
+from tabwright.functions.columns import empty_to_null
+from tabwright.operators.deliver import write_parts, write_table
 from tabwright.operators.dataset import Agreement, ValidatedDataset, make_container
+from tabwright.operators.positions import in_file_order
+from tabwright.operators.rules import RuleViolation, check_rule, validate_rules, violating_rows
 from tabwright.operators.shared import scratch
-from tabwright.operators.rules import RuleViolation, check_rule, validate_rules
 from tabwright.operators.validate import validate
 from tabwright.plans.schema import json_schema
 from tabwright.sources.files import read_delimited, read_json, read_yaml, write_json, write_yaml, yaml_to_json
@@ -108,40 +110,67 @@ def json_schema_of_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "column string, keyword string, value string")
 
 
-_DIRTY = "CASE WHEN o_orderkey % 11 = 0 THEN 'abc' WHEN o_orderkey % 13 = 0 THEN '' ELSE o_custkey || '.5' END", "CASE WHEN o_orderkey % 7 = 0 THEN '2.5' WHEN o_orderkey % 17 = 0 THEN 'x' ELSE o_custkey || '' END"
-_DIRTY_SPEC = SpecCollection.from_dicts([{"id": "num", "type": "Num", "nullable": True}, {"id": "whole", "type": "Int", "nullable": True}], [{"id": "r", "type": "check_range", "column": "whole", "range": [10, 100]}])
+_DIRTY = "CASE WHEN o_orderkey % 11 = 0 THEN 'abc' WHEN o_orderkey % 19 = 0 THEN '12d' WHEN o_orderkey % 13 = 0 THEN '' ELSE o_custkey || '.5' END", "CASE WHEN o_orderkey % 7 = 0 THEN '2.5' WHEN o_orderkey % 17 = 0 THEN 'x' ELSE o_custkey || '' END"
+_FLAG = "CASE WHEN o_orderkey % 5 = 0 THEN 'y' WHEN o_orderkey % 5 = 1 THEN 'TRUE' WHEN o_orderkey % 5 = 2 THEN '1' ELSE 'F' END"
+_DIRTY_SPEC = SpecCollection.from_dicts(
+    [{"id": "num", "type": "Num", "nullable": True}, {"id": "whole", "type": "Int", "nullable": True}, {"id": "flag", "type": "Bool", "nullable": False}],
+    [{"id": "r", "type": "check_range", "column": "whole", "range": [10, 100]}],
+)
+_DIRTY_ROWS = f"(SELECT o_orderkey::VARCHAR AS o_orderkey, nullif({_DIRTY[0]}, '') AS num, {_DIRTY[1]} AS whole, {_FLAG} AS flag FROM orders)"
+_BAD_NUM, _BAD_WHOLE, _BAD_FLAG = "coalesce(num IN ('abc', '12d'), false)", "whole IN ('2.5', 'x')", "flag IN ('y', '1')"
+_OUT = f"(NOT {_BAD_WHOLE} AND try_cast(whole AS DOUBLE) NOT BETWEEN 10 AND 100)"
 
 
 def _delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` through a delimited file in which values of the wrong type are planted."""
     path = scratch(spark, "delimited")
-    _read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_DIRTY[0]} AS num", f"{_DIRTY[1]} AS whole").write.options(header=True, sep="\t").csv(path)
+    _read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_DIRTY[0]} AS num", f"{_DIRTY[1]} AS whole", f"{_FLAG} AS flag").write.options(header=True, sep="\t").csv(path)
     return read_delimited(spark, path, _DIRTY_SPEC)
 
 
 @_query(
     "delimited_bad_values",
-    "SELECT o_orderkey::VARCHAR AS o_orderkey, 'num' AS \"column\", 'type' AS keyword, 'abc' AS data FROM orders WHERE o_orderkey % 11 = 0 "
-    "UNION ALL SELECT o_orderkey::VARCHAR, 'whole', 'type', CASE WHEN o_orderkey % 7 = 0 THEN '2.5' ELSE 'x' END FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 17 = 0",
+    f"SELECT o_orderkey, 'num' AS \"column\", 'type' AS keyword, num AS data FROM {_DIRTY_ROWS} WHERE {_BAD_NUM} UNION ALL SELECT o_orderkey, 'whole', 'type', whole FROM {_DIRTY_ROWS} WHERE {_BAD_WHOLE} "
+    f"UNION ALL SELECT o_orderkey, 'flag', 'type', flag FROM {_DIRTY_ROWS} WHERE {_BAD_FLAG}",
 )
 def delimited_bad_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(_delimited(spark, sf_dir), _DIRTY_SPEC, "o_orderkey").errors.select("o_orderkey", "column", "keyword", "data")
+    """Values that can't be read, in columns of which one has been through a projection."""
+    rows = _delimited(spark, sf_dir).withColumn("num", F.trim("num"))
+    return validate(rows, _DIRTY_SPEC, "o_orderkey").errors.select("o_orderkey", "column", "keyword", "data")
+
+
+@_query("delimited_flagged", f"SELECT *, NOT ({_BAD_NUM} OR {_BAD_WHOLE} OR {_BAD_FLAG} OR {_OUT}) AS good FROM {_DIRTY_ROWS}")
+def delimited_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows with their values as given, and whether they are sound."""
+    return validate(_delimited(spark, sf_dir), _DIRTY_SPEC, "o_orderkey").flagged("good")
+
+
+@_query("delimited_quarantine", f"SELECT * FROM {_DIRTY_ROWS} WHERE {_BAD_NUM} OR {_BAD_WHOLE} OR {_BAD_FLAG} OR {_OUT}")
+def delimited_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate(_delimited(spark, sf_dir), _DIRTY_SPEC, "o_orderkey").split()[1]
+
+
+@_query("delimited_violating_rows", f"SELECT * FROM {_DIRTY_ROWS} WHERE {_OUT}")
+def delimited_violating_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break the range, values that can't be read in other columns staying as they are."""
+    return violating_rows(empty_to_null(_delimited(spark, sf_dir)), _DIRTY_SPEC.rules[0])
 
 
 @_query(
     "delimited_guessed_types",
-    f"SELECT \"column\", count(*) AS n FROM (SELECT unnest(['num', 'whole']) AS \"column\", unnest([num, whole]) AS v FROM (SELECT nullif({_DIRTY[0]}, '') AS num, {_DIRTY[1]} AS whole FROM orders)) WHERE v IS NOT NULL GROUP BY 1",
+    f"""
+    WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i FROM {_DIRTY_ROWS})
+    SELECT "column", count(v) AS n FROM (SELECT unnest(['num', 'whole', 'flag']) AS "column", unnest([num, whole, flag]) AS v FROM n WHERE i <= 5000) GROUP BY 1
+    """,
 )
 def delimited_guessed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As where types are guessed from all values: one bad value makes every value of its column an error."""
-    df = validate(_delimited(spark, sf_dir), _DIRTY_SPEC, ["o_orderkey", "num"], compat="reference")
+    """As where types are guessed from all values: one bad value makes every value of its column an error; those of the
+    first 5,000 rows in the order of the key."""
+    df = validate(_delimited(spark, sf_dir), _DIRTY_SPEC, "o_orderkey", compat="reference")
     return df.errors.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(
-    "delimited_rule",
-    f"SELECT 'r' AS rule_id, n = 0 AS valid, n AS n_violations FROM (SELECT count(*) FILTER (WHERE NOT (w BETWEEN 10 AND 100)) AS n FROM (SELECT CASE WHEN {_DIRTY[1]} NOT IN ('2.5', 'x') THEN o_custkey END AS w FROM orders))",
-)
+@_query("delimited_rule", f"SELECT 'r' AS rule_id, n = 0 AS valid, n AS n_violations FROM (SELECT count(*) FILTER (WHERE {_OUT}) AS n FROM {_DIRTY_ROWS})")
 def delimited_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(_delimited(spark, sf_dir), _DIRTY_SPEC, "o_orderkey").rule_results().select("rule_id", "valid", "n_violations")
 
@@ -191,22 +220,48 @@ def delivery_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _file_lines(spark, f"{done.path}.metadata").select("line")
 
 
-@_query("delivery_parts", "SELECT sum(1)::BIGINT AS n_rows, 11 AS n_cols, true AS in_order, true AS whole FROM lineitem")
+_DOCUMENT = "doc_id::VARCHAR || chr(9) || replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || chr(9) || lang || chr(9) || source || chr(9) || n_chars"
+
+
+@_query(
+    "delivery_parts",
+    f"""
+    WITH l AS (SELECT doc_id, {_DOCUMENT} AS line FROM documents), s AS (SELECT count(*) AS n_rows, (sum(octet_length(encode(line)) + 1))::BIGINT AS n_bytes FROM l)
+    SELECT row_number() OVER (ORDER BY doc_id) AS place, line, n_rows, n_bytes, 5 AS n_cols FROM l, s
+    """,
+)
 def delivery_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` delivered in sorted parts: rows by the manifest, whether each part's keys come after those of the part
-    before, and whether the lines are those of the table."""
-    rows = _read(spark, sf_dir, "lineitem")
-    manifest = write_parts(rows, scratch(spark, "parts"))
-    name = lambda c: F.regexp_extract(c, r"part-[^/]*$", 0)
-    folder = F.regexp_replace("path", r"/part-[^/]*$", "")
-    at = manifest.select(folder.alias("at")).first()[0]
-    text = spark.read.text(at).select(F.col("value").alias("line"), name(F.input_file_name()).alias("name")).where("NOT startswith(line, 'l_orderkey')")
-    key = F.split("line", "\t")[0].cast("long")
-    ends = text.groupBy("name").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    placed = manifest.select("part", "n_rows", "n_cols", name("path").alias("name")).join(ends, "name")
-    after = placed.alias("x").join(placed.select(F.col("part").alias("p"), F.col("hi").alias("h")), F.col("p") < F.col("part"), "left").where("lo < h").limit(1).count() == 0
-    whole = lines(sorted_rows(rows, None)).exceptAll(text.select("line")).isEmpty()
-    return placed.agg(F.sum("n_rows").alias("n_rows"), F.max("n_cols").alias("n_cols")).select("n_rows", "n_cols", F.lit(after).alias("in_order"), F.lit(whole).alias("whole"))
+    """``documents``, whose texts hold line breaks, delivered in sorted parts: every line with its place, and rows, bytes
+    (without headers) and columns by the manifest."""
+    manifest = write_parts(_read(spark, sf_dir, "documents"), scratch(spark, "parts"), part_bytes=1 << 18)
+    title = "doc_id\ttext\tlang\tsource\tn_chars"
+    said = manifest.agg(F.sum("n_rows").alias("n_rows"), (F.sum("n_bytes") - F.count(F.lit(1)) * (len(title) + 1)).alias("n_bytes"), F.max("n_cols").alias("n_cols"))
+    folder = manifest.select(F.regexp_replace("path", r"/part-[^/]*$", "").alias("at")).first()[0]
+    rows = in_file_order(spark.read.text(f"{folder}/part-*"), "place").withColumnRenamed("value", "line")
+    heads = rows.where(F.col("line") == title).select(F.col("place").alias("head"))  # a row per part
+    starts = heads.withColumn("nth", F.row_number().over(Window.orderBy("head"))).withColumn("next", F.lead("head").over(Window.orderBy("head")))
+    placed = rows.where(F.col("line") != title).join(F.broadcast(starts), (F.col("place") > F.col("head")) & (F.col("place") < F.coalesce("next", F.lit(1 << 62))))
+    n_rows, n_bytes, n_cols = said.first()
+    return placed.select((F.col("place") - F.col("nth")).alias("place"), "line", F.lit(n_rows).alias("n_rows"), F.lit(n_bytes).alias("n_bytes"), F.lit(n_cols).alias("n_cols"))
+
+
+_VALUE = "(CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 1000000 / 7 WHEN o_orderkey % 5 = 1 THEN o_totalprice / 1e12 WHEN o_orderkey % 5 = 2 THEN (o_orderkey * 100000)::DOUBLE WHEN o_orderkey % 5 = 3 THEN -o_totalprice ELSE o_totalprice * 1e18 END)"
+
+
+@_query(
+    "delivery_numbers",
+    rf"""
+    WITH v AS (SELECT o_orderkey, {_VALUE} AS v FROM orders), f AS (SELECT *, printf('%.14e', abs(v)) AS t FROM v),
+    p AS (SELECT *, rtrim(t[1:1] || t[3:16], '0') AS digits, t[18:]::INT AS e FROM f),
+    x AS (SELECT *, CASE WHEN e < 0 THEN '0.' || repeat('0', -e - 1) || digits WHEN length(digits) > e + 1 THEN digits[1:e + 1] || '.' || digits[e + 2:] ELSE rpad(digits, e + 1, '0') END AS plain,
+      digits[1:1] || CASE WHEN length(digits) > 1 THEN '.' || digits[2:] ELSE '' END || t[17:] AS short FROM p)
+    SELECT o_orderkey || chr(9) || CASE WHEN v < 0 THEN '-' ELSE '' END || CASE WHEN length(plain) <= length(short) THEN plain ELSE short END AS line FROM x
+    """,
+)
+def delivery_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with numbers of all sizes, at most 15 significant digits."""
+    rows = _read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_VALUE.replace('::DOUBLE', '').replace('(o_orderkey * 100000)', 'double(o_orderkey * 100000)').replace('1e12', '1e12D').replace('1e18', '1e18D')} AS v")
+    return _file_lines(spark, write_table(rows, scratch(spark, "delivered"), arrange_by=None).path).where("row > 0").select("line")
 
 
 @_query(

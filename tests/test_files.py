@@ -3,11 +3,15 @@
 import gzip
 import hashlib
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.columns import typed
-from tabwright.operators.deliver import lines, md5_of, sorted_rows, write_metadata, write_parts, write_table
+from tabwright.operators.deliver import as_text, fifteen_digits, lines, md5_of, sorted_rows, write_metadata, write_parts, write_table
+from tabwright.operators.rules import violating_rows
 from tabwright.operators.validate import validate
 from tabwright.sources.files import read_delimited, read_json, read_yaml, write_json, write_yaml, yaml_to_json
 from tabwright.sources.word import SHORT, read_spec_table, spec_frame, write_spec_table, write_value_table
@@ -117,12 +121,11 @@ def test_delivery(spark, tmp_path):
 
 
 def test_parts(spark, tmp_path):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay apart
     df = spark.range(2000).selectExpr("id % 7 AS a", "concat('t ', id, ' ') AS b", "id / 4 AS c").repartition(5)
     for k, compression in enumerate(("none", "gzip")):
-        manifest = write_parts(df, f"file://{tmp_path}/{k}", compression=compression)
+        manifest = write_parts(df, f"file://{tmp_path}/{k}", compression=compression, part_bytes=5000)
         rows = manifest.orderBy("part").collect()
-        assert sum(r.n_rows for r in rows) == 2000 and {r.n_cols for r in rows} == {3} and len(rows) > 1
+        assert sum(r.n_rows for r in rows) == 2000 and {r.n_cols for r in rows} == {3} and len(rows) > 3
         text = []
         for r in rows:
             data = open(r.path.removeprefix("file:"), "rb").read()
@@ -132,9 +135,40 @@ def test_parts(spark, tmp_path):
             text += body
         assert text == [r.line for r in lines(sorted_rows(df)).collect()]
         assert manifest.count() == spark.read.json(f"file://{tmp_path}/{k}/manifest").count()
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     with pytest.raises(ValueError):
         write_parts(df, f"file://{tmp_path}/x", compression="zip")
+    with pytest.raises(ValueError):
+        write_parts(df, f"file://{tmp_path}/x", breaks="keep")
+
+
+def test_parts_of_values_with_breaks(spark, tmp_path):
+    values = ["a\nb", "\r\n", "tab\there", "back\\slash", "\\n", '"q"', "", None, "é\u2028x", "\x00\x01", "x" * 3000 + "\n"]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").repartition(3)
+    manifest = write_parts(df, f"file://{tmp_path}/p", part_bytes=2000)
+    rows = manifest.orderBy("part").collect()
+    data = b"".join(open(r.path.removeprefix("file:"), "rb").read() for r in rows)
+    escape = lambda v: (v or "").replace("\\", "\\\\").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
+    body = "".join(f"{k}\t{escape(v)}\n" for k, v in enumerate(values))
+    assert data.decode().replace("k\tv\n", "") == body and sum(r.n_rows for r in rows) == len(values)
+    with pytest.raises(Exception, match="line break"):
+        write_parts(df, f"file://{tmp_path}/r", breaks="refuse")
+    assert write_parts(df.where("k = 5"), f"file://{tmp_path}/s", breaks="refuse").first().n_rows == 1
+    none = write_parts(df.where("false"), f"file://{tmp_path}/e").collect()
+    assert [r.n_rows for r in none] == [0] and open(none[0].path.removeprefix("file:")).read() == "k\tv\n"
+    hot = write_parts(spark.range(3000).selectExpr("'same' AS s", "id"), f"file://{tmp_path}/h", arrange_by="s", part_bytes=5000).collect()
+    assert len(hot) > 4 and max(r.n_rows for r in hot) < 1500
+
+
+def test_numbers_have_fifteen_digits(spark, tmp_path):
+    wanted = {123456789.123: "123456789.123", 0.1 + 0.2: "0.3", 1e-7: "1e-07", 1e5: "1e+05", 100001.0: "100001", 123456.0: "123456", 0.0001: "1e-04", 0.00012: "0.00012", 1e15: "1e+15", 123456789012345680.0: "123456789012345680", 12345678901234567890.0: "12345678901234567168",
+              -2.5: "-2.5", 0.0: "0", -0.0: "0", 1 / 3: "0.333333333333333", 2 / 3: "0.666666666666667", 1e300: "1e+300", 1.5e-300: "1.5e-300", math.inf: "Inf", -math.inf: "-Inf", 3e3: "3000", 99999.5: "99999.5", 1e22: "1e+22"}
+    got = {r.d: r.line for r in spark.createDataFrame([(d,) for d in wanted], "d double").select("d", as_text(F.col("d"), T.DoubleType()).alias("line")).collect()}
+    assert got == wanted
+    rng = random.Random(4)
+    many = [x for k in range(3000) for x in (rng.randrange(10**15, 10**16) * 10.0 ** rng.randrange(-22, 1), round(rng.random() * 10**6, 2) * 1e6 / 7, (rng.randrange(10**14, 10**15) + 0.5) / rng.choice([1, 2, 10, 1000]))]
+    shown = [r.t for r in spark.createDataFrame([(k, x) for k, x in enumerate(many)], "k int, x double").orderBy("k").select(fifteen_digits(F.col("x")).alias("t")).collect()]
+    assert shown == [f"{x:.14e}" for x in many]
+    assert lines(spark.createDataFrame([(0.1, 1e5)], "f float, g float")).first().line == "0.1\t1e+05"
 
 
 def test_bad_values_of_delimited_files_stay(spark, tmp_path):
@@ -152,3 +186,36 @@ def test_bad_values_of_delimited_files_stay(spark, tmp_path):
     assert back["5"].i == 9007199254740993 and back["4"].i == 3 and back["2"].n is None and math.isnan(back["4"].n) and back["1"].b is True
     # As read where types are guessed: one bad value makes its whole column text.
     assert sorted(r.k for r in validate(df, spec, "k", compat="reference", blank_as_null=True).errors.where("column = 'n'").collect()) == ["1", "2", "4", "5"]
+
+
+def test_literals_are_the_readers(spark, tmp_path):
+    values = ["12d", "1e5f", "0x10", "1_0", "٣", "Infinity", "1e", "1", "-.5", "1.", "1e-3", " 2 ", "NaN", "-Inf", "y", "no", "T", "true", "False", "TRUE "]
+    path = tmp_path / "v.tsv"
+    path.write_text("k\tn\ti\tb\n" + "".join(f"{k}\t{v}\t{v}\t{v}\n" for k, v in enumerate(values)))
+    spec = SpecCollection.from_dicts([{"id": "n", "type": "Num", "nullable": True}, {"id": "i", "type": "Int", "nullable": True}, {"id": "b", "type": "Bool", "nullable": True}])
+    df = read_delimited(spark, str(path), spec)
+    wrong = {c: {values[int(r.k)] for r in validate(df, spec, "k").errors.collect() if r.column == c} for c in "nib"}
+    numbers, truths = {"1", "-.5", "1.", "1e-3", " 2 ", "NaN", "-Inf"}, {"T", "true", "False", "TRUE "}
+    assert wrong["n"] == set(values) - numbers and wrong["b"] == set(values) - truths
+    assert wrong["i"] == set(values) - {"1", "1.", " 2 ", "NaN", "-Inf"}
+    # A column that has been through a projection has its type from the specification, or else from ``delimited``.
+    trimmed = df.withColumn("n", F.trim("n"))
+    assert validate(trimmed, spec, "k").errors.count() == validate(df, spec, "k").errors.count()
+    bare = df.select(*[F.concat(c, F.lit("")).alias(c) for c in "knib"])
+    assert validate(bare, spec, "k", delimited=True).errors.count() == validate(df, spec, "k").errors.count()
+    assert validate(bare, spec, "k").errors.count() == 3 * len(values)
+
+
+def test_quarantined_values_stay(spark, tmp_path):
+    path = tmp_path / "q.tsv"
+    path.write_text("k\tn\tb\n1\tabc\tT\n2\t12d\ty\n3\t5\tF\n4\t50\tF\n5\t2.5\tno\n5\t7\tT\n6\t7.0\tT\n")
+    rules = [{"id": "r", "type": "check_range", "column": "n", "range": [0, 10]}, {"id": "u", "type": "check_unique", "column": "n"}]
+    spec = SpecCollection.from_dicts([{"id": "n", "type": "Num", "nullable": True}, {"id": "b", "type": "Bool", "nullable": True}], rules)
+    df = read_delimited(spark, str(path), spec)
+    rows = lambda x: sorted(tuple(r) for r in x.collect())
+    good, bad = validate(df, spec, "k").split()
+    assert rows(good) == [("3", "5", "F"), ("5", "7", "T"), ("6", "7.0", "T")]
+    assert rows(bad) == [("1", "abc", "T"), ("2", "12d", "y"), ("4", "50", "F"), ("5", "2.5", "no")]
+    assert rows(validate(df, spec, "k").flagged().where("NOT valid").drop("valid")) == rows(bad)
+    assert rows(violating_rows(df, spec.rules[0])) == [("4", "50", "F")]
+    assert rows(violating_rows(df, spec.rules[1], ["k"])) == [("2", "12d", "y"), ("6", "7.0", "T")]  # what can't be read is null, and nulls are alike
