@@ -38,12 +38,12 @@ def _struct(c: Constraint):
     return F.when(c.broken, F.struct(F.lit(c.column).cast("string").alias("column"), F.lit(c.keyword).alias("keyword"), F.lit(c.message).alias("message"), F.lit(c.schema).alias("schema"), c.data.alias("data"), F.lit(c.parent_schema).alias("parent_schema"), F.lit(c.params).alias("params")))
 
 
-def key_names(key: list[str]) -> dict[str, str]:
+def key_names(key: list[str], columns: tuple[str, ...] = ERROR_COLUMNS) -> dict[str, str]:
     """The names under which key columns stand beside errors: one that is called as a column of errors gets ``_key`` after it."""
-    taken, names = {c.lower() for c in (*ERROR_COLUMNS, *key)}, {}
+    taken, names = {c.lower() for c in (*columns, *key)}, {}
     for k in key:
         name = k
-        while name.lower() in ERROR_COLUMNS or name != k and name.lower() in taken:
+        while name.lower() in columns or name != k and name.lower() in taken:
             name += "_key"
         taken.add(name.lower())
         names[k] = name

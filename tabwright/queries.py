@@ -297,12 +297,19 @@ def check_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "spec_table",
     """
-    SELECT * FROM (VALUES ('p_name', '', 'Char', '9', '', 'No', ''), ('p_type', '', 'Char', '', '', 'No', '#@values: ECONOMY; STANDARD; SMALL'), ('p_brand', '', 'Char', '', '', 'No', '#@pattern: ^Brand#[0-9]$'))
-      AS t("Variable Name", "Variable Label", "Type", "Length", "Format", "Nullable", "Description")
+    SELECT s.*, n_values, longest FROM (VALUES ('p_name', '', 'Char', '9', '', 'No', ''), ('p_type', '', 'Char', '', '', 'No', '#@values: ECONOMY; STANDARD; SMALL'), ('p_brand', '', 'Char', '', '', 'No', '#@pattern: ^Brand#[0-9]$'))
+      AS s("Variable Name", "Variable Label", "Type", "Length", "Format", "Nullable", "Description")
+    JOIN (SELECT 'p_name' AS c, count(p_name) AS n_values, max(length(p_name))::INT AS longest FROM part UNION ALL SELECT 'p_type', count(p_type), max(length(p_type))::INT FROM part UNION ALL SELECT 'p_brand', count(p_brand), max(length(p_brand))::INT FROM part)
+      ON c = "Variable Name"
     """,
 )
 def spec_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spec_frame(spark, PART_SPEC)
+    """The documentation of a specification, with what ``part`` holds beside each column: values, and the longest one's length."""
+    part = _read(spark, sf_dir, "part")
+    held = [F.struct(F.lit(c).alias("c"), F.count(c).alias("n_values"), F.max(F.length(c)).alias("longest")) for c in PART_SPEC.column_ids]
+    seen = part.agg(F.array(*held).alias("a")).select(F.inline("a"))
+    docs = spec_frame(spark, PART_SPEC)
+    return docs.join(seen, docs["Variable Name"] == seen["c"]).drop("c")
 
 
 ORDERS_SPEC = SpecCollection.from_dicts(

@@ -11,6 +11,7 @@ from tabwright import queries as core
 from tabwright.operators.positions import numbered_by
 from tabwright.operators.shared import scratch
 from tabwright.operators.validate import validate
+from tabwright.plans.nested import nested_errors
 from tabwright.sources.files import read_delimited
 from tabwright.spec import SpecCollection
 
@@ -64,3 +65,38 @@ def numbered_by_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` numbered by a date and two texts that very many rows share."""
     rows = _read(spark, sf_dir, "lineitem").select("l_shipdate", "l_returnflag", F.col("l_linestatus").alias("l_status"))
     return numbered_by(rows, ["l_shipdate", "l_returnflag", "l_status"])
+
+
+@_query(
+    "nested_embeddings",
+    """
+    WITH v AS (SELECT vec_id, embedding, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+    SELECT vec_id, '/' || i AS path, 'minimum' AS keyword FROM v WHERE x < (-0.3)::FLOAT UNION ALL SELECT vec_id, '/' || i, 'maximum' FROM v WHERE x > 0.3::FLOAT
+    UNION ALL SELECT vec_id, '', 'maxItems' FROM embeddings WHERE len(embedding) > 63 AND vec_id % 10 = 0
+    """,
+)
+def nested_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of vectors outside a range, by their places, and vectors that are too long."""
+    vectors = _read(spark, sf_dir, "embeddings").withColumn("short", F.when(F.col("vec_id") % 10 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 63)))
+    bound = {"items": {"type": "Num", "minimum": -0.30000001192092896, "maximum": 0.30000001192092896}}
+    found = nested_errors(vectors, {"embedding": bound, "short": {"items": {"type": "Num"}, "min_items": 1, "max_items": 63}}, "vec_id")
+    return found.select("vec_id", "path", "keyword")
+
+
+@_query(
+    "nested_conversations",
+    """
+    WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+    SELECT conv_id, '/' || i || '/role' AS path, 'enum' AS keyword, role AS data FROM t WHERE role NOT IN ('user', 'assistant')
+    UNION ALL SELECT conv_id, '/' || i || '/text', 'maxLength', text FROM t WHERE length(text) > 800
+    UNION ALL SELECT conv_id, '', 'minItems', count(*)::VARCHAR FROM t GROUP BY conv_id HAVING count(*) < 3
+    UNION ALL SELECT conv_id, '/' || i || '/size/' || role, 'maximum', length(text)::VARCHAR FROM t WHERE length(text) > 1000
+    """,
+)
+def nested_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as arrays of turns with a map in each: roles, lengths of texts, how many turns."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    sized = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), F.create_map(t["role"], F.length(t["text"])).alias("size")))
+    rows = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(sized.alias("turns"))
+    fields = {"role": {"values": ["user", "assistant"]}, "text": {"length": 800, "nullable": True}, "size": {"values": {"type": "Int", "maximum": 1000}}}
+    return nested_errors(rows, {"turns": {"items": {"fields": fields}, "min_items": 3}}, "conv_id").select("conv_id", "path", "keyword", "data")

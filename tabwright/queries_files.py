@@ -6,6 +6,7 @@ specifications are the driver's own; files of tables are in the folder that all
 
 from __future__ import annotations
 
+import functools
 import json
 import tempfile
 from collections.abc import Callable
@@ -19,7 +20,7 @@ from tabwright.functions.columns import empty_to_null
 from tabwright.operators.deliver import write_parts, write_table
 from tabwright.operators.dataset import Agreement, ValidatedDataset, make_container
 from tabwright.operators.positions import in_file_order
-from tabwright.operators.rules import RuleViolation, check_rule, validate_rules, violating_rows
+from tabwright.operators.rules import RuleViolation, check_rule, rule_results, validate_rules, violating_rows
 from tabwright.operators.shared import scratch
 from tabwright.operators.validate import validate
 from tabwright.plans.schema import json_schema
@@ -97,17 +98,31 @@ def value_table_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").where(F.col(title).isin(values)).groupBy(title).agg(F.count(F.lit(1)).alias("n"))
 
 
+_BROKEN = {
+    ("o_orderstatus", "enum"): "o_orderstatus NOT IN ('F', 'O')",
+    ("o_orderpriority", "maxLength"): "length(o_orderpriority) > 8",
+    ("o_orderpriority", "pattern"): "NOT regexp_matches(o_orderpriority, '^[1-4]-')",
+    ("p5", "type"): "o_orderpriority = '5-LOW'",
+}
+
+
 @_query(
     "json_schema_of_spec",
     """
-    SELECT * FROM (VALUES ('o_orderkey', 'type', '"integer"'), ('o_custkey', 'type', '"integer"'), ('o_orderstatus', 'type', '"string"'), ('o_orderstatus', 'maxLength', '1'), ('o_orderstatus', 'enum', '["F", "O"]'),
-      ('o_totalprice', 'type', '"number"'), ('o_orderpriority', 'type', '"string"'), ('o_orderpriority', 'maxLength', '8'), ('o_orderpriority', 'pattern', '"^[1-4]-"'), ('p5', 'type', '"string"')) AS t("column", keyword, value)
-    """,
+    WITH s AS (SELECT * FROM (VALUES ('o_orderkey', 'type', '"integer"'), ('o_custkey', 'type', '"integer"'), ('o_orderstatus', 'type', '"string"'), ('o_orderstatus', 'maxLength', '1'), ('o_orderstatus', 'enum', '["F", "O"]'),
+      ('o_totalprice', 'type', '"number"'), ('o_orderpriority', 'type', '"string"'), ('o_orderpriority', 'maxLength', '8'), ('o_orderpriority', 'pattern', '"^[1-4]-"'), ('p5', 'type', '"string"')) AS t("column", keyword, value)),
+    """
+    + "b AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS keyword, count(*) AS n FROM orders WHERE {broken}" for (c, k), broken in _BROKEN.items())
+    + ") SELECT s.*, coalesce(n, 0) AS n_broken FROM s LEFT JOIN b USING (\"column\", keyword)",
 )
 def json_schema_of_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each keyword of a specification's schema, and how many rows of ``orders`` break it."""
     schema = json_schema(core.ORDERS_SPEC)["items"]
     rows = [(c, k, json.dumps(v)) for c in schema["required"] for k, v in schema["properties"][c].items()]
-    return spark.createDataFrame(rows, "column string, keyword string, value string")
+    found = validate(core._orders(spark, sf_dir), core.ORDERS_SPEC, "o_orderkey").errors.groupBy("column", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    keywords = spark.createDataFrame(rows, "column string, keyword string, value string")
+    return keywords.join(found, ["column", "keyword"], "left").select("column", "keyword", "value", F.coalesce("n", F.lit(0)).alias("n_broken"))
 
 
 _DIRTY = "CASE WHEN o_orderkey % 11 = 0 THEN 'abc' WHEN o_orderkey % 19 = 0 THEN '12d' WHEN o_orderkey % 13 = 0 THEN '' ELSE o_custkey || '.5' END", "CASE WHEN o_orderkey % 7 = 0 THEN '2.5' WHEN o_orderkey % 17 = 0 THEN 'x' ELSE o_custkey || '' END"
@@ -286,27 +301,35 @@ def rule_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r.id, r.message) for r in failed], "rule_id string, message string")
 
 
-@_query("spec_refusals", "SELECT * FROM (VALUES ('rule of no kind', true), ('unsupported condition', true), ('not a rule', true), ('column id with a blank', true), ('pattern that Java refuses', true), ('sound rule', false)) AS t(given, refused)")
+@_query(
+    "spec_refusals",
+    """
+    SELECT given, refused, CASE WHEN NOT refused THEN (SELECT (count(*) - count(DISTINCT p_size))::BIGINT FROM part) ELSE -1 END AS n_violations
+    FROM (VALUES ('rule of no kind', true), ('unsupported condition', true), ('not a rule', true), ('range turned round', true), ('pattern that Java refuses', true), ('column that the table lacks', true), ('sound rule', false)) AS t(given, refused)
+    """,
+)
 def spec_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of these are refused when they are made."""
-    sound = {"id": "x", "type": "check_unique", "column": "a"}
-    given: dict[str, Callable[[], object]] = {
+    """Which of these are refused, and how many rows of ``part`` those break that aren't (-1: none was looked at)."""
+    part, sound = _read(spark, sf_dir, "part"), {"id": "x", "type": "check_unique", "column": "p_size"}
+    given: dict[str, Callable[[], Rule]] = {
         "rule of no kind": lambda: Rule.from_dict({**sound, "type": "check_what"}),
-        "unsupported condition": lambda: Rule.from_dict({"id": "x", "type": "check_condition", "condition": {"a": {"like": "b"}}, "then": {"a": {"equals": 1}}}),
+        "unsupported condition": lambda: Rule.from_dict({"id": "x", "type": "check_condition", "condition": {"p_size": {"like": "b"}}, "then": {"p_size": {"equals": 1}}}),
         "not a rule": lambda: check_rule(sound),
-        "column id with a blank": lambda: SpecCollection.from_dicts([{"id": "a b"}]),
-        "pattern that Java refuses": lambda: SpecCollection.from_dicts([{"id": "a", "pattern": "(?P<x>a)"}]),
+        "range turned round": lambda: Rule.from_dict({"id": "x", "type": "check_range", "column": "p_size", "range": [2, 1]}),
+        "pattern that Java refuses": lambda: SpecCollection.from_dicts([{"id": "p_name", "pattern": "(?P<x>a)"}], [sound]).rules[0],
+        "column that the table lacks": lambda: Rule.from_dict({**sound, "column": "p_color"}),
         "sound rule": lambda: check_rule(Rule.from_dict(sound)),
     }
 
-    def refused(make: Callable[[], object]) -> bool:
+    def tried(name: str, make: Callable[[], Rule]) -> DataFrame:
+        said = F.lit(name).alias("given")
         try:
-            make()
+            found = rule_results(part, [make()])
         except SpecError:
-            return True
-        return False
+            return spark.range(1).select(said, F.lit(True).alias("refused"), F.lit(-1).cast("long").alias("n_violations"))
+        return found.select(said, F.lit(False).alias("refused"), "n_violations")
 
-    return spark.createDataFrame([(name, refused(make)) for name, make in given.items()], "given string, refused boolean")
+    return functools.reduce(DataFrame.unionByName, [tried(name, make) for name, make in given.items()])
 
 
 def _container(spark: SparkSession, sf_dir: str) -> ValidatedDataset:
@@ -352,6 +375,7 @@ def container_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM (VALUES ('column ids', 'o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, p5'), ('column of the spec', 'Char 1.0 F|O'), ('column of the container', 'Num'), ('no such column', 'None'),
       ('metadata', '1.0 example'), ('rules', 'price check_range, key check_unique, urgent check_condition'), ('labels', 'all, open'), ('agreement', 'orders 3 x'), ('containers', 'orders'), ('missing container', 'KeyError'),
       ('missing table', 'KeyError'), ('table out of bounds', 'IndexError'), ('scan types', 'bigint bigint string double string string')) AS t(what, got)
+    UNION ALL SELECT 'rows of all', count(*)::VARCHAR FROM orders UNION ALL SELECT 'rows of open', count(*)::VARCHAR FROM orders WHERE o_orderstatus = 'O'
     """,
 )
 def accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,4 +406,6 @@ def accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "table out of bounds": raised(lambda: held.table(3)),
         "scan types": " ".join(f.dataType.simpleString() for f in spec.struct_type),
     }
-    return spark.createDataFrame(list(rows.items()), "what string, got string")
+    said = spark.createDataFrame(list(rows.items()), "what string, got string")
+    counted = [held.table(x).agg(F.concat(F.lit("rows of "), F.lit(x)).alias("what"), F.count(F.lit(1)).cast("string").alias("got")) for x in deal.get("orders")["orders"].labels]
+    return functools.reduce(DataFrame.unionByName, counted, said)

@@ -5,7 +5,7 @@ import pytest
 
 from tabwright import queries as core
 
-TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels embeddings conversations".split()
 
 
 @pytest.fixture(scope="module")
