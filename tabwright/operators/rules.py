@@ -97,7 +97,7 @@ def _results(counts: DataFrame, rules: list[Rule]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
-def _short_keys(df: DataFrame, columns: Iterable[str]) -> tuple[list[Column], Column | None]:
+def short_keys(df: DataFrame, columns: Iterable[str]) -> tuple[list[Column], Column | None]:
     """Columns to group by in place of ``columns``, and a check of the rows in a group.
 
     A text longer than the SHA-256 that stands for it can't look like one. The check is null for groups without such
@@ -118,7 +118,7 @@ def _short_keys(df: DataFrame, columns: Iterable[str]) -> tuple[list[Column], Co
 
 def _grouped(df: DataFrame, columns: Iterable[str], *aggregates: Column) -> DataFrame:
     """``df`` grouped by the columns (as _u0, _u1, ...), with ``n`` and the aggregates."""
-    keys, check = _short_keys(df, columns)
+    keys, check = short_keys(df, columns)
     rows = df.groupBy(*[k.alias(f"_u{i}") for i, k in enumerate(keys)])
     n = F.count(F.lit(1))
     if check is None:
@@ -186,7 +186,7 @@ def violating_rows(df: DataFrame, rule: Rule, key: list[str] | None = None, comp
     rows = beside_typed(df, kinds, "_row")
     order = F.struct(*[F.col(f"`{k}`") for k in key])
     firsts = _grouped(rows, rule.column, F.min(order).alias("_first")).where("n > 1")
-    keys, _ = _short_keys(rows, rule.column)
+    keys, _ = short_keys(rows, rule.column)
     rows = rows.select("_row", order.alias("_own"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     same = F.lit(True)
     for i in range(len(keys)):

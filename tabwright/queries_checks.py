@@ -13,7 +13,9 @@ from tabwright.operators.shared import scratch
 from tabwright.operators.validate import validate
 from tabwright.plans.nested import nested_errors
 from tabwright.sources.files import read_delimited
-from tabwright.spec import SpecCollection
+from tabwright.spec import Rule, SpecCollection
+from tabwright.streaming.unique import stream_duplicates
+from tabwright.streaming.windows import stream_summary, window_summary
 
 QUERIES: dict[str, core.Query] = {}
 SQL: dict[str, str] = {}
@@ -100,3 +102,46 @@ def nested_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(sized.alias("turns"))
     fields = {"role": {"values": ["user", "assistant"]}, "text": {"length": 800, "nullable": True}, "size": {"values": {"type": "Int", "maximum": 1000}}}
     return nested_errors(rows, {"turns": {"items": {"fields": fields}, "min_items": 3}}, "conv_id").select("conv_id", "path", "keyword", "data")
+
+
+def _fed(spark: SparkSession, sf_dir: str) -> str:
+    """``events`` in three files, one after the other: the first half, the second half, and what came late of the first."""
+    events, path = _read(spark, sf_dir, "events"), scratch(spark, "fed")
+    half = events.agg(F.floor(F.max("event_id") / 2)).first()[0]
+    late = (F.col("event_id") % 50 == 0) & (F.col("event_id") <= half)
+    for k, rows in enumerate((events.where((F.col("event_id") <= half) & ~late), events.where(F.col("event_id") > half), events.where(late))):
+        rows.coalesce(1).write.parquet(f"{path}/{k}")
+    return path
+
+
+def _streamed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(f"{path}/0").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+@_query("stream_duplicates", "SELECT event_id, 'once' AS rule_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k > 1")
+def stream_duplicate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose user and type an earlier one has, found by state over micro-batches."""
+    path = _fed(spark, sf_dir)
+    found = stream_duplicates(_streamed(spark, path), Rule("once", "check_unique", column=("user_id", "event_type")), ["event_id"], salts=4)
+    query = found.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(f"{path}-out")
+    query.awaitTermination()
+    return spark.read.schema("event_id long, rule_id string").parquet(f"{path}-out")
+
+
+_EVENT_WINDOWS = """
+    WITH e AS (SELECT *, (event_id % 50 = 0 AND event_id <= (SELECT max(event_id) // 2 FROM events)) AS sent_late FROM events),
+    w AS (SELECT event_id, event_type, value, time_bucket(INTERVAL '1 day', ts) AS start, sent_late AND time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM e WHERE NOT sent_late) - INTERVAL '2 days' AS late FROM e),
+    x AS (SELECT event_id, start, late, 'event_type' AS "column", 'enum' AS keyword FROM w WHERE event_type NOT IN ('click', 'view', 'purchase'))
+"""
+
+
+@_query(
+    "stream_window_summary",
+    _EVENT_WINDOWS + """SELECT strftime(start, '%Y-%m-%d') AS start, "column", keyword, late, count(*) AS n, min(event_id) AS first_key, max(event_id) AS last_key FROM x GROUP BY ALL""",
+)
+def stream_window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of ``events`` by day of event time, those that came after the watermark apart."""
+    path = _fed(spark, sf_dir)
+    spec = SpecCollection.from_dicts([{"id": "event_type", "nullable": False, "values": ["click", "view", "purchase"]}])
+    stream_summary(_streamed(spark, path), spec, "event_id", "ts", "1 day", "2 days", f"{path}-summary").trigger(availableNow=True).start().awaitTermination()
+    return window_summary(spark, f"{path}-summary").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "column", "keyword", "late", "n", "first_key", "last_key")
