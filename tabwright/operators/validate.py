@@ -71,6 +71,16 @@ def error_summary(errors: DataFrame, row: str, columns: tuple[str, ...] = ERROR_
     return errors.groupBy(*columns).agg(F.min(at).alias("first_row_affected"), F.max(at).alias("last_row_affected"), F.count(F.lit(1)).alias("n_rows_affected"))
 
 
+def error_rollup(errors: DataFrame, row: str) -> DataFrame:
+    """(level, column, keyword, n, first_row_affected, last_row_affected): errors by column and keyword, by column, by keyword,
+    and in all, from one pass: grouping sets over the finest groups, which are few."""
+    at = F.col(f"`{row}`")
+    finest = errors.groupBy("column", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    sets = finest.cube("column", "keyword").agg(F.grouping_id().alias("set"), F.sum("n").alias("n"), F.min("first").alias("first_row_affected"), F.max("last").alias("last_row_affected"))
+    level = F.element_at(F.array(*[F.lit(x) for x in ("both", "column", "keyword", "all")]), (F.col("set") + 1).cast("int"))
+    return sets.where("n IS NOT NULL").select(level.alias("level"), "column", "keyword", "n", "first_row_affected", "last_row_affected")
+
+
 def any_broken(found: list[Constraint]) -> Column:
     return functools.reduce(lambda a, b: a | b, [F.coalesce(c.broken, F.lit(False)) for c in found], F.lit(False))
 

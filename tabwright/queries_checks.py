@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright import queries as core
+from tabwright.operators.difference import difference
+from tabwright.operators.over_time import as_of, outside_limits, overlapping
 from tabwright.operators.positions import numbered_by
 from tabwright.operators.shared import scratch
-from tabwright.operators.validate import validate
+from tabwright.operators.validate import error_rollup, validate
 from tabwright.plans.nested import nested_errors
 from tabwright.sources.files import read_delimited
 from tabwright.spec import Rule, SpecCollection
@@ -145,3 +147,84 @@ def stream_window_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = SpecCollection.from_dicts([{"id": "event_type", "nullable": False, "values": ["click", "view", "purchase"]}])
     stream_summary(_streamed(spark, path), spec, "event_id", "ts", "1 day", "2 days", f"{path}-summary").trigger(availableNow=True).start().awaitTermination()
     return window_summary(spark, f"{path}-summary").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "column", "keyword", "late", "n", "first_key", "last_key")
+
+
+@_query(
+    "error_rollup",
+    """
+    WITH e AS (SELECT p_partkey, 'p_name' AS c, 'maxLength' AS keyword FROM part WHERE length(p_name) > 9 UNION ALL SELECT p_partkey, 'p_type', 'enum' FROM part WHERE p_type NOT IN ('ECONOMY', 'STANDARD', 'SMALL')
+      UNION ALL SELECT p_partkey, 'p_brand', 'pattern' FROM part WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]$'))
+    SELECT CASE grouping(c, keyword) WHEN 0 THEN 'both' WHEN 1 THEN 'column' WHEN 2 THEN 'keyword' ELSE 'all' END AS level, c AS "column", keyword, count(*)::BIGINT AS n, min(p_partkey) AS first_row_affected, max(p_partkey) AS last_row_affected
+    FROM e GROUP BY GROUPING SETS ((c, keyword), (c), (keyword), ())
+    """,
+)
+def part_error_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return error_rollup(validate(_read(spark, sf_dir, "part"), core.PART_SPEC, "p_partkey").errors, "p_partkey")
+
+
+@_query(
+    "rule_as_of",
+    """
+    SELECT e.event_id, v.value AS last_view FROM events e ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND e.ts > v.ts
+    WHERE e.event_type = 'purchase' AND e.value > v.value
+    """,
+)
+def rule_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases of more than the value that the user last viewed before."""
+    events = _read(spark, sf_dir, "events")
+    views = events.where("event_type = 'view'")
+    rows = as_of(events.where("event_type = 'purchase'"), views, ["user_id"], "ts", {"value": "last_view"}, chunk_rows=1000)
+    return rows.where("value > last_view").select("event_id", "last_view")
+
+
+@_query(
+    "rule_no_overlap",
+    """
+    WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate AS s, l_shipdate + to_days(l_quantity::INT) AS e FROM lineitem),
+    m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i)
+    SELECT l_orderkey, l_linenumber FROM m WHERE before > s
+    """,
+)
+def rule_no_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a supplier that are shipped before the deliveries that began earlier are over."""
+    rows = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate AS s", "l_shipdate + make_dt_interval(int(l_quantity)) AS e")
+    return overlapping(rows, ["l_suppkey"], "s", "e", ["l_orderkey", "l_linenumber"], chunk_rows=2000).select("l_orderkey", "l_linenumber")
+
+
+@_query(
+    "rule_limits",
+    """
+    WITH b AS (SELECT p_partkey AS l_partkey, p_size % 10 AS low, 30 + p_size % 20 AS high, TIMESTAMP '1992-01-01' + to_days((p_partkey % 700)::INT) AS s, TIMESTAMP '1992-01-01' + to_days((p_partkey % 700 + p_size * p_size)::INT) AS e FROM part
+      UNION ALL SELECT p_partkey, 3, 48, TIMESTAMP '1994-01-01', TIMESTAMP '2000-01-01' FROM part WHERE p_partkey % 3 = 0)
+    SELECT l_orderkey, l_linenumber, low::BIGINT AS limit_low, high::BIGINT AS limit_high FROM lineitem JOIN b USING (l_partkey) WHERE l_shipdate >= s AND l_shipdate < e AND (l_quantity < low OR l_quantity > high)
+    """,
+)
+def rule_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose quantity is outside the limits that their part has at the time."""
+    part = _read(spark, sf_dir, "part")
+    day = "timestamp_ntz '1992-01-01' + make_dt_interval(int({}))"
+    limits = part.selectExpr("p_partkey AS l_partkey", f"{day.format('p_partkey % 700')} AS begin", f"{day.format('p_partkey % 700 + p_size * p_size')} AS end", "bigint(p_size % 10) AS low", "bigint(30 + p_size % 20) AS high")
+    limits = limits.unionByName(part.where("p_partkey % 3 = 0").selectExpr("p_partkey AS l_partkey", "timestamp_ntz '1994-01-01' AS begin", "timestamp_ntz '2000-01-01' AS end", "3L AS low", "48L AS high"))
+    return outside_limits(_read(spark, sf_dir, "lineitem"), limits, ["l_partkey"], "l_shipdate", "l_quantity").select("l_orderkey", "l_linenumber", "limit_low", "limit_high")
+
+
+_OLD = "SELECT c_custkey AS k, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 17 <> 0"
+_NEW = "SELECT c_custkey AS k, c_name, CASE WHEN c_custkey % 10 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey % 15 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 13 <> 0"
+
+
+@_query(
+    "delivery_difference",
+    f"""
+    WITH o AS ({_OLD}), n AS ({_NEW} UNION ALL {_NEW} AND c_custkey % 29 = 0), oc AS (SELECT k, count(*) AS c, any_value(c_nationkey) AS x, any_value(c_acctbal) AS y FROM o GROUP BY k), nc AS (SELECT k, count(*) AS c, any_value(c_nationkey) AS x, any_value(c_acctbal) AS y FROM n GROUP BY k),
+    j AS (SELECT coalesce(oc.k, nc.k) AS k, coalesce(oc.c, 0) AS n_old, coalesce(nc.c, 0) AS n_new, oc.x IS DISTINCT FROM nc.x AS dx, oc.y IS DISTINCT FROM nc.y AS dy FROM oc FULL JOIN nc ON oc.k = nc.k)
+    SELECT k, CASE WHEN n_old = 0 THEN 'added' WHEN n_new = 0 THEN 'gone' ELSE 'changed' END AS change, n_old, n_new, CASE WHEN n_old = 1 AND n_new = 1 THEN concat_ws(',', CASE WHEN dx THEN 'c_nationkey' END, CASE WHEN dy THEN 'c_acctbal' END) ELSE '-' END AS columns
+    FROM j WHERE n_old <> n_new OR dx OR dy
+    """,
+)
+def delivery_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of ``customer``: rows added, gone, changed, and given twice."""
+    customer = _read(spark, sf_dir, "customer")
+    customer.createOrReplaceTempView("customer_delivered")
+    old, new = (spark.sql(x.replace("FROM customer", "FROM customer_delivered")) for x in (_OLD, f"{_NEW} UNION ALL {_NEW} AND c_custkey % 29 = 0"))
+    found = difference(old, new, "k")
+    return found.select("k", "change", "n_old", "n_new", F.coalesce(F.array_join("columns", ","), F.lit("-")).alias("columns"))
