@@ -4,7 +4,8 @@
 decompressed in steps of 64 KB, framed by its Content-Length, and its block and payload digests are verified while
 the bytes go by. A record that is damaged gives a row whose ``error`` says what is wrong, and reading goes on at the
 next member; where compressed bytes are damaged, or bytes stand between members, that is the next place from which a
-record can be unpacked. WARC headers may be of any length, the HTTP headers of a payload up to ``MOST_HEAD`` bytes.
+record can be unpacked. WARC headers may have up to ``MOST_HEADER`` bytes, the HTTP
+headers of a payload up to ``MOST_HEAD``; a payload may have any length and is held once, to be given back.
 Archives are reached through ``pyarrow.fs`` (file, hdfs, s3, gs), at paths that all executors share.
 
 Defined results: a null payload is an empty one; a null URL leaves its header out; a null id makes a record without
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import new_folder, shared_table
 
 STEP = 1 << 16
-MOST_HEAD = 1 << 20
+#: Bytes of HTTP headers, and of a record's own, which a URL makes longer.
+MOST_HEAD, MOST_HEADER = 1 << 20, 16 << 20
 MEMBER_START = b"\x1f\x8b\x08"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -187,10 +190,12 @@ class RecordStream:
         return False
 
     def line_block(self) -> bytes:
-        """Up to the next blank line, without it; as long as a header may be written."""
+        """Up to the next blank line, without it; at most ``MOST_HEADER`` bytes and a step are held in search of it."""
         seen = 0
         while (end := self.plain.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
             seen = len(self.plain)
+            if seen > MOST_HEADER:
+                raise ValueError(f"a header of more than {MOST_HEADER} bytes")
             if not self._more():
                 raise ValueError("no end of headers")
         block, self.plain = self.plain[:end], self.plain[end + 4 :]
@@ -214,12 +219,20 @@ def headers(block: bytes) -> dict[str, str]:
     return found
 
 
+def block_length(head: dict[str, str]) -> int:
+    """The Content-Length of a header: digits 0 to 9, nothing else, and no more than a file can hold."""
+    given = head.get("content-length", "")
+    if not re.fullmatch("[0-9]{1,18}", given):
+        raise ValueError(f"Content-Length {given[:40]!r} is no length")
+    return int(given)
+
+
 def read_record(stream: RecordStream, keep_payload: bool) -> dict:
     """The record of the member at which ``stream`` stands, with both digests verified."""
     head = headers(stream.line_block())
     block_hash, payload_hash, kept, size, before = hashlib.sha1(), hashlib.sha1(), [], 0, b""
     http = "application/http" in head.get("content-type", "")
-    for step in stream.body(int(head["content-length"])):
+    for step in stream.body(block_length(head)):
         block_hash.update(step)
         if http:  # up to the blank line these are the HTTP headers
             seen = max(0, len(before) - 3)

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 from tabwright.llm.common import new_folder
 from tabwright.llm.warc import archives_in, gzip_member, mark_revisits, op1_warc, read_warc, record_bytes, records, resolve_revisits, write_warc
@@ -134,3 +135,24 @@ def test_damaged_stream():
     url = "data:," + "x" * 3_000_000
     (long,) = records(io.BytesIO(gzip_member(record_bytes("urn:page:9", url, b"p", None, "d"), 6)))
     assert (long["error"], long["record_id"], long["target_uri"]) == (None, "urn:page:9", url)
+
+
+def test_any_header_ends():
+    """Every field of a header with every kind of bad value: reading ends, and the records before and after are there."""
+    sound = [gzip_member(record_bytes(f"urn:page:{k}", "u", b"p" * 5000, None, "2020-01-01T00:00:00Z"), 6) for k in (1, 3)]
+    bad = record_bytes("urn:page:2", "u", b"q" * 5000, None, "2020-01-01T00:00:00Z")
+    head, _, rest = bad.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    values = [b"-5", b"-0", b"+7", b"1_0", "٣".encode(), b" 12 34", b"", b"0", b"1e3", b"99999999999999999999999", b"\x00", b"x" * 100_000]
+    begin = time.time()
+    for k in range(len(lines)):
+        for value in values:
+            hurt = [*lines[:k], lines[k].split(b":")[0] + b": " + value, *lines[k + 1 :]] if k else [value, *lines[1:]]
+            got = list(records(io.BytesIO(sound[0] + gzip_member(b"\r\n".join(hurt) + b"\r\n\r\n" + rest, 6) + sound[1])))
+            whole = [r.get("record_id") for r in got if not r["error"]]
+            assert whole[0] == "urn:page:1" and whole[-1] == "urn:page:3" and len(got) == 3, (lines[k], value)
+            if lines[k].lower().startswith(b"content-length") and value != b"0":
+                assert got[1]["error"], value
+    endless = gzip_member(b"WARC/1.1\r\nX: " + b"x" * (40 << 20), 1)
+    got = list(records(io.BytesIO(sound[0] + endless + sound[1])))
+    assert "header" in got[1]["error"] and got[2]["record_id"] == "urn:page:3" and time.time() - begin < 60
