@@ -20,12 +20,12 @@ class Rule(NamedTuple):
     keyword: str  # a literal that any text matching the pattern has
     priority: int
     weight: float
-    tagged: bool = False  # counts only where ``TAG`` ends right before the match
+    tagged: bool = False  # counts only as a part of an expression after ``TAG``
 
 
 #: label: (keyword, pattern) pairs. The keyword is a literal part of each match.
 NAMES: dict[str, list[tuple[str, str]]] = {
-    "mit": [("mit", r"(?:the )?mit(?: expat)? licen[cs]e"), ("expat", r"expat licen[cs]e"), ("mit", r"mit x11 licen[cs]e"), ("mit", r"mit style licen[cs]e"), ("mit", r"licen[cs]e mit licen[cs]e")],
+    "mit": [("mit", r"licen[cs]e mit(?! (?:uses?|used|has|had|is|was|gives?|gave|made|makes|university|press|media|students|researchers|people))"), ("mit", r"(?:the )?mit(?: expat)? licen[cs]e"), ("expat", r"expat licen[cs]e"), ("mit", r"mit x11 licen[cs]e"), ("mit", r"mit style licen[cs]e"), ("mit", r"licen[cs]e mit licen[cs]e")],
     "mit-0": [("mit", r"mit no attribution(?: licen[cs]e)?")],
     "apache": [("apache", r"apache(?: software)? licen[cs]e"), ("asl", r"asl 2 0")],
     "apache-1.1": [("apache", r"apache(?: software)? licen[cs]e (?:version |v )?1 1")],
@@ -141,7 +141,13 @@ SPDX = (
 #: Labels of identifiers that are called otherwise above.
 SPDX_LABELS = {"bsl": "boost", "busl": "bsl", "oldap": "openldap", "psf": "python", "mulanpsl": "mulan", "unicode-dfs": "unicode", "artistic-1.0-perl": "perl"}
 TAG_BEGINS = "spdx licen"
-TAG = r"spdx licen[cs]e identifier (?:(?:[^ ]+ ){1,24}?(?:or|and|with) )?$"
+TAG = r"(?<![^ ])spdx licen[cs]e identifier "
+#: An expression after the tag, once punctuation is gone: identifiers joined by words. Another's identifier, or an exception,
+#: is up to six words of which none is of plain prose, and counts only if the expression goes on after it.
+JOINED = r" (?:or|and|with) "
+OTHER = r"(?:(?!(?:or|and|with|a|an|the|is|are|was|were|be|of|in|on|to|for|from|by|that|this|it|as|at|people|tag|field|line|string)(?![^ ]))[^ ]+ ){0,5}(?!(?:or|and|with|a|an|the|is|of|in|on|to|for|from|by|that|this|it|as|at)(?![^ ]))[^ ]+(?= (?:or|and|with) )"
+#: Up to three words before a statement or a name that deny it.
+DENIED = r"(?<![^ ])(?:not|never|neither|nor|without|no longer|cannot|isn t|aren t|wasn t|don t|doesn t)(?: [^ ]+){0,3} $"
 #: Identifiers that are no words of any prose once "-" and "." are gone: they count without the tag too.
 TELLING = re.compile(r"(?:a?l?gpl|apache|artistic|bsd|cc by(?: nc| sa| nd)*|mpl|epl|cddl|eupl|osl|afl|ofl|lppl|zpl|odbl|gfdl|cecill|busl|sspl) ")
 
@@ -219,6 +225,12 @@ def spdx_label(identifier: str) -> str:
     return name
 
 
+def identifiers() -> str:
+    """A pattern of any listed identifier as words, the longest first."""
+    plain = sorted((re.sub(r"[-.]", " ", i.lower()) for i in SPDX), key=len, reverse=True)
+    return rf"(?:{'|'.join(plain)})(?: only| or later)?(?![^ ])"
+
+
 def rules() -> list[Rule]:
     """All rules: tagged identifiers, signatures of wording, identifiers anywhere, names."""
     whole = lambda pattern: rf"(?<![^ ])(?:{pattern})(?![^ ])"

@@ -4,11 +4,12 @@ A rule runs on a text only if its keyword occurs there (one Aho-Corasick pass fi
 resolved by priority: one whose extent lies within that of a detection of a higher priority, or around it, is dropped;
 among those of one priority, one that lies within another is (``resolved``). Detections that overlap in part all stay.
 Base phrases are counted apart from this and are never dropped. What is left of a name's detection is weighted by the
-statement that it stands in.
+statement that it stands in; a statement or a name that is denied ("not released under") keeps its label and weighs little.
+What follows an SPDX tag is read as an expression of identifiers, as long as it goes on.
 
 Words are runs of digits, letters and non-ASCII characters, with A to Z lower-cased. Defined results: null counts as
 empty; a text without words has no detections and score 0; texts of any length are scanned whole, in time proportional
-to their length but for sorting detections; every row is scanned by itself, so repeated rows and null ids do no harm;
+to their length but for sorting detections; every row is scanned by itself, so repeated rows and null ids do no harm; an empty table gives no rows;
 only the id and text columns are read, others may have any names.
 """
 
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import map_batches, table
-from tabwright.llm.license_rules import STATEMENT_ENDS, STATEMENTS, TAG, TAG_BEGINS, Rule, rules
+from tabwright.llm.license_rules import DENIED, JOINED, OTHER, STATEMENT_ENDS, STATEMENTS, TAG, TAG_BEGINS, Rule, identifiers, rules
 
 #: Fixed phrases of the contract and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-BEFORE = 320  # how far back a statement or a tag may begin
+BEFORE = 320  # how far back a statement may begin: none that there are is as long
+DENIED_WEIGHT = 0.1
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
@@ -69,7 +71,8 @@ class Scanner:
         import ahocorasick
 
         self.rules = [(r, re.compile(r.pattern)) for r in ordered]
-        self.tag = re.compile(TAG)
+        self.tag, self.identifier, self.other, self.joined = (re.compile(p) for p in (TAG, identifiers(), OTHER, JOINED))
+        self.denied = re.compile(DENIED)
         self.statements = [(name, re.compile(rf"(?<![^ ]){pattern}"), weight) for name, pattern, weight in STATEMENTS]
         self.by_keyword: dict[str, list[int]] = {}
         for k, r in enumerate(ordered):
@@ -84,19 +87,19 @@ class Scanner:
 
     def detections(self, words: str, found: Iterable[str]) -> list[tuple[str, str, float, int, int]]:
         """Detections (label, form, weight, start, end) that remain, in text order."""
-        hits = []
+        hits, tagged = [], self.tagged(words) if TAG_BEGINS in found else set()
         for k in sorted({k for w in found for k in self.by_keyword.get(w, ())}):
             rule, pattern = self.rules[k]
             if not rule.tagged:
                 hits += [(rule, m.start(), m.end()) for m in pattern.finditer(words)]
-            elif TAG_BEGINS in found:
-                hits += [(rule, m.start(), m.end()) for m in pattern.finditer(words) if self.is_tagged(words, m.start())]
+            elif tagged:
+                hits += [(rule, m.start(), m.end()) for m in pattern.finditer(words) if m.start() in tagged]
         if not hits:
             return []
         stay = resolved(*(np.array(x, np.int64) for x in zip(*((r.priority, s, e) for r, s, e in hits), strict=True)))
         out: list[tuple[str, str, float, int, int]] = []
         for rule, start, end in (hits[k] for k in stay.tolist()):
-            form, weight = rule.kind, rule.weight
+            form, weight, begin = rule.kind, rule.weight, start
             ahead = words[max(0, start - BEFORE) : start] if form == "name" else ""
             if ahead.endswith(STATEMENT_ENDS):
                 for name, pattern, w in self.statements:
@@ -105,13 +108,25 @@ class Scanner:
                         while out and out[-1][0] == "generic" and begin <= out[-1][3] and out[-1][4] <= start:
                             out.pop()  # the statement of this name, not one of its own
                         break
+            if rule.kind == "name" and self.denied.search(words[max(0, begin - BEFORE) : begin]):
+                form, weight = "denied", DENIED_WEIGHT
             out.append((rule.label, form, weight, start, end))
         return out
 
-    def is_tagged(self, words: str, at: int) -> bool:
-        low = max(0, at - BEFORE)
-        begin = words.rfind(TAG_BEGINS, low, at)
-        return begin >= 0 and bool(self.tag.match(words[begin:at]))
+    def tagged(self, words: str) -> set[int]:
+        """Where the identifiers of all expressions after the tag begin, each expression as long as it goes on."""
+        found: set[int] = set()
+        for tag in self.tag.finditer(words):
+            at = tag.end()
+            while True:
+                if m := self.identifier.match(words, at):
+                    found.add(at)
+                elif not (m := self.other.match(words, at)):
+                    break
+                if not (joined := self.joined.match(words, m.end())):
+                    break
+                at = joined.end()
+        return found
 
     def scan(self, lowered: bytes) -> tuple:
         """n_base, first_word, last_word, base labels, all labels, score, detections of a text in lower case."""

@@ -152,3 +152,21 @@ def test_signature_keywords():
 
     for label, _, keyword, pattern in SIGNATURES:
         assert keyword in pattern, (label, keyword)
+
+
+def test_expressions_after_the_tag():
+    """Identifiers of an expression of any length, others' identifiers and exceptions within it; none from prose."""
+    many = "Apache-2.0 OR BSD-2-Clause OR BSD-3-Clause OR ISC OR MPL-2.0 OR EPL-2.0 OR GPL-2.0-only OR GPL-3.0-or-later OR LGPL-2.1-only OR Zlib OR BSL-1.0 OR Unlicense OR CC0-1.0 OR NCSA OR MIT"
+    assert {"ncsa", "mit", "zlib", "apache-2.0", "gpl-3.0"} <= set(labels(f"// SPDX-License-Identifier: {many}")[1].split(","))
+    assert labels("SPDX-License-Identifier: (LicenseRef-Acme-1.0 AND MIT) some text")[1] == "mit"
+    assert labels("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR NCSA")[1].split(",") == ["gpl-2.0", "ncsa"]
+    assert labels("SPDX-License-Identifier: ISC and then MIT said so")[1] == "isc"
+    for prose in ("The SPDX license identifier is a tag that people from Harvard and MIT like", "an SPDX license identifier of Harvard and MIT", "the SPDX license identifier for X or MIT"):
+        assert labels(prose)[1:] == ("", [], 0.0), prose
+
+
+def test_denied_and_bare_names():
+    plain, denied = labels("This project is released under the MIT license"), labels("This project is not released under the MIT license")
+    assert plain[0] == denied[0] == "mit" and denied[3] < plain[3] and denied[2][0][1] == "denied"
+    assert labels("we never used the ISC license")[3] < 0.2 and labels("License: MIT")[1] == "mit"
+    assert labels("under a license MIT uses for its courses")[1] == ""
