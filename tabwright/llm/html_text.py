@@ -1,32 +1,30 @@
 """Main text of web pages by the line-block distribution.
 
-Markup is stripped to lines, one per block; a line's weight is its length without link text. Weights are summed over a
-sliding window of lines. The page's own sums give the threshold: where their logarithms fall into two classes that are
-far apart (``threshold``), it lies between them, else it is zero. Text surges where the sum rises above the threshold and
-dives where it falls to it and stays there for a window or until a gap; the lines between are a region (``regions``). Short lines between
-two regions belong to the text if they aren't links (``joined``), and lines without weight at a region's edges don't.
-All regions are the main text.
-
-What markup says goes into the lines before. Scripts, styles, menus, forms, page headers, footers and asides make no
-lines; nor do elements whose class, id or role says that they are adverts, notices, reader comments and the like. They
-leave blank lines: one, or where they part a page, a window of them. Inside ``article`` or ``main``, and on paragraphs,
-only names that say nothing else count (``class="ad"``, not ``class="social-history"``). Lines of copyright notices have
-no weight outside articles. Where ``article`` or ``main`` hold the main text, by sums in which their lines count tenfold,
-other lines have no weight and the threshold is zero: nothing of an article is lost, however short its lines.
-
-Nothing else is dropped or cut. Character references are decoded once, white space inside a block becomes one blank,
-blocks are joined by a line feed; ``br`` ends a block.
-
-A wrapper around the main text may say "sidebar" too, or be a form. So if a reading finds no article, its greatest sum
-is compared with what each dropped element holds: elements whose ``article`` or ``main`` weigh more (those above the
-threshold of what they hold), or, being dropped by their name, most of the page's text, are gone into, and the page is
-read again, up to ``READINGS`` times. Reader comments, adverts, notices and links to other articles aren't gone into
-unless their names say "has", "no" or "with", or name an article as well, or they hold a ``main``. Should no text be left
-at all, the page is read without names.
+Markup is stripped to lines, one per block, those of menus, adverts, footers and comments too. A line's weight is its length
+without link text, times what markup says of it; weights are summed over a sliding window of lines. The page's own sums
+give the threshold: where their logarithms fall into two classes that are far apart (``threshold``), it lies between
+them, else it is zero. Text surges where the sum rises above the threshold and dives where it falls to it and stays there
+for a window or until a gap; the lines between are a region (``regions``). All regions are the main text. A region is
+stretched to lines of its article, to headings and paragraphs right before it, and to lines of paragraphs and lists after it, up to
+a gap or a line without weight; short lines between two regions belong to the text if they aren't links.
+
+What markup says, as factors of weights: lines in ``article`` or ``main`` count ``INSIDE`` times where these weigh a tenth
+of the rest at least. Lines in elements whose class, id or role says sidebar, widget, header and the like count ``LOW``
+times, for each of them. Lines in page headers, menus, asides, footers and forms have no weight outside an ``article`` or
+``main`` of theirs, nor have those of adverts, notices, reader comments and links to other articles, unless their names say
+"has", "no" or "with", or name an article as well, or they hold a ``main``. The factor that most of the weighted text has
+is the page's own: a wrapper around all of it may be called sidebar. Lines of lesser factors don't ride on their
+neighbours: they belong to a region only by their own weight. Lines of copyright notices have no weight outside articles.
+
+Inside an article, asides, forms and elements named as adverts and the like make no lines; there only names that say
+nothing else count (``class="ad"``, not ``class="social-history"``). Scripts, styles and hidden elements make none
+anywhere. Nothing else is dropped or cut. Character references are decoded once, white space inside a block becomes one
+blank, blocks are joined by a line feed; ``br`` ends a block. Should no text be left, the page is read without names.
 
 Defined results: null or empty html, and pages without text, give an empty text; unclosed elements, comments and
-quotes end with the page; tag soup and plain text are read as far as they go, in time proportional to their length.
-Pages are worked off one by one, so repeated rows and null ids do no harm. Only id, url and html are read.
+quotes end with the page; tag soup and plain text are read as far as they go, whole and in time proportional to their
+length, however long. Pages are worked off one by one, so repeated rows and null ids do no harm; an empty table gives no
+rows. Only id, url and html are read, other columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,7 +34,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +44,7 @@ from tabwright.llm.common import map_batches, table
 
 WINDOW = 3
 CONTRAST = 4.0  # how many times as high sums of text must be, on average, for lower ones to be none
-INSIDE_FACTOR = 10
-READINGS = 8
+INSIDE, LOW, INSIDE_SHARE = 100.0, 0.01, 10
 
 #: Fixed lists of element names.
 RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|audio|video|select"
@@ -88,8 +85,13 @@ WHOLE_NAMES = set(
     "ad ads adv advert advertisement adverts sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup paywall "
     "share sharing sidebar breadcrumb breadcrumbs pagination pager comment comments disqus related recommended recommendations".split()
 )
-#: Of these the ones that say enough as the first or last word of a name of an element that holds several blocks.
-END_WORDS = set("ad ads advert advertisement cookie comment comments newsletter share sharing sponsored".split())
+#: Those that say enough as a part of a name too, beside words that only name a place for them.
+PART_WORDS = set("ad ads advert advertisement cookie comment comments newsletter share sharing sponsored".split())
+PLACES = set("area areas section list box wrapper wrap container block bar buttons button links slot unit post entry article site page user reader inline top bottom side social inner main google".split())
+#: Names of single blocks that may as well be about their text.
+ABOUT_TEXT = set("share sharing related recommended comment comments notice consent".split())
+#: Blocks of running text.
+PROSE = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th caption figcaption".split())
 SINGLE = set("p h1 h2 h3 h4 h5 h6 li td th dt dd span a b i em strong label small caption figcaption blockquote pre".split())
 COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)|.{0,80}\ball rights reserved\b", re.I)
 BROKEN_TAG = re.compile(r"<(?=[a-zA-Z/!?])")
@@ -117,20 +119,16 @@ def is_hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(NOT_SHOWN.search(attributes.get("style", "")))
 
 
-def is_marked(name: str, attributes: dict[str, str], by_name: bool, inside: bool) -> bool:
-    """Whether class, id or role (``by_name``), or being hidden, say that the element isn't article text."""
+def is_marked(name: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether class, id or role say that the element isn't article text."""
     if not attributes:
         return False
-    if is_hidden(attributes):
-        return True
-    if not by_name:
-        return False
     if not inside and name not in SINGLE:
         return any(marks_of(words) for words in names_of(attributes))
     given = [part for key in ("class", "id", "role") for part in attributes.get(key, "").split()]
-    if any(part.lower() in WHOLE_NAMES for part in given):
+    if any(part.lower() in WHOLE_NAMES and not (name in SINGLE and part.lower() in ABOUT_TEXT) for part in given):
         return True
-    return name not in SINGLE and any(words and {words[0].lower(), words[-1].lower()} & END_WORDS for words in map(PART.findall, given))
+    return name not in SINGLE and any(words & PART_WORDS and words <= PART_WORDS | PLACES for words in names_of(attributes))
 
 
 def never_main(names: list[set[str]]) -> bool:
@@ -140,77 +138,66 @@ def never_main(names: list[set[str]]) -> bool:
     return not any(words & OF_ARTICLE and not marks_of(words) for words in names)
 
 
-class Dropped:
-    """An element that a reading dropped: where it starts, and the text that it holds."""
+class Line(NamedTuple):
+    text: str
+    weight: int  # characters outside links
+    inside: bool  # an article
+    depth: int  # named elements around it that make it count less; -1 if it has no weight at all
+    prose: bool  # a block of running text
 
-    def __init__(self, start: int, name: str, attributes: dict[str, str]) -> None:
-        names = names_of(attributes)
-        self.start, self.hidden, self.by_name = start, is_hidden(attributes), name not in DROPPED and name != "header"
-        self.never, self.chars, self.in_article, self.has_main = never_main(names), 0, 0, False
 
+GAP = Line("", 0, False, 0, False)
 
-def page_lines(page: str, by_name: bool = True, entered: set[int] | frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool]], list[Dropped]]:
-    """Lines of text with their weight, and whether inside an article, and the elements dropped outside articles.
 
-    Blank lines stand where elements were dropped and around articles. Elements that start at ``entered`` aren't dropped.
-    """
-    lines: list[tuple[str, int, bool]] = []
-    lost: list[Dropped] = []
-    articles, links = 0, 0  # open ones within what is dropped
+def page_lines(page: str, by_name: bool = True) -> list[Line]:
+    """Lines of text. Blank ones stand around articles, parts of the page and marked elements."""
+    lines: list[Line] = []
     parts: list[str] = []
     linked, in_link, inside, dropping = 0, 0, 0, 0
-    open_elements: list[tuple[str, int]] = []  # name, and if it began the dropping, how many blank lines it leaves
+    # Open elements outside articles: marked by name; without weight; and of the latter those that an article may stand in.
+    low, never, parted = 0, 0, 0
+    open_elements: list[tuple[str, str, int]] = []  # name, what it is (see above, or dropped), blank lines that it leaves
     n_open: Counter[str] = Counter()
+    block_now = ""
 
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, max(0, len(text) - linked), inside > 0))
+                weightless = never or parted and not inside
+                lines.append(Line(text, max(0, len(text) - linked), inside > 0, -1 if weightless else low + (parted > 0), block_now in PROSE))
             parts.clear()
         linked = 0
 
-    def held(text: str) -> None:
-        """Count text of the element that is being dropped."""
-        n = len(text.strip())
-        lost[-1].chars += n
-        lost[-1].in_article += n if articles else 0
-
-    def gap(n: int) -> None:
-        if not inside:
-            lines.extend([("", 0, False)] * n)
-
     def close(k: int) -> None:
         """Close the elements from the k-th on."""
-        nonlocal in_link, inside, dropping, articles, links
-        for name, blank in reversed(open_elements[k:]):
+        nonlocal in_link, inside, dropping, low, never, parted
+        for name, what, blank in reversed(open_elements[k:]):
             n_open[name] -= 1
-            if blank:
+            if what == "dropped":
                 dropping -= 1
-                articles = links = 0
-                gap(blank)
-            elif dropping:
-                articles -= name in ARTICLE
-                links -= name == "a"
-            elif not dropping:
-                if name == "a":
-                    in_link = max(0, in_link - 1)
-                elif name in ARTICLE:
-                    end_line()
-                    inside = max(0, inside - 1)
-                    gap(WINDOW)
+                continue
+            if dropping:
+                continue
+            if what:
+                end_line()
+            if name == "a":
+                in_link = max(0, in_link - 1)
+            elif name in ARTICLE:
+                end_line()
+                inside = max(0, inside - 1)
+            low, never, parted = low - (what == "low"), never - (what == "never"), parted - (what == "part")
+            if not inside:
+                lines.extend([GAP] * (WINDOW if name in ARTICLE else blank))
         del open_elements[k:]
 
     at, m, ends = 0, None, page.rfind(">") + 1  # beyond the last bracket no tag ends
     for m in TOKEN.finditer(page, 0, ends):
-        if m.start() > at:
-            if not dropping:
-                parts.append(page[at : m.start()])
-                if in_link:
-                    linked += m.start() - at
-            elif not inside and not links:
-                held(page[at : m.start()])
+        if m.start() > at and not dropping:
+            parts.append(page[at : m.start()])
+            if in_link:
+                linked += m.start() - at
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -221,47 +208,56 @@ def page_lines(page: str, by_name: bool = True, entered: set[int] | frozenset[in
         if m[2]:
             if n_open[name]:
                 close(next(k for k in range(len(open_elements) - 1, -1, -1) if open_elements[k][0] == name))
+            if block:
+                block_now = next((n for n, _, _ in reversed(open_elements[-4:]) if n in BLOCKS), "")
             continue
         if block and open_elements and open_elements[-1][0] == "p":
             close(len(open_elements) - 1)  # a block ends an open paragraph
+        if block and name != "br":
+            block_now = name
         if name in VOID or name not in CONTAINERS and name != "head" or m[4].endswith("/"):
             continue
-        drop = False
-        if not dropping and m.start() not in entered:
+        what = ""
+        if not dropping:
             attributes = {} if not m[4] or m[4].isspace() else attributes_of(m[4])
-            header = name == "header" and not inside
-            drop = name in DROPPED or header or name != "header" and (name not in ARTICLE or inside > 0) and is_marked(name, attributes, by_name, inside > 0)
-            if drop and not inside:
-                lost.append(Dropped(m.start(), name, attributes))
-        if drop and not block:
+            part = name in DROPPED or name == "header" and not inside
+            marked = by_name and name != "header" and (name not in ARTICLE or inside > 0) and is_marked(name, attributes, inside > 0)
+            if attributes and is_hidden(attributes) or inside and (name in DROPPED or marked):
+                what = "dropped"
+            elif by_name and (marked or part) and never_main(names_of(attributes)):
+                what = "never"
+            elif part:
+                what = "part"
+            elif marked:
+                what = "low"
+        blank = 0 if not what else WINDOW if name in PAGE_PARTS else 1
+        if what and not dropping:
             end_line()
-        open_elements.append((name, (WINDOW if name in PAGE_PARTS and not inside else 1) if drop else 0))
+        open_elements.append((name, what, blank))
         n_open[name] += 1
-        dropping += drop
-        if dropping and not drop:
-            articles += name in ARTICLE
-            links += name == "a"
-            if name == "main" and not inside:
-                lost[-1].has_main = True
-        if not dropping:
-            if name == "a":
-                in_link += 1
-            elif name in ARTICLE:
-                gap(WINDOW)
-                inside += 1
+        if what == "dropped":
+            dropping += 1
+        if dropping:
+            continue
+        low, never, parted = low + (what == "low"), never + (what == "never"), parted + (what == "part")
+        if name == "a":
+            in_link += 1
+        elif name in ARTICLE:
+            if not inside:
+                lines.extend([GAP] * WINDOW)
+            inside += 1
+            if name == "main" and never:  # a wrapper after all, whatever its name
+                low, never = low + never, 0
+                open_elements[:] = [(n, "low" if w == "never" else w, b) for n, w, b in open_elements]
     left_open = m is not None and m.end() == ends and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[1] and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I))
-    if not left_open:
+    if not left_open and not dropping:
         tag = BROKEN_TAG.search(page, ends)
-        tail = page[at : tag.start() if tag else len(page)]
-        if not dropping:
-            parts.append(tail)
-        elif not inside and not links:
-            held(tail)
+        parts.append(page[at : tag.start() if tag else len(page)])
     end_line()
-    return lines, lost
+    return lines
 
 
-def threshold(sums: list[int]) -> float:
+def threshold(sums: list[float]) -> float:
     """What parts the sums of text from lower ones: none (0) unless the two classes that their logarithms fall into, by the
     greatest variance between classes, lie apart by a factor of ``CONTRAST``."""
     ordered = sorted(math.log(x) for x in sums if x > 0)
@@ -275,13 +271,12 @@ def threshold(sums: list[int]) -> float:
     return math.exp((ordered[cut - 1] + ordered[cut]) / 2) if cut and means >= math.log(CONTRAST) else 0.0
 
 
-def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
+def window_sums(weights: list[float], window: int = WINDOW) -> list[float]:
     """For each line the weight of the window that begins there."""
-    total = [0, *accumulate(weights)]
-    return [total[min(len(weights), k + window)] - total[k] for k in range(len(weights))]
+    return [sum(weights[k : k + window]) for k in range(len(weights))]
 
 
-def regions(weights: list[int], blank: list[bool], least: float = 0.0, window: int = WINDOW) -> list[tuple[int, int]]:
+def surges(weights: list[float], blank: list[bool], least: float = 0.0, window: int = WINDOW) -> list[tuple[int, int]]:
     """Line ranges between a surge (the window's sum rises above ``least``) and the next dive: it is no higher, for a whole
     window or until lines without weight or the end of a gap."""
     sums, found, begin = window_sums(weights, window), [], None
@@ -307,7 +302,7 @@ def regions(weights: list[int], blank: list[bool], least: float = 0.0, window: i
     return trimmed
 
 
-def joined(found: list[tuple[int, int]], weights: list[int], blank: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
+def joined(found: list[tuple[int, int]], weights: list[float], blank: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
     """Regions with what lies between two of them, if it is neither a gap nor links."""
     out: list[tuple[int, int]] = []
     for a, b in found:
@@ -320,46 +315,67 @@ def joined(found: list[tuple[int, int]], weights: list[int], blank: list[bool],
     return out
 
 
-def wrappers(lines: list[tuple[str, int, bool]], lost: list[Dropped]) -> list[int]:
-    """Where the dropped elements start that hold the main text rather than ``lines`` do."""
-    if any(inside for _, _, inside in lines):
-        return []
-    weights = [w for _, w, _ in lines]
-    most = max((sum(weights[a:b]) for a, b in regions(weights, [not t for t, _, _ in lines])), default=0)
-    may_hold = [x for x in lost if not x.hidden and (x.has_main or not x.never)]
-    in_article = [x.in_article for x in may_hold]
-    if max(in_article, default=0) > most:
-        least = threshold(in_article)
-        return [x.start for x in may_hold if x.in_article > least]
-    half = (sum(weights) + sum(x.chars for x in may_hold if x.by_name)) / 2
-    return [x.start for x in may_hold if x.by_name and x.chars > max(half, most)]
+def regions(weights: list[float], blank: list[bool], least: float = 0.0, window: int = WINDOW, lesser: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Line ranges between surges and dives, with what joins them. Lines of a lesser factor are passed over, and in no range."""
+    seen = [k for k in range(len(weights)) if not (lesser and lesser[k])]
+    found = surges([weights[k] for k in seen], [blank[k] for k in seen], least, window)
+    out: list[tuple[int, int]] = []
+    for a, b in joined(found, [weights[k] for k in seen], [blank[k] for k in seen], window):
+        for k in seen[a:b]:
+            if out and out[-1][1] == k and k > seen[a]:
+                out[-1] = (out[-1][0], k + 1)
+            else:
+                out.append((k, k + 1))
+    return out
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page."""
-    page, entered = page or "", set()
-    for _ in range(READINGS):
-        lines, lost = page_lines(page, True, entered)
-        found = wrappers(lines, lost)
-        if not found:
-            return text_of(lines) or text_of(page_lines(page, by_name=False)[0])
-        entered.update(found)
-    return text_of(page_lines(page, by_name=False, entered=entered)[0])
+def stretched(found: list[tuple[int, int]], lines: list[Line], weights: list[float]) -> list[tuple[int, int]]:
+    """Regions with the rest of their articles, and with the running text right before and after them."""
+    text = [bool(x.text) and w > 0 for x, w in zip(lines, weights, strict=True)]
+    out, done = [], 0
+    for a, b in found:
+        while a > done and (text[a - 1] and (lines[a - 1].prose or lines[a - 1].inside) or lines[a - 1].inside and bool(lines[a - 1].text)):
+            a -= 1
+        while b < len(lines) and (text[b] and (lines[b].prose or lines[b].inside) or lines[b].inside and bool(lines[b].text)):
+            b += 1
+        if b > max(a, done):
+            out.append((max(a, done), b))
+        done = max(done, b)
+    return out
 
 
-def text_of(lines: list[tuple[str, int, bool]]) -> str:
+def weighted(lines: list[Line]) -> tuple[list[float], list[bool], bool]:
+    """The lines' weights, whether they are of a factor less than that of most of the text, and whether articles hold the text."""
+    plain = [0 if x.depth < 0 or not x.inside and COPYRIGHT.match(x.text) else x.weight * LOW ** min(x.depth, 100) for x in lines]
+    article = sum(len(x.text) * LOW ** min(x.depth, 100) for x in lines if x.inside and x.depth >= 0)
+    marked = article > 0 and INSIDE_SHARE * article >= sum(w for x, w in zip(lines, plain, strict=True) if not x.inside)
+    factors = [0.0 if x.depth < 0 else LOW ** min(x.depth, 100) * (INSIDE if marked and x.inside else 1) for x in lines]
+    weights = [max(1, x.weight) * f if marked and x.inside else f and w * (f / LOW ** min(x.depth, 100)) for x, w, f in zip(lines, plain, factors, strict=True)]
+    held: Counter[float] = Counter()
+    for w, f in zip(weights, factors, strict=True):
+        held[f] += w
+    own = max(held, key=lambda f: held[f], default=0.0)
+    return weights, [bool(x.text) and f < own / 2 for x, f in zip(lines, factors, strict=True)], marked
+
+
+def text_of(lines: list[Line]) -> str:
     """The lines of the regions that hold the main text."""
-    blank = [not t for t, _, _ in lines]
-    article = sum(len(t) for t, _, inside in lines if inside)
-    plain = [0 if inside or COPYRIGHT.match(t) else w for t, w, inside in lines]
-    marked = article > 0 and INSIDE_FACTOR * article >= sum(plain)
-    if marked:
-        weights = [max(1, w) if inside else 0 for _, w, inside in lines]
-        found = regions(weights, blank)
-    else:
-        weights = [w if inside else p for (_, w, inside), p in zip(lines, plain, strict=True)]
-        found = joined(regions(weights, blank, threshold(window_sums(weights))), weights, blank)
-    return "\n".join(lines[k][0] for a, b in found for k in range(a, b) if not blank[k] and (weights[k] or not marked))
+    weights, lesser, marked = weighted(lines)
+    blank = [not x.text for x in lines]
+    most = max((w for w, low in zip(weights, lesser, strict=True) if not low), default=0.0)
+    shown = [0.0 if low and w <= most / CONTRAST else w for w, low in zip(weights, lesser, strict=True)]  # a lesser line counts by its own weight
+    passed = [low and w <= most / CONTRAST for w, low in zip(weights, lesser, strict=True)]
+    sums = window_sums(shown)
+    within = min((s for x, s, low in zip(lines, sums, lesser, strict=True) if marked and x.inside and not low), default=math.inf)
+    least = min(threshold(sums), 0.99 * within)  # a short article beside a long one is no lower text
+    found = stretched(regions(shown, blank, least, lesser=passed), lines, shown)
+    return "\n".join(lines[k].text for a, b in found for k in range(a, b) if not blank[k])
+
+
+def main_text(page: str | None) -> str:
+    """The main text of one page."""
+    page = page or ""
+    return text_of(page_lines(page)) or text_of(page_lines(page, by_name=False))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -3,6 +3,7 @@ import time
 
 import pytest
 
+from tabwright.llm import html_text
 from tabwright.llm.html_text import extract_text, joined, main_text, op4_html_text, regions, threshold
 
 SENTENCE = "The quick brown fox jumps over the lazy dog while the band plays on. "
@@ -142,3 +143,26 @@ WRAPPED = {
 def test_marked_wrappers(name):
     page, want = WRAPPED[name]
     assert main_text(page) == want.strip()
+
+
+PROBES = {
+    "a title and a short end": (f"<h1>Title</h1><p>by A. Writer</p><p>{SENTENCE * 9}</p><p>{SENTENCE * 8}</p><p>{SENTENCE * 9}</p><p>Yes.</p><p>No, she said.</p><p>The end.</p>", ["Title", "by A. Writer", SENTENCE * 9, SENTENCE * 8, SENTENCE * 9, "Yes.", "No, she said.", "The end."]),
+    "a list of steps": (f"<p>{SENTENCE * 12}</p><ul>{''.join(f'<li>Step {k}</li>' for k in range(12))}</ul>", [SENTENCE * 12, *(f"Step {k}" for k in range(12))]),
+    "dialogue": (f"<p>{SENTENCE * 9}</p><p>{SENTENCE * 9}</p>" + "".join(f"<p>So, {k}.</p>" for k in range(10)), [SENTENCE * 9, SENTENCE * 9, *(f"So, {k}." for k in range(10))]),
+    "names with other words": (f"<article><p>{SENTENCE}</p><section class='ad-astra'><p>a</p></section><div class='comment-free'>b</div><p class='share'>c</p><div class='share-buttons'>no</div></article>", [SENTENCE, "a", "b", "c"]),
+    "an advert under many wrappers": ("<div class='has-sidebar'>" * 12 + f"<article>{LONG}<div class='ad'>buy</div>{LONG}</article>" + "</div>" * 12 + END, [SENTENCE * 9, SENTENCE * 9]),
+}
+
+
+@pytest.mark.parametrize("name", PROBES)
+def test_nothing_is_lost(name):
+    page, want = PROBES[name]
+    assert main_text(f"<html><body>{MENU}{page}</body></html>").split("\n") == [x.strip() for x in want]
+
+
+def test_regions_decide(spark, sf_dir, monkeypatch):
+    """Menus, adverts and footers are among the lines: without surges and dives they would come along, on nearly all pages."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    before = [main_text(h) for h in pages]
+    monkeypatch.setattr(html_text, "regions", lambda weights, *_, **__: [(0, len(weights))])
+    assert sum(main_text(h) != t for h, t in zip(pages, before, strict=True)) > 0.9 * len(pages)
