@@ -12,7 +12,8 @@ every text whole, in one pass without a shuffle.
 Defined results: null counts as empty; a text without words scores as the leak alone; null labels are no labels, of
 several labels of an id the larger counts; without labels of both kinds every score is the share of label 1 (0 if
 there are none). Labels, lang, source and ids are never inputs of a score. Rows with null or repeated ids are scored
-like any other. Only the id and text columns are read.
+like any other; texts of any length are scored whole, sentence by sentence; an empty table gives no rows, or nothing to learn
+from. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import map_batches, table, whole_text
+from tabwright.llm.common import map_batches, shared_table, table, whole_text
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -128,8 +129,8 @@ def train(
     labels = labels.where(usable) if usable is not None else labels
     chosen = labels.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_docs)
     texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    # The chosen ids are at most max_train_docs rows of two numbers.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("label", "text")
+    # The chosen ids are at most max_train_docs rows of two numbers; their texts are found once and written.
+    sample = shared_table(texts.join(F.broadcast(chosen), "doc_id").select("label", "text"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())

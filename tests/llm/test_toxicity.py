@@ -1,5 +1,7 @@
+import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -82,3 +84,25 @@ def test_noisy_or_gradient():
 def test_held_out(spark):
     ids = spark.createDataFrame([(1,), (22,), (None,)], "doc_id long")
     assert [r[0] for r in ids.select(held_out()).collect()] == [zlib.crc32(b"1") % 3 == 1, zlib.crc32(b"22") % 3 == 1, False]
+
+
+def test_scores_are_a_plain_noisy_or(spark, sf_dir):
+    """Every sentence with all its words, one after the other: 1 - (1 - leak) * product of (1 - p)."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")  # enough labels to learn from
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out("doc_id"))
+
+    def plain(text):
+        clean = 1 - model.leak
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            words = re.findall(r"[^\W\d_]+", sentence)
+            found = {f for w in words for f in (w + " ", *(w[:n] for n in (4, 5, 6, 7) if len(w) > n))}
+            if words:
+                clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in found))))
+        return 1 - clean
+
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    rows = op5_toxicity(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and model.weights
+    for r in rows:
+        assert abs(r.score - plain(texts[r.doc_id])) < 1e-9 and r.predicted == (r.score >= 0.7)
