@@ -13,8 +13,9 @@ gaps in the same way, by the digest of the id; counts of chunks are added up in
 sees a whole size, shard or group.
 
 Defined results: null text counts as empty (size 8), all empty texts are one group, texts of any length are hashed
-whole; null and repeated ids get slots of their own, in no fixed order among rows that are alike in id, text and size
-(such rows are numbered in one task). An empty table gives no rows. Other columns may have any names; those in
+whole; null and repeated ids get slots of their own, in no fixed order among rows that are alike in id, text and size.
+Rows without an id are spread by the digest of their text; rows that share an id are numbered in one task, as are those
+without an id that are alike in text. An empty table gives no rows. Other columns may have any names; those in
 ``carry`` come out as they went in, but one that is called as a column made here gets ``_given`` after its name.
 """
 
@@ -129,7 +130,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(text.cast("binary")).alias("group_key"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("row_key"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(text.cast("binary"))).cast("binary")).alias("row_key"),
         *[F.col(f"`{c}`").alias(k) for k, c in kept.items()],
     )
     narrow = shared_table(rows.select("doc_id", "size", "text_crc32", "group_key", "row_key"), "shard-rows")

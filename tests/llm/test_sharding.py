@@ -5,7 +5,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from tabwright.llm.sharding import assign_shards, carried_names, levelled, longest_first, op9_sharding
+from pyspark.sql import functions as F
+
+from tabwright.llm.sharding import assign_shards, carried_names, chunk_of, levelled, longest_first, op9_sharding
 
 
 def check(rows, got, shards=24):
@@ -91,3 +93,14 @@ def test_clashing_columns(spark):
     assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "text", "shard_given", "slot_given", "size_given", "text_crc32_given"]
     assert sorted(tuple(r)[5:] for r in got.collect()) == [("a", 5, 6, "s", "c"), ("b", 7, 8, "t", "d")]
     assert carried_names(["Size", "size_given"]) == {"Size": "Size_given_given", "size_given": "size_given"}
+
+
+def test_null_ids_are_spread(spark):
+    """Rows without an id but with texts of their own: chunks stay small, slots have no gaps."""
+    rows = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('text ', id) AS text")
+    got = assign_shards(rows, 4, chunk_rows=500)
+    per = got.groupBy("shard").agg({"slot": "max", "doc_id": "count", "size": "count"}).collect()
+    assert sum(r["count(size)"] for r in per) == 20_000 and all(r["max(slot)"] + 1 == r["count(size)"] for r in per)
+    key = F.md5(F.md5(F.col("text").cast("binary")).cast("binary"))
+    chunks = rows.groupBy(chunk_of(key, F.lit(40)).alias("c")).count().collect()
+    assert len(chunks) == 40 and max(r["count"] for r in chunks) < 700
