@@ -18,7 +18,7 @@ windows are then merged by a grouped aggregation over window digests, which is e
 
 Texts go by numbers of 64 bits that no two different texts share: they are hashes, and where SHA-256 tells texts of one
 hash apart, all texts of that hash get others (``text_names``). Hashes of grams only bring candidates together: the grams
-themselves, contexts and windows are compared by their bytes (known contexts by 128 bits of hash within their anchor,
+themselves, contexts and windows are compared by their bytes (known contexts by 128 bits of SHA-256 within their anchor,
 windows of groups dealt over tasks by digests of 128 bits). Anchors are dealt to buckets by the bytes of the input, so a
 task holds as much at any input.
 
@@ -416,14 +416,14 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, length: int, most_contexts
     many = shared_table(firsts.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchors-with-contexts")
     runs = shared_table(covered_runs(firsts.join(many, "f"), length, most_contexts), "covered-runs")
     release_shuffles(spark)
-    key = [F.xxhash64("ctx").alias("c"), F.xxhash64(F.lit(1), "ctx").alias("c2")]
-    runs = runs.groupBy("f", *key).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    known = shared_table(firsts.select("f", *key, F.col("doc").alias("first")).join(runs, ["f", "c", "c2"], "left"), "known-contexts")
+    key = F.substring(F.unhex(F.sha2("ctx", 256)), 1, 16).alias("c")
+    runs = runs.groupBy("f", key).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    known = shared_table(firsts.select("f", key, F.col("doc").alias("first")).join(runs, ["f", "c"], "left"), "known-contexts")
     clear_shared(spark, written(spark)[before + 1 : -1])
     release_shuffles(spark)
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("windows").alias("high")))
     hit = F.explode(F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("runs"))).alias("run")
-    found = placed.select("f", *key, "t", "doc", "begin", "windows").join(known, ["f", "c", "c2"]).where("doc > first or runs is not null").select("t", "begin", hit)
+    found = placed.select("f", key, "t", "doc", "begin", "windows").join(known, ["f", "c"]).where("doc > first or runs is not null").select("t", "begin", hit)
     span = F.struct((F.col("begin") + F.col("run.low")).alias("begin"), (F.col("begin") + F.col("run.high") - 1 + length).alias("end"))
     spans = shared_table(found.select("t", span.alias("span")).groupBy("t").agg(F.collect_list("span").alias("spans")), "spans")
     release_shuffles(spark)
