@@ -10,7 +10,8 @@ content that fills a third of all rows reaches its bucket once per input partiti
 
 Defined results: null counts as empty; texts are compared after each white-space run became one space; ids may be
 null or repeated: the smallest id that is not null stays, rows sharing that id are all kept, and a group whose ids
-are all null has a null ``keep_id`` and keeps every row. An empty table gives no rows. Other columns are not read.
+are all null has a null ``keep_id`` and keeps every row. Texts of any length are compared whole: a table
+holds one that is larger than its fill alone. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

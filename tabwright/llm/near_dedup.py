@@ -16,8 +16,9 @@ With 40 bands of 6 registers a pair at the threshold of 0.85 is missed with a pr
 with less. Full sets hold 64-bit hashes of shingles.
 
 Defined results: null text counts as empty; a text without words has no shingles and is linked with nothing; rows
-that repeat an id are one document with all their texts; a row with a null id has a null component and is kept. An
-empty table gives no rows. Only the id and text columns are read.
+that repeat an id are one document with all their texts; a row with a null id has a null component and is kept. Texts
+of any length give all their shingles; a set must fit in a task's memory. An empty table gives no rows. Only the id and text
+columns are read.
 """
 
 from __future__ import annotations
