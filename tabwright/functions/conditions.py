@@ -77,7 +77,7 @@ def is_in(column: Column, kind: T.DataType, values: list) -> Column:
 
 
 def one_condition(column: Column, kind: T.DataType, name: str, value: Any, strict: bool = False) -> Column:
-    """One operator on one column. With ``strict``, greater_equal and less_equal leave the bound itself out."""
+    """One operator on one column. With ``strict``, greater_equal and less_equal leave the bound itself out, and NaN is both empty and not."""
     raw, column = column, plain(column, kind)
     if strict:
         name = {"greater_equal": "greater", "less_equal": "less"}.get(name, name)
@@ -90,6 +90,8 @@ def one_condition(column: Column, kind: T.DataType, name: str, value: Any, stric
         low, high = value
         return one_condition(raw, kind, "greater_equal", low) & one_condition(raw, kind, "less_equal", high)
     if name == "empty":
+        if strict and not value and isinstance(kind, (T.FloatType, T.DoubleType)):
+            return ~is_empty(raw, kind) | F.coalesce(F.isnan(raw), F.lit(False))
         return is_empty(raw, kind) if value else ~is_empty(raw, kind)
     raise SpecError(f"unsupported condition: {name}")
 
@@ -97,7 +99,8 @@ def one_condition(column: Column, kind: T.DataType, name: str, value: Any, stric
 def all_conditions(df: DataFrame, conditions: Mapping[str, Mapping[str, Any]], compat: str | None = None) -> Column:
     """All conditions joined by and, in three-valued logic.
 
-    With ``compat="reference"`` only the first operator of a column counts, and bounds of *_equal are left out.
+    With ``compat="reference"`` only the first operator of a column counts, bounds of *_equal are left out, and NaN is both
+    empty and not empty.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     parts = []

@@ -102,6 +102,7 @@ _rule("sugar_dependency", "orders", {"type": "check_dependency", "condition": {"
 _rule("sugar_mutual_exclusive", "orders", {"type": "check_mutual_exclusive", "columns": ["p5", "q5"]}, _ORDERS, "p5 IS NOT NULL AND q5 IS NOT NULL")
 _rule("cond_never_both", "labels", _when({"quality": {"equals": 1}}, {"toxic": {"not_equals": 1}}), "labels", "quality = 1 AND toxic = 1")
 _rule("cond_empty_nan", "orders", _when({"o_orderstatus": {"equals": "P"}}, {"x5": {"empty": False}}), _ORDERS, "o_orderstatus = 'P' AND isnan(x5)")
+_rule("cond_empty_nan_reference", "orders", _when({"x5": {"empty": False}}, {"o_orderstatus": {"equals": "F"}}), _ORDERS, "x5 IS NOT NULL AND o_orderstatus <> 'F'", "reference")
 _rule("cond_nan_is_unknown", "orders", _when({"o_orderstatus": {"equals": "P"}}, {"x5": {"less": 100000}}), _ORDERS, "o_orderstatus = 'P' AND NOT isnan(x5) AND NOT (x5 < 100000)")
 _rule("rule_range_text", "orders", {"type": "check_range", "column": "t5", "range": [2, 4]}, _ORDERS, "try_cast(t5 AS DOUBLE) NOT BETWEEN 2 AND 4")
 _rule("rule_combinations", "lineitem", {"type": "check_allowed_combinations", "columns": ["l_returnflag", "l_linestatus"], "allowed": [["R", "F"], ["A", "F"], ["N", "O"]]}, "lineitem", "l_returnflag || l_linestatus NOT IN ('RF', 'AF', 'NO')")

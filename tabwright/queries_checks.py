@@ -11,7 +11,8 @@ from tabwright import queries as core
 from tabwright.operators.difference import difference
 from tabwright.operators.over_time import as_of, outside_limits, overlapping
 from tabwright.operators.positions import numbered_by
-from tabwright.operators.shared import scratch
+from tabwright.operators.shared import scratch, written
+from tabwright.operators.sketches import duplicates, merged, sketch
 from tabwright.operators.validate import error_rollup, validate
 from tabwright.plans.nested import nested_errors
 from tabwright.sources.files import read_delimited
@@ -228,3 +229,12 @@ def delivery_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = (spark.sql(x.replace("FROM customer", "FROM customer_delivered")) for x in (_OLD, f"{_NEW} UNION ALL {_NEW} AND c_custkey % 29 = 0"))
     found = difference(old, new, "k")
     return found.select("k", "change", "n_old", "n_new", F.coalesce(F.array_join("columns", ","), F.lit("-")).alias("columns"))
+
+
+@_query("duplicates_by_sketches", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k > 1")
+def duplicates_by_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated texts over three deliveries, whose sketches are stored, read and merged; the exact pass sees suspects only."""
+    docs, rule = _read(spark, sf_dir, "documents").select("doc_id", "text"), Rule("u", "check_unique", column=("text",))
+    parts = [docs.where(F.col("doc_id") % 3 == k) for k in range(3)]
+    stored = [written(sketch(p, rule, 24), "sketch") for p in parts]
+    return duplicates(parts, rule, written(merged(stored), "sketch"), ["doc_id"], 24).select("doc_id")
