@@ -126,8 +126,13 @@ def stream_duplicate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose user and type an earlier one has, found by state over micro-batches."""
     path = _fed(spark, sf_dir)
     found = stream_duplicates(_streamed(spark, path), Rule("once", "check_unique", column=("user_id", "event_type")), ["event_id"], salts=4)
-    query = found.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(f"{path}-out")
-    query.awaitTermination()
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(8, int(parts))))  # each partition of state has a worker of its own, as dear for few rows as for many
+    try:
+        query = found.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(f"{path}-out")
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     return spark.read.schema("event_id long, rule_id string").parquet(f"{path}-out")
 
 
