@@ -58,6 +58,22 @@ def error_rows(df: DataFrame, found: list[Constraint], key: list[str]) -> DataFr
     return df.select(*[F.col(f"`{k}`").alias(name) for k, name in key_names(key).items()], F.inline(parts[0] if len(parts) == 1 else F.concat(*parts)))
 
 
+def summary_of(df: DataFrame, found: list[Constraint], key: list[str]) -> DataFrame:
+    """``error_summary`` of all errors of a table by its key, grouped by the constraint's number and the value alone; what is said about the
+    constraint is put back afterwards, so long texts are neither compared nor shuffled."""
+    parts = [F.filter(F.array(*[F.when(c.broken, F.struct(F.lit(n).alias("code"), c.data.alias("data"))) for n, c in group]), lambda e: e.isNotNull()) for group in _groups(found)]
+    own = F.col(f"`{key[0]}`") if len(key) == 1 else F.struct(*[F.col(f"`{k}`") for k in key])
+    coded = df.select(own.alias("own"), F.inline(parts[0] if len(parts) == 1 else F.concat(*parts)))
+    merged = coded.groupBy("code", "data").agg(F.min("own").alias("first_row_affected"), F.max("own").alias("last_row_affected"), F.count(F.lit(1)).alias("n_rows_affected"))
+    said = F.element_at(F.array(*[F.struct(*[F.lit(x).cast("string").alias(n) for n, x in (("column", c.column), ("keyword", c.keyword), ("message", c.message), ("schema", c.schema), ("parent_schema", c.parent_schema), ("params", c.params))]) for c in found]), F.col("code") + 1)
+    merged = merged.withColumn("said", said)
+    return merged.select(*[F.col(c) if c == "data" else F.col(f"said.{c}") for c in ERROR_COLUMNS], "first_row_affected", "last_row_affected", "n_rows_affected")
+
+
+def _groups(found: list[Constraint]) -> list[list[tuple[int, Constraint]]]:
+    return [list(enumerate(found))[k : k + GROUP] for k in range(0, len(found), GROUP)]
+
+
 def first_chunk(errors: DataFrame, row: str = "row", size: int = 5000) -> DataFrame:
     """The errors of the first run of ``size`` rows that has any."""
     chunk = F.ceil(F.col(f"`{row}`") / size)
@@ -119,6 +135,8 @@ class ValidationResult:
         missing = errors.where("keyword = 'required'")
         if any(c.keyword == "required" for c in self.constraints):
             return missing.select("keyword", "message").distinct()
+        if self.compat != "reference" and self.constraints:
+            return summary_of(self.table, self.constraints, [self.row] if self.row else self.key)
         names = key_names(list(dict.fromkeys([*self.key, self.row])) if self.row else self.key)
         row = names[self.row] if self.row else names[self.key[0]] if len(self.key) == 1 else None
         if row is None:
