@@ -95,7 +95,7 @@ def test_unlike_rows_of_one_id_stay(spark):
 
 def test_registered():
     names = list(llm.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(names) | {"pipeline"} <= set(entry.queries())
     assert all(list(inspect.signature(f).parameters) == ["spark", "sf_dir"] for f in llm.queries().values())
 
@@ -103,7 +103,7 @@ def test_registered():
 @pytest.mark.parametrize("name", list(llm.oracle_sql()))
 def test_same_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(llm.oracle_sql()[name]).df()
     got = llm.queries()[name](spark, sf_dir).toPandas()
