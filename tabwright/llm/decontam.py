@@ -5,10 +5,13 @@ is one window). A window's tokens are its shingles of ``shingle`` words. Tokens
 stand in the corpus, counted over all documents; since a window must be contained whole, its necessary prefix is its
 one rarest token. Documents meet items on these prefix tokens only; the token's place in the window gives where the
 window would begin, places that don't fit between the document's ends are dropped, and the words from there are
-compared with the window's, in place on the row that holds the document's words.
+compared with the window's. A document with candidates is laid out in chunks of ``chunk_words`` words for that, each with the
+words that a window from its last place reaches, so no row holds all candidates of a long document.
 
 Documents are cut into tokens once: the places of item tokens are written, and give the counts as well as the places of
-prefix tokens. Tokens of the items, and the keys of documents with candidates, are broadcast if there are at most
+prefix tokens. Before a place is hashed and made a row, its first two words are looked up in a bitmap of those that item
+tokens begin with (``first_words``), which has no false negatives; the driver sees the bitmap's words only, 16,384 at
+most. Tokens of the items, and the keys of documents with candidates, are broadcast if there are at most
 ``broadcast_rows`` of them (a row is 30 bytes or so) and, for what the items bring, at most ``broadcast_bytes`` of words
 and ids in all windows; beyond that the same joins are left to Spark's shuffles.
 
@@ -21,13 +24,14 @@ may have any names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import shared_table, table, whole_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BITMAP_BITS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -53,9 +57,46 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> D
     )
 
 
-def tokens_of(rows: DataFrame, words: str, lengths: list[int], keep: list[str]) -> DataFrame:
-    """A row (keep..., place from 0, token) for each shingle of each of the lengths."""
-    parts = [rows.select(*keep, F.posexplode(shingle_hashes(F.col(words), n)).alias("place", "token")) for n in lengths]
+def beginning(words: Column, place: Column, length: int) -> Column:
+    """The hash of the first two of the ``length`` words at a place, or of the one."""
+    return F.xxhash64(*[F.get(words, place + t) for t in range(min(2, length))])
+
+
+def first_words(tokens: DataFrame, length: int) -> Column:
+    """A literal bitmap over what the windows' tokens of one length begin with, eight bits or more for each of them as long as
+    that is within ``BITMAP_BITS``."""
+    begins = tokens.where(F.col("length") == length).select(beginning(F.col("win"), F.col("offset"), length).alias("h")).distinct()
+    bits = 1 << 10
+    n = begins.count()
+    while bits < min(8 * n, BITMAP_BITS):
+        bits *= 2
+    at = F.pmod("h", F.lit(bits)).alias("at")
+    rows = begins.select(at).select(F.shiftright("at", 6).alias("k"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("k").agg(F.bit_or("bit").alias("v")).collect()
+    held = [0] * (bits // 64)
+    for row in rows:  # at most bits / 64
+        held[row.k] = row.v
+    return F.split(F.lit(",".join(map(str, held))), ",").cast("array<long>")
+
+
+def is_first(bitmap: Column, words: Column, place: Column, length: int) -> Column:
+    """Whether the bitmap may hold what the ``length`` words at a place begin with."""
+    at = F.pmod(beginning(words, place, length), F.size(bitmap).cast("long") * 64)
+    return F.call_function("bit_get", F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+
+def token_places(rows: DataFrame, tokens: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row (doc_id, row_key, n_words, place from 0, token) for the shingles of each length that may be among ``tokens``."""
+    words = F.col("words")
+
+    def of_length(n: int) -> DataFrame:
+        bitmap = first_words(tokens, n)
+        places = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+        near = F.filter(places, lambda i: is_first(bitmap, words, i, n))
+        token = lambda i: F.xxhash64(F.lit(n), *[F.get(words, i + t) for t in range(n)])
+        found = F.explode(F.transform(near, lambda i: F.struct(i.alias("place"), token(i).alias("token")))).alias("at")
+        return rows.select("doc_id", "row_key", "n_words", found).select("doc_id", "row_key", "n_words", "at.place", "at.token")
+
+    parts = [of_length(n) for n in lengths]
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -74,6 +115,7 @@ def contamination(
     least_share: int = 20,
     broadcast_rows: int = 1_000_000,
     broadcast_bytes: int = 64 << 20,
+    chunk_words: int = 4096,
 ) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and least_share * n_hit >= n_words), item_ids, row_key."""
     cut = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
@@ -88,7 +130,7 @@ def contamination(
     lengths = [r[0] for r in windows.select(F.least(F.size("win"), F.lit(shingle)).alias("n")).distinct().orderBy("n").collect()]
     length = F.least(F.size("win"), F.lit(shingle))
     placed = [
-        windows.where(length == n).select("window_key", "win", F.posexplode(F.slice(shingle_hashes(F.col("win"), n), F.lit(1), F.size("win") - n + 1)).alias("offset", "token"))
+        windows.where(length == n).select("window_key", "win", F.lit(n).alias("length"), F.posexplode(F.slice(shingle_hashes(F.col("win"), n), F.lit(1), F.size("win") - n + 1)).alias("offset", "token"))
         for n in lengths
     ]
     n_words, none = cut.select("doc_id", "row_key", "n_words"), F.array().cast("array<string>")
@@ -99,39 +141,38 @@ def contamination(
         tokens = tokens.union(part)
     tokens = shared_table(tokens, "item-tokens")
     vocabulary = tokens.select("token").distinct()
-    found = tokens_of(cut, "words", lengths, ["doc_id", "row_key", "n_words"]).join(small(vocabulary), "token")
+    found = token_places(cut, tokens, lengths).join(small(vocabulary), "token")
     found = shared_table(found.select("doc_id", "row_key", "n_words", "place", "token"), "token-places")
     counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # The rarest token of a window; one that no document has rules the window out.
     ranked = tokens.join(counts, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     prefix = ranked.groupBy("window_key", "win").agg(F.min(F.struct("n", "token", "offset")).alias("least")).where("least.n > 0")
     prefix = shared_table(prefix.select("window_key", "win", F.col("least.token").alias("token"), F.col("least.offset").alias("offset"), F.size("win").alias("length")), "prefix-tokens")
-    begin, key = F.col("place") - F.col("offset"), ["doc_id", "row_key"]
+    begin, key, chunk = F.col("place") - F.col("offset"), ["doc_id", "row_key"], F.floor(F.col("begin") / chunk_words).cast("int").alias("chunk")
     candidates = (
         found.join(small(prefix), "token")
         .where((begin >= 0) & (begin + F.col("length") <= F.col("n_words")))
-        .groupBy(*key)
-        .agg(F.collect_set(F.struct(begin.alias("begin"), (begin + F.col("length")).alias("end"), "window_key", "win")).alias("candidates"))
+        .select(*key, begin.alias("begin"), "length", "window_key")
+        .groupBy(*key, chunk)
+        .agg(F.collect_set(F.struct("begin", "length", "window_key")).alias("candidates"))
     )
     candidates = shared_table(candidates, "candidates")
     keys = candidates.select("row_key").distinct()
     keys = F.broadcast(keys) if candidates.count() <= broadcast_rows else keys
-    words = cut.join(keys, "row_key", "left_semi").dropDuplicates(key).alias("w")
-    on = (F.col("w.row_key") == F.col("c.row_key")) & F.col("w.doc_id").eqNullSafe(F.col("c.doc_id"))
-    there = F.filter("candidates", lambda c: F.slice("words", c["begin"] + 1, c["end"] - c["begin"]) == c["win"])
-    hits = words.join(candidates.alias("c"), on).select("w.doc_id", "w.row_key", there.alias("hits")).where("size(hits) > 0")
-    hits = shared_table(hits, "hits")
+    words = cut.join(keys, "row_key", "left_semi").select(*key, "words", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_words") - 1) / chunk_words).cast("int"))).alias("chunk"))
+    words = words.select(*key, "chunk", F.slice("words", F.col("chunk") * chunk_words + 1, chunk_words + window).alias("words")).dropDuplicates([*key, "chunk"]).alias("w")
+    on = (F.col("w.row_key") == F.col("c.row_key")) & F.col("w.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("w.chunk") == F.col("c.chunk"))
+    there = lambda c: F.slice("words", c["begin"] - F.col("w.chunk") * chunk_words + 1, c["length"])
+    like = F.filter("candidates", lambda c: F.xxhash64(there(c)) == c["window_key"])
+    hits = words.join(candidates.alias("c"), on).select("w.doc_id", "w.row_key", "w.chunk", "words", F.explode(like).alias("h"))
+    hits = hits.select(*key, F.col("h.begin").alias("begin"), (F.col("h.begin") + F.col("h.length")).alias("end"), F.col("h.window_key").alias("window_key"), F.slice("words", F.col("h.begin") - F.col("chunk") * chunk_words + 1, F.col("h.length")).alias("win"))
+    hits = shared_table(hits.join(small(windows.select("window_key", "win")), ["window_key", "win"], "left_semi"), "hits")
     # Words in the union of a row's hit spans: each span adds what reaches beyond those before it.
-    covered = F.aggregate(
-        F.array_sort(F.transform("hits", lambda h: F.struct(h["begin"].alias("begin"), h["end"].alias("end")))),
-        F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")),
-        lambda acc, x: F.struct(F.greatest(acc["upto"], x["end"]).alias("upto"), (acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["upto"], x["begin"]))).alias("n")),
-        lambda acc: acc["n"].cast("long"),
-    )
-    spans = hits.select(*key, covered.alias("n_hit"))
+    earlier = Window.partitionBy(*key).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    beyond = F.greatest(F.lit(0), F.col("end") - F.greatest("begin", F.coalesce(F.max("end").over(earlier), F.lit(0))))
+    spans = hits.select(*key, beyond.cast("long").alias("n")).groupBy(*key).agg(F.sum("n").alias("n_hit"))
     named = (
-        hits.select(*key, F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["window_key"].alias("window_key"), h["win"].alias("win"))))).alias("h"))
-        .select(*key, "h.window_key", "h.win")
+        hits.select(*key, "window_key", "win").distinct()
         .join(small(windows.select("window_key", "win", "item_ids")), ["window_key", "win"])
         .select(*key, F.explode("item_ids").alias("item"))
         .groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))

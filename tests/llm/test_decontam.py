@@ -5,7 +5,7 @@ import re
 import duckdb
 import pytest
 
-from tabwright.llm import decontam
+from tabwright.llm import common, decontam
 from tabwright.llm.decontam import contamination, op7_decontamination, without_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -46,7 +46,7 @@ def items(awkward):
     return [(1, passage.upper()), (2, " - ".join(base[:20])), (10, "one, two"), (3, None), (4, ""), (5, "!!"), (None, " ".join(base[40:60])), (6, " ".join(base[40:56])), (1, "word"), (7, "never seen anywhere at all"), (8, "é" * 40 + base[0]), (9, "x " * 40)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}, {"broadcast_bytes": 0}])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}, {"broadcast_bytes": 0}, {"chunk_words": 7}])
 def test_awkward(spark, awkward, awkward_docs, no_docs, items, limits):
     table = spark.createDataFrame([(*x, 1, "k") for x in items], "item_id long, text string, doc_id int, words string")
     assert found(contamination(awkward_docs, table, **limits)) == brute([r[:2] for r in awkward], items)
@@ -80,6 +80,28 @@ def test_small_alphabet(spark, shingle):
     assert found(got) == brute(rows, items, 4)
 
 
+def test_frequent_word_as_an_item(spark):
+    """Candidates of a long document come in rows of at most a chunk's places; windows reach over the ends of chunks."""
+    rows = [(1, "the " * 9_000), (2, "a b the c"), (3, " ".join(f"w{k}" for k in range(9_000))), (3, "the"), (None, "the end")]
+    items = [(1, "the"), (2, "the the the"), (3, " ".join(f"w{k}" for k in range(4_090, 4_110))), (4, "c"), (5, "w8999"), (6, "c d")]
+    tables = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    before = len(common.written(spark))
+    assert found(contamination(*tables)) == brute(rows, items)
+    paths = [p for p in common.written(spark)[before:] if "/candidates-" in p]
+    assert spark.read.parquet(*paths).selectExpr("max(size(candidates)) AS n").first().n <= 2 * 4096
+
+
+def test_bitmap_has_no_false_negatives(spark, monkeypatch):
+    """A bitmap that is far too small lets more places through and loses none."""
+    monkeypatch.setattr(decontam, "BITMAP_BITS", 1 << 10)
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(90)}" for _ in range(n))
+    items = [(k, text(rng.randrange(1, 20))) for k in range(300)]
+    rows = [(k, f"{text(9)} {items[k * 7 % 300][1]} {text(9)}") for k in range(60)]
+    got = contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert found(got) == brute(rows, items)
+
+
 def test_stays_in_the_jvm(spark, sf_dir):
     out = op7_decontamination(spark, sf_dir)
     plan = out._jdf.queryExecution().toString()
