@@ -1,10 +1,12 @@
 """Sharding by longest-processing-time scheduling: groups that must stay together, largest first, to the least-loaded shard.
 
 Equal texts are a group. A heap over every group of a large corpus would be a list of all groups on one machine, but
-groups of one size are interchangeable, so the schedule needs no more than how many groups have each size: the driver
-gets one row per size. Sizes that differ add up to the corpus at least, so there are at most sqrt(2 * bytes) of them (14
-million at 100 TB). Few groups of a size go through the heap one by one; many are levelled at once (``levelled``),
-with what the heap would give. The loads of all shards, and how many groups of each size a shard gets, are those of a
+groups of one size are interchangeable, so the schedule needs no more than how many groups have each size. These counts
+are a table; its rows go past the driver from the largest size on, one partition of them at a time, and all that is kept
+is the load of each shard. What each size gets goes to a table by pieces of ``piece`` sizes, so the driver holds as much
+at any input. Sizes that differ add up to the corpus at least, so at most sqrt(2 * bytes) of them go past (14 million at
+100 TB). Few groups of a size go through the heap one by one; many are levelled at once (``levelled``), with what the
+heap would give. The loads of all shards, and how many groups of each size a shard gets, are those of a
 heap over all groups, at any input.
 
 Which groups of a size these are is settled without bringing them together: groups are numbered by their digest in
@@ -22,17 +24,18 @@ without an id that are alike in text. An empty table gives no rows. Other column
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+import itertools
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import shared_table, table, whole_text
+from tabwright.llm.common import new_folder, shared_table, table, whole_text
 
 ROW_OVERHEAD = 8
 MADE = ["doc_id", "size", "text_crc32", "shard", "slot"]
-BROADCAST_SIZES = 50_000
+PIECE = 50_000
 
 
 def levelled(loads: list[int], size: int, count: int) -> list[int]:
@@ -55,11 +58,10 @@ def levelled(loads: list[int], size: int, count: int) -> list[int]:
     return got
 
 
-def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> dict[int, list[int]]:
-    """LPT over (size, how many): for each size how many of its groups each shard gets."""
+def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """LPT over (size, how many) from the largest size on: for each size how many of its groups each shard gets."""
     heap = [(0, k) for k in range(shards)]
-    given: dict[int, list[int]] = {}
-    for size, count in sorted(sizes, reverse=True):
+    for size, count in sizes:
         if count <= 2 * shards:
             got = [0] * shards
             for _ in range(count):
@@ -71,8 +73,7 @@ def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> dict[int, li
             got = levelled(loads, size, count)
             heap = [(load + size * n, k) for k, (load, n) in enumerate(zip(loads, got, strict=True))]
             heapq.heapify(heap)
-        given[size] = got
-    return given
+        yield size, got
 
 
 def chunk_of(digest: Column, chunks: Column) -> Column:
@@ -90,18 +91,31 @@ def begins_of(counts: DataFrame, by: str, width: int = 1000) -> DataFrame:
     return within.join(blocks, [by, "block"]).select(by, "chunk", (F.col("blocks_before") + F.col("before")).alias("begins"))
 
 
-def group_shards(groups: DataFrame, shards: int, chunk_rows: int) -> DataFrame:
-    """(group_key, shard) for rows (group_key, bytes): the schedule's counts, dealt to groups of a size in the order of keys."""
+def schedule(groups: DataFrame, shards: int, chunk_rows: int, piece: int = PIECE) -> DataFrame:
+    """(bytes, upto, chunks) for rows (group_key, bytes): of a size's groups, the number that go to each shard but the last
+    or to one before it, and in how many chunks they are numbered."""
     spark = groups.sparkSession
-    sizes = [(r.bytes, r.n) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most sqrt(2 * bytes) rows
+    counts = shared_table(groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")), "shard-histogram")
+    sizes = ((r.bytes, r.n) for r in counts.orderBy(F.desc("bytes")).toLocalIterator())
     given = longest_first(sizes, shards)
-    upto = [[sum(got[: k + 1]) for k in range(shards - 1)] for got in given.values()]
-    columns = [pa.array(list(given), pa.int64()), pa.array(upto, pa.list_(pa.int64())), pa.array([-(-n // chunk_rows) for n in (sum(g) for g in given.values())], pa.int64())]
-    if not given:
-        return groups.select("group_key", F.lit(0).alias("shard"))
-    plan = spark.createDataFrame(pa.table(columns, names=["bytes", "upto", "chunks"]))
-    plan = F.broadcast(plan) if len(given) * shards <= 24 * BROADCAST_SIZES else plan  # 8 bytes a number, 10 MB at most
-    placed = groups.join(plan, "bytes").withColumn("chunk", chunk_of(F.col("group_key"), F.col("chunks")))
+    layout, path = "bytes long, upto array<bigint>, chunks long", None
+    while True:
+        part = list(itertools.islice(given, piece))
+        upto = [list(itertools.accumulate(got))[:-1] for _, got in part]
+        columns = [pa.array([size for size, _ in part], pa.int64()), pa.array(upto, pa.list_(pa.int64())), pa.array([-(-sum(got) // chunk_rows) for _, got in part], pa.int64())]
+        rows = spark.createDataFrame(pa.table(columns, names=["bytes", "upto", "chunks"]), layout)
+        if path is None and len(part) < piece:
+            return F.broadcast(rows)  # 8 bytes a number and shard, 10 MB at most for 24 shards
+        path = path or new_folder(spark, "shard-schedule")
+        if part:
+            rows.write.mode("append").option("compression", "zstd").parquet(path)
+        if len(part) < piece:
+            return spark.read.schema(layout).parquet(path)
+
+
+def group_shards(groups: DataFrame, shards: int, chunk_rows: int, piece: int = PIECE) -> DataFrame:
+    """(group_key, shard) for rows (group_key, bytes): the schedule's counts, dealt to groups of a size in the order of keys."""
+    placed = groups.join(schedule(groups, shards, chunk_rows, max(1, min(piece, PIECE * 24 // shards))), "bytes").withColumn("chunk", chunk_of(F.col("group_key"), F.col("chunks")))
     begins = begins_of(placed.where("chunks > 1").groupBy("bytes", "chunk").agg(F.count(F.lit(1)).alias("n")), "bytes")
     nth = F.row_number().over(Window.partitionBy("bytes", "chunk").orderBy("group_key")) - 1
     placed = placed.withColumn("nth", nth).join(begins, ["bytes", "chunk"], "left")

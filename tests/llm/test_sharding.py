@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tabwright.llm.sharding import assign_shards, carried_names, chunk_of, levelled, longest_first, op9_sharding
+from tabwright.llm.sharding import assign_shards, carried_names, chunk_of, group_shards, levelled, longest_first, op9_sharding
 
 
 def check(rows, got, shards=24):
@@ -65,13 +65,13 @@ def heap_over_all(sizes, shards):
 
 
 def test_longest_first():
-    assert longest_first([(5, 1), (4, 1), (3, 3)], 2) == {5: [1, 0], 4: [0, 1], 3: [1, 2]}
-    assert longest_first([], 3) == {}
+    assert dict(longest_first([(5, 1), (4, 1), (3, 3)], 2)) == {5: [1, 0], 4: [0, 1], 3: [1, 2]}
+    assert dict(longest_first([], 3)) == {}
     rng = random.Random(5)
     for shards in (1, 2, 7, 24):
         for most in (3, 40, 2000):
             sizes = [rng.choice([8, 9, rng.randrange(8, 60), rng.randrange(8, 5000)]) for _ in range(most)] + [9] * most * 3
-            assert longest_first(Counter(sizes).items(), shards) == heap_over_all(sizes, shards)[1]
+            assert dict(longest_first(sorted(Counter(sizes).items(), reverse=True), shards)) == heap_over_all(sizes, shards)[1]
     loads = [7, 3, 3, 10]
     assert levelled(loads, 4, 6) == [1, 2, 2, 1] and levelled(loads, 4, 1) == [0, 1, 0, 0]
 
@@ -104,3 +104,15 @@ def test_null_ids_are_spread(spark):
     key = F.md5(F.md5(F.col("text").cast("binary")).cast("binary"))
     chunks = rows.groupBy(chunk_of(key, F.lit(40)).alias("c")).count().collect()
     assert len(chunks) == 40 and max(r["count"] for r in chunks) < 700
+
+
+def test_schedule_by_pieces(spark):
+    """A schedule that goes to a table by pieces is the one that fits into a piece, whether the last piece is full or not."""
+    rng = random.Random(3)
+    groups = spark.createDataFrame([(f"{rng.randrange(1 << 32):08x}{k}", rng.choice([9, 10, rng.randrange(8, 90)])) for k in range(2_000)], "group_key string, bytes long")
+    whole = sorted(group_shards(groups, 5, 100).collect())
+    n = groups.select("bytes").distinct().count()
+    for piece in (1 + n // 4, n, n // 2, n + 1):
+        assert sorted(group_shards(groups, 5, 100, piece).collect()) == whole
+    assert len(whole) == 2_000 and {r.shard for r in whole} == set(range(5))
+    assert group_shards(groups.limit(0), 5, 100).count() == 0
