@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it is computed once and survives lost executors."""
+def shared_table(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: it is computed once and survives lost executors.
+
+    Where rows are of many kilobytes ``group_rows`` bounds those of a row group: a reader decodes up to 4,096 rows of one at
+    a time, arrays too.
+    """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    options = {} if group_rows is None else {"parquet.block.row.count.limit": group_rows}
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,6 +74,18 @@ def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Itera
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside hand at most ``rows`` rows at once to Python; by default it is 10,000, of whatever size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``map_partitions`` with a function of one batch."""
     return map_partitions(df, lambda batches: (out for batch in batches for out in fn(batch)), schema)

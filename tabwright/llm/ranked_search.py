@@ -12,7 +12,8 @@ document of a smaller id may lie below. A task hands on ten rows per item at mos
 threshold for its next group. A first pass over one range in ``FIRST_OF`` finds scores that the tenth can't be lower
 than, with which all tasks begin; it saves work only, every range is searched.
 
-A group holds up to ``GROUP_BYTES`` of trees. Items are searched in blocks of up to ``BLOCK_BYTES`` of text, which tasks hold;
+Ranges are rows of some hundred kilobytes, so they are stored, read and handed to Python by ``ROWS_AT_ONCE``: what a task holds
+doesn't grow with its share of the index. A group holds up to ``GROUP_BYTES`` of trees. Items are searched in blocks of up to ``BLOCK_BYTES`` of text, which tasks hold;
 the index is the same for all. No key is hot: nothing is dealt by term, and the rows dealt by item are ten a task.
 
 Terms are maximal runs of digits, letters and non-ASCII characters, with A to Z lower-cased. Defined results: null, or a
@@ -35,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import map_partitions, shared_table, table
+from tabwright.llm.common import batches_of, map_partitions, shared_table, table
 
 FAN = 16
 RANGE = FAN * FAN
 #: A range is closed once it has so many pairs of term and document.
 RANGE_PAIRS = 1 << 18
 GROUP_BYTES, BLOCK_BYTES, FIRST_OF = 48 << 20, 4 << 20, 32
+#: Rows of the index in a row group and in a batch.
+ROWS_AT_ONCE = 8
 #: By byte: what isn't part of a term becomes a blank, A to Z become a to z.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 INDEX = "drawn int, n_docs long, n_terms long, doc_ids array<long>, lengths array<long>, terms array<string>, held array<int>, docs binary, counts binary"
@@ -88,7 +91,8 @@ def lexical_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield _range_row(held)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    return shared_table(map_partitions(rows, build, INDEX), "lexical")
+    with batches_of(docs.sparkSession, RANGE):
+        return shared_table(map_partitions(rows, build, INDEX), "lexical", ROWS_AT_ONCE)
 
 
 @dataclass
@@ -235,11 +239,12 @@ def search(index: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_
                 counted.append((r.item, counts, [vocabulary.setdefault(t, len(vocabulary)) for t in counts]))
         if not counted:
             continue
-        weights = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1))) for df in _document_frequencies(index, vocabulary).tolist()], np.int64)
-        queries = [Query(i, np.array(p), weights[p] * np.array(list(c.values()))) for i, c, p in counted]
-        seen = _ranked(_found(index.where("drawn = 0"), queries, vocabulary, n, total, k, {}, group_bytes), k)
-        least = {r.item: r.score for r in seen.where(F.col("rank") == k).collect()}  # a row per item of the block
-        parts.append(shared_table(_ranked(_found(index, queries, vocabulary, n, total, k, least, group_bytes), k), "ranked"))
+        with batches_of(spark, ROWS_AT_ONCE):
+            weights = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1))) for df in _document_frequencies(index, vocabulary).tolist()], np.int64)
+            queries = [Query(i, np.array(p), weights[p] * np.array(list(c.values()))) for i, c, p in counted]
+            seen = _ranked(_found(index.where("drawn = 0"), queries, vocabulary, n, total, k, {}, group_bytes), k)
+            least = {r.item: r.score for r in seen.where(F.col("rank") == k).collect()}  # a row per item of the block
+            parts.append(shared_table(_ranked(_found(index, queries, vocabulary, n, total, k, least, group_bytes), k), "ranked"))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]

@@ -4,9 +4,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from tabwright.llm.ranked_search import FAN, RANGE, Best, Query, Trees, best_first, lexical_index, op11_ranked_search, search
+from tabwright.llm.common import batches_of, map_batches
+from tabwright.llm.ranked_search import FAN, RANGE, ROWS_AT_ONCE, Best, Query, Trees, best_first, lexical_index, op11_ranked_search, search
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -74,3 +77,16 @@ def test_few_nodes_are_opened():
     assert best_first(Query(0, np.array([0, 1]), np.array([5000, 1])), [trees], best) == 2
     assert best.rows()[0][1] == 77
     assert best_first(Query(0, np.array([1]), np.array([1])), [trees], best := Best(1)) == 1 + FAN and best.rows()[0][1] == 0
+
+
+def test_few_ranges_are_held_at_once(spark):
+    """However many ranges a file of the index has, readers decode and Python gets a few at a time."""
+    index = lexical_index(spark.range(RANGE * 20).selectExpr("id AS doc_id", "concat('a b', id) AS text").coalesce(1))
+    groups = [pq.ParquetFile(f.removeprefix("file://").replace("file:", "")).metadata for f in index.inputFiles()]
+    rows = [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)]
+    assert sum(rows) == 20 and max(rows) <= ROWS_AT_ONCE
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sized = map_batches(index.select("n_docs").coalesce(1), lambda batch: [pa.RecordBatch.from_pydict({"n": [len(batch)]})], "n long")
+    with batches_of(spark, ROWS_AT_ONCE):
+        seen = [r.n for r in sized.collect()]
+    assert sum(seen) == 20 and max(seen) <= ROWS_AT_ONCE and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
