@@ -3,11 +3,13 @@
 import random
 from datetime import datetime
 
+import pandas as pd
 import pytest
+from pyspark.sql import types as T
 
 from tabwright.operators.rules import violating_rows
 from tabwright.spec import Rule, SpecCollection, SpecError
-from tabwright.streaming.unique import stream_duplicates
+from tabwright.streaming.unique import KeepsLeast, candidates, stream_duplicates
 from tabwright.streaming.windows import stream_summary, window_summary
 
 
@@ -66,6 +68,33 @@ def test_state_expires(spark, tmp_path, two_partitions):
     assert sorted(r.k for r in fed.run(made)) == [2]
 
 
+def test_one_call_takes_many_combinations():
+    """A group of state holds thousands of combinations; each is looked up and stored once a call, whatever its rows."""
+    held, calls = {}, []
+
+    class Handle:
+        def getMapState(self, *_):
+            return self
+
+        def getValue(self, value):
+            calls.append(value)
+            return held.get(value)
+
+        def updateValue(self, value, least):
+            calls.append(value)
+            held[value] = least
+
+    state = KeepsLeast(["k"], T.StructType().add("k", "long"), None)
+    state.init(Handle())
+    frame = lambda keys: pd.DataFrame({0: keys, 1: [f"v{k % 5000}" for k in keys], 2: 7})
+    run = lambda *keys: sorted(k for f in state.handleInputRows((7,), iter(map(frame, keys)), None) for k in f["k"])
+    assert run(range(20000, 30000), range(15000, 20000)) == list(range(20000, 30000)) and len(calls) == 10000
+    assert run(range(5000)) == list(range(15000, 20000)) and len(calls) == 20000 and held[("v3",)] == (3,)
+    assert run(range(10000, 15000)) == list(range(10000, 15000)) and len(calls) == 25000
+    hot = next(candidates(["k"])(iter([pd.DataFrame({"k": [5, 3, 4], "_value": ["a"] * 3})])))
+    assert hot.k[hot._least].tolist() == [3]
+
+
 def test_refusals(spark):
     stream = spark.readStream.format("rate").load()
     with pytest.raises(SpecError):
