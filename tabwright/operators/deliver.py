@@ -15,12 +15,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a part of a delivery, which a task holds whole for its checksum; bytes that are digested at once.
 PART_BYTES, STEP = 128 << 20, 1 << 20
+#: Bytes that a task sorts where parts are smaller, and parts it writes then; bytes of keys that the driver gets to find ranges by.
+RANGE_BYTES, RANGE_PARTS, SAMPLE_BYTES = 32 << 20, 500, 32 << 20
+_SAMPLES = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 
 
 @dataclass(frozen=True)
@@ -165,6 +168,18 @@ def _digests(gzipped: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def ranges_for(n_bytes: int, n_rows: int, part_bytes: int, least: int, samples: int) -> tuple[int, int, int]:
+    """How many ranges the rows are sorted in, rows of a part (0: a range is one), and keys sampled for a range.
+
+    Sorted by whole rows, a sampled key is a row. Spark gives the driver three times as many as are asked for, so of large
+    rows fewer are; ranges are then fewer as well, and each is cut into parts.
+    """
+    parts = -(-n_bytes // part_bytes)
+    sampled = SAMPLE_BYTES * n_rows // (3 * n_bytes)
+    ranges = max(1, -(-parts // RANGE_PARTS), min(parts, max(least, -(-n_bytes // RANGE_BYTES)), sampled // 4))
+    return ranges, 0 if ranges >= parts else -(-n_rows // parts), max(1, min(samples, sampled // ranges))
+
+
 def write_parts(
     df: DataFrame, folder: str, arrange_by: str | list[str] | None = "all", descending: bool = False, sep: str = "\t", na: str = "", quote: bool = False, compression: str = "none",
     breaks: str = "escape", part_bytes: int = PART_BYTES,
@@ -174,7 +189,8 @@ def write_parts(
     Each row is one line: with ``breaks="escape"`` a backslash, line feed, carriage return or separator in a text is written
     as ``\\\\``, ``\\n``, ``\\r`` or ``\\t`` (other separators: a backslash before them); with ``"refuse"`` such a text is an error.
     A first pass adds up the bytes, so that parts are of about ``part_bytes``; a key that many rows share is spread over
-    parts. The manifest has part (from 0, in the order of the rows), path, md5sum, n_bytes, n_rows and n_cols; no row and
+    parts. Rows are sorted in ranges of at least a part, and of ``RANGE_BYTES`` where parts are small, so that what the driver
+    samples doesn't grow with the table; a range is cut into parts as it is written. The manifest has part (from 0, in the order of the rows), path, md5sum, n_bytes, n_rows and n_cols; no row and
     no byte of the table passes through the driver, and tasks read each part back once for its checksum.
     """
     if compression not in ("none", "gzip"):
@@ -182,21 +198,30 @@ def write_parts(
     if breaks not in ("escape", "refuse"):
         raise ValueError(f"breaks {breaks!r} is neither escape nor refuse")
     spark, n_cols, head = df.sparkSession, len(df.columns), header(df, sep, quote)
-    total = lines(df, sep, na, quote, breaks).agg(F.sum(F.octet_length("line") + 1)).first()[0]
+    total, count = lines(df, sep, na, quote, breaks).agg(F.sum(F.octet_length("line") + 1), F.count(F.lit(1))).first()
+    before = spark.conf.get(_SAMPLES)
+    each, samples = 0, int(before)
     if total is None:
         text = spark.createDataFrame([(head,)], "line string").coalesce(1)
     else:
         rows = df
         if arrange_by is not None:
+            ranges, each, samples = ranges_for(total, count, part_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")), samples)
             keys = sort_keys(df, arrange_by, descending)
             rows = df.withColumn("_tie", F.monotonically_increasing_id())
-            rows = rows.repartitionByRange(-(-total // part_bytes), *keys, F.col("_tie")).sortWithinPartitions(*keys).drop("_tie")
-        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+            rows = rows.repartitionByRange(ranges, *keys, F.col("_tie")).sortWithinPartitions(*keys).drop("_tie")
+        at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        first = at % F.lit(each) == 0 if each else at == 0
         text = lines(rows, sep, na, quote, breaks).select(F.when(first, F.concat(F.lit(f"{head}\n"), "line")).otherwise(F.col("line")).alias("line"))
-    text.write.option("compression", compression).text(f"{folder}/parts")
+    spark.conf.set(_SAMPLES, str(samples))
+    try:
+        text.write.options(compression=compression, maxRecordsPerFile=each).text(f"{folder}/parts")
+    finally:
+        spark.conf.set(_SAMPLES, before)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/parts").where("length > 0").select("path", "content")
     sums = found.mapInArrow(_digests(compression == "gzip"), "path string, md5sum string, n_bytes long, n_lines long")
-    part = F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int")
+    number = lambda k: F.regexp_extract("path", r"/part-(\d+)-[^/]*-c(\d+)[^/]*$", k).cast("int")
+    part = (F.row_number().over(Window.orderBy(number(1), number(2))) - 1).cast("int")  # a row per part
     manifest = sums.select(part.alias("part"), "path", "md5sum", "n_bytes", (F.col("n_lines") - 1).alias("n_rows"), F.lit(n_cols).alias("n_cols"))
     manifest.coalesce(1).write.json(f"{folder}/manifest")
     return spark.read.schema(manifest.schema).json(f"{folder}/manifest")

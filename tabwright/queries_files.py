@@ -12,7 +12,7 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright import queries as core
@@ -252,10 +252,9 @@ def delivery_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = "doc_id\ttext\tlang\tsource\tn_chars"
     said = manifest.agg(F.sum("n_rows").alias("n_rows"), (F.sum("n_bytes") - F.count(F.lit(1)) * (len(title) + 1)).alias("n_bytes"), F.max("n_cols").alias("n_cols"))
     folder = manifest.select(F.regexp_replace("path", r"/part-[^/]*$", "").alias("at")).first()[0]
-    rows = in_file_order(spark.read.text(f"{folder}/part-*"), "place").withColumnRenamed("value", "line")
-    heads = rows.where(F.col("line") == title).select(F.col("place").alias("head"))  # a row per part
-    starts = heads.withColumn("nth", F.row_number().over(Window.orderBy("head"))).withColumn("next", F.lead("head").over(Window.orderBy("head")))
-    placed = rows.where(F.col("line") != title).join(F.broadcast(starts), (F.col("place") > F.col("head")) & (F.col("place") < F.coalesce("next", F.lit(1 << 62))))
+    rows = in_file_order(spark.read.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file")), "place")
+    heads = manifest.select(F.regexp_extract("path", r"[^/]*$", 0).alias("file"), (F.col("part") + 1).alias("nth"))  # each part's header is a line
+    placed = rows.where(F.col("line") != title).join(heads, "file")
     n_rows, n_bytes, n_cols = said.first()
     return placed.select((F.col("place") - F.col("nth")).alias("place"), "line", F.lit(n_rows).alias("n_rows"), F.lit(n_bytes).alias("n_bytes"), F.lit(n_cols).alias("n_cols"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.columns import typed
-from tabwright.operators.deliver import as_text, fifteen_digits, lines, md5_of, sorted_rows, write_metadata, write_parts, write_table
+from tabwright.operators.deliver import SAMPLE_BYTES, as_text, fifteen_digits, lines, md5_of, ranges_for, sorted_rows, write_metadata, write_parts, write_table
 from tabwright.operators.rules import violating_rows
 from tabwright.operators.validate import validate
 from tabwright.sources.files import read_delimited, read_json, read_yaml, write_json, write_yaml, yaml_to_json
@@ -141,6 +141,18 @@ def test_parts(spark, tmp_path):
         write_parts(df, f"file://{tmp_path}/x", breaks="keep")
 
 
+@pytest.mark.parametrize("row", [50, 4_000, 3_000_000])
+def test_sampled_rows_are_bounded(row):
+    """What the driver gets to find ranges by, whole rows where all columns are keys, doesn't grow with the table or its parts."""
+    for n_rows in (10, 10_000, 1_000_000, 100_000_000):
+        for part_bytes in (1 << 18, 128 << 20):
+            ranges, each, samples = ranges_for(n_rows * row, n_rows, part_bytes, 200, 100)
+            parts = -(-n_rows * row // part_bytes)
+            forced = -(-parts // 500) * 3 * row  # a name has three digits for the parts of a range
+            assert 1 <= ranges <= parts and 3 * ranges * samples * row <= max(SAMPLE_BYTES * 1.01, forced, 3 * row)
+            assert (each == 0) == (ranges == parts) and (not each or -(-n_rows // each) <= parts)
+
+
 def test_parts_of_values_with_breaks(spark, tmp_path):
     values = ["a\nb", "\r\n", "tab\there", "back\\slash", "\\n", '"q"', "", None, "é\u2028x", "\x00\x01", "x" * 3000 + "\n"]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").repartition(3)
