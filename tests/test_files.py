@@ -13,6 +13,7 @@ from tabwright.functions.columns import typed
 from tabwright.operators.deliver import SAMPLE_BYTES, as_text, fifteen_digits, lines, md5_of, ranges_for, sorted_rows, write_metadata, write_parts, write_table
 from tabwright.operators.rules import violating_rows
 from tabwright.operators.validate import validate
+from tabwright.queries_files import _file_lines
 from tabwright.sources.files import read_delimited, read_json, read_yaml, write_json, write_yaml, yaml_to_json
 from tabwright.sources.word import SHORT, read_spec_table, spec_frame, write_spec_table, write_value_table
 from tabwright.spec import SpecCollection, SpecError
@@ -120,6 +121,21 @@ def test_delivery(spark, tmp_path):
     assert sorted((r.id, r.s, r.d) for r in typed(read_delimited(spark, path, spec)).collect())[0] == (1, None, 15.0)
 
 
+def test_lines_of_one_file_are_read_by_splits(spark, tmp_path):
+    """A delivered file isn't a row of one task: lines keep their places, whatever stands in them, over many splits."""
+    text = "".join(f"{k}\r\ty\n\n" if k % 50 == 0 else f"{k}\n" for k in range(20000))
+    (tmp_path / "one.tsv").write_bytes(f"head\n{text}".encode())
+    want = [(k, line) for k, line in enumerate(f"head\n{text}".split("\n")) if line]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = _file_lines(spark, f"file://{tmp_path}/one.tsv")
+        got = found.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.row, r.line) for r in got) == want and len({r.part for r in got}) > 3
+
+
 def test_parts(spark, tmp_path):
     df = spark.range(2000).selectExpr("id % 7 AS a", "concat('t ', id, ' ') AS b", "id / 4 AS c").repartition(5)
     for k, compression in enumerate(("none", "gzip")):
