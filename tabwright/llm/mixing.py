@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.llm.common import map_batches, shared_table, table, whole_text
-from tabwright.llm.topics import fit_topics, term_vectors
+from tabwright.llm.topics import WIDTH, centred, fit_topics, packed, term_vectors, topic_names, unpacked
 
 DIMENSIONS = ("source", "lang", "topic")
 FAR = 1e12  # factors go no further from 1 where targets contradict each other
@@ -42,21 +42,33 @@ MET = 1e-6
 BUDGET_STEP, BUDGET_STEPS = 0.98, 127
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, n_topics: int = 8, topic_sample: int = 5_000, keep: list[str] | None = None) -> DataFrame:
+def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, n_topics: int = 8, topic_sample: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all) as struct ``row``, with source, lang, topic, tokens and the draw in [0, 1); a written table."""
     text, names = whole_text(text_col), docs.columns if keep is None else keep
     hashed = lambda seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11).cast("double") / float(1 << 53)
     source, lang = F.coalesce(F.col(source_col).cast("string"), F.lit("")), F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    model = fit_topics(docs, text, lang, hashed(11), n_topics, topic_sample)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), source.alias("source"), lang.alias("lang"), hashed(7).alias("draw"), text.cast("binary").alias("text"))
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), source.alias("source"), lang.alias("lang"), hashed(7).alias("draw"), hashed(11).alias("draw_topic"), text.cast("binary").alias("text"))
+    kept = ["row", "source", "lang", "draw", "draw_topic"]
 
     def describe(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        counts, vectors = term_vectors(batch.column(4))
-        topics = model.names(counts, vectors, batch.column(2).to_pylist())
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(topics, pa.string()), pa.array(counts, pa.int64())], ["row", "source", "lang", "draw", "topic", "tokens"])
+        counts, vectors = term_vectors(batch.column(5))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(counts, pa.int64()), packed(vectors)], [*kept, "tokens", "vector"])
 
-    schema = T.StructType([*(rows.schema[c] for c in ("row", "source", "lang", "draw")), T.StructField("topic", T.StringType()), T.StructField("tokens", T.LongType())])
-    return shared_table(map_batches(rows, describe, schema), "mixing-rows")
+    schema = T.StructType([*(given.schema[c] for c in kept), T.StructField("tokens", T.LongType()), T.StructField("vector", T.BinaryType())])
+    rows = shared_table(map_batches(given, describe, schema), "mixing-vectors")
+    fitted = rows if topic_sample is None else rows.where(F.col("draw_topic") < topic_sample / max(1, rows.count()))
+    means, vectors = centred(fitted)
+    centres = fit_topics(vectors, n_topics)
+
+    def name(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if len(batch):
+            x = unpacked(batch.column(5), "<u2") - unpacked(batch.column(6).fill_null(bytes(4 * WIDTH)), "<i4")
+            topics = topic_names(np.array(batch.column(4)), x, centres)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(topics, pa.string()), batch.column(4)], ["row", "source", "lang", "draw", "topic", "tokens"])
+
+    schema = T.StructType([*(given.schema[c] for c in ("row", "source", "lang", "draw")), T.StructField("topic", T.StringType()), T.StructField("tokens", T.LongType())])
+    named = rows.join(means, "lang", "left").select("row", "source", "lang", "draw", "tokens", "vector", "mean")
+    return shared_table(map_batches(named, name, schema), "mixing-rows")
 
 
 def cell_table(rows: DataFrame) -> DataFrame:
@@ -217,7 +229,7 @@ def mixed(
     max_cells: int = 50_000,
     budget_steps: int = BUDGET_STEPS,
     n_topics: int = 8,
-    topic_sample: int = 5_000,
+    topic_sample: int | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Per document: ``row`` (its columns, or those in ``keep``, as a struct), source, lang, topic, tokens, weight, probability, gap, sampled.

@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabwright.llm.common import table
 from tabwright.llm.mixing import DIMENSIONS, aims_of, cell_table, draw_scale, lowered, mixed, op6_mixing, plan_of, rake, rake_bounded, reachable, target_shares
+from tabwright.llm.topics import centred, fit_topics, packed, term_vectors
 
 
 def test_query(spark, sf_dir):
@@ -80,6 +82,21 @@ def test_topics(spark):
     assert got[1000] == got[1001] == "none"
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    """Centres are the means of all vectors of two themes, to the last digit, however the rows are dealt."""
+    rng = np.random.default_rng(2)
+    themes = [[f"{theme}{k}" for k in range(12)] for theme in ("sea", "law")]
+    texts = [" ".join(rng.choice(themes[k % 3 == 0], 60)) for k in range(8000)]
+    counts, x = term_vectors(pa.array([t.encode() for t in texts]))
+    rows = [("x", k / 8000, int(n), v) for k, (n, v) in enumerate(zip(counts, packed(x).to_pylist(), strict=True))]
+    df = spark.createDataFrame(rows, "lang string, draw_topic double, tokens long, vector binary")
+    one, two = (fit_topics(centred(df.repartition(k))[1], 2) for k in (2, 5))
+    q = np.rint(x.astype(float) * 65_535)
+    q -= q.sum(0) // len(q)
+    theme = np.arange(8000) % 3 == 0
+    assert (one == two).all() and (one == [q[own].sum(0) // own.sum() for own in (~theme, theme)]).all()
+
+
 @pytest.mark.parametrize("max_cells", [50_000])
 def test_given_targets(spark, sf_dir, max_cells):
     docs = table(spark, sf_dir, "documents")
